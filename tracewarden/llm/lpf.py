@@ -120,7 +120,7 @@ def _search(shard: repeats.Shard, window: int) -> pa.Table:
     return repeats.answer(shard.chunks[place], shard.rows[place], starts, ends)
 
 
-def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = repeats.HOT) -> DataFrame:
     """Remove every byte that a ``window``-byte string covers which also starts in a document with a smaller id.
 
     Returns (doc_id, n_bytes, kept binary, spans array<struct<start, end>>): the remaining bytes of the
@@ -149,7 +149,7 @@ def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
             "spans": pa.array([pairs[a:b] for a, b in zip(first, first[1:])], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
-    return repeats.repeated(docs, window, min(GRAM, window), repeats.byte_units, lambda s: _search(s, window), finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>", id_col, text_col)
+    return repeats.repeated(docs, window, min(GRAM, window), repeats.byte_units, lambda s: _search(s, window), finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>", id_col, text_col, hot)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

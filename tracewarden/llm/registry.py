@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import bpe, lpf, media
+from tracewarden.llm import bpe, fmindex, lpf, media
 from tracewarden.llm.common import load
 
 
@@ -14,6 +14,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(load(spark, sf_dir, "documents")))
 
 
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.digest(fmindex.dedup_substrings(load(spark, sf_dir, "documents"), window=20))
+
+
 def op8_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf.digest(lpf.dedup_factors(load(spark, sf_dir, "documents"), window=50))
 
@@ -25,6 +29,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
+        "op5_fm_index": op5_fm_index,
         "op8_lpf_dedup": op8_lpf_dedup,
         "op10_bpe": op10_bpe,
     }

@@ -95,12 +95,12 @@ def segments(units: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _segment_rows(chunk: int, units: Units, ids: np.ndarray, flags: pa.Table, window: int, gram: int, shards: int) -> pa.Table:
+def _segment_rows(chunk: int, units: Units, ids: np.ndarray, flags: pa.Table, window: int, gram: int, shards: int, most: int) -> pa.Table:
     row, first, end, key = segments(units, window, gram)
     uniq, back = np.unique(key, return_inverse=True)
     totals = common.totals_of(flags, len(uniq))[back]
     often = totals > 1
-    row, first, end, key, hot = row[often], first[often], end[often], key[often], totals[often] > HOT
+    row, first, end, key, hot = row[often], first[often], end[often], key[often], totals[often] > most
     shard = common.parts_of(key, shards)
     by_shard: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
     content = units.content
@@ -195,7 +195,7 @@ def removed_by_row(found: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.
     return a // width, a % width, a // width * 0 + (b - a) + a % width
 
 
-def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], search: Callable[[Shard], pa.Table], finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, id_col: str, text_col: str) -> DataFrame:
+def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], search: Callable[[Shard], pa.Table], finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
     """The three visits of the chunks: count anchors, send segments, apply what ``search`` found in each shard."""
     width = common.shuffle_width(docs.sparkSession)
     chunks = common.in_chunks(docs, 4 * width, id_col, text_col)
@@ -210,7 +210,7 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
 
     def route(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
         ids, _, _, data, offsets = common.ordered_rows(table)
-        return _segment_rows(key[0].as_py(), units(data, offsets), ids, flags, window, gram, shards)
+        return _segment_rows(key[0].as_py(), units(data, offsets), ids, flags, window, gram, shards, hot)
 
     def look(table: pa.Table) -> pa.Table:
         return search(open_shard(table))
