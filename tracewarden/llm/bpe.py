@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from tracewarden.llm.common import texts
 
 _NONE = np.int64(1) << np.int64(62)
-_POSITION_BITS = 24
 #: The white space of the vocabulary's normaliser (Unicode White_Space).
 _WHITE = r"\t-\r \x85\xa0  -     　"
 #: Rows of trees in one array hold at most this many cells.
@@ -111,50 +110,50 @@ def vocabulary(path: str) -> Vocabulary:
 def _merge_rows(v: Vocabulary, symbols: np.ndarray) -> None:
     """Merge the rows of ``symbols`` (-1: none) in place, each by its own segment tree."""
     n, width = symbols.shape
-    leaf = np.full((n, width), _NONE)
+    depth = width.bit_length() - 1
+    kind = np.int32 if depth <= 13 else np.int64
+    none = np.iinfo(kind).max
+    bits = depth
+
+    def leaves(ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.where(ranks < _NONE, (ranks << bits) | at, none).astype(kind)
+
+    tree = np.full((n, 2 * width), none, kind)
     ranks = v.pair_ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width - 1)
-    where = np.arange(width - 1)
-    leaf[:, :-1] = np.where(ranks < _NONE, (ranks << _POSITION_BITS) | where, _NONE)
-    tree = np.full((n, 2 * width), _NONE)
-    tree[:, width:] = leaf
-    for node in range(width - 1, 0, -1) if width <= 64 else ():
-        tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
+    tree[:, width : 2 * width - 1] = leaves(ranks, np.arange(width - 1))
     level = width // 2
-    while width > 64 and level:
-        tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+    while level:
+        np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2], out=tree[:, level : 2 * level])
         level //= 2
-    lengths = (symbols >= 0).sum(1)
-    after = np.tile(np.arange(1, width + 1), (n, 1))
-    before = np.tile(np.arange(-1, width - 1), (n, 1))
-    after[np.arange(n), lengths - 1] = width
-    rows = np.flatnonzero(tree[:, 1] < _NONE)
-    depth = width.bit_length() - 1
+    after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+    before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
+    after[np.arange(n), (symbols >= 0).sum(1) - 1] = width
+    rows = np.flatnonzero(tree[:, 1] < none)
     while len(rows):
-        root = tree[rows, 1]
-        at = root & ((1 << _POSITION_BITS) - 1)
-        right = after[rows, at]
-        symbols[rows, at] = v.merged[root >> _POSITION_BITS]
+        root = tree[rows, 1].astype(np.int64)
+        at = root & (width - 1)
+        right = after[rows, at].astype(np.int64)
+        here = v.merged[root >> bits]
+        symbols[rows, at] = here
         symbols[rows, right] = -1
-        follow = after[rows, right]
+        follow = after[rows, right].astype(np.int64)
         after[rows, at] = follow
         back = follow < width
         before[rows[back], follow[back]] = at[back]
-        previous = before[rows, at]
-        ahead = np.where(back, symbols[rows, np.minimum(follow, width - 1)], -1)
-        behind = np.where(previous >= 0, symbols[rows, np.maximum(previous, 0)], -1)
-        here = symbols[rows, at]
-        new = v.pair_ranks(np.concatenate([here, behind]), np.concatenate([ahead, here]))
-        new_here, new_behind = new[: len(rows)], new[len(rows) :]
-        tree[rows, width + right] = _NONE
-        tree[rows, width + at] = np.where(new_here < _NONE, (new_here << _POSITION_BITS) | at, _NONE)
+        previous = before[rows, at].astype(np.int64)
         has = previous >= 0
-        tree[rows[has], width + previous[has]] = np.where(new_behind[has] < _NONE, (new_behind[has] << _POSITION_BITS) | previous[has], _NONE)
-        for leaves, who in ((right, rows), (at, rows), (previous[has], rows[has])):
-            node = (width + leaves) >> 1
+        who, prior = rows[has], previous[has]
+        ahead = np.where(back, symbols[rows, np.minimum(follow, width - 1)], -1)
+        new = v.pair_ranks(np.concatenate([here, symbols[who, prior]]), np.concatenate([ahead, here[has]]))
+        tree[rows, width + right] = none
+        tree[rows, width + at] = leaves(new[: len(rows)], at)
+        tree[who, width + prior] = leaves(new[len(rows) :], prior)
+        for leaf, some in ((right, rows), (at, rows), (prior, who)):
+            node = (width + leaf) >> 1
             for _ in range(depth):
-                tree[who, node] = np.minimum(tree[who, 2 * node], tree[who, 2 * node + 1])
+                tree[some, node] = np.minimum(tree[some, 2 * node], tree[some, 2 * node + 1])
                 node >>= 1
-        rows = rows[tree[rows, 1] < _NONE]
+        rows = rows[tree[rows, 1] < none]
 
 
 def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,78 +180,87 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     return kept[kept >= 0], np.append(0, np.cumsum(counts))
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] .. starts[i] + lengths[i] - 1 of all i, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 class Encoder:
-    """Encodes texts as the vocabulary's library does, without special tokens of its own, and decodes again."""
+    """Encodes texts as the vocabulary's library does, without special tokens of its own, and decodes again.
+
+    ``known`` numbers the pieces (runs without white space) seen so far; ``flat`` and ``bounds`` hold
+    their ids. Once too many are known, they are forgotten before the next batch.
+    """
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
-        self.known: dict[str, tuple[bytes, str]] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids and decoded form of pieces (texts without white space)."""
+        names = [self.v.tokens.get(i, "").encode() + b" " for i in range(max(self.v.tokens) + 1)]
+        self.name_lengths = np.array([len(x) for x in names], np.int64)
+        self.name_starts = np.cumsum(self.name_lengths) - self.name_lengths
+        self.names = np.frombuffer(b"".join(names), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str | tuple[str], int] = {(name,): k for k, name in enumerate(self.v.specials)}
+        self.flat = np.array(list(self.v.specials.values()), np.int64)
+        self.bounds = np.arange(len(self.v.specials) + 1)
+
+    def _learn(self, new: list[str]) -> None:
+        """Number new pieces and keep their ids."""
+        findall = self.v.pattern.findall
+        tokens = [[p] if p.isalpha() else findall(p) for p in new]
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(t, len(number)) for found in tokens for t in found], np.int64)
+        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat, bounds = encode_words(self.v, [t.encode() for t in number])
+        sizes = np.diff(bounds)[which]
+        per_piece = np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))])
+        for k, piece in enumerate(new, len(self.known)):
+            self.known[piece] = k
+        self.flat = np.concatenate([self.flat, flat[ranges(bounds[which], sizes)]])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(per_piece)])
+
+    def _pieces(self, text: str) -> list[str | tuple[str]]:
+        """A text's pieces: special tokens of the raw text, and normalised runs without white space between them."""
+        if self.v.special and "<" in text:
+            cut = self.v.special.split(text)
+            if len(cut) > 1:
+                return [p for k, x in enumerate(cut) for p in ([(x,)] if k % 2 else self._plain(x))]
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        # each character by itself becomes lower case: a final sigma is not special
+        text = text.replace("Σ", "σ").lower()
+        # str.split() also splits at four control characters that aren't white space here
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return [p for p in self.v.white.split(text) if p] if odd else text.split()
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and each text's bounds."""
         if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        v, order = self.v, list(pieces)
-        tokens = [v.pattern.findall(p) for p in order]
-        distinct = dict.fromkeys([t for found in tokens for t in found])
-        flat, bounds = encode_words(v, [t.encode() for t in distinct])
-        raw, names, cut = flat.astype("<u4").tobytes(), [v.tokens[i] for i in flat.tolist()], bounds.tolist()
-        for word, i, j in zip(distinct, cut, cut[1:]):
-            distinct[word] = (raw[4 * i : 4 * j], " ".join(names[i:j]))
-        for piece, found in zip(order, tokens, strict=True):
-            if len(found) == 1:
-                self.known[piece] = distinct[found[0]]
-            else:
-                got = [distinct[t] for t in found]
-                self.known[piece] = (b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]]))
-
-    def _plain(self, texts_: list[str]) -> list[list[str]]:
-        """Normalised pieces between white space of each text."""
-        out = []
-        for text in texts_:
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            # each character by itself becomes lower case: a final sigma is not special
-            text = text.replace("Σ", "σ").lower()
-            # str.split() also splits at four control characters that aren't white space here
-            odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-            out.append(self.v.white.split(text) if odd else text.split())
-        return out
-
-    def encode(self, batch: list[str]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
-        v = self.v
-        parts: list[list[str]] = []
-        shape: list[list[int | str]] = []
+            self._forget()
+        pieces, counts = [], []
         for text in batch:
-            cut = v.special.split(text) if v.special and "<|" in text else [text]
-            shape.append([])
-            for x in cut:
-                if x in v.specials:
-                    shape[-1].append(x)
-                elif x:
-                    shape[-1].append(len(parts))
-                    parts.append(x)
-        pieces = self._plain(parts)
-        new = set().union(*map(set, pieces)) - self.known.keys() if pieces else set()
+            found = self._pieces(text)
+            counts.append(len(found))
+            pieces += found
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
         if new:
-            if len(self.known) + len(new) > 2 * _REMEMBERED:
-                self.known.clear()
-                new = set().union(*map(set, pieces))
             self._learn(new)
-        known, out = self.known, []
-        for plan in shape:
-            ids, words = [], []
-            for x in plan:
-                if isinstance(x, str):
-                    ids.append(v.specials[x].to_bytes(4, "little"))
-                    words.append(x)
-                else:
-                    got = [known[p] for p in pieces[x]]
-                    ids += [g[0] for g in got]
-                    words += [g[1] for g in got if g[1]]
-            out.append((b"".join(ids), " ".join(words)))
-        return out
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        sizes = np.diff(self.bounds)[at]
+        ids = self.flat[ranges(self.bounds[at], sizes)]
+        return ids, np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts, dtype=np.int64))]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The UTF-8 bytes of all decoded texts (tokens joined by one space), one after another, and each text's bounds."""
+        lengths = self.name_lengths[ids].copy()
+        some = bounds[1:] > bounds[:-1]
+        lengths[bounds[1:][some] - 1] -= 1  # no space after a text's last token
+        return self.names[ranges(self.name_starts[ids], lengths)], np.append(0, np.cumsum(lengths))[bounds]
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -282,8 +290,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             while first < len(text):
                 last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + (4 << 20), side="right")) - 1)
                 last = min(last, len(text))
-                got = encoder.encode(text.slice(first, last - first).to_pylist())
-                yield pa.record_batch([ids.slice(first, last - first), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], names=["doc_id", "ids", "decoded"])
+                tokens, at = encoder.encode(text.slice(first, last - first).to_pylist())
+                decoded, ends = encoder.decode(tokens, at)
+                packed = pa.py_buffer(tokens.astype("<u4"))
+                columns = [ids.slice(first, last - first), pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(4 * at), packed]), pa.Array.from_buffers(pa.large_string(), last - first, [None, pa.py_buffer(ends), pa.py_buffer(decoded)])]
+                columns[1:] = [columns[1].cast(pa.binary()), columns[2].cast(pa.string())]
+                yield pa.record_batch(columns, names=["doc_id", "ids", "decoded"])
                 first = last
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
