@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import bpe, fmindex, lpf, media
+from tracewarden.llm import bpe, decontaminate, fmindex, lpf, media, sigtree
 from tracewarden.llm.common import load
 
 
@@ -14,6 +14,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(load(spark, sf_dir, "documents")))
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op4_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.jaccard_groups(load(spark, sf_dir, "documents"), size=5, num=75, den=100)
+
+
 def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digest(fmindex.dedup_substrings(load(spark, sf_dir, "documents"), window=20))
 
@@ -29,6 +37,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
+        "op2_spaced_seeds": op2_spaced_seeds,
+        "op4_signature_tree": op4_signature_tree,
         "op5_fm_index": op5_fm_index,
         "op8_lpf_dedup": op8_lpf_dedup,
         "op10_bpe": op10_bpe,
