@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import bpe, decontaminate, fmindex, lpf, media, sigtree
+from tracewarden.llm import bpe, decontaminate, fmindex, lpf, media, sigtree, warc
 from tracewarden.llm.common import load
 
 
@@ -26,6 +26,10 @@ def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digest(fmindex.dedup_substrings(load(spark, sf_dir, "documents"), window=20))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(load(spark, sf_dir, "pages"))
+
+
 def op8_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf.digest(lpf.dedup_factors(load(spark, sf_dir, "documents"), window=50))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_spaced_seeds": op2_spaced_seeds,
         "op4_signature_tree": op4_signature_tree,
         "op5_fm_index": op5_fm_index,
+        "op6_warc": op6_warc,
         "op8_lpf_dedup": op8_lpf_dedup,
         "op10_bpe": op10_bpe,
     }
