@@ -9,8 +9,9 @@ LM scoring) all follow one pattern, which keeps every exchange even and bounded:
    per chunk, so that a key that a third of all rows hold is still one entry per chunk;
 3. the parts answer with one byte per key, in the order in which the keys were sent.
 
-Chunks and parts follow ``spark.sql.shuffle.partitions``: the setting that a user scales with the
-input also scales these groups, so that a group stays some megabytes.
+The numbers of chunks and parts follow the bytes of text, so that a group stays some megabytes at any
+input size; clusters with more memory a core may raise CHUNK_BYTES and PART_BYTES, which lowers the
+number of rows that carry keys.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 #: Order value of a null id: after every id.
 NULL_ID = np.iinfo(np.int64).max
 
+#: Text bytes of a chunk, and of the input for each part of the key space.
+CHUNK_BYTES, PART_BYTES = 3 << 19, 8 << 20
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SEED = 0x5EED
 
@@ -60,6 +64,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def groups_of(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """The numbers of chunks and parts for a table: one pass over the lengths of its texts."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    return max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // PART_BYTES))
+
+
 def in_chunks(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, chunk): rows dealt by a hash of the row, so that no key or source is hot."""
     return texts(docs, id_col, text_col).withColumn("chunk", F.expr(f"cast(pmod(xxhash64(doc_id, text), {chunks}) as int)"))
@@ -274,7 +284,7 @@ def totals_of(flags: pa.Table, n: int) -> np.ndarray:
     return totals
 
 
-def counted(chunks: DataFrame, send, parts: int) -> DataFrame:
+def counted(chunks: DataFrame, send) -> DataFrame:
     """(chunk, part, totals): what ``send`` (a chunk's table to ``keys_table``) asks for, counted over all chunks."""
     keys = chunks.groupBy("chunk").applyInArrow(send, KEYS_SCHEMA)
     return keys.groupBy("part").applyInArrow(count_part, FLAGS_SCHEMA)

@@ -197,16 +197,15 @@ def removed_by_row(found: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], search: Callable[[Shard], pa.Table], finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
     """The three visits of the chunks: count anchors, send segments, apply what ``search`` found in each shard."""
-    width = common.shuffle_width(docs.sparkSession)
-    chunks = common.in_chunks(docs, 4 * width, id_col, text_col)
-    shards = 4 * width
+    shards, parts = common.groups_of(docs, text_col)
+    chunks = common.in_chunks(docs, shards, id_col, text_col)
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
         _, _, _, data, offsets = common.ordered_rows(table)
         *_, key = segments(units(data, offsets), window, gram)
         keys, counts = np.unique(key, return_counts=True)
-        return common.keys_table(chunk, keys, counts, width)
+        return common.keys_table(chunk, keys, counts, parts)
 
     def route(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
         ids, _, _, data, offsets = common.ordered_rows(table)
@@ -216,7 +215,7 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
         return search(open_shard(table))
 
     by_chunk = chunks.groupBy("chunk")
-    totals = common.counted(chunks, send, width)
+    totals = common.counted(chunks, send)
     routed = by_chunk.cogroup(totals.groupBy("chunk")).applyInArrow(route, SEGMENTS_SCHEMA)
     found = routed.groupBy("shard").applyInArrow(look, FOUND_SCHEMA)
     return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)

@@ -285,16 +285,16 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100
     one class and are never paired; large groups are compared in cells of at most 2 * ``half`` classes.
     Writes intermediate tables to the shared folder.
     """
-    width = common.shuffle_width(docs.sparkSession)
-    chunks = common.in_chunks(docs, 4 * width, id_col, text_col)
+    many, parts = common.groups_of(docs, text_col)
+    chunks = common.in_chunks(docs, many, id_col, text_col)
 
     def send(table: pa.Table) -> pa.Table:
         *_, data, offsets = common.ordered_rows(table)
         keys, counts = np.unique(shingle_sets(data, offsets, size)[0], return_counts=True)
-        return common.keys_table(table.column("chunk")[0].as_py(), keys, counts, width)
+        return common.keys_table(table.column("chunk")[0].as_py(), keys, counts, parts)
 
-    totals = common.counted(chunks, send, width)
-    told = common.written(chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lambda key, t, f: _rows(key[0].as_py(), t, f, size, num, den, width), ROWS_SCHEMA), "shingles")
+    totals = common.counted(chunks, send)
+    told = common.written(chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lambda key, t, f: _rows(key[0].as_py(), t, f, size, num, den, parts), ROWS_SCHEMA), "shingles")
 
     rows = told.filter("kind = 0 and n > 0").select("doc_id", "n", "d1", "d2")
     classes = rows.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
@@ -306,7 +306,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100
     sets = told.filter("kind = 1").groupBy("d1", "d2", "n").agg(F.any_value("blob").alias("blob")).join(classes.filter("rep is not null"), ["d1", "d2", "n"])
     placed = sets.join(cells, "d1").withColumn("mine", F.expr("cast(pmod(xxhash64(rep), halves) as int)"))
     placed = placed.select("rep", "comp", "halves", "mine", "blob", F.explode(F.expr("sequence(0, halves - 1)")).alias("other"))
-    placed = placed.select("rep", "comp", "blob", F.expr(f"if(halves = 1, pmod(xxhash64(comp), {4 * width}), xxhash64(comp, least(mine, other), greatest(mine, other)))").alias("cell"), F.expr("cast(mine > other as int)").alias("half"))
+    placed = placed.select("rep", "comp", "blob", F.expr(f"if(halves = 1, pmod(xxhash64(comp), {2 * parts}), xxhash64(comp, least(mine, other), greatest(mine, other)))").alias("cell"), F.expr("cast(mine > other as int)").alias("half"))
     links = placed.groupBy("cell").applyInArrow(lambda t: _links(t, num, den), "src long, dst long")
     found = components(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
