@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import bpe, decontaminate, fmindex, lpf, media, sigtree, warc
+from tracewarden.llm import bpe, decontaminate, fmindex, lpf, media, quality, sigtree, toxicity, warc
 from tracewarden.llm.common import load
 
 
@@ -18,6 +18,11 @@ def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op3_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op4_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.jaccard_groups(load(spark, sf_dir, "documents"), size=5, num=75, den=100)
 
@@ -34,6 +39,11 @@ def op8_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf.digest(lpf.dedup_factors(load(spark, sf_dir, "documents"), window=50))
 
 
+def op9_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(load(spark, sf_dir, "documents")))
 
@@ -42,10 +52,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
         "op2_spaced_seeds": op2_spaced_seeds,
+        "op3_string_kernel": op3_string_kernel,
         "op4_signature_tree": op4_signature_tree,
         "op5_fm_index": op5_fm_index,
         "op6_warc": op6_warc,
         "op8_lpf_dedup": op8_lpf_dedup,
+        "op9_bradley_terry": op9_bradley_terry,
         "op10_bpe": op10_bpe,
     }
 
