@@ -59,9 +59,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string): only the two columns that count; a null text counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id long, text string): only the two columns that count; a null text counts as empty.
+
+    Columns to ``carry`` follow as carried_0, carried_1 and so on.
+    """
+    extra = [F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(carry)]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
 
 
 def groups_of(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
@@ -70,9 +74,14 @@ def groups_of(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // PART_BYTES))
 
 
-def in_chunks(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_chunks(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, chunk): rows dealt by a hash of the row, so that no key or source is hot."""
-    return texts(docs, id_col, text_col).withColumn("chunk", F.expr(f"cast(pmod(xxhash64(doc_id, text), {chunks}) as int)"))
+    return texts(docs, id_col, text_col, carry).withColumn("chunk", F.expr(f"cast(pmod(xxhash64(doc_id, text), {chunks}) as int)"))
+
+
+def sorted_rows(table: pa.Table) -> pa.Table:
+    """A chunk's rows by (doc_id, text), nulls last."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
 def ordered_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
@@ -81,8 +90,7 @@ def ordered_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.
     The order depends on the rows alone, so that each visit of a chunk, or a task that is run again
     after an executor was lost, sees the same order.
     """
-    table = table.select(["doc_id", "text"]).combine_chunks()
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    table = sorted_rows(table)
     ids = table.column("doc_id").combine_chunks()
     text = table.column("text").combine_chunks()
     data, offsets = utf8_buffers(text)

@@ -120,7 +120,7 @@ def _search(shard: repeats.Shard, window: int) -> pa.Table:
     return repeats.answer(shard.chunks[place], shard.rows[place], starts, ends)
 
 
-def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = repeats.HOT) -> DataFrame:
+def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = repeats.HOT, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte that a ``window``-byte string covers which also starts in a document with a smaller id.
 
     Returns (doc_id, n_bytes, kept binary, spans array<struct<start, end>>): the remaining bytes of the
@@ -128,8 +128,11 @@ def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     the input and never cross documents; overlaps count. A null text counts as empty. A null id counts as
     greater than every id and equal to other null ids; rows with equal ids never remove from each other;
     repeated rows give repeated results. Other columns are not read; an empty table gives an empty table.
-    Very long texts are worked on in pieces, without limits on length, copies or matches.
+    Very long texts are worked on in pieces, without limits on length, copies or matches. With ``characters``,
+    ``kept`` leaves out whole characters only, so that it stays UTF-8. Columns named in ``carry`` follow
+    under their own names.
     """
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def finish(_key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         ids, null, _, data, offsets = common.ordered_rows(table)
@@ -138,18 +141,24 @@ def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
         np.add.at(edges, offsets[rows] + starts, 1)
         np.add.at(edges, offsets[rows] + ends, -1)
         keep = np.cumsum(edges[:-1]) == 0
+        if characters and len(data):
+            begins = np.flatnonzero((data & 0xC0) != 0x80)
+            keep = np.repeat(np.logical_or.reduceat(keep, begins), np.diff(np.append(begins, len(data))))
         kept = data[keep].tobytes()
         bounds = np.append(0, np.cumsum(keep))[offsets].tolist()
         first = np.searchsorted(rows, np.arange(len(ids) + 1))
         pairs = [{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist())]
+        rest = common.sorted_rows(table)
         return pa.table({
             "doc_id": pa.array(ids, pa.int64(), mask=null),
             "n_bytes": pa.array(np.diff(offsets)),
             "kept": pa.array([kept[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary()),
             "spans": pa.array([pairs[a:b] for a, b in zip(first, first[1:])], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        })
+        } | {f"carried_{k}": rest.column(f"carried_{k}") for k in range(len(carry))})
 
-    return repeats.repeated(docs, window, min(GRAM, window), repeats.byte_units, lambda s: _search(s, window), finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>", id_col, text_col, hot)
+    schema = "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>" + "".join(f", carried_{k} {types[c]}" for k, c in enumerate(carry))
+    found = repeats.repeated(docs, window, min(GRAM, window), repeats.byte_units, lambda s: _search(s, window), finish, schema, id_col, text_col, hot, carry)
+    return found.toDF(*found.columns[:4], *carry)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import bpe, decontaminate, fmindex, lpf, media, quality, sigtree, toxicity, warc
+from tracewarden.llm import bpe, decontaminate, fmindex, lattice, lpf, media, quality, sigtree, toxicity, warc
 from tracewarden.llm.common import load
 
 
@@ -35,6 +35,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(load(spark, sf_dir, "pages"))
 
 
+def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(load(spark, sf_dir, "documents"))
+
+
 def op8_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf.digest(lpf.dedup_factors(load(spark, sf_dir, "documents"), window=50))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_signature_tree": op4_signature_tree,
         "op5_fm_index": op5_fm_index,
         "op6_warc": op6_warc,
+        "op7_subword_lattice": op7_subword_lattice,
         "op8_lpf_dedup": op8_lpf_dedup,
         "op9_bradley_terry": op9_bradley_terry,
         "op10_bpe": op10_bpe,

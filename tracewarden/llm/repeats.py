@@ -195,10 +195,10 @@ def removed_by_row(found: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.
     return a // width, a % width, a // width * 0 + (b - a) + a % width
 
 
-def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], search: Callable[[Shard], pa.Table], finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
+def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], search: Callable[[Shard], pa.Table], finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
     """The three visits of the chunks: count anchors, send segments, apply what ``search`` found in each shard."""
     shards, parts = common.groups_of(docs, text_col)
-    chunks = common.in_chunks(docs, shards, id_col, text_col)
+    chunks = common.in_chunks(docs, shards, id_col, text_col, carry)
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()

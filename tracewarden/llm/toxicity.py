@@ -281,3 +281,20 @@ def score(docs: DataFrame, machine: Machine | float, threshold: float = 0.5, id_
 
         scored = texts.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, machine: Machine | float, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below the threshold.
+
+    A map without exchange. A null text scores as an empty one.
+    """
+    if isinstance(machine, float):
+        return docs if machine < threshold else docs.limit(0)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            scores = machine.scores(machine.evidence(*common.utf8_buffers(batch.column(at))))
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
