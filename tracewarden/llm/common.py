@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Order value of a null id: after every id.
 NULL_ID = np.iinfo(np.int64).max
@@ -74,6 +75,40 @@ def groups_of(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // PART_BYTES))
 
 
+def first_of_batch(docs: DataFrame, covers, equal_ids: bool) -> DataFrame:
+    """Adds ``copied`` (long) to (doc_id, text, ...) rows and empties the text of rows that are settled within their batch.
+
+    A row is settled where its batch also holds the whole text under a smaller id (``equal_ids``: or under the
+    same id, earlier in the batch) and the text is long enough for the operator to remove it whole:
+    ``covers(text)`` is then the number of its units, else -1. ``copied`` is that number, or null. So of a text
+    that a third of all rows hold, each batch sends one copy through the exchange and otherwise small rows.
+    """
+    schema = docs.schema
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(0).fill_null(NULL_ID))
+            text = batch.column(1)
+            codes = np.asarray(text.dictionary_encode().indices)
+            order = np.lexsort((np.arange(len(ids)), ids, codes))
+            first = np.append(True, codes[order][1:] != codes[order][:-1]) if len(order) else np.zeros(0, bool)
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            later = ~first & ((ids[order] > ids[order][lead]) | equal_ids)
+            rows = order[later]
+            settled = np.full(len(ids), -1, np.int64)
+            verdict: dict[int, int] = {}
+            for row in rows.tolist():
+                code = int(codes[row])
+                if code not in verdict:
+                    verdict[code] = covers(text[row].as_py())
+                settled[row] = verdict[code]
+            columns = [batch.column(0), pa.compute.if_else(pa.array(settled >= 0), "", text), *batch.columns[2:], pa.array(settled, mask=settled < 0)]
+            yield pa.record_batch(columns, names=[*names, "copied"])
+
+    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("copied", T.LongType())]))
+
+
 def in_chunks(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, chunk): rows dealt by a hash of the row, so that no key or source is hot."""
     return texts(docs, id_col, text_col, carry).withColumn("chunk", F.expr(f"cast(pmod(xxhash64(doc_id, text), {chunks}) as int)"))

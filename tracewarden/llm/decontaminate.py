@@ -24,7 +24,7 @@ from tracewarden.llm import common
 #: The masks. The first finds exact runs; the others step over substitutions.
 MASKS = ("11111", "110111", "1110111", "11011011")
 #: Bits of the filter for each seed of the benchmark, and the most it may have (32 MB).
-FILTER_BITS, FILTER_MOST = 32, 1 << 28
+FILTER_BITS, FILTER_MOST = 256, 1 << 28
 _GAP = 32
 _MARGIN = 48
 _PARTITIONS = 16
@@ -105,6 +105,18 @@ def _item_seeds(items: DataFrame, least: int) -> DataFrame:
     return items.select("item_id", "words").mapInArrow(run, "seed long, item_id long, at int")
 
 
+def _probes(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each seed."""
+    return seeds & np.uint64(bits - 1), (seeds >> np.uint64(34)) & np.uint64(bits - 1)
+
+
+def _passing(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Positions of seeds whose two bits are set."""
+    one, two = _probes(seeds, len(table))
+    at = np.flatnonzero(table[one])
+    return at[table[two[at]]]
+
+
 def _filter(seeds: DataFrame) -> tuple[bytes, int]:
     """The filter's bits, packed and compressed: one bitmap of bounded size from each of at most _PARTITIONS tasks."""
     count = seeds.count()
@@ -113,7 +125,8 @@ def _filter(seeds: DataFrame) -> tuple[bytes, int]:
     def run(batches):
         table = np.zeros(bits, bool)
         for batch in batches:
-            table[np.asarray(batch.column(0)).view(np.uint64) & np.uint64(bits - 1)] = True
+            for probe in _probes(np.asarray(batch.column(0)).view(np.uint64), bits):
+                table[probe] = True
         yield pa.record_batch([pa.array([zlib.compress(np.packbits(table).tobytes(), 1)], pa.binary())], names=["bits"])
 
     whole = np.zeros(bits // 8, np.uint8)
@@ -136,7 +149,7 @@ def _regions(docs: DataFrame, packed: bytes, bits: int) -> DataFrame:
             whole, bounds = common.utf8_buffers(batch.column(1))
             for first, last in common.slices(bounds):
                 words, rows = normal_words(whole[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
-                got = [(r, p, s) for r, p, s in ((r[k], p[k], s[k]) for r, p, s in _seeds(words, rows) for k in [np.flatnonzero(table[s & np.uint64(bits - 1)])])]
+                got = [(r, p, s) for r, p, s in ((r[k], p[k], s[k]) for r, p, s in _seeds(words, rows) for k in [_passing(table, s)])]
                 row, at, seed = (np.concatenate(x) for x in zip(*got, strict=True))
                 if not len(row):
                     continue

@@ -10,6 +10,8 @@ tells whether the window starts earlier.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from tracewarden.llm import common, repeats
 
 #: Words of the grams that anchor windows.
 GRAM = 8
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class BitVector:
@@ -194,10 +197,13 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     many copies and frequent passages are searched whole.
     """
 
-    def finish(_key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, whole: np.ndarray, found: pa.Table) -> pa.Table:
         ids, null, _, data, offsets = common.ordered_rows(table)
         spaced, bounds, first_word = repeats.spaced_words(data, offsets)
         rows, starts, ends = repeats.removed_by_row(found, len(ids))
+        copies = np.flatnonzero(whole)
+        order = np.argsort(np.append(rows, copies), kind="stable")
+        rows, starts, ends = np.append(rows, copies)[order], np.append(starts, np.zeros(len(copies), np.int64))[order], np.append(ends, np.diff(first_word)[copies])[order]
         edges = np.zeros(len(bounds), np.int32)
         np.add.at(edges, first_word[rows] + starts, 1)
         np.add.at(edges, first_word[rows] + ends, -1)
@@ -206,17 +212,24 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         kept = spaced[np.repeat(keep, sizes)].tobytes()
         cut = np.append(0, np.cumsum(np.where(keep, sizes, 0)))[first_word].tolist()
         n_words, n_kept = np.diff(first_word), np.diff(np.append(0, np.cumsum(keep))[first_word])
+        copied = np.asarray(table.column("copied").fill_null(-1))
+        n_words = np.where(copied >= 0, copied, n_words)
         first = np.searchsorted(rows, np.arange(len(ids) + 1))
         pairs = [{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist())]
+        spans = [[{"start": 0, "end": n}] if n >= 0 else pairs[a:b] for a, b, n in zip(first, first[1:], copied.tolist())]
         return pa.table({
             "doc_id": pa.array(ids, pa.int64(), mask=null),
             "n_words": pa.array(n_words.astype(np.int64)),
             "n_removed": pa.array((n_words - n_kept).astype(np.int64)),
             "kept": pa.array([kept[a : max(a, b - 1)].decode() for a, b in zip(cut, cut[1:])], pa.string()),
-            "spans": pa.array([pairs[a:b] for a, b in zip(first, first[1:])], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
-    return repeats.repeated(docs, window, min(GRAM, window), repeats.word_units, lambda s: _search(s, window), finish, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:bigint,end:bigint>>", id_col, text_col, hot)
+    def covers(text: str) -> int:
+        n = len(_WORD.findall(text))
+        return n if n >= window else -1
+
+    return repeats.repeated(docs, window, min(GRAM, window), repeats.word_units, covers, True, lambda s: _search(s, window), finish, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:bigint,end:bigint>>", id_col, text_col, hot)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tracewarden.llm import common, repeats
 
 #: Length of the grams that anchor windows: long enough to be rare, short enough for sparse anchors.
-GRAM = 24
+GRAM = 20
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -134,9 +134,13 @@ def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     """
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
-    def finish(_key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, whole: np.ndarray, found: pa.Table) -> pa.Table:
         ids, null, _, data, offsets = common.ordered_rows(table)
+        copied = np.asarray(table.column("copied").fill_null(-1))
         rows, starts, ends = repeats.removed_by_row(found, len(ids))
+        copies = np.flatnonzero(whole)
+        order = np.argsort(np.append(rows, copies), kind="stable")
+        rows, starts, ends = np.append(rows, copies)[order], np.append(starts, np.zeros(len(copies), np.int64))[order], np.append(ends, np.diff(offsets)[copies])[order]
         edges = np.zeros(len(data) + 1, np.int32)
         np.add.at(edges, offsets[rows] + starts, 1)
         np.add.at(edges, offsets[rows] + ends, -1)
@@ -148,16 +152,20 @@ def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
         bounds = np.append(0, np.cumsum(keep))[offsets].tolist()
         first = np.searchsorted(rows, np.arange(len(ids) + 1))
         pairs = [{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist())]
-        rest = common.sorted_rows(table)
+        spans = [[{"start": 0, "end": n}] if n >= 0 else pairs[a:b] for a, b, n in zip(first, first[1:], copied.tolist())]
         return pa.table({
             "doc_id": pa.array(ids, pa.int64(), mask=null),
-            "n_bytes": pa.array(np.diff(offsets)),
+            "n_bytes": pa.array(np.where(copied >= 0, copied, np.diff(offsets))),
             "kept": pa.array([kept[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary()),
-            "spans": pa.array([pairs[a:b] for a, b in zip(first, first[1:])], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        } | {f"carried_{k}": rest.column(f"carried_{k}") for k in range(len(carry))})
+            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        } | {f"carried_{k}": table.column(f"carried_{k}") for k in range(len(carry))})
+
+    def covers(text: str) -> int:
+        n = len(text.encode())
+        return n if n >= window else -1
 
     schema = "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>" + "".join(f", carried_{k} {types[c]}" for k, c in enumerate(carry))
-    found = repeats.repeated(docs, window, min(GRAM, window), repeats.byte_units, lambda s: _search(s, window), finish, schema, id_col, text_col, hot, carry)
+    found = repeats.repeated(docs, window, min(GRAM, window), repeats.byte_units, covers, False, lambda s: _search(s, window), finish, schema, id_col, text_col, hot, carry)
     return found.toDF(*found.columns[:4], *carry)
 
 

@@ -8,6 +8,10 @@ with the list of its places. An anchor with more than ``HOT`` occurrences is dea
 instead, so that a passage that a third of all rows hold does not fill one shard.
 
 A shard answers with unit intervals by chunk and row; the last visit of a chunk applies them.
+
+Whole copies are settled on the way: a chunk is chosen by the text, so that equal texts meet, and only the
+first row of a text in each chunk sends anything. Copies within one batch of the input are settled even
+before the exchange (``common.first_of_batch``), so no chunk fills up with the copies of one text.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracewarden.llm import common
 
@@ -83,20 +88,30 @@ def pieces(offsets: np.ndarray, window: int):
             yield a, b, np.array([0, b - a], np.int64), np.array([first])
 
 
-def segments(units: Units, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first unit, end unit, anchor key) of every run of windows with the same anchor; units count from the chunk's start."""
+def segments(units: Units, window: int, gram: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first unit, end unit, anchor key) of every run of windows with the same anchor; units count from the chunk's start. Rows in ``skip`` have none."""
     found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
     for a, b, offsets, rows in pieces(units.offsets, window):
         if b - a < window:
             continue
         grams = common.gram_hashes(units.values(a, b), gram)
         firsts, ends, at = common.anchors(grams, offsets, window, gram)
-        found.append((rows[np.searchsorted(offsets, firsts, side="right") - 1], firsts + a, ends + a + window - 1, grams[at]))
+        row, key = rows[np.searchsorted(offsets, firsts, side="right") - 1], grams[at]
+        keep = ~skip[row] if skip is not None else slice(None)
+        found.append((row[keep], (firsts + a)[keep], (ends + a + window - 1)[keep], key[keep]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _segment_rows(chunk: int, units: Units, ids: np.ndarray, flags: pa.Table, window: int, gram: int, shards: int, most: int) -> pa.Table:
-    row, first, end, key = segments(units, window, gram)
+def later_copies(ids: np.ndarray, text: pa.Array, equal_ids: bool) -> np.ndarray:
+    """Rows (sorted by id) whose text another row of the chunk has under a smaller id, or under an equal one before it."""
+    codes = np.asarray(text.dictionary_encode().indices)
+    _, first, back = np.unique(codes, return_index=True, return_inverse=True)
+    lead = first[back]
+    return (ids > ids[lead]) | (equal_ids & (lead < np.arange(len(ids))))
+
+
+def _segment_rows(chunk: int, units: Units, ids: np.ndarray, skip: np.ndarray, flags: pa.Table, window: int, gram: int, shards: int, most: int) -> pa.Table:
+    row, first, end, key = segments(units, window, gram, skip)
     uniq, back = np.unique(key, return_inverse=True)
     totals = common.totals_of(flags, len(uniq))[back]
     often = totals > 1
@@ -195,27 +210,45 @@ def removed_by_row(found: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.
     return a // width, a % width, a // width * 0 + (b - a) + a % width
 
 
-def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], search: Callable[[Shard], pa.Table], finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The three visits of the chunks: count anchors, send segments, apply what ``search`` found in each shard."""
+def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], covers: Callable[[str], int], equal_ids: bool, search: Callable[[Shard], pa.Table], finish: Callable[[pa.Table, np.ndarray, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The three visits of the chunks: count anchors, send segments, apply what ``search`` found in each shard.
+
+    ``covers`` gives the units of a text whose whole copies are removed, or -1; ``equal_ids`` tells whether a row counts as earlier
+    than a later row with the same id. ``finish`` gets the chunk's rows, sorted, which of them are whole later
+    copies within the chunk, and the intervals; rows that were settled before the exchange have ``copied``.
+    """
     shards, parts = common.groups_of(docs, text_col)
-    chunks = common.in_chunks(docs, shards, id_col, text_col, carry)
+    told = common.first_of_batch(common.texts(docs, id_col, text_col, carry), covers, equal_ids)
+    chunks = told.withColumn("chunk", F.expr(f"cast(pmod(if(copied is null, xxhash64(text), xxhash64(doc_id, copied)), {shards}) as int)"))
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        _, _, _, data, offsets = common.ordered_rows(table)
-        *_, key = segments(units(data, offsets), window, gram)
+        ids, _, text, data, offsets = common.ordered_rows(table)
+        *_, key = segments(units(data, offsets), window, gram, later_copies(ids, text, equal_ids))
         keys, counts = np.unique(key, return_counts=True)
         return common.keys_table(chunk, keys, counts, parts)
 
     def route(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
-        ids, _, _, data, offsets = common.ordered_rows(table)
-        return _segment_rows(key[0].as_py(), units(data, offsets), ids, flags, window, gram, shards, hot)
+        ids, _, text, data, offsets = common.ordered_rows(table)
+        return _segment_rows(key[0].as_py(), units(data, offsets), ids, later_copies(ids, text, equal_ids), flags, window, gram, shards, hot)
 
     def look(table: pa.Table) -> pa.Table:
         return search(open_shard(table))
 
+    def end(_key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        table = common.sorted_rows(table)
+        ids, text = np.asarray(table.column("doc_id").fill_null(common.NULL_ID)), table.column("text").combine_chunks()
+        whole = later_copies(ids, text, equal_ids)
+        verdict: dict[str, int] = {}
+        for row in np.flatnonzero(whole).tolist():
+            cell = text[row].as_py()
+            if cell not in verdict:
+                verdict[cell] = covers(cell)
+            whole[row] = verdict[cell] >= 0
+        return finish(table, whole, found)
+
     by_chunk = chunks.groupBy("chunk")
     totals = common.counted(chunks, send)
     routed = by_chunk.cogroup(totals.groupBy("chunk")).applyInArrow(route, SEGMENTS_SCHEMA)
     found = routed.groupBy("shard").applyInArrow(look, FOUND_SCHEMA)
-    return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)
+    return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(end, schema)
