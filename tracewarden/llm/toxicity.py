@@ -97,14 +97,33 @@ def row_values(rows: np.ndarray, weights: np.ndarray, block: int = 1 << 15) -> n
     return out
 
 
-def gram_weights(row: np.ndarray) -> np.ndarray:
-    """The scaled weights of one row: row_values(rows, gram_weights(row)) is the kernel of the rows with it."""
-    out = np.zeros(_A**4, np.float32)
-    for factor, index in _grams(row[None]):
-        np.add.at(out, index.ravel(), np.float32(factor))
-    parts = np.arange(_A**2)
-    whole = (parts >= _A) & (parts % _A > 0)
-    return out * (whole[:, None] & whole[None, :]).ravel() * np.float32(_SCALE[(row > 0).sum()])
+def grams_of(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct subsequences of one row and their scaled weights."""
+    parts = [(index.ravel(), np.full(index.size, factor)) for factor, index in _grams(row[None])]
+    index, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    whole = (index >= _A**3) & (index // _A**2 % _A > 0) & (index // _A % _A > 0) & (index % _A > 0)
+    index, back = np.unique(index[whole], return_inverse=True)
+    return index, np.bincount(back, weight[whole], len(index)) * _SCALE[(row > 0).sum()]
+
+
+def kernel(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The kernel of every row with every landmark: one table of weights, filled for one landmark at a time."""
+    table, out = np.zeros(_A**4, np.float32), np.empty((len(rows), len(marks)))
+    for k, mark in enumerate(marks):
+        index, weight = grams_of(mark)
+        table[index] = weight
+        out[:, k] = row_values(rows, table)
+        table[index] = 0
+    return out
+
+
+def folded(marks: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+    """One table with the sum of the landmarks' weights, each times its amount."""
+    table = np.zeros(_A**4)
+    for mark, amount in zip(marks, amounts, strict=True):
+        index, weight = grams_of(mark)
+        table[index] += amount * weight
+    return table.astype(np.float32)
 
 
 @dataclass
@@ -165,18 +184,16 @@ def train_words(positive: list[np.ndarray], negative: list[np.ndarray], landmark
     rows = np.stack(positive + negative).astype(np.int32)
     y = np.append(np.ones(len(positive)), -np.ones(len(negative)))
     n = min(landmarks // 2, len(positive))
-    near = row_values(np.stack(negative), sum(gram_weights(r) for r in positive[:n])) if negative else np.zeros(0)
+    near = row_values(np.stack(negative), folded(rows[:n], np.ones(n)))
     hard = np.argsort(-near, kind="stable")[: landmarks - n]
-    marks = np.concatenate([rows[:n], np.stack(negative)[hard]]) if len(hard) else rows[:n]
-    forms = np.stack([gram_weights(r) for r in marks])
-    against = np.stack([row_values(rows, f) for f in forms], 1)
-    own = np.stack([row_values(marks, f) for f in forms], 1)
+    marks = np.concatenate([rows[:n], np.stack(negative)[hard]])
+    against, own = kernel(rows, marks), kernel(marks, marks)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # own ** -1/2 up to a rotation
     cost = np.where(y > 0, 10.0 * len(negative) / max(1, len(positive)), 10.0)
     w, offset = support_vectors(against @ root, y, cost)
-    return ((root @ w) @ forms).astype(np.float32), offset
+    return folded(marks, root @ w), offset
 
 
 def _word_counts(sampled: DataFrame) -> DataFrame:
