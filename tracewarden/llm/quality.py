@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tracewarden.llm import common, labelled
 
 #: Bounds of what is learnt from: labelled documents and preference pairs.
-SAMPLE, PAIRS = 20_000, 200_000
+SAMPLE, PAIRS = 20_000, 100_000
 #: The score of a document at the threshold.
 CUT = 0.3
 KNOTS = (0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98)
@@ -105,14 +105,17 @@ class Ranking:
         return labelled.sigmoid(self.strengths(x) - self.threshold + np.log(CUT / (1 - CUT)))
 
 
-def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
-    """Weights for which ``better`` rows outrank ``worse`` rows: logistic loss on feature differences, by Newton steps."""
-    d = better - worse
-    w = np.zeros(d.shape[1])
+def bradley_terry(x: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float = 1e-3, rounds: int = 30, block: int = 8192) -> np.ndarray:
+    """Weights for which the rows ``better`` of x outrank the rows ``worse``: logistic loss on feature differences, by
+    Newton steps whose sums are taken over blocks of pairs."""
+    w, n = np.zeros(x.shape[1]), len(better)
     for _ in range(rounds):
-        p = labelled.sigmoid(d @ w)
-        grad = -d.T @ (1 - p) / len(d) + ridge * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+        grad, curve = ridge * w, ridge * np.eye(len(w))
+        for k in range(0, n, block):
+            d = x[better[k : k + block]] - x[worse[k : k + block]]
+            p = labelled.sigmoid(d @ w)
+            grad = grad - d.T @ (1 - p) / n
+            curve += (d * (p * (1 - p))[:, None]).T @ d / n
         step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -131,7 +134,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS) -> Ranking | float
     wide = ranking.expanded(x)
     rng = np.random.default_rng(9)
     n = min(pairs, len(good) * len(bad), 40 * len(label))
-    ranking.weights = bradley_terry(wide[rng.choice(good, n)], wide[rng.choice(bad, n)])
+    ranking.weights = bradley_terry(wide, rng.choice(good, n), rng.choice(bad, n))
     strength = wide @ ranking.weights
     ranking.threshold = float(np.quantile(strength, len(bad) / len(label)))
     return ranking
