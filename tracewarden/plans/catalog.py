@@ -2,10 +2,327 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewarden.functions import scalar as S
+from tracewarden.functions.rules import LINE_RULES
+from tracewarden.operators import build, lines, posture, traverse
+from tracewarden.plans import adapters as A
+from tracewarden.plans import oracles as O
+from tracewarden.schema import SINK, SOURCE
+from tracewarden.sources.shared import load, written
+
+Query = Callable[[SparkSession, str], DataFrame]
+_FLAT = ("id", "source_id", "sink_id", "path", "path_length", "vuln_class", "severity", "confidence", "file_path")
+
+
+def _flat(paths: DataFrame) -> DataFrame:
+    """Path records without arrays."""
+    return paths.select(*_FLAT).withColumn("path", F.array_join("path", ">"))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return A.event_nodes(spark, sf_dir), A.event_edges(spark, sf_dir)
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.find_all_paths(*_graph(spark, sf_dir))
+
+
+def find_all_paths(spark, sf_dir):
+    return _flat(_paths(spark, sf_dir))
+
+
+def missing_sanitizers(spark, sf_dir):
+    return posture.findings(_paths(spark, sf_dir)).select("id", "vuln_class", "severity", "description", "source_file", "sink_file", "sink_symbol", "remediation")
+
+
+def paths_to_sink_class(spark, sf_dir):
+    return _flat(traverse.paths_to_sink(*_graph(spark, sf_dir), "sqli"))
+
+
+def paths_to_sink_file(spark, sf_dir):
+    return _flat(traverse.paths_to_sink(*_graph(spark, sf_dir), "svc7/"))
+
+
+def sound_paths(spark, sf_dir):
+    return _flat(traverse.find_all_paths(*_graph(spark, sf_dir), sound=True))
+
+
+def class_aware_paths(spark, sf_dir):
+    return _flat(traverse.find_all_paths(*_graph(spark, sf_dir), class_aware=True))
+
+
+def trace_flow(spark, sf_dir):
+    """Within twelve hops of the first signup."""
+    nodes, edges = _graph(spark, sf_dir)
+    start = load(spark, sf_dir, "events").filter("event_type = 'signup'").agg(F.min_by("event_id", F.struct("ts", "event_id"))).first()[0]
+    return traverse.trace_data_flow(nodes, edges, f"e{start}", max_nodes=13).select("id", "type", F.col("depth").cast("long").alias("depth"))
+
+
+def reach_counts(spark, sf_dir):
+    """From each user's first event, within ten hops."""
+    nodes, edges = _graph(spark, sf_dir)
+    starts = nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select(F.col("id").alias("source_id"))
+    return traverse.reachable_counts(nodes, edges, starts, max_nodes=11)
+
+
+def attack_surface(spark, sf_dir):
+    return traverse.attack_surface(*_graph(spark, sf_dir))[2]
+
+
+def attack_surface_module(spark, sf_dir):
+    """By module: the surface of every service at once, from one trace."""
+    nodes, edges = _graph(spark, sf_dir)
+    module = F.element_at(F.split("file_path", "/"), 1)
+    sources = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), module.alias("module"))
+    traced = traverse.trace_forward(nodes, edges).select("source_id", "sink_id")
+    return sources.join(traced, "source_id", "left").groupBy("module").agg(F.count_distinct("source_id").alias("source_count"), F.count_distinct("sink_id").alias("reachable_sink_count"), F.count("sink_id").alias("taint_path_count"))
+
+
+def _early_sink(spark, sf_dir) -> str:
+    """The first purchase of all."""
+    return f"e{load(spark, sf_dir, 'events').filter(F.col('event_type') == 'purchase').agg(F.min_by('event_id', F.struct('ts', 'event_id'))).first()[0]}"
+
+
+def blast_nodes(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    node = _early_sink(spark, sf_dir)
+    return traverse.blast_radius(nodes, edges, node, paths=nodes.limit(0).withColumn("path", F.array("id")))[0].select("id", "type", "file_path")
+
+
+def blast_paths(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return _flat(traverse.blast_radius(nodes, edges, _early_sink(spark, sf_dir))[1])
+
+
+def node_stats(spark, sf_dir):
+    return posture.node_stats(A.event_nodes(spark, sf_dir))
+
+
+def edge_stats(spark, sf_dir):
+    return posture.edge_stats(A.event_edges(spark, sf_dir))
+
+
+def live_edges(spark, sf_dir):
+    return posture.live_edge_count(*_graph(spark, sf_dir))
+
+
+def out_degrees(spark, sf_dir):
+    edges = A.order_edges(spark, sf_dir)
+    return edges.groupBy("src").agg(F.count_distinct("id").alias("out_degree"))
+
+
+def nodes_by_type(spark, sf_dir):
+    return A.event_nodes(spark, sf_dir).filter(F.col("type") == SINK).select("id", "symbol", "vuln_class", S.severity("vuln_class").alias("severity"))
+
+
+def nodes_by_file(spark, sf_dir):
+    return A.event_nodes(spark, sf_dir).filter(F.col("file_path").startswith("svc3/")).select("id", "type", "file_path")
+
+
+def stable_ids(spark, sf_dir):
+    nodes = A.event_nodes(spark, sf_dir)
+    return nodes.select("id", S.node_id("file_path", "line_start", "symbol").alias("node_id"), S.edge_id("id", "id", F.lit("dataflow")).alias("edge_id"), S.path_id("id", "id").alias("path_id"))
+
+
+def severity_map(spark, sf_dir):
+    sinks = A.event_nodes(spark, sf_dir).filter(F.col("type") == SINK)
+    return sinks.groupBy("vuln_class", S.severity("vuln_class").alias("severity"), S.severity_rank(S.severity("vuln_class")).cast("long").alias("rank"), S.remediation("vuln_class").alias("remediation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _classified(language: str) -> Query:
+    def query(spark, sf_dir):
+        found = lines.classify_lines(A.code_lines(spark, sf_dir, language), language)
+        return found.select("file_path", F.col("line").cast("long").alias("line"), "rule", "kind", "symbol", "vuln_class", F.array_join("tainted_vars", ",").alias("tainted_vars"))
+
+    return query
+
+
+def assign_targets(spark, sf_dir):
+    return A.code_lines(spark, sf_dir, "python").select("event_id", S.assign_target("text").alias("target"))
+
+
+def go_assign_targets(spark, sf_dir):
+    return A.code_lines(spark, sf_dir, "go").select("event_id", S.go_assign_target("text").alias("target"))
+
+
+def call_names(spark, sf_dir):
+    rule = next(r for r in LINE_RULES if r.name == "py_sql")
+    return A.code_lines(spark, sf_dir, "python").filter(F.col("text").rlike(rule.pattern)).select("event_id", S.call_name("text", rule.pattern).alias("call"))
+
+
+def param_lists(spark, sf_dir):
+    found = A.code_lines(spark, sf_dir, "python").withColumn("params", F.regexp_extract("text", r"^(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)", 2)).filter("params <> ''")
+    return found.select("event_id", F.array_join(S.python_params("params"), ",").alias("params"))
+
+
+def _parsed(spark, sf_dir) -> DataFrame:
+    return lines.classify_lines(A.code_lines(spark, sf_dir, "python"), "python").drop("rule")
+
+
+def line_index(spark, sf_dir):
+    return build.line_index(_parsed(spark, sf_dir)).select("file_path", F.col("line").cast("long").alias("line"), "line_id")
+
+
+def dataflow_edges(spark, sf_dir):
+    edges = build.dataflow_edges(_parsed(spark, sf_dir))
+    return edges.select("id", "src", "dst", F.col("metadata")["tainted_var"].alias("tainted_var"))
+
+
+def _functions(spark, sf_dir) -> DataFrame:
+    """A function for each 'def' line, named by the line."""
+    defs = A.code_lines(spark, sf_dir, "python").filter("event_id % 12 = 5")
+    return defs.select("file_path", F.col("line").cast("int").alias("ord"), F.concat(F.lit("handler"), (F.col("event_id") % 7).cast("string")).alias("name"), F.col("line").cast("int").alias("line"), F.array().cast("array<string>").alias("params"), F.lit(False).alias("is_handler"), F.lit("").alias("framework"))
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    """A call of one handler by another for each sink line."""
+    rows = A.code_lines(spark, sf_dir, "python").filter("event_id % 12 IN (1, 2)")
+    name = lambda e: F.concat(F.lit("handler"), F.expr(f"cast({e} AS string)"))
+    return rows.select("file_path", F.col("line").cast("int").alias("ord"), name("event_id % 7").alias("caller_func"), name("(event_id + 3) % 7").alias("callee"), F.array(F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string"))).alias("arg_names"), F.col("line").cast("int").alias("line"))
+
+
+def func_registry(spark, sf_dir):
+    return build.function_registry(_functions(spark, sf_dir))
+
+
+def call_edges(spark, sf_dir):
+    edges = build.call_edges(_functions(spark, sf_dir), _calls(spark, sf_dir), ordered=False)
+    return edges.select("id", "src", "dst", F.col("metadata")["call_line"].alias("call_line"))
+
+
+def call_edges_ordered(spark, sf_dir):
+    edges = build.call_edges(_functions(spark, sf_dir), _calls(spark, sf_dir))
+    return edges.select("id", "src", "dst", F.col("metadata")["call_line"].alias("call_line"))
+
+
+def findings_by_severity(spark, sf_dir):
+    return posture.findings_by_severity(_paths(spark, sf_dir))
+
+
+def posture_score(spark, sf_dir):
+    return posture.posture(_paths(spark, sf_dir))
+
+
+def posture_by_module(spark, sf_dir):
+    """The posture score of every service, over its sinks' paths."""
+    module = F.element_at(F.split("file_path", "/"), 1)
+    counted = _paths(spark, sf_dir).groupBy(module.alias("module")).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITY_RANK])
+    score = F.greatest(F.lit(0), 100 - 25 * F.col("critical") - 15 * F.col("high") - 5 * F.col("medium") - 2 * F.col("low")).cast("long")
+    return counted.withColumn("score", score).withColumn("grade", S.grade(F.col("score")))
+
+
+def file_context(spark, sf_dir):
+    return posture.file_context(A.event_nodes(spark, sf_dir))
+
+
+def gate_high(spark, sf_dir):
+    return posture.gate(_paths(spark, sf_dir), "high")
+
+
+def path_depth_hist(spark, sf_dir):
+    return _paths(spark, sf_dir).groupBy(F.col("path_length").cast("long").alias("path_length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _before_after(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Paths as ids: before, those that don't end in svc1 files; after, those that don't end in svc2 files."""
+    paths = written(_paths(spark, sf_dir).select("id", "file_path", "severity"), "paths")
+    return paths.filter(~F.col("file_path").startswith("svc1/")), paths.filter(~F.col("file_path").startswith("svc2/"))
+
+
+def diff_new(spark, sf_dir):
+    return posture.new_paths(*_before_after(spark, sf_dir)).select("id", "severity")
+
+
+def diff_resolved(spark, sf_dir):
+    return posture.resolved_paths(*_before_after(spark, sf_dir)).select("id", "severity")
+
+
+def diff_verdict(spark, sf_dir):
+    return posture.diff_verdict(*_before_after(spark, sf_dir))
+
+
+def path_history(spark, sf_dir):
+    before, after = _before_after(spark, sf_dir)
+    known = before.select("id", F.lit("2024-01-01").cast("date").alias("introduced_at"), F.lit(None).cast("date").alias("resolved_at"))
+    history = posture.path_history(known, after, __import__("datetime").date(2024, 2, 1))
+    return history.select("id", F.col("introduced_at").cast("string").alias("introduced_at"), F.col("resolved_at").cast("string").alias("resolved_at"), "is_active")
+
+
+def latest_change(spark, sf_dir):
+    """Events as changes of a user's file: the last of each burst of ten minutes counts."""
+    events = load(spark, sf_dir, "events").selectExpr("concat('u', user_id) AS path", "ts AS event_time", "event_id", "event_type = 'error' AS is_delete")
+    gap = F.col("event_time").cast("timestamp").cast("double") - F.lag(F.col("event_time").cast("timestamp").cast("double")).over(_by_path())
+    bursts = events.withColumn("fresh", F.coalesce(gap > 600, F.lit(True)).cast("int"))
+    bursts = bursts.withColumn("burst", F.sum("fresh").over(_by_path()))
+    last = bursts.groupBy("path", "burst").agg(F.max_by(F.struct("event_id", "is_delete"), F.struct("event_time", "event_id")).alias("c"), F.count(F.lit(1)).alias("n"))
+    return last.select("path", F.col("burst").cast("long").alias("burst"), F.col("c.event_id").alias("event_id"), F.col("c.is_delete").alias("is_delete"), "n")
+
+
+def _by_path():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("path").orderBy("event_time", "event_id")
+
+
+def file_replace(spark, sf_dir):
+    """Nodes and edges left after all svc5 files were removed, as counts by type."""
+    nodes, edges = _graph(spark, sf_dir)
+    gone = nodes.filter(F.col("file_path").startswith("svc5/")).select("file_path")
+    left_nodes, left_edges = posture.replace_files(nodes, edges, gone, nodes.limit(0), edges.limit(0))
+    return left_nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n")).union(left_edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")))
+
+
+def calibration_rates(spark, sf_dir):
+    """Events as feedback: purchases accept, errors reject and views ignore a finding of a class."""
+    action = F.expr("CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'ignored' ELSE 'other' END")
+    events = load(spark, sf_dir, "events").select(action.alias("action"), F.expr(A._CLASS).alias("vuln_class"))
+    return posture.calibration_rates(events)
+
+
+def order_surface(spark, sf_dir):
+    """The attack surface of each nation's customers over the orders graph."""
+    nodes, edges = A.order_nodes(spark, sf_dir), A.order_edges(spark, sf_dir)
+    module = F.element_at(F.split("file_path", "/"), 1)
+    sources = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), module.alias("module"))
+    found = traverse.first_paths(traverse.trace_forward(nodes, edges, max_nodes=3)).select("source_id", "sink_id")
+    return sources.join(found, "source_id").groupBy("module").agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("sink_id").alias("sinks"))
+
+
+def order_findings(spark, sf_dir):
+    """Findings of the orders graph by class and severity."""
+    nodes, edges = A.order_nodes(spark, sf_dir), A.order_edges(spark, sf_dir)
+    paths = traverse.find_all_paths(nodes, edges, max_nodes=3)
+    return paths.groupBy("vuln_class", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sink_id").alias("sinks"))
+
+
+def request_parameters(spark, sf_dir):
+    """Names of request parameters in page addresses, as sources by host."""
+    pages = load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?]+)", 1).alias("host"), F.regexp_extract("url", r"\?(.*)$", 1).alias("query"))
+    names = pages.filter("query <> ''").select("host", F.explode(F.transform(F.split("query", "&"), lambda p: F.split(p, "=")[0])).alias("parameter"))
+    return names.groupBy("host", "parameter").agg(F.count(F.lit(1)).alias("n"))
+
+
+def secret_lines(spark, sf_dir):
+    """Documents whose text assigns a quoted secret."""
+    return load(spark, sf_dir, "documents").filter(F.col("text").rlike(O.SECRET)).select("doc_id", F.regexp_extract("text", O.SECRET, 1).alias("kind"))
+
+
+_QUERIES: tuple[Query, ...] = (
+    find_all_paths, missing_sanitizers, paths_to_sink_class, paths_to_sink_file, sound_paths, class_aware_paths, trace_flow, reach_counts, attack_surface, attack_surface_module, blast_nodes, blast_paths,
+    node_stats, edge_stats, live_edges, out_degrees, nodes_by_type, nodes_by_file, stable_ids, severity_map, assign_targets, go_assign_targets, call_names, param_lists, line_index, dataflow_edges,
+    func_registry, call_edges, call_edges_ordered, findings_by_severity, posture_score, posture_by_module, file_context, gate_high, path_depth_hist, diff_new, diff_resolved, diff_verdict, path_history, latest_change,
+    file_replace, calibration_rates, order_surface, order_findings, request_parameters, secret_lines,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _QUERIES} | {f"classify_lines_{k}": _classified(v) for k, v in (("py", "python"), ("ts", "typescript"), ("go", "go"))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return O.texts()
