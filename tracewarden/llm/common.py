@@ -20,6 +20,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,20 +91,26 @@ def first_of_batch(docs: DataFrame, covers, equal_ids: bool) -> DataFrame:
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(NULL_ID))
             text = batch.column(1)
-            codes = np.asarray(text.dictionary_encode().indices)
-            order = np.lexsort((np.arange(len(ids)), ids, codes))
-            first = np.append(True, codes[order][1:] != codes[order][:-1]) if len(order) else np.zeros(0, bool)
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            later = ~first & ((ids[order] > ids[order][lead]) | equal_ids)
-            rows = order[later]
+            data, offsets = utf8_buffers(text)
+            view = memoryview(data)
+            names_of = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+            seen: dict[bytes, int] = {}
+            codes = np.array([seen.setdefault(n, len(seen)) for n in names_of], np.int64)
             settled = np.full(len(ids), -1, np.int64)
-            verdict: dict[int, int] = {}
-            for row in rows.tolist():
-                code = int(codes[row])
-                if code not in verdict:
-                    verdict[code] = covers(text[row].as_py())
-                settled[row] = verdict[code]
-            columns = [batch.column(0), pa.compute.if_else(pa.array(settled >= 0), "", text), *batch.columns[2:], pa.array(settled, mask=settled < 0)]
+            if len(seen) < len(codes):
+                order = np.lexsort((np.arange(len(ids)), ids, codes))
+                first = np.append(True, codes[order][1:] != codes[order][:-1])
+                lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+                later = ~first & ((ids[order] > ids[order][lead]) | equal_ids)
+                verdict: dict[int, int] = {}
+                for row in order[later].tolist():
+                    code = int(codes[row])
+                    if code not in verdict:
+                        verdict[code] = covers(text[row].as_py())
+                    settled[row] = verdict[code]
+                if settled.max() >= 0:
+                    text = pa.compute.if_else(pa.array(settled >= 0), "", text)
+            columns = [batch.column(0), text, *batch.columns[2:], pa.array(settled, mask=settled < 0)]
             yield pa.record_batch(columns, names=[*names, "copied"])
 
     return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("copied", T.LongType())]))
@@ -284,6 +291,12 @@ def anchors(grams: np.ndarray, offsets: np.ndarray, window: int, m: int) -> tupl
     return firsts[keep], ends[keep], at[firsts[keep]]
 
 
+def released(out: pa.Table) -> pa.Table:
+    """``out``, after the memory that a group's work has left unused went back to the system: workers are reused."""
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """The part (range of the hash space) of sorted or unsorted 64-bit keys."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -329,8 +342,8 @@ def totals_of(flags: pa.Table, n: int) -> np.ndarray:
 
 def counted(chunks: DataFrame, send) -> DataFrame:
     """(chunk, part, totals): what ``send`` (a chunk's table to ``keys_table``) asks for, counted over all chunks."""
-    keys = chunks.groupBy("chunk").applyInArrow(send, KEYS_SCHEMA)
-    return keys.groupBy("part").applyInArrow(count_part, FLAGS_SCHEMA)
+    keys = chunks.groupBy("chunk").applyInArrow(lambda t: released(send(t)), KEYS_SCHEMA)
+    return keys.groupBy("part").applyInArrow(lambda t: released(count_part(t)), FLAGS_SCHEMA)
 
 
 def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -230,10 +230,10 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
 
     def route(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
         ids, _, text, data, offsets = common.ordered_rows(table)
-        return _segment_rows(key[0].as_py(), units(data, offsets), ids, later_copies(ids, text, equal_ids), flags, window, gram, shards, hot)
+        return common.released(_segment_rows(key[0].as_py(), units(data, offsets), ids, later_copies(ids, text, equal_ids), flags, window, gram, shards, hot))
 
     def look(table: pa.Table) -> pa.Table:
-        return search(open_shard(table))
+        return common.released(search(open_shard(table)))
 
     def end(_key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         table = common.sorted_rows(table)
@@ -245,7 +245,7 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
             if cell not in verdict:
                 verdict[cell] = covers(cell)
             whole[row] = verdict[cell] >= 0
-        return finish(table, whole, found)
+        return common.released(finish(table, whole, found))
 
     by_chunk = chunks.groupBy("chunk")
     totals = common.counted(chunks, send)
