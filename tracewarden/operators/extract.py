@@ -36,7 +36,7 @@ def python_events(text: str):
         elif isinstance(n, ast.ImportFrom) and not n.level and n.module:
             yield "import", "", n.module, n.lineno, "", [], False
         elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            # a typed parameter without a default is not seen by the reference's query and stays out
+            # a typed parameter without a default has no name of its own in the grammar and stays out
             args = [*n.args.posonlyargs, *n.args.args]
             plain = len(args) - len(n.args.defaults)
             names = [a.arg for k, a in enumerate(args) if a.arg not in ("self", "cls") and not (k < plain and a.annotation)]
@@ -62,7 +62,8 @@ def python_events(text: str):
 
 
 _TOKEN = re.compile(r"""(?P<skip>//[^\n]*|/\*.*?\*/|[ \t\r\f]+)|(?P<nl>\n)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<id>[A-Za-z_$][\w$]*)|(?P<num>\d[\w.]*)|(?P<arrow>=>)|(?P<op>.)""", re.S)
-_NO_CALL = frozenset("if for while switch catch function func return typeof await new go defer select case else do in of interface struct map chan type import".split())
+# Words before a parenthesis that are no callee.
+_NO_CALL = {"go": frozenset("if for switch func return go defer select case else interface struct map chan type import range".split()), "script": frozenset("if for while switch catch function return typeof await new case else do in of import".split())}
 
 
 def tokens(text: str) -> list[tuple[str, str, int, int, int]]:
@@ -128,6 +129,7 @@ def _chain_start(toks: list, dot: int) -> int:
 def c_like_events(text: str, language: str):
     """Syntax events of a TypeScript, JavaScript or Go file in source order."""
     toks, go = tokens(text), language == "go"
+    words = _NO_CALL["go" if go else "script"]
     unquoted = lambda t: t[1][1:-1]
     block = 0
     for k, (kind, word, line, start, _) in enumerate(toks):
@@ -144,7 +146,7 @@ def c_like_events(text: str, language: str):
             continue
         if go and word == "import" and after[1] == "(":
             block = _closing(toks, k + 1)
-        if word in ("function", "func") or word in _NO_CALL:
+        if word in words:
             continue
         if not go and after[1] == "." and before != "." and k + 2 < len(toks) and toks[k + 2][0] == "id":
             yield "attr", word, toks[k + 2][1], line, "", [], False
@@ -163,7 +165,7 @@ def c_like_events(text: str, language: str):
         close = _closing(toks, k + 1)
         follow = toks[close + 1][1] if close + 1 < len(toks) else ""
         method = go and before == ")" and _method_header(toks, k)
-        if before in ("function", "func", "*") and before != "*" or before == "*" and k > 1 and toks[k - 2][1] == "function" or method:
+        if before == ("func" if go else "function") or (before == "*" and k > 1 and toks[k - 2][1] == "function") or method:
             span = text[toks[k + 1][3] : toks[close][4]]
             yield "def", "", word, line, "", _names(toks, k + 1, close, go), go and "http.ResponseWriter" in span and "http.Request" in span
             continue

@@ -19,7 +19,7 @@ def _case(column: str, table: dict[str, object], default: object) -> str:
 
 
 _SEV = lambda c: _case(c, SEVERITY, "low")
-_NODES = f"""n AS (SELECT event_id, user_id, {EVENT['id']} AS id, {EVENT['type']} AS type, {EVENT['file_path']} AS file_path, CAST(event_id % 1000 AS INT) AS line_start, {EVENT['symbol']} AS symbol, {EVENT['vuln_class']} AS vuln_class, {EVENT['variable']} AS v,
+_NODES = f"""n AS (SELECT event_id, user_id, ts, {EVENT['id']} AS id, {EVENT['type']} AS type, {EVENT['file_path']} AS file_path, CAST(event_id % 1000 AS INT) AS line_start, {EVENT['symbol']} AS symbol, {EVENT['vuln_class']} AS vuln_class, {EVENT['variable']} AS v,
   event_type = 'click' AS is_call, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pv FROM events)"""
 _WALK = """p AS (SELECT event_id AS src, event_id AS node, 1 AS len, id AS path, false AS san, {cleared} AS cl, v AS vars, type, vuln_class FROM n WHERE type = 'SourceNode'
   UNION ALL SELECT p.src, m.event_id, p.len + 1, p.path || '>' || m.id, p.san OR m.type = 'SanitizerNode', {clear}, CASE WHEN f.is_call THEN m.v ELSE p.vars END, m.type, m.vuln_class
