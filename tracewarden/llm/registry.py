@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import bpe, decontaminate, fmindex, lattice, lpf, media, quality, sigtree, toxicity, warc
+from tracewarden.llm import bpe, decontaminate, fmindex, lattice, lpf, media, oracle, quality, sigtree, toxicity, warc
 from tracewarden.llm.common import load
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.texts()
