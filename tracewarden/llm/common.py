@@ -42,10 +42,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/tracewarden-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tracewarden-shared"  # unset in local tests only
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
