@@ -8,11 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a default is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/tracewarden-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder name below ``spark.checkpoint.dir``, or of a local default where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tracewarden-shared"  # unset in local tests only
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
