@@ -27,7 +27,7 @@ LAMBDA, SPAN, WIDTH, STRIDE = 0.6, 6, 16, 8
 #: Bounds of what is learnt from: labelled documents, positive and negative words, landmarks.
 SAMPLE, POSITIVE, NEGATIVE, LANDMARKS = 20_000, 1500, 6000, 240
 _A, _MARK, _TOP = 32, 31, 5
-_SLICE = 6 << 20
+_SLICE = 3 << 20
 
 _CODES = np.zeros(256, np.uint8)
 _CODES[97:123] = np.arange(1, 27)
