@@ -242,15 +242,15 @@ def _word_rows(found: list) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "toxic") -> Machine | float:
     """A machine from at most ``most`` labelled documents, or the share of label 1 where one class is missing.
 
-    Words are counted by Spark; the driver gets at most POSITIVE and 2 * NEGATIVE words and four numbers for
+    The sample and its words are written to the shared folder. Words are counted by Spark; the driver gets at most POSITIVE and 2 * NEGATIVE words and four numbers for
     each sampled document.
     """
-    sampled = labelled.sample(docs, labels, label_col, most).cache()
+    sampled = common.written(labelled.sample(docs, labels, label_col, most), "sample")
     totals = {r["label"]: r["count"] for r in sampled.groupBy("label").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return toxic / (toxic + clean) if toxic + clean else 0.0
-    counts = _word_counts(sampled).cache()
+    counts = common.written(_word_counts(sampled), "words")
     # evidence: log odds of places in toxic against clean documents, smoothed, times the root of the count
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     found = counts.withColumn("evidence", odds * F.sqrt(F.col("toxic").cast("double")))
@@ -273,8 +273,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str
 
     seen = sampled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, a double, b double, c double, d double").orderBy("doc_id", "a", "b", "c", "d").collect()
     machine.curve = labelled.calibrated(np.array([[r[k] for k in "abcd"] for r in seen]), np.array([r["label"] for r in seen]))
-    sampled.unpersist()
-    counts.unpersist()
     return machine
 
 
