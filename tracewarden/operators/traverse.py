@@ -109,22 +109,25 @@ def matches(pattern: str) -> Column:
     return F.col("symbol").contains(pattern) | F.col("vuln_class").contains(pattern) | F.col("file_path").contains(pattern)
 
 
-def _reach(around: DataFrame, starts: DataFrame, forward: bool, max_nodes: int | None, paths: bool) -> DataFrame:
-    """First arrivals by node: (source_id, node, depth, rank, sanitized, path) including the starts."""
+def _reach(around: DataFrame, starts: DataFrame, forward: bool, max_nodes: int | None, paths: bool, ranked: bool = True) -> DataFrame:
+    """First arrivals by node: (source_id, node, depth, rank, sanitized, path) including the starts.
+
+    Without ``ranked``, ranks stay empty and any of the arrivals at a node's depth counts: they grow with the depth.
+    """
     here, there = ("src", "dst") if forward else ("dst", "src")
     none = F.array().cast("array<string>")
     frontier = written(starts.select("source_id", F.col("source_id").alias("node"), F.lit(1).alias("depth"), none.alias("rank"), F.lit(False).alias("sanitized"), F.array("source_id").alias("path")), "frontier")
     levels, depth = [frontier], 2
     while max_nodes is None or depth <= max_nodes:
         step = frontier.join(around, F.col("node") == F.col(here))
-        step = step.select("source_id", F.col(there).alias("node"), F.lit(depth).alias("depth"), F.concat("rank", F.array("edge_id")).alias("rank"), (F.col("sanitized") | (F.col("dst_type") == SANITIZER)).alias("sanitized"), (F.concat("path", F.array(there)) if paths else F.col("path")).alias("path"))
+        step = step.select("source_id", F.col(there).alias("node"), F.lit(depth).alias("depth"), (F.concat("rank", F.array("edge_id")) if ranked else F.col("rank")).alias("rank"), (F.col("sanitized") | (F.col("dst_type") == SANITIZER)).alias("sanitized"), (F.concat("path", F.array(there)) if paths else F.col("path")).alias("path"))
         new = _first(step, ["source_id", "node"]).join(_union([x.select("source_id", "node") for x in levels]), ["source_id", "node"], "left_anti")
         frontier = written(new.select(*levels[0].columns), "frontier")
         if frontier.isEmpty():
             break
         levels.append(frontier)
         depth += 1
-        if len(levels) > 64:  # one table of what was visited keeps the plan short
+        if len(levels) > 8:  # one table of what was visited keeps the plan short
             levels = [written(_union(levels), "visited")]
     return _union(levels)
 
@@ -155,7 +158,7 @@ def trace_data_flow(nodes: DataFrame, edges: DataFrame, node_id: str, max_nodes:
 def reachable_counts(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """(source_id, reaches, sinks): how many other nodes, and sinks among them, each start (column ``source_id``) reaches."""
     around = written(adjacency(nodes, edges), "adjacency")
-    found = _reach(around, starts, True, max_nodes, False).select("source_id", F.col("node").alias("id"), "depth")
+    found = _reach(around, starts, True, max_nodes, False, ranked=False).select("source_id", F.col("node").alias("id"), "depth")
     kinds = found.join(nodes.select("id", "type"), "id")
     return kinds.groupBy("source_id").agg(F.count_if(F.col("depth") > 1).alias("reaches"), F.count_if((F.col("depth") > 1) & (F.col("type") == SINK)).alias("sinks"))
 

@@ -56,18 +56,36 @@ def class_aware_paths(spark, sf_dir):
     return _flat(traverse.find_all_paths(*_graph(spark, sf_dir), class_aware=True))
 
 
+def _flow(spark, sf_dir, max_nodes: int | None) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    start = load(spark, sf_dir, "events").filter("event_type = 'signup'").agg(F.min_by("event_id", F.struct("ts", "event_id"))).first()[0]
+    return traverse.trace_data_flow(nodes, edges, f"e{start}", max_nodes=max_nodes).select("id", "type", F.col("depth").cast("long").alias("depth"))
+
+
 def trace_flow(spark, sf_dir):
     """Within twelve hops of the first signup."""
+    return _flow(spark, sf_dir, 13)
+
+
+def trace_flow_whole(spark, sf_dir):
+    """From the first signup to the end."""
+    return _flow(spark, sf_dir, None)
+
+
+def _reaches(spark, sf_dir, max_nodes: int | None) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
-    start = load(spark, sf_dir, "events").filter("event_type = 'signup'").agg(F.min_by("event_id", F.struct("ts", "event_id"))).first()[0]
-    return traverse.trace_data_flow(nodes, edges, f"e{start}", max_nodes=13).select("id", "type", F.col("depth").cast("long").alias("depth"))
+    starts = nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select(F.col("id").alias("source_id"))
+    return traverse.reachable_counts(nodes, edges, starts, max_nodes=max_nodes)
 
 
 def reach_counts(spark, sf_dir):
     """From each user's first event, within ten hops."""
-    nodes, edges = _graph(spark, sf_dir)
-    starts = nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select(F.col("id").alias("source_id"))
-    return traverse.reachable_counts(nodes, edges, starts, max_nodes=11)
+    return _reaches(spark, sf_dir, 11)
+
+
+def reach_counts_whole(spark, sf_dir):
+    """From each user's first event to the end."""
+    return _reaches(spark, sf_dir, None)
 
 
 def attack_surface(spark, sf_dir):
@@ -313,7 +331,7 @@ def secret_lines(spark, sf_dir):
 
 
 _QUERIES: tuple[Query, ...] = (
-    find_all_paths, missing_sanitizers, paths_to_sink_class, paths_to_sink_file, sound_paths, class_aware_paths, trace_flow, reach_counts, attack_surface, attack_surface_module, blast_nodes, blast_paths,
+    find_all_paths, missing_sanitizers, paths_to_sink_class, paths_to_sink_file, sound_paths, class_aware_paths, trace_flow, trace_flow_whole, reach_counts, reach_counts_whole, attack_surface, attack_surface_module, blast_nodes, blast_paths,
     node_stats, edge_stats, live_edges, out_degrees, nodes_by_type, nodes_by_file, stable_ids, severity_map, assign_targets, go_assign_targets, call_names, param_lists, line_index, dataflow_edges,
     func_registry, call_edges, call_edges_ordered, findings_by_severity, posture_score, posture_by_module, file_context, gate_high, path_depth_hist, diff_new, diff_resolved, diff_verdict, path_history, latest_change,
     file_replace, calibration_rates, order_surface, order_findings, request_parameters, secret_lines,

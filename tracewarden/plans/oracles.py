@@ -38,6 +38,7 @@ _PATHS = _with()
 _AWARE = _with("NOT contains(p.cl, '<' || p.vuln_class || '>')", "''", "CASE WHEN m.type = 'SanitizerNode' THEN p.cl || '<' || m.vuln_class || '>' ELSE p.cl END")
 _PLAIN = f"""WITH RECURSIVE {_NODES}, p AS (SELECT event_id AS src, event_id AS node, 1 AS len, id AS path, false AS san, type, vuln_class FROM n WHERE type = 'SourceNode'
   UNION ALL SELECT p.src, m.event_id, p.len + 1, p.path || '>' || m.id, p.san OR m.type = 'SanitizerNode', m.type, m.vuln_class FROM p JOIN n f ON f.event_id = p.node JOIN n m ON m.event_id = f.nx WHERE p.len < 20), {_RECORD.format(clean='NOT p.san')}"""
+_ORDER = f"{_NODES}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM n)"
 _EDGES = f"{_NODES}, e AS (SELECT n.id AS src, 'e' || n.nx AS dst, CASE WHEN n.is_call THEN 'call' ELSE 'dataflow' END AS type FROM n WHERE nx IS NOT NULL)"
 _MODULE = "split_part(file_path, '/', 1)"
 _GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade"
@@ -89,6 +90,8 @@ def texts() -> dict[str, str]:
         "paths_to_sink_file": f"{_PLAIN} SELECT {_FLAT} FROM paths WHERE contains(file_path, 'svc7/')",
         "trace_flow": f"WITH RECURSIVE {_NODES}, w AS (SELECT nx AS node, 1::BIGINT AS depth FROM n WHERE event_id = (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE event_type = 'signup') AND nx IS NOT NULL UNION ALL SELECT n.nx, depth + 1 FROM w JOIN n ON n.event_id = w.node WHERE n.nx IS NOT NULL AND depth < 12) SELECT n.id, n.type, depth FROM w JOIN n ON n.event_id = w.node",
         "reach_counts": f"WITH {_NODES}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM n) SELECT arg_min(id, k) AS source_id, count(*) - 1 AS reaches, count(*) FILTER (type = 'SinkNode' AND k > 1) AS sinks FROM o WHERE k <= 11 GROUP BY user_id",
+        "trace_flow_whole": f"WITH {_ORDER} SELECT b.id, b.type, b.k - a.k AS depth FROM o a JOIN o b ON b.user_id = a.user_id AND b.k > a.k WHERE a.event_id = (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE event_type = 'signup')",
+        "reach_counts_whole": f"WITH {_ORDER} SELECT arg_min(id, k) AS source_id, count(*) - 1 AS reaches, count(*) FILTER (type = 'SinkNode' AND k > 1) AS sinks FROM o GROUP BY user_id",
         "attack_surface": f"{_PATHS} SELECT (SELECT count(*) FROM n WHERE type = 'SourceNode') AS source_count, count(*) AS taint_path_count, count(DISTINCT sink_id) AS reachable_sink_count FROM paths",
         "attack_surface_module": f"{_PATHS} SELECT {_MODULE.replace('file_path', 'n.file_path')} AS module, count(DISTINCT n.id) AS source_count, count(DISTINCT sink_id) AS reachable_sink_count, count(sink_id) AS taint_path_count FROM n LEFT JOIN paths ON paths.source_id = n.id WHERE n.type = 'SourceNode' GROUP BY 1",
         "blast_nodes": f"WITH RECURSIVE {_NODES}, w AS (SELECT arg_min(event_id, (ts, event_id)) AS node FROM events WHERE event_type = 'purchase' UNION ALL SELECT n.pv FROM w JOIN n ON n.event_id = w.node WHERE n.pv IS NOT NULL) SELECT id, type, file_path FROM w JOIN n ON n.event_id = w.node",
