@@ -185,3 +185,23 @@ def test_decontaminate(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == planted
     assert decontaminate.contaminated(spark.createDataFrame([], SCHEMA), bench).count() == 0
     assert decontaminate.contaminated(spark.createDataFrame(docs, SCHEMA), bench.limit(0)).count() == 0
+
+
+def test_best_stretch():
+    rng = np.random.default_rng(5)
+    for n in range(1, 40):
+        for share in (0.3, 0.6, 0.75, 0.9):
+            same = rng.random(n) < share
+            most = max(int(same[i:j].sum()) for i in range(n) for j in range(i, n + 1) if same[i:j].sum() >= 3 * (~same[i:j]).sum())
+            first, end, matches = decontaminate.best_stretch(np.zeros(n), np.where(same, 0, 1))
+            assert matches == most == same[first:end].sum() and matches >= 3 * (end - first - matches)
+
+
+def test_decontaminate_at_the_rate(spark):
+    items = {k: [f"i{k}x{i}" for i in range(n)] for k, n in enumerate((59, 40, 22, 22, 40))}
+    changed = {0: range(3, 59, 4), 1: range(3, 40, 4), 2: range(9, 13), 3: range(8, 14), 4: range(2, 40, 3)}
+    docs = [(k, " ".join(["before"] * 9 + ["zz" if i in changed[k] else w for i, w in enumerate(x)] + ["after"] * 9)) for k, x in items.items()]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.contaminated(spark.createDataFrame(docs, SCHEMA), bench).collect())
+    # six words of 22 (8 equal on each side) and every third word are more than one substitution for three matches
+    assert got == [(0, 0, 45, 9, 68), (1, 1, 30, 9, 48), (2, 2, 18, 9, 31)]

@@ -3,7 +3,7 @@
 A seed is a fixed mask over consecutive words, such as ``1110111``: the hash of the words at its ones
 ignores the words at its zeros, so that a hit survives a substituted word there. Seeds of the benchmark
 and of the training documents are joined on (mask, hash). Around each hit the two word sequences are laid
-on each other and the stretch with the best score of matches against substitutions is verified.
+on each other and the stretch with the most matches at the allowed rate of substitutions is verified.
 
 The benchmark's seeds also set the bits of a filter of bounded size that goes to every task; a document
 position whose seed finds no bit can't hit and is not shuffled. The filter only saves work: hits are found
@@ -67,16 +67,18 @@ def _seeds(words: np.ndarray, rows: np.ndarray):
 
 
 def best_stretch(a: np.ndarray, b: np.ndarray, penalty: int = 3) -> tuple[int, int, int]:
-    """(first, end, matches) of the stretch of two aligned sequences with the best score: a match counts 1, a
-    substitution minus ``penalty``. (0, 0, 0) without a match."""
+    """(first, end, matches) of the stretch of two aligned sequences with the most matches among those that hold
+    at most one substitution for ``penalty`` matches, judged over the whole stretch. (0, 0, 0) without a match."""
     same = a == b
     if not same.any():
         return 0, 0, 0
     total = np.append(0, np.cumsum(np.where(same, 1, -penalty)))
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total[1:] - least[:-1])) + 1
-    first = int(np.argmin(total[:end]))
-    return first, end, int(same[first:end].sum())
+    count = np.append(0, np.cumsum(same))
+    # the earliest start for each end: the first total that is not above the end's
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int(np.argmax(count - count[starts]))
+    at = starts[end] + np.flatnonzero(same[starts[end] : end])
+    return int(at[0]), int(at[-1]) + 1, len(at)
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -176,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, matches: int = 10, least
 
     A document holds an item when a stretch of its words, laid word by word on the item, has at least
     ``matches`` equal words (all words of an item with fewer), with at most one substitution for three
-    matches. Each pair is reported once, with its best stretch in words of the document. Items with equal
+    matches in the stretch as a whole. Each pair is reported once, with its best stretch in words of the document. Items with equal
     words count once, under the smallest id; items with fewer than ``least`` words are too short to be
     evidence and match nothing. Null texts are empty and match nothing; rows with a null id can't be
     reported and are left out; rows with equal ids count as one document. Other columns are not read; an
