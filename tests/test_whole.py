@@ -42,3 +42,19 @@ def test_flow_to_the_end(spark, chains):
     after = chain[chain.index(first) + 1 :]
     assert len(after) > 12
     assert {r["id"]: r["depth"] for r in rows_of(spark, "trace_flow_whole")} == {i: d for d, i in enumerate(after, 1)}
+
+
+def test_flow_of_all_signups(spark, chains):
+    want = {(i, j): d for c in chains for k, (i, kind) in enumerate(c) if kind == "signup" for d, (j, _) in enumerate(c[k + 1 :], 1)}
+    assert len({i for i, _ in want}) > 100
+    assert {(r["source_id"], r["id"]): r["depth"] for r in rows_of(spark, "trace_flow_all")} == want
+
+
+def test_blast_of_all_purchases(spark, chains):
+    want = {(i, j) for c in chains for k, (i, kind) in enumerate(c) if kind == "purchase" for j, _ in c[: k + 1]}
+    assert len(want) > 20 * len({i for i, _ in want})
+    assert {(r["node_id"], r["id"]) for r in rows_of(spark, "blast_nodes_all")} == want
+    kinds = dict(x for c in chains for x in c)
+    through = rows_of(spark, "blast_paths_all")
+    assert len({r["node_id"] for r in through}) > 10
+    assert all(kinds[r["node_id"]] == "purchase" and r["node_id"] in r["path"].split(">") for r in through)

@@ -183,3 +183,18 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, node_id: str, paths: DataFr
     back = _reach(around, starts, False, None, False).select(F.col("node").alias("id"))
     paths = find_all_paths(nodes, edges) if paths is None else paths
     return nodes.join(back, "id", "left_semi"), paths.filter(F.array_contains("path", node_id))
+
+
+def reached(nodes: DataFrame, edges: DataFrame, starts: DataFrame, forward: bool = True) -> DataFrame:
+    """(source_id, id, type, file_path, depth): the nodes that each start (column ``source_id``) reaches to the end,
+    or that lead to it; itself at depth 0. Unknown starts reach nothing."""
+    around = written(adjacency(nodes, edges), "adjacency")
+    known = starts.select("source_id").distinct().join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    found = _reach(around, known, forward, None, False, ranked=False).select("source_id", F.col("node").alias("id"), (F.col("depth") - 1).alias("depth"))
+    return found.join(nodes.select("id", "type", "file_path"), "id").select("source_id", "id", "type", "file_path", "depth")
+
+
+def paths_through(paths: DataFrame, starts: DataFrame) -> DataFrame:
+    """The paths that contain each start (column ``source_id``), with the start as ``node_id``."""
+    by_node = paths.withColumn("node_id", F.explode(F.array_distinct("path")))
+    return by_node.join(starts.select(F.col("source_id").alias("node_id")), "node_id", "left_semi")

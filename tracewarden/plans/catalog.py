@@ -72,6 +72,17 @@ def trace_flow_whole(spark, sf_dir):
     return _flow(spark, sf_dir, None)
 
 
+def _of_type(nodes: DataFrame, kind: str) -> DataFrame:
+    return nodes.filter(F.col("type") == kind).select(F.col("id").alias("source_id"))
+
+
+def trace_flow_all(spark, sf_dir):
+    """From every signup to the end."""
+    nodes, edges = _graph(spark, sf_dir)
+    found = traverse.reached(nodes, edges, _of_type(nodes, SOURCE)).filter("depth > 0")
+    return found.select("source_id", "id", "type", F.col("depth").cast("long").alias("depth"))
+
+
 def _reaches(spark, sf_dir, max_nodes: int | None) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
     starts = nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select(F.col("id").alias("source_id"))
@@ -117,6 +128,19 @@ def blast_paths(spark, sf_dir):
     return _flat(traverse.blast_radius(nodes, edges, _early_sink(spark, sf_dir))[1])
 
 
+def blast_nodes_all(spark, sf_dir):
+    """What leads to each purchase, itself included."""
+    nodes, edges = _graph(spark, sf_dir)
+    found = traverse.reached(nodes, edges, _of_type(nodes, SINK), forward=False)
+    return found.select(F.col("source_id").alias("node_id"), "id", "type", "file_path")
+
+
+def blast_paths_all(spark, sf_dir):
+    """The paths through each purchase."""
+    found = traverse.paths_through(_paths(spark, sf_dir), _of_type(A.event_nodes(spark, sf_dir), SINK))
+    return found.select("node_id", *_FLAT).withColumn("path", F.array_join("path", ">"))
+
+
 def node_stats(spark, sf_dir):
     return posture.node_stats(A.event_nodes(spark, sf_dir))
 
@@ -331,7 +355,7 @@ def secret_lines(spark, sf_dir):
 
 
 _QUERIES: tuple[Query, ...] = (
-    find_all_paths, missing_sanitizers, paths_to_sink_class, paths_to_sink_file, sound_paths, class_aware_paths, trace_flow, trace_flow_whole, reach_counts, reach_counts_whole, attack_surface, attack_surface_module, blast_nodes, blast_paths,
+    find_all_paths, missing_sanitizers, paths_to_sink_class, paths_to_sink_file, sound_paths, class_aware_paths, trace_flow, trace_flow_whole, trace_flow_all, reach_counts, reach_counts_whole, attack_surface, attack_surface_module, blast_nodes, blast_nodes_all, blast_paths, blast_paths_all,
     node_stats, edge_stats, live_edges, out_degrees, nodes_by_type, nodes_by_file, stable_ids, severity_map, assign_targets, go_assign_targets, call_names, param_lists, line_index, dataflow_edges,
     func_registry, call_edges, call_edges_ordered, findings_by_severity, posture_score, posture_by_module, file_context, gate_high, path_depth_hist, diff_new, diff_resolved, diff_verdict, path_history, latest_change,
     file_replace, calibration_rates, order_surface, order_findings, request_parameters, secret_lines,

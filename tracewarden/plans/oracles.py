@@ -92,6 +92,9 @@ def texts() -> dict[str, str]:
         "reach_counts": f"WITH {_NODES}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM n) SELECT arg_min(id, k) AS source_id, count(*) - 1 AS reaches, count(*) FILTER (type = 'SinkNode' AND k > 1) AS sinks FROM o WHERE k <= 11 GROUP BY user_id",
         "trace_flow_whole": f"WITH {_ORDER} SELECT b.id, b.type, b.k - a.k AS depth FROM o a JOIN o b ON b.user_id = a.user_id AND b.k > a.k WHERE a.event_id = (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE event_type = 'signup')",
         "reach_counts_whole": f"WITH {_ORDER} SELECT arg_min(id, k) AS source_id, count(*) - 1 AS reaches, count(*) FILTER (type = 'SinkNode' AND k > 1) AS sinks FROM o GROUP BY user_id",
+        "trace_flow_all": f"WITH {_ORDER} SELECT a.id AS source_id, b.id, b.type, b.k - a.k AS depth FROM o a JOIN o b ON b.user_id = a.user_id AND b.k > a.k WHERE a.type = 'SourceNode'",
+        "blast_nodes_all": f"WITH {_ORDER} SELECT a.id AS node_id, b.id, b.type, b.file_path FROM o a JOIN o b ON b.user_id = a.user_id AND b.k <= a.k WHERE a.type = 'SinkNode'",
+        "blast_paths_all": f"{_PATHS}, u AS (SELECT *, unnest(string_split(path, '>')) AS node_id FROM paths) SELECT node_id, {', '.join('u.' + c for c in _FLAT.split(', '))} FROM u JOIN n ON n.id = node_id WHERE n.type = 'SinkNode'",
         "attack_surface": f"{_PATHS} SELECT (SELECT count(*) FROM n WHERE type = 'SourceNode') AS source_count, count(*) AS taint_path_count, count(DISTINCT sink_id) AS reachable_sink_count FROM paths",
         "attack_surface_module": f"{_PATHS} SELECT {_MODULE.replace('file_path', 'n.file_path')} AS module, count(DISTINCT n.id) AS source_count, count(DISTINCT sink_id) AS reachable_sink_count, count(sink_id) AS taint_path_count FROM n LEFT JOIN paths ON paths.source_id = n.id WHERE n.type = 'SourceNode' GROUP BY 1",
         "blast_nodes": f"WITH RECURSIVE {_NODES}, w AS (SELECT arg_min(event_id, (ts, event_id)) AS node FROM events WHERE event_type = 'purchase' UNION ALL SELECT n.pv FROM w JOIN n ON n.event_id = w.node WHERE n.pv IS NOT NULL) SELECT id, type, file_path FROM w JOIN n ON n.event_id = w.node",
