@@ -164,6 +164,20 @@ def test_jaccard_edges(spark):
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in got) == [(False, 4), (False, 4), (True, 4), (True, 4)]
 
 
+def test_jaccard_near_copies_under_null_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    text = lambda a, b, base=words: " ".join(["x"] * a + base[a : len(base) - b] + ["y"] * b)
+    other = [f"v{i}" for i in range(100)]
+    # 5 and 6 link only through the null row between them; the last two rows link without any id
+    rows = [(5, text(0, 0)), (None, text(8, 0)), (6, text(8, 12)), (7, "a b c"), (None, text(0, 0, other)), (None, text(5, 0, other))]
+    named = [(k if d is None else d, t) for k, (d, t) in enumerate(rows, 100)]
+    brute = jaccard_brute(named)
+    assert {brute[d][1] for d in (5, 101, 6)} == {5} and {brute[d][1] for d in (104, 105)} == {104}
+    assert {d: c for d, (_, c) in jaccard_brute([r for r in rows if r[0]]).items()} == {5: 5, 6: 6, 7: 7}
+    got = sigtree.jaccard_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (0, 5), (5, 5), (6, 5), (7, 7)]
+
+
 def test_decontaminate(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(3000)]

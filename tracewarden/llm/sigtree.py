@@ -257,9 +257,9 @@ def _links(table: pa.Table, num: int, den: int) -> pa.Table:
     """The links within a cell, as edges from each class to the first one that it reaches."""
     comp = np.asarray(table.column("comp"))
     half = np.asarray(table.column("half"))
-    rep = np.asarray(table.column("rep"))
+    node = np.asarray(table.column("node"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("blob")]
-    order = np.lexsort((rep, comp))
+    order = np.lexsort((node, comp))
     cuts = np.append(np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1])), len(order))
     src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in zip(cuts, cuts[1:]):
@@ -268,8 +268,8 @@ def _links(table: pa.Table, num: int, den: int) -> pa.Table:
             continue
         halves = half[members]
         labels = linked_labels([sets[i] for i in members], num, den, halves if halves.min() != halves.max() else None)
-        src.append(rep[members])
-        dst.append(rep[members][labels])
+        src.append(node[members])
+        dst.append(node[members][labels])
     src, dst = np.concatenate(src), np.concatenate(dst)
     return pa.table({"src": pa.array(src[src != dst]), "dst": pa.array(dst[src != dst])})
 
@@ -303,13 +303,17 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100
     groups = groups.union(groups.select("component", "component").distinct().toDF("node", "component"))
     sizes = groups.groupBy("component").agg(F.expr(f"cast(ceil(count(1) / {half}) as int)").alias("halves"))
     cells = groups.join(sizes.filter("halves > 1"), "component", "left").selectExpr("node as d1", "component as comp", "coalesce(halves, 1) as halves")
-    sets = told.filter("kind = 1").groupBy("d1", "d2", "n").agg(F.any_value("blob").alias("blob")).join(classes.filter("rep is not null"), ["d1", "d2", "n"])
-    placed = sets.join(cells, "d1").withColumn("mine", F.expr("cast(pmod(xxhash64(rep), halves) as int)"))
-    placed = placed.select("rep", "comp", "halves", "mine", "blob", F.explode(F.expr("sequence(0, halves - 1)")).alias("other"))
-    placed = placed.select("rep", "comp", "blob", F.expr(f"if(halves = 1, pmod(xxhash64(comp), {2 * parts}), xxhash64(comp, least(mine, other), greatest(mine, other)))").alias("cell"), F.expr("cast(mine > other as int)").alias("half"))
+    sets = told.filter("kind = 1").groupBy("d1", "d2", "n").agg(F.any_value("blob").alias("blob"))
+    placed = sets.join(cells, "d1").withColumn("mine", F.expr("cast(pmod(xxhash64(d1), halves) as int)"))
+    placed = placed.select(F.col("d1").alias("node"), "comp", "halves", "mine", "blob", F.explode(F.expr("sequence(0, halves - 1)")).alias("other"))
+    placed = placed.select("node", "comp", "blob", F.expr(f"if(halves = 1, pmod(xxhash64(comp), {2 * parts}), xxhash64(comp, least(mine, other), greatest(mine, other)))").alias("cell"), F.expr("cast(mine > other as int)").alias("half"))
     links = placed.groupBy("cell").applyInArrow(lambda t: _links(t, num, den), "src long, dst long")
+    # links run between classes, so that those of null ids take part; each component is then named by its smallest id
     found = components(links)
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
+    found = found.union(found.select("component", "component").distinct().toDF("node", "component"))
+    least = found.join(classes, found["node"] == classes["d1"]).groupBy("component").agg(F.min("rep").alias("least"))
+    found = found.join(least, "component").select(F.col("node").alias("d1"), "least")
+    named = classes.join(found, "d1", "left").select("d1", "d2", "n", F.coalesce("least", "rep").alias("component_id"))
     linked = rows.join(named, ["d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = told.filter("kind = 0 and n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
