@@ -178,6 +178,18 @@ def test_jaccard_near_copies_under_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (0, 5), (5, 5), (6, 5), (7, 7)]
 
 
+def test_jaccard_halves_by_bytes(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (8, 7), (7, 7)], "node long, component long")
+    sets = spark.createDataFrame([(d, 0, 1000 if d < 4 else 10) for d in (1, 2, 3, 7, 8, 8)], "d1 long, d2 long, n long")
+    got = {tuple(r) for r in sigtree._halves(groups, sets, 16384, 8000).collect()}
+    assert got == {(1, 1, 3), (2, 1, 3), (3, 1, 3), (7, 7, 1), (8, 7, 1)}
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join("zz" if rng.random() < 0.03 else w for w in base)) for d in range(60)]
+    got = {r[0]: tuple(r[1:]) for r in sigtree.jaccard_groups(spark.createDataFrame(rows, SCHEMA), half_bytes=4000).collect()}
+    assert got == jaccard_brute(rows)
+
+
 def test_decontaminate(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(3000)]

@@ -27,6 +27,8 @@ from tracewarden.llm.components import components
 FAN = 8
 #: Classes in one half of a group's task; larger groups become a grid of pairs of halves.
 HALF = 16384
+#: Bytes of sets in one half; a component of more is cut into more halves.
+HALF_BYTES = 96 << 20
 _MARK = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
@@ -274,7 +276,14 @@ def _links(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"src": pa.array(src[src != dst]), "dst": pa.array(dst[src != dst])})
 
 
-def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", half: int = HALF) -> DataFrame:
+def _halves(groups: DataFrame, sets: DataFrame, half: int, half_bytes: int) -> DataFrame:
+    """(d1, comp, halves): in how many halves the sets of each class's component are compared, by their number and bytes."""
+    held = groups.join(sets.select("d1", "d2", "n").distinct(), groups["node"] == F.col("d1"))
+    sizes = held.groupBy("component").agg(F.expr(f"cast(greatest(ceil(count(1) / {half}), ceil(sum(n * 8) / {half_bytes})) as int)").alias("halves"))
+    return groups.join(sizes.filter("halves > 1"), "component", "left").selectExpr("node as d1", "component as comp", "coalesce(halves, 1) as halves")
+
+
+def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", half: int = HALF, half_bytes: int = HALF_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents grouped by links of den * intersection >= num * union.
 
     ``component_id`` is the smallest id that a document reaches by links, itself included. Sets hold distinct
@@ -282,7 +291,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100
     an empty set, links with nothing and is its own component. Null texts count as empty; a null id takes
     part, but is nobody's smallest id (a component of null ids alone has a null component_id); repeated
     rows link with each other. Other columns are not read; an empty table gives an empty table. Copies are
-    one class and are never paired; large groups are compared in cells of at most 2 * ``half`` classes.
+    one class and are never paired; large groups are compared in cells of about 2 * ``half`` classes
+    or 2 * ``half_bytes`` bytes of sets, whichever is less.
     Writes intermediate tables to the shared folder.
     """
     many, parts = common.groups_of(docs, text_col)
@@ -301,8 +311,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100
     edges = told.filter("kind = 2").select("part", "blob").groupBy("part").applyInArrow(lambda t: _candidate_edges(t, num, den), "src long, dst long")
     groups = components(edges)
     groups = groups.union(groups.select("component", "component").distinct().toDF("node", "component"))
-    sizes = groups.groupBy("component").agg(F.expr(f"cast(ceil(count(1) / {half}) as int)").alias("halves"))
-    cells = groups.join(sizes.filter("halves > 1"), "component", "left").selectExpr("node as d1", "component as comp", "coalesce(halves, 1) as halves")
+    cells = _halves(groups, told.filter("kind = 1"), half, half_bytes)
     sets = told.filter("kind = 1").groupBy("d1", "d2", "n").agg(F.any_value("blob").alias("blob"))
     placed = sets.join(cells, "d1").withColumn("mine", F.expr("cast(pmod(xxhash64(d1), halves) as int)"))
     placed = placed.select(F.col("d1").alias("node"), "comp", "halves", "mine", "blob", F.explode(F.expr("sequence(0, halves - 1)")).alias("other"))
