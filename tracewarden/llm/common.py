@@ -7,16 +7,21 @@ LM scoring) all follow one pattern, which keeps every exchange even and bounded:
    reuses for every later visit of the same chunk);
 2. a chunk sends compact keys to *parts* (ranges of the key's hash space), each distinct key once
    per chunk, so that a key that a third of all rows hold is still one entry per chunk;
-3. the parts answer with one byte per key, in the order in which the keys were sent.
+3. the parts answer with one or two bytes per key, in the order in which the keys were sent.
 
 The numbers of chunks and parts follow the bytes of text, so that a group stays some megabytes at any
-input size; clusters with more memory a core may raise CHUNK_BYTES and PART_BYTES, which lowers the
-number of rows that carry keys.
+input size. A chunk sends a row only to parts for which it has keys, so there are never more rows than keys
+and the exchange is linear in the text: five bytes a key while the keys of a chunk outnumber the parts, and at
+most a row (some 60 bytes) a key beyond. Clusters with more memory a core may raise CHUNK_BYTES and
+PART_BYTES, which lowers the number of rows.
 """
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +46,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tracewarden-shared"  # unset in local tests only
+    """A new folder name below the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the setting is unset, a session in one process gets a folder of its own; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tracewarden-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -54,6 +67,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the folder of a table that ``written`` returned and nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -250,6 +272,9 @@ def gram_hashes(units: np.ndarray, m: int) -> np.ndarray:
     return mix(out)
 
 
+_PLACE_BITS = 22
+
+
 def anchors(grams: np.ndarray, offsets: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that share their leftmost smallest gram: (first window, end window, anchor position).
 
@@ -257,7 +282,9 @@ def anchors(grams: np.ndarray, offsets: np.ndarray, window: int, m: int) -> tupl
     anchor at the same distance wherever they stand, so equal windows meet wherever anchors meet.
     """
     n = int(offsets[-1])
-    bits = np.uint64(max(1, n).bit_length())
+    bits = np.uint64(_PLACE_BITS)  # the same for all ranges, so that ties fall alike everywhere
+    if n >> _PLACE_BITS:
+        raise ValueError(f"a range of {n} units is too long for anchors")
     if n < window:
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -288,9 +315,19 @@ def anchors(grams: np.ndarray, offsets: np.ndarray, window: int, m: int) -> tupl
     return firsts[keep], ends[keep], at[firsts[keep]]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
 def released(out: pa.Table) -> pa.Table:
     """``out``, after the memory that a group's work has left unused went back to the system: workers are reused."""
     pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
     return out
 
 
@@ -303,44 +340,68 @@ KEYS_SCHEMA = "part int, chunk int, keys binary, counts binary"
 FLAGS_SCHEMA = "chunk int, part int, totals binary"
 
 
-def keys_table(chunk: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
-    """A chunk's distinct sorted keys as one row a part: the low 32 bits of each key and its count, at most 255."""
-    bounds = np.searchsorted(parts_of(keys, parts), np.arange(parts + 1))
-    some = np.flatnonzero(np.diff(bounds))
-    low, few = keys.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
-    return pa.table({"part": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), chunk, np.int32)), "keys": pa.array([low[bounds[p] : bounds[p + 1]].tobytes() for p in some], pa.binary()), "counts": pa.array([few[bounds[p] : bounds[p + 1]].tobytes() for p in some], pa.binary())})
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts as one byte each; those from 255 on are 255 there and follow as eight bytes each."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
 
+def unpacked_counts(blob: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(blob, "<i8", offset=n)
+    return counts
 
-def count_part(table: pa.Table) -> pa.Table:
-    """Total counts of a part's keys over all chunks, sent back to each chunk in its own order, at most 65535.
 
-    Two keys with the same low 32 bits in one part share a total; a total is thus never too low, and
-    every chunk sees the same one.
+def keys_table(chunk: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    """A chunk's distinct sorted keys as one row for each part that has some: the low 32 bits of each key, and its count."""
+    bounds = np.searchsorted(parts_of(keys, parts), np.arange(parts + 1)) if parts < len(keys) else None
+    if bounds is None:  # fewer keys than parts
+        some, first = np.unique(parts_of(keys, parts), return_index=True)
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
+    else:
+        some = np.flatnonzero(np.diff(bounds))
+        cuts = [(bounds[p], bounds[p + 1]) for p in some]
+    low = keys.astype(np.uint32)
+    return pa.table({"part": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), chunk, np.int32)), "keys": pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary()), "counts": pa.array([packed_counts(counts[a:b]) for a, b in cuts], pa.binary())})
+
+
+def count_part(table: pa.Table, limits: tuple[int, ...] | None = None) -> pa.Table:
+    """Total counts of a part's keys over all chunks, sent back to each chunk in its own order.
+
+    Without ``limits``, as two bytes (at most 65535, which orders the rest alike); with them, as one byte: how many of
+    the limits the total is above. Two keys with the same low 32 bits in one part share a total; a total is thus never
+    too low, and every chunk sees the same one.
     """
     keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")]
-    counts = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("counts")]
+    counts = [unpacked_counts(x.as_buffer(), len(k)) for x, k in zip(table.column("counts"), keys, strict=True)]
     _, back = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(back, weights=np.concatenate(counts))[back]
-    totals = np.minimum(totals, 65535).astype(np.uint16)
+    totals = np.bincount(back, weights=np.concatenate(counts))
+    totals = np.minimum(totals, 65535).astype(np.uint16) if limits is None else np.searchsorted(np.array(limits), totals).astype(np.uint8)
+    totals = totals[back]
     ends = np.cumsum([len(x) for x in keys])
     pieces = [totals[e - len(x) : e].tobytes() for x, e in zip(keys, ends, strict=True)]
     return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "totals": pa.array(pieces, pa.binary())})
 
 
-def totals_of(flags: pa.Table, n: int) -> np.ndarray:
+def totals_of(flags: pa.Table, n: int, kind: type = np.uint16) -> np.ndarray:
     """The parts' answers, in the order of the chunk's sorted distinct keys."""
     flags = flags.sort_by("part")
-    found = [np.frombuffer(x.as_buffer(), np.uint16) for x in flags.column("totals")]
-    totals = np.concatenate(found) if found else np.zeros(0, np.uint16)
+    found = [np.frombuffer(x.as_buffer(), kind) for x in flags.column("totals")]
+    totals = np.concatenate(found) if found else np.zeros(0, kind)
     if len(totals) != n:
         raise ValueError(f"a chunk sent {n} keys and got {len(totals)} answers")
     return totals
 
 
-def counted(chunks: DataFrame, send) -> DataFrame:
-    """(chunk, part, totals): what ``send`` (a chunk's table to ``keys_table``) asks for, counted over all chunks."""
+def counted(chunks: DataFrame, send, limits: tuple[int, ...] | None = None) -> DataFrame:
+    """(chunk, part, totals): what ``send`` (a chunk's table to ``keys_table``) asks for, counted over all chunks (see ``count_part``)."""
     keys = chunks.groupBy("chunk").applyInArrow(lambda t: released(send(t)), KEYS_SCHEMA)
-    return keys.groupBy("part").applyInArrow(lambda t: released(count_part(t)), FLAGS_SCHEMA)
+    return keys.groupBy("part").applyInArrow(lambda t: released(count_part(t, limits)), FLAGS_SCHEMA)
+
+
+def spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All positions of the ranges [first, last), one range after the other."""
+    n = last - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

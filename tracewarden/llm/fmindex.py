@@ -1,6 +1,6 @@
 """Substring dedup: an FM-index per shard, searched backwards over a wavelet matrix.
 
-A shard (see ``repeats``) holds the distinct segments in which a window may repeat. Their words become
+A shard (see ``repeats``) indexes the different segments that share an anchor. Their words become
 numbers, the concatenation is sorted by suffixes, and its Burrows-Wheeler transform is kept as a
 wavelet matrix of packed bits with counts. All segments then stream through the index at once, from
 their last word to their first: one backward step a word, with the match length capped at the window.
@@ -155,34 +155,24 @@ class FMIndex:
             live = live[at[live] >= begins[live]]
 
 
-def _search(shard: repeats.Shard, window: int) -> pa.Table:
-    """Word intervals of windows whose words also start earlier."""
-    words = pa.array(b" ".join(shard.contents).split(b" "), pa.binary()).dictionary_encode()
-    sizes = np.fromiter((c.count(b" ") + 1 for c in shard.contents), np.int64, len(shard.contents))
+def _search(contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (segment, first, last) of words whose windows also start earlier: in a segment before it."""
+    words = pa.array(b" ".join(contents).split(b" "), pa.binary()).dictionary_encode()
+    sizes = np.fromiter((c.count(b" ") + 1 for c in contents), np.int64, len(contents))
     begins = np.cumsum(sizes + 1) - sizes - 1
     text = np.zeros(int((sizes + 1).sum()), np.int64)
     filled = np.ones(len(text), bool)
     filled[begins + sizes] = False
     text[filled] = np.asarray(words.indices) + 1
     index = FMIndex(text, window)
-    hits_p, hits_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for piece, at, length, lo, _ in index.streamed(text, begins, sizes):
+    hits = [np.zeros(0, np.int64)]
+    for _, at, length, lo, _ in index.streamed(text, begins, sizes):
         full = length >= window
-        earlier = index.earliest[index.class_of[lo[full]]] < at[full]
-        hits_p.append(piece[full][earlier])
-        hits_at.append(at[full][earlier])
-    piece, at = np.concatenate(hits_p), np.concatenate(hits_at)
-    first, last = common.merged_spans(at, at + window)  # pieces are apart by a separator, so runs don't join
+        hits.append(at[full][index.earliest[index.class_of[lo[full]]] < at[full]])
+    at = np.concatenate(hits)
+    first, last = common.merged_spans(at, at + window)  # segments are apart by a separator, so runs don't join
     piece = np.searchsorted(begins, first, side="right") - 1
-    # the first place of a segment gets the runs; its other places go whole, as the first is earlier
-    lead = shard.lead[piece]
-    other = np.ones(len(shard.which), bool)
-    other[shard.lead] = False
-    other = np.flatnonzero(other)
-    place = np.concatenate([lead, other])
-    starts = np.concatenate([shard.starts[lead] + first - begins[piece], shard.starts[other]])
-    ends = np.concatenate([shard.starts[lead] + last - begins[piece], shard.starts[other] + sizes[shard.which[other]]])
-    return repeats.answer(shard.chunks[place], shard.rows[place], starts, ends)
+    return piece, first - begins[piece], last - begins[piece]
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = repeats.HOT) -> DataFrame:
@@ -197,10 +187,10 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     many copies and frequent passages are searched whole.
     """
 
-    def finish(table: pa.Table, whole: np.ndarray, found: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, whole: np.ndarray, found: tuple) -> pa.Table:
         ids, null, _, data, offsets = common.ordered_rows(table)
         spaced, bounds, first_word = repeats.spaced_words(data, offsets)
-        rows, starts, ends = repeats.removed_by_row(found, len(ids))
+        rows, starts, ends = found
         copies = np.flatnonzero(whole)
         order = np.argsort(np.append(rows, copies), kind="stable")
         rows, starts, ends = np.append(rows, copies)[order], np.append(starts, np.zeros(len(copies), np.int64))[order], np.append(ends, np.diff(first_word)[copies])[order]
@@ -229,7 +219,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         n = len(_WORD.findall(text))
         return n if n >= window else -1
 
-    return repeats.repeated(docs, window, min(GRAM, window), repeats.word_units, covers, True, lambda s: _search(s, window), finish, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:bigint,end:bigint>>", id_col, text_col, hot)
+    return repeats.repeated(docs, window, min(GRAM, window), repeats.word_units, covers, True, lambda c, _: _search(c, window), finish, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:bigint,end:bigint>>", id_col, text_col, hot)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

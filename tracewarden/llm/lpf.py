@@ -1,6 +1,6 @@
 """Suffix-array dedup: longest-previous-factor arrays over the repeated segments of all documents.
 
-In a shard (see ``repeats``), the suffixes that start a window are sorted by their first W bytes. In
+In a shard (see ``repeats``), the suffixes that start a window in segments that share an anchor are sorted by their first W bytes. In
 that order, the previous and the next suffix of a smaller document are the only candidates for the
 longest match in an earlier document, since the common prefix only shrinks with distance. Their common
 prefixes give the longest previous factor, capped at W; where it reaches W, the window is a later copy.
@@ -79,45 +79,22 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, ca
     return out
 
 
-def _search(shard: repeats.Shard, window: int) -> pa.Table:
-    """Intervals of windows that also start in a document with a smaller id."""
-    sizes = np.fromiter(map(len, shard.contents), np.int64, len(shard.contents))
-    text = np.frombuffer(b"".join(shard.contents), np.uint8)
+def _search(contents: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (segment, first, last) of bytes whose windows also start in a segment of a document with a smaller id."""
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    text = np.frombuffer(b"".join(contents), np.uint8)
     begins = np.cumsum(sizes) - sizes
     windows = sizes - window + 1
     home = np.repeat(np.arange(len(sizes)), windows)
-    inner = np.arange(len(home)) - np.repeat(np.cumsum(windows) - windows, windows)
-    doc = shard.docs[shard.lead]
-    factor = previous_factors(text, begins[home] + inner, doc[home], window)
-    hit = factor >= window
+    starts = common.spans(begins, begins + windows)
+    hit = previous_factors(text, starts, docs[home], window) >= window
     # maximal runs of such windows inside their segment
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    run_a, run_b = edge[::2], edge[1::2]
-    # a run that passes from one segment into the next is cut there
-    cuts = np.unique(np.concatenate([run_a, (np.cumsum(windows) - windows)]))
-    if len(run_a):
-        inside = cuts[(np.searchsorted(run_a, cuts, side="right") > 0)]
-        owner_run = np.searchsorted(run_a, inside, side="right") - 1
-        inside = inside[inside < run_b[owner_run]]
-        owner_run = np.searchsorted(run_a, inside, side="right") - 1
-        stops = np.minimum(np.append(inside[1:], np.iinfo(np.int64).max), run_b[owner_run])
-    else:
-        inside = stops = run_a
-    run_home, run_first, run_last = home[inside], inner[inside], inner[stops - 1] + window if len(stops) else stops
-    # places of the smallest document get the runs; places of later documents go whole
-    later = shard.docs > doc[shard.which]
-    whole = np.flatnonzero(later)
-    first = np.flatnonzero(~later)
-    order = np.argsort(run_home, kind="stable")
-    run_home, run_first, run_last = run_home[order], run_first[order], run_last[order]
-    lo, hi = np.searchsorted(run_home, shard.which[first]), np.searchsorted(run_home, shard.which[first], side="right")
-    n = hi - lo
-    at = np.repeat(first, n)
-    which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    place = np.concatenate([whole, at])
-    starts = np.concatenate([shard.starts[whole], shard.starts[at] + run_first[which]])
-    ends = np.concatenate([shard.starts[whole] + sizes[shard.which[whole]], shard.starts[at] + run_last[which]])
-    return repeats.answer(shard.chunks[place], shard.rows[place], starts, ends)
+    near = np.append(False, home[1:] == home[:-1])
+    opens = hit & ~(near & np.append(False, hit[:-1]))
+    closes = hit & ~np.append((near & hit)[1:], False)
+    first = np.flatnonzero(opens)
+    owner = home[first]
+    return owner, starts[first] - begins[owner], starts[np.flatnonzero(closes)] - begins[owner] + window
 
 
 def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = repeats.HOT, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -134,10 +111,10 @@ def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     """
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
-    def finish(table: pa.Table, whole: np.ndarray, found: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, whole: np.ndarray, found: tuple) -> pa.Table:
         ids, null, _, data, offsets = common.ordered_rows(table)
         copied = np.asarray(table.column("copied").fill_null(-1))
-        rows, starts, ends = repeats.removed_by_row(found, len(ids))
+        rows, starts, ends = found
         copies = np.flatnonzero(whole)
         order = np.argsort(np.append(rows, copies), kind="stable")
         rows, starts, ends = np.append(rows, copies)[order], np.append(starts, np.zeros(len(copies), np.int64))[order], np.append(ends, np.diff(offsets)[copies])[order]
@@ -165,7 +142,7 @@ def dedup_factors(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
         return n if n >= window else -1
 
     schema = "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>" + "".join(f", carried_{k} {types[c]}" for k, c in enumerate(carry))
-    found = repeats.repeated(docs, window, min(GRAM, window), repeats.byte_units, covers, False, lambda s: _search(s, window), finish, schema, id_col, text_col, hot, carry)
+    found = repeats.repeated(docs, window, min(GRAM, window), repeats.byte_units, covers, False, lambda c, d: _search(c, d, window), finish, schema, id_col, text_col, hot, carry)
     return found.toDF(*found.columns[:4], *carry)
 
 

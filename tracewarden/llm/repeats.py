@@ -3,11 +3,14 @@
 A window is W consecutive units (bytes or words) of one row. Its anchor is its leftmost smallest gram
 of m units, so equal windows have equal anchors. Chunks first ask how often each of their anchors occurs
 (``common.counted``); anchors that occur once can't hold a repeated window and go no further. The rest
-send their run of windows as one *segment* to the anchor's shard, each distinct segment of a chunk once
-with the list of its places. An anchor with more than ``HOT`` occurrences is dealt by whole windows
-instead, so that a passage that a third of all rows hold does not fill one shard.
+send their run of windows as one *segment* to the anchor's shard: each distinct segment of a chunk once, with
+its smallest place in the chunk. So a passage that a third of all rows hold is one entry a chunk. An anchor with more than
+``HOT`` occurrences is dealt by whole windows instead, so that many segments around one anchor don't fill a shard.
 
-A shard answers with unit intervals by chunk and row; the last visit of a chunk applies them.
+A shard answers for each entry whether the segment stands earlier elsewhere, or else which windows in it do; it
+only has to search where several different segments share an anchor, and works through its entries in slices by anchor, so
+its memory doesn't follow what it is sent. The last visit of a chunk finds its segments again and
+applies the answers to all their places.
 
 Whole copies are settled on the way: a chunk is chosen by the text, so that equal texts meet, and only the
 first row of a text in each chunk sends anything. Copies within one batch of the input are settled even
@@ -21,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +31,28 @@ from tracewarden.llm import common
 
 #: Occurrences of an anchor from which its windows are dealt one by one.
 HOT = 2000
+#: Bytes of segments that a shard works on at once.
+SLICE_BYTES = 4 << 20
 _PIECE = 1 << 19
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
-SEGMENTS_SCHEMA = "shard int, chunk int, blob binary, sizes binary, copies binary, docs binary, rows binary, starts binary"
-FOUND_SCHEMA = "chunk int, rows binary, starts binary, ends binary"
+SEGMENTS_SCHEMA = "shard int, chunk int, blob binary, sizes binary, keys binary, docs binary, places binary"
+#: Answers to a chunk: kind 0 what its anchors' totals are (number: the part), kind 1 what a shard (number) found.
+ANSWERS_SCHEMA = "chunk int, kind int, number int, totals binary, later binary, owners binary, firsts binary, lasts binary"
 
 
 @dataclass
 class Units:
-    """The units of a chunk's rows: hash values by range, row bounds, and the bytes of a run of units."""
+    """The units of a chunk's rows: row bounds, hash values by range, all bytes, and the byte bounds of runs of units."""
 
     offsets: np.ndarray
     values: Callable[[int, int], np.ndarray]
-    content: Callable[[int, int], bytes]
+    data: np.ndarray
+    bounds: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> Units:
-    raw = data.tobytes()
-    return Units(offsets, lambda a, b: common.BYTE_VALUES[data[a:b]], lambda a, b: raw[a:b])
+    return Units(offsets, lambda a, b: common.BYTE_VALUES[data[a:b]], data, lambda first, end: (first, end))
 
 
 def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,13 +71,12 @@ def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     spaced, bounds, rows = spaced_words(data, offsets)
-    raw = spaced.tobytes()
 
     def values(a: int, b: int) -> np.ndarray:
         first = bounds[a]
         return common.word_hashes(spaced[first : bounds[b]], bounds[a:b] - first, bounds[a + 1 : b + 1] - 1 - first)
 
-    return Units(rows, values, lambda a, b: raw[bounds[a] : bounds[b] - 1])
+    return Units(rows, values, spaced, lambda first, end: (bounds[first], bounds[end] - 1))
 
 
 def pieces(offsets: np.ndarray, window: int):
@@ -88,20 +93,101 @@ def pieces(offsets: np.ndarray, window: int):
             yield a, b, np.array([0, b - a], np.int64), np.array([first])
 
 
-def segments(units: Units, window: int, gram: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first unit, end unit, anchor key) of every run of windows with the same anchor; units count from the chunk's start. Rows in ``skip`` have none."""
-    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+def segments(units: Units, window: int, gram: int, skip: np.ndarray | None = None, digests: bool = False) -> tuple[np.ndarray, ...]:
+    """(row, first unit, end unit, anchor key) of every run of windows with the same anchor, and with ``digests`` a
+    hash of its units; units count from the chunk's start. Rows in ``skip`` have none."""
+    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * (1 + digests)]
     for a, b, offsets, rows in pieces(units.offsets, window):
         if b - a < window:
             continue
-        grams = common.gram_hashes(units.values(a, b), gram)
+        values = units.values(a, b)
+        grams = common.gram_hashes(values, gram)
         firsts, ends, at = common.anchors(grams, offsets, window, gram)
+        ends = ends + window - 1
         row, key = rows[np.searchsorted(offsets, firsts, side="right") - 1], grams[at]
-        keep = ~skip[row] if skip is not None else slice(None)
-        found.append((row[keep], (firsts + a)[keep], (ends + a + window - 1)[keep], key[keep]))
+        if skip is not None:
+            keep = ~skip[row]
+            row, firsts, ends, key = row[keep], firsts[keep], ends[keep], key[keep]
+        columns = [row, firsts + a, ends + a, key]
+        if digests:
+            powers, inverse = common._power_tables(len(values) + 1)
+            prefix = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(values * powers[: len(values)], out=prefix[1:])
+            columns.append(common.mix((prefix[ends] - prefix[firsts]) * inverse[firsts] + (ends - firsts).astype(np.uint64) * _LENGTH))
+        found.append(tuple(columns))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _windows_of(units: Units, window: int, firsts: np.ndarray) -> np.ndarray:
+    """The hash of the window at each of the sorted positions."""
+    out = np.zeros(len(firsts), np.uint64)
+    for a, b, _, _ in pieces(units.offsets, window):
+        lo, hi = np.searchsorted(firsts, a), np.searchsorted(firsts, b - window, side="right")
+        if hi > lo:
+            out[lo:hi] = common.gram_hashes(units.values(a, b), window)[firsts[lo:hi] - a]
+    return out
+
+
+def _differing(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """Whether the ``sizes`` bytes from each a differ from those from b."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), block):
+        n = sizes[k : k + block]
+        bad = data[common.spans(a[k : k + block], a[k : k + block] + n)] != data[common.spans(b[k : k + block], b[k : k + block] + n)]
+        out[k : k + block] = np.add.reduceat(bad, np.cumsum(n) - n) > 0 if len(bad) else False
+    return out
+
+
+@dataclass
+class Places:
+    """A chunk's repeated segments. Entry e, in the order in which entries are sent (by shard), goes to ``shard[e]`` under
+    ``key[e]`` and first stands at place ``lead[e]``; place p holds entry ``which[p]``: units first[p] to end[p] of row[p]."""
+
+    shard: np.ndarray
+    key: np.ndarray
+    lead: np.ndarray
+    which: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+
+
+def repeated_places(units: Units, skip: np.ndarray, flags: pa.Table, window: int, gram: int, shards: int) -> Places:
+    """The segments of a chunk whose anchors occur more than once anywhere, with equal ones as one entry."""
+    row, first, end, key, digest = segments(units, window, gram, skip, digests=True)
+    uniq, back = np.unique(key, return_inverse=True)
+    level = common.totals_of(flags, len(uniq), np.uint8)[back]
+    hot = np.flatnonzero(level > 1)
+    if len(hot):  # their windows one by one, by hashes of their own
+        hot = hot[np.argsort(first[hot], kind="stable")]
+        count = end[hot] - first[hot] - window + 1
+        at = common.spans(first[hot], first[hot] + count)
+        own = _windows_of(units, window, at)
+        cold = np.flatnonzero(level == 1)
+        row, first, end = np.append(row[cold], np.repeat(row[hot], count)), np.append(first[cold], at), np.append(end[cold], at + window)
+        key, digest = np.append(key[cold], own), np.append(digest[cold], own)
+    else:
+        cold = np.flatnonzero(level == 1)
+        row, first, end, key, digest = row[cold], first[cold], end[cold], key[cold], digest[cold]
+    shard = common.parts_of(key, shards)
+    low, high = units.bounds(first, end)
+    sizes = high - low
+    while True:
+        order = np.lexsort((first, digest, shard))
+        new = np.append(True, (digest[order][1:] != digest[order][:-1]) | (shard[order][1:] != shard[order][:-1]))[: len(order)]
+        lead = order[new]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        leader = lead[which]
+        again = np.flatnonzero(leader != np.arange(len(leader)))
+        odd = again[sizes[again] != sizes[leader[again]]]
+        again = again[sizes[again] == sizes[leader[again]]]
+        odd = np.append(odd, again[_differing(units.data, low[again], low[leader[again]], sizes[again])])
+        if not len(odd):
+            return Places(shard[lead], key[lead], lead, which, row, first, end)
+        digest[odd] = common.mix(digest[odd] + np.uint64(1))  # equal hashes of different bytes
+
+
 def later_copies(ids: np.ndarray, text: pa.Array, equal_ids: bool) -> np.ndarray:
     """Rows (sorted by id) whose text another row of the chunk has under a smaller id, or under an equal one before it."""
     codes = np.asarray(text.dictionary_encode().indices)
@@ -110,112 +196,134 @@ def later_copies(ids: np.ndarray, text: pa.Array, equal_ids: bool) -> np.ndarray
     return (ids > ids[lead]) | (equal_ids & (lead < np.arange(len(ids))))
 
 
-def _segment_rows(chunk: int, units: Units, ids: np.ndarray, skip: np.ndarray, flags: pa.Table, window: int, gram: int, shards: int, most: int) -> pa.Table:
-    row, first, end, key = segments(units, window, gram, skip)
-    uniq, back = np.unique(key, return_inverse=True)
-    totals = common.totals_of(flags, len(uniq))[back]
-    often = totals > 1
-    row, first, end, key, hot = row[often], first[often], end[often], key[often], totals[often] > most
-    shard = common.parts_of(key, shards)
-    by_shard: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-    content = units.content
-    for s, r, a, b, split in zip(shard.tolist(), row.tolist(), first.tolist(), end.tolist(), hot.tolist()):
-        if not split:
-            by_shard.setdefault(s, {}).setdefault(content(a, b), []).append((r, a))
-            continue
-        for k in range(a, b - window + 1):
-            piece = content(k, k + window)
-            s = xxhash.xxh3_64_intdigest(piece) % shards
-            by_shard.setdefault(s, {}).setdefault(piece, []).append((r, k))
-    out = {name: [] for name in ("shard", "blob", "sizes", "copies", "docs", "rows", "starts")}
-    base = units.offsets
-    for s, found in by_shard.items():
-        places = np.array([p for x in found.values() for p in x], np.int64)
-        out["shard"].append(s)
-        out["blob"].append(b"".join(found))
-        out["sizes"].append(np.fromiter(map(len, found), np.int64, len(found)).astype(np.int32).tobytes())
-        out["copies"].append(np.fromiter(map(len, found.values()), np.int64, len(found)).astype(np.int32).tobytes())
-        out["docs"].append(ids[places[:, 0]].tobytes())
-        out["rows"].append(places[:, 0].astype(np.int32).tobytes())
-        out["starts"].append((places[:, 1] - base[places[:, 0]]).tobytes())
-    columns = {"shard": pa.array(out["shard"], pa.int32()), "chunk": pa.array([chunk] * len(out["shard"]), pa.int32())}
-    return pa.table(columns | {n: pa.array(out[n], pa.binary()) for n in ("blob", "sizes", "copies", "docs", "rows", "starts")})
+def _segment_rows(chunk: int, units: Units, ids: np.ndarray, places: Places) -> pa.Table:
+    """One row for each shard with entries: their bytes, sizes, anchors, and their smallest places as document and position."""
+    lead = places.lead
+    low, high = units.bounds(places.first[lead], places.end[lead])
+    sizes = high - low
+    cuts = np.flatnonzero(np.append(True, places.shard[1:] != places.shard[:-1])) if len(lead) else lead
+    bounds = np.append(cuts, len(lead)).tolist()
+    columns = {"sizes": sizes.astype(np.int32), "keys": places.key.astype(np.uint32), "docs": ids[places.row[lead]], "places": places.first[lead].astype(np.int32)}
+    out = {n: pa.array([c[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()) for n, c in columns.items()}
+    blobs = [units.data[common.spans(low[a:b], high[a:b])].tobytes() for a, b in zip(bounds, bounds[1:])]
+    return pa.table({"shard": pa.array(places.shard[cuts].astype(np.int32)), "chunk": pa.array(np.full(len(cuts), chunk, np.int32)), "blob": pa.array(blobs, pa.binary())} | out)
 
 
-@dataclass
-class Shard:
-    """The distinct segments of a shard in the order of their first place, and all places.
+def _cell(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.tobytes() for x in arrays], pa.binary())
 
-    ``contents[i]`` first stands at place ``lead[i]``; place p holds segment ``which[p]`` and is described
-    by ``docs``, ``chunks``, ``rows`` and ``starts``. Order: doc_id, then chunk, row and start.
-    """
 
-    contents: list[bytes]
-    lead: np.ndarray
-    which: np.ndarray
-    docs: np.ndarray
-    chunks: np.ndarray
-    rows: np.ndarray
-    starts: np.ndarray
-
-
-def open_shard(table: pa.Table) -> Shard:
-    known: dict[bytes, int] = {}
-    which, chunks, places = [], [], {"docs": [], "rows": [], "starts": []}
-    for row in table.select(["chunk", "blob", "sizes", "copies", "docs", "rows", "starts"]).to_pylist():
-        sizes, copies = np.frombuffer(row["sizes"], np.int32).tolist(), np.frombuffer(row["copies"], np.int32)
-        at, mine, blob = 0, [], row["blob"]
-        for size in sizes:
-            mine.append(known.setdefault(blob[at : at + size], len(known)))
-            at += size
-        which.append(np.repeat(np.array(mine, np.int64), copies))
-        chunks.append(np.full(len(which[-1]), row["chunk"], np.int64))
-        for name, kind in (("docs", np.int64), ("rows", np.int32), ("starts", np.int64)):
-            places[name].append(np.frombuffer(row[name], kind).astype(np.int64))
-    which, chunks = np.concatenate(which), np.concatenate(chunks)
-    docs, rows, starts = (np.concatenate(places[n]) for n in ("docs", "rows", "starts"))
-    order = np.lexsort((starts, rows, chunks, docs))
-    firsts, lead = np.unique(which[order], return_index=True)  # in the order of segments: the first place of each
-    lead = order[lead]
-    place_rank = np.empty(len(order), np.int64)
-    place_rank[order] = np.arange(len(order))
-    by_lead = np.argsort(place_rank[lead], kind="stable")
-    renamed = np.empty(len(firsts), np.int64)
-    renamed[by_lead] = np.arange(len(firsts))
-    names = list(known)
-    return Shard([names[i] for i in by_lead.tolist()], lead[by_lead], renamed[which], docs, chunks, rows, starts)
-
-
-def answer(chunks: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
-    """Unit intervals as one row a chunk."""
-    order = np.argsort(chunks, kind="stable")
-    chunks, rows, starts, ends = chunks[order], rows[order], starts[order], ends[order]
-    names, first = np.unique(chunks, return_index=True)
-    bounds = np.append(first, len(chunks))
-    cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
-    return pa.table({"chunk": pa.array(names.astype(np.int32)), "rows": cut(rows, np.int32), "starts": cut(starts, np.int64), "ends": cut(ends, np.int64)})
-
-
-def removed_by_row(found: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chunk's intervals merged within rows: (row, start, end), sorted."""
+def shard_answers(table: pa.Table, search: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, ...]], equal_ids: bool, most: int = SLICE_BYTES) -> pa.Table:
+    """What a shard says to each of its chunks: a byte for each entry (1: the segment stands earlier elsewhere), and
+    runs of units (entry, first, last) of the others that are repeated.
+
+    ``search`` gets different segments that share anchors, in the order of their first places, with the documents
+    of those, and returns runs (segment, first, last).
+    """
+    numbers = table.column("chunk").to_numpy()
+    blobs = [x.as_buffer() for x in table.column("blob")]
+    sizes, keys, docs, places = ([np.frombuffer(x.as_buffer(), kind) for x in table.column(n)] for n, kind in (("sizes", np.int32), ("keys", np.uint32), ("docs", np.int64), ("places", np.int32)))
+    starts = np.concatenate([np.cumsum(x, dtype=np.int64) - x for x in sizes])
+    counts = np.array([len(x) for x in sizes], np.int64)
+    base = np.append(0, np.cumsum(counts))
+    home = np.repeat(np.arange(len(counts)), counts)
+    sizes, keys, docs, places = (np.concatenate(x) for x in (sizes, keys, docs, places))
+    slices = max(1, -(-int(sizes.sum(dtype=np.int64)) // most))
+    turn = (keys.astype(np.uint64) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+    later = np.zeros(len(sizes), np.uint8)
     none = np.zeros(0, np.int64)
-    parts = [(none, none, none)]
-    for row in found.select(["rows", "starts", "ends"]).to_pylist():
-        parts.append((np.frombuffer(row["rows"], np.int32).astype(np.int64), np.frombuffer(row["starts"], np.int64), np.frombuffer(row["ends"], np.int64)))
-    rows, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if not len(rows):
+    runs = [(none, none, none)]
+    for k in range(slices):
+        mine = np.flatnonzero(turn == k) if slices > 1 else np.arange(len(sizes))
+        known: dict[bytes, int] = {}
+        which = np.fromiter((known.setdefault(bytes(blobs[r][a : a + n]), len(known)) for r, a, n in zip(home[mine].tolist(), starts[mine].tolist(), sizes[mine].tolist())), np.int64, len(mine))
+        order = np.lexsort((places[mine], numbers[home[mine]], docs[mine]))
+        _, first = np.unique(which[order], return_index=True)
+        lead = order[first]  # of each segment, its first place
+        if equal_ids:
+            after = np.ones(len(mine), bool)
+            after[lead] = False
+        else:
+            after = docs[mine] > docs[mine][lead[which]]
+        later[mine] = after
+        _, back, n = np.unique(keys[mine][lead], return_inverse=True, return_counts=True)
+        some = np.flatnonzero(n[back] > 1)
+        if not len(some):
+            continue
+        some = some[np.argsort(first[some])]
+        names = list(known)
+        owner, a, b = search([names[i] for i in some.tolist()], docs[mine][lead[some]])
+        if not len(owner):
+            continue
+        # runs of a segment go to all entries that hold it and aren't later
+        order = np.argsort(owner, kind="stable")
+        owner, a, b = some[owner[order]], a[order], b[order]
+        order = np.argsort(owner, kind="stable")
+        owner, a, b = owner[order], a[order], b[order]
+        at = np.flatnonzero(~after)
+        lo, hi = np.searchsorted(owner, which[at]), np.searchsorted(owner, which[at], side="right")
+        run = common.spans(lo, hi)
+        runs.append((np.repeat(mine[at], hi - lo), a[run], b[run]))
+    entry, a, b = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(entry, kind="stable")
+    entry, a, b = entry[order], a[order], b[order]
+    cut = np.searchsorted(entry, base)
+    parts = [slice(x, y) for x, y in zip(cut, cut[1:])]
+    n = len(counts)
+    empty = pa.nulls(n, pa.binary())
+    return pa.table({
+        "chunk": table.column("chunk"), "kind": pa.array(np.ones(n, np.int32)), "number": table.column("shard"), "totals": empty,
+        "later": _cell([later[x:y] for x, y in zip(base, base[1:])]),
+        "owners": _cell([(entry[p] - base[k]).astype(np.int32) for k, p in enumerate(parts)]),
+        "firsts": _cell([a[p].astype(np.int32) for p in parts]),
+        "lasts": _cell([b[p].astype(np.int32) for p in parts]),
+    })
+
+
+def applied(found: pa.Table, places: Places, ids: np.ndarray, offsets: np.ndarray, equal_ids: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The repeated units of a chunk, from the shards' answers to its entries: (row, start, end) within rows."""
+    found = found.sort_by("number")
+    later, owners, firsts, lasts = ([np.frombuffer(x.as_buffer(), kind) for x in found.column(n)] for n, kind in (("later", np.uint8), ("owners", np.int32), ("firsts", np.int32), ("lasts", np.int32)))
+    none = np.zeros(0, np.int64)
+    base = np.append(0, np.cumsum([len(x) for x in later])).astype(np.int64)
+    if base[-1] != len(places.lead):
+        raise ValueError(f"a chunk sent {len(places.lead)} segments and got {base[-1]} answers")
+    if not len(places.lead):
         return none, none, none
+    later = np.concatenate(later) > 0
+    owner = np.concatenate([x + base[k] for k, x in enumerate(owners)])
+    a, b = np.concatenate(firsts).astype(np.int64), np.concatenate(lasts).astype(np.int64)
+    which, lead = places.which, places.lead[places.which]
+    if equal_ids:
+        own = np.arange(len(which)) == lead
+    else:
+        own = ids[places.row] == ids[places.row[lead]]
+    whole = np.flatnonzero(later[which] | ~own)
+    at = np.flatnonzero(~later[which] & own)
+    lo, hi = np.searchsorted(owner, which[at]), np.searchsorted(owner, which[at], side="right")
+    run = common.spans(lo, hi)
+    at = np.repeat(at, hi - lo)
+    row = np.append(places.row[whole], places.row[at])
+    starts = np.append(places.first[whole], places.first[at] + a[run]) - offsets[row]
+    ends = np.append(places.end[whole], places.first[at] + b[run]) - offsets[row]
+    return row, starts, ends
+
+
+def by_row(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals merged within rows: (row, start, end), sorted."""
+    if not len(rows):
+        return rows, starts, ends
     width = int(ends.max()) + 2  # rows as separate stretches of one line
     a, b = common.merged_spans(rows * width + starts, rows * width + ends)
-    return a // width, a % width, a // width * 0 + (b - a) + a % width
+    return a // width, a % width, (b - a) + a % width
 
 
-def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], covers: Callable[[str], int], equal_ids: bool, search: Callable[[Shard], pa.Table], finish: Callable[[pa.Table, np.ndarray, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], covers: Callable[[str], int], equal_ids: bool, search: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, ...]], finish: Callable[[pa.Table, np.ndarray, tuple], pa.Table], schema: str, id_col: str, text_col: str, hot: int = HOT, carry: tuple[str, ...] = (), most: int = SLICE_BYTES) -> DataFrame:
     """The three visits of the chunks: count anchors, send segments, apply what ``search`` found in each shard.
 
     ``covers`` gives the units of a text whose whole copies are removed, or -1; ``equal_ids`` tells whether a row counts as earlier
     than a later row with the same id. ``finish`` gets the chunk's rows, sorted, which of them are whole later
-    copies within the chunk, and the intervals; rows that were settled before the exchange have ``copied``.
+    copies within the chunk, and the intervals by row; rows that were settled before the exchange have ``copied``.
     """
     shards, parts = common.groups_of(docs, text_col)
     told = common.first_of_batch(common.texts(docs, id_col, text_col, carry), covers, equal_ids)
@@ -230,15 +338,23 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
 
     def route(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
         ids, _, text, data, offsets = common.ordered_rows(table)
-        return common.released(_segment_rows(key[0].as_py(), units(data, offsets), ids, later_copies(ids, text, equal_ids), flags, window, gram, shards, hot))
+        all_units = units(data, offsets)
+        places = repeated_places(all_units, later_copies(ids, text, equal_ids), flags, window, gram, shards)
+        return common.released(_segment_rows(key[0].as_py(), all_units, ids, places))
 
     def look(table: pa.Table) -> pa.Table:
-        return common.released(search(open_shard(table)))
+        return common.released(shard_answers(table, search, equal_ids, most))
 
-    def end(_key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+    def end(_key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = common.sorted_rows(table)
-        ids, text = np.asarray(table.column("doc_id").fill_null(common.NULL_ID)), table.column("text").combine_chunks()
+        ids, _, text, data, offsets = common.ordered_rows(table)
         whole = later_copies(ids, text, equal_ids)
+        kinds = answers.column("kind").to_numpy()
+        flags = answers.filter(pa.array(kinds == 0)).select(["number", "totals"]).rename_columns(["part", "totals"])
+        all_units = units(data, offsets)
+        places = repeated_places(all_units, whole, flags, window, gram, shards)
+        found = by_row(*applied(answers.filter(pa.array(kinds == 1)), places, ids, all_units.offsets, equal_ids))
+        del places
         verdict: dict[str, int] = {}
         for row in np.flatnonzero(whole).tolist():
             cell = text[row].as_py()
@@ -248,7 +364,9 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
         return common.released(finish(table, whole, found))
 
     by_chunk = chunks.groupBy("chunk")
-    totals = common.counted(chunks, send)
+    totals = common.written(common.counted(chunks, send, (1, hot)), "totals")  # read twice
     routed = by_chunk.cogroup(totals.groupBy("chunk")).applyInArrow(route, SEGMENTS_SCHEMA)
-    found = routed.groupBy("shard").applyInArrow(look, FOUND_SCHEMA)
-    return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(end, schema)
+    found = routed.groupBy("shard").applyInArrow(look, ANSWERS_SCHEMA)
+    none = F.lit(None).cast("binary")
+    answers = found.unionByName(totals.select("chunk", F.lit(0).alias("kind"), F.col("part").alias("number"), "totals", *[none.alias(n) for n in ("later", "owners", "firsts", "lasts")]))
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(end, schema)
