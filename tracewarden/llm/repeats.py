@@ -104,7 +104,7 @@ def segments(units: Units, window: int, gram: int, skip: np.ndarray | None = Non
         grams = common.gram_hashes(values, gram)
         firsts, ends, at = common.anchors(grams, offsets, window, gram)
         ends = ends + window - 1
-        row, key = rows[np.searchsorted(offsets, firsts, side="right") - 1], grams[at]
+        row, key = rows[np.searchsorted(offsets, firsts, side="right") - 1], common.mix(grams[at] ^ _LENGTH)  # smallest grams are small: spread them
         if skip is not None:
             keep = ~skip[row]
             row, firsts, ends, key = row[keep], firsts[keep], ends[keep], key[keep]
