@@ -1,7 +1,9 @@
 """WARC archives as a chunked record table.
 
-An archive is a table of (record_id, chunk, data) rows. The data of one record, in chunk order, are one
+An archive is a table of (record_id, chunk, whole, data) rows. The data of one record, in chunk order, are one
 gzip member that holds a whole WARC record, so that the concatenation of records is a ``.warc.gz`` file.
+``whole`` marks the only chunk of a record: such records are read where they lie, and only the chunks of longer
+ones move, to come together.
 Writer and reader go through a payload block by block: digest, length and (de)compressor carry their
 state from block to block, chunks leave as they fill, and no record is assembled in memory.
 """
@@ -21,7 +23,7 @@ from tracewarden.llm import common
 CHUNK = 1 << 18
 _BLOCK = 1 << 16
 _BATCH = 4 << 20
-RECORDS_SCHEMA = "record_id long, chunk int, data binary"
+RECORDS_SCHEMA = "record_id long, chunk int, whole boolean, data binary"
 _PREFIX = "urn:page:"
 #: Fixed values of the format.
 _VERSION = b"WARC/1.1\r\n"
@@ -146,8 +148,8 @@ def write_records(pages: DataFrame, path: str, at_least: int = 0, chunk: int = C
             ids, urls, refers, numbers = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
             for k, (page, url, other, number) in enumerate(zip(ids, urls, refers, numbers, strict=True)):
                 payload = batch.column(2)[k].as_buffer()
-                for n, data in enumerate(record_chunks(page, memoryview(payload) if payload.size else memoryview(b""), other, url, chunk)):
-                    rows.append((number, n, data))
+                for n, whole, data in _numbered(record_chunks(page, memoryview(payload) if payload.size else memoryview(b""), other, url, chunk)):
+                    rows.append((number, n, whole, data))
                     size += len(data)
                     if size >= _BATCH:
                         yield _batch(rows)
@@ -159,16 +161,26 @@ def write_records(pages: DataFrame, path: str, at_least: int = 0, chunk: int = C
     with_revisits(pages, at_least).withColumn("record_id", F.monotonically_increasing_id()).mapInArrow(run, RECORDS_SCHEMA).write.parquet(path)
 
 
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    ids, chunks, data = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(chunks, pa.int32()), pa.array(data, pa.binary())], names=["record_id", "chunk", "data"])
+def _numbered(chunks):
+    """(number, whether it is the record's only one, data) of a record's chunks; one waits for the next."""
+    waiting, n = next(chunks), 0
+    for data in chunks:
+        yield n, False, waiting
+        waiting, n = data, n + 1
+    yield n, n == 0, waiting
+
+
+def _batch(rows: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["record_id", "chunk", "whole", "data"])
 
 
 def read_records(records: DataFrame) -> DataFrame:
     """Read a chunked record table: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    Chunks are brought together by record and sorted, then streamed: a task holds one batch of chunks and
-    the state of one record. Responses are tested against their digest and length.
+    Records of one chunk are read without an exchange. The chunks of longer ones are brought together by record and
+    sorted, then streamed: a task holds one batch of chunks and the state of one record. Responses are tested
+    against their digest and length.
     """
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -191,8 +203,11 @@ def read_records(records: DataFrame) -> DataFrame:
         if reader:
             yield pa.record_batch([pa.array([c], k) for c, k in zip(reader.result(), kinds, strict=True)], names=names)
 
-    together = records.select("record_id", "chunk", "data").repartition(common.shuffle_width(records.sparkSession), "record_id").sortWithinPartitions("record_id", "chunk")
-    return together.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    whole = records.filter("whole").select("record_id", "chunk", "data")
+    longer = records.filter("not whole").select("record_id", "chunk", "data")
+    together = longer.repartition(common.shuffle_width(records.sparkSession), "record_id").sortWithinPartitions("record_id", "chunk")
+    return whole.mapInArrow(run, schema).unionByName(together.mapInArrow(run, schema))
 
 
 def archived(pages: DataFrame, at_least: int = 0, chunk: int = CHUNK) -> DataFrame:
