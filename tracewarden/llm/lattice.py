@@ -7,7 +7,11 @@ probability is the product over its words, and each distinct word's lattice is s
 
 The corpus adapts the model: a word that was counted in the training documents gets its count, and the
 lattice spreads a mass of as many counts as there are distinct words over all words, seen or not:
-P(w) = (c(w) + V * lattice(w)) / (N + V). The end of a text is a token of its own.
+P(w) = (c(w) + V * lattice(w)) / (N + V). The end of a text is a token of its own. The marginal of the lattices
+alone is returned beside that score.
+
+Chunks of documents send each distinct word once, and only to the parts of the hash space for which they have words,
+so the rows sent and answered are at most the chunks' distinct words; the two totals N and V are one small aggregate.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracewarden.llm import common
 
@@ -172,22 +177,22 @@ def _tokens(table: pa.Table, folds: int):
 
 
 def _send(table: pa.Table, folds: int, parts: int) -> pa.Table:
-    """A row for every part: the chunk's distinct words there and their counts in training rows. Part 0 begins
-    with the empty word, which stands for the ends of texts."""
+    """A row for each part that has some of the chunk's distinct words: those and their counts in training rows. Part 0
+    always has a row, which begins with the empty word; that stands for the ends of texts."""
     chunk = table.column("chunk")[0].as_py()
     _, _, held, rows, tokens, words, hashes = _tokens(table, folds)
     trained = np.repeat(~held, np.diff(rows))
     counts = np.bincount(tokens[trained], minlength=len(words)).astype(np.uint32)
-    bounds = np.searchsorted(common.parts_of(hashes, parts), np.arange(parts + 1)).tolist()
-    blobs, numbers = [], []
-    for p, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        blobs.append(b" ".join([b""] * (p == 0) + words[a:b]))
-        numbers.append((np.uint32((~held).sum()).tobytes() if p == 0 else b"") + counts[a:b].tobytes())
-    return pa.table({"part": pa.array(np.arange(parts, dtype=np.int32)), "chunk": pa.array(np.full(parts, chunk, np.int32)), "words": pa.array(blobs, pa.binary()), "counts": pa.array(numbers, pa.binary())})
+    home = np.append(0, common.parts_of(hashes, parts))
+    words, counts = [b"", *words], np.append(np.uint32((~held).sum()), counts)
+    some, first = np.unique(home, return_index=True)
+    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(words)]))
+    return pa.table({"part": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), chunk, np.int32)), "words": pa.array([b" ".join(words[a:b]) for a, b in cuts], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary())})
 
 
 def _count(table: pa.Table, path: str) -> pa.Table:
-    """A part's words over all chunks: counts and lattice probabilities in each chunk's own order, and the part's totals."""
+    """A part's words over all chunks: counts and lattice probabilities in each chunk's own order; and a row for no chunk
+    (-1) with the part's totals."""
     counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")]
     words = [w.as_py().split(b" ") if len(c) else [] for w, c in zip(table.column("words"), counts, strict=True)]
     known: dict[bytes, int] = {}
@@ -195,23 +200,30 @@ def _count(table: pa.Table, path: str) -> pa.Table:
     total = np.bincount(which, weights=np.concatenate(counts), minlength=len(known)) if len(which) else np.zeros(0)
     lattice = pieces(path).marginals(list(known)).astype(np.float32)
     ends = np.cumsum([len(c) for c in counts])
-    cut = lambda x, kind: pa.array([x[which[e - len(c) : e]].astype(kind).tobytes() for c, e in zip(counts, ends)], pa.binary())
+    cut = lambda x, kind: [x[which[e - len(c) : e]].astype(kind).tobytes() for c, e in zip(counts, ends)]
     n = len(counts)
-    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "counts": cut(total, np.int64), "lattice": cut(lattice, np.float32), "tokens": pa.array(np.full(n, int(total.sum()))), "kinds": pa.array(np.full(n, int((total > 0).sum())))})
+    return pa.table({
+        "chunk": pa.array(np.append(table.column("chunk").to_numpy(), -1).astype(np.int32)),
+        "part": pa.array(np.full(n + 1, table.column("part")[0].as_py(), np.int32)),
+        "counts": pa.array([*cut(total, np.int64), None], pa.binary()),
+        "lattice": pa.array([*cut(lattice, np.float32), None], pa.binary()),
+        "tokens": pa.array([None] * n + [int(total.sum())], pa.int64()),
+        "kinds": pa.array([None] * n + [int((total > 0).sum())], pa.int64()),
+    })
 
 
-def _score(table: pa.Table, told: pa.Table, folds: int) -> pa.Table:
+def _score(table: pa.Table, told: pa.Table, folds: int, n: int, kinds: int) -> pa.Table:
     ids, null, held, rows, tokens, _, _ = _tokens(table, folds)
     told = told.sort_by("part")
     counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in told.column("counts")])
     lattice = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in told.column("lattice")]).astype(np.float64)
-    n, kinds = int(sum(told.column("tokens").to_pylist())), int(sum(told.column("kinds").to_pylist()))
     mass = max(1, kinds)
     base = np.log10(counts + 0.1) - np.log10(n + 0.1 * (kinds + 1))
     own = np.log10(np.maximum(counts + mass * 10.0**lattice, 1e-300)) - np.log10(n + mass)
     # a word that was never counted keeps its lattice's value, however small
     own = np.where(counts > 0, own, np.log10(mass) + lattice - np.log10(n + mass))
     own[0] = np.log10(max(counts[0], 0.1)) - np.log10(n + mass)
+    lattice[0] = 0.0  # the end is no piece
     row_of = np.repeat(np.arange(len(ids)), np.diff(rows))
     total = lambda x: np.bincount(row_of, x[1:][tokens], len(ids)) + x[0]
     return pa.table({
@@ -222,22 +234,27 @@ def _score(table: pa.Table, told: pa.Table, folds: int) -> pa.Table:
         "train_tokens": pa.array(np.full(len(ids), n, np.int64)),
         "base_score": pa.array(total(base)),
         "score": pa.array(total(own)),
+        "lattice_score": pa.array(total(lattice)),
     })
 
 
 def score_documents(docs: DataFrame, path: str | None = None, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) of every whole text.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` in lower case (A-Z) and one end. Counts come from rows whose
     crc32 of the id as text is not 0 modulo ``folds``. ``score`` is the log10 of the text's marginal probability
-    under the lattice model, ``base_score`` that of add-0.1 smoothing. A null or empty text is just an end; a
-    null id stays null and trains; repeated rows count and are returned each; other columns are not read; an
+    under the adapted model, ``lattice_score`` that under the vocabulary's scores alone (summed over all segmentations, no
+    end), ``base_score`` that of add-0.1 smoothing. A null or empty text is just an end; a word of any length is one
+    lattice, in time and memory in proportion to its length; a null id stays null and trains; repeated rows count and are returned each; other columns are not read; an
     empty table gives an empty table; without training rows every count is 0. ``path`` names a vocabulary file
     that is at the same place on all executors.
     """
     path = str(path or default_path())
     total, parts = common.groups_of(docs, text_col)
     chunks = common.in_chunks(docs, max(1, -(-total * common.CHUNK_BYTES // CHUNK_BYTES)), id_col, text_col).groupBy("chunk")
-    sent = chunks.applyInArrow(lambda t: _send(t, folds, parts), SENT_SCHEMA)
-    told = sent.groupBy("part").applyInArrow(lambda t: _count(t, path), TOLD_SCHEMA)
-    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(lambda t, f: _score(t, f, folds), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sent = chunks.applyInArrow(lambda t: common.released(_send(t, folds, parts)), SENT_SCHEMA)
+    told = common.written(sent.groupBy("part").applyInArrow(lambda t: common.released(_count(t, path)), TOLD_SCHEMA), "words")
+    n, kinds = told.filter("chunk < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    answers = told.filter("chunk >= 0").select("chunk", "part", "counts", "lattice")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
+    return chunks.cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, f: common.released(_score(t, f, folds, n, kinds)), schema)
