@@ -15,13 +15,14 @@ def held_out(id_col: str = "doc_id", folds: int = 5):
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, label): at most ``most`` labelled documents that aren't held out, chosen by a hash of the id.
 
-    The sample is of bounded size, so its ids are broadcast and the documents are not shuffled. An id
-    that is labelled more than once counts as 1 if any of its labels is 1.
+    The sample's ids are of bounded size, so they are broadcast and the documents are not shuffled. An id
+    that is labelled more than once counts as 1 if any of its labels is 1; of documents with equal ids, the
+    smallest text counts, so the sample never has more rows than ids.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().filter(~held_out())
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -1,14 +1,16 @@
-"""Toxicity by a subsequence string kernel with Nyström landmarks and a support vector machine.
+"""Toxicity by a subsequence string kernel with Nyström landmarks and a support vector machine, trained on labelled sentences.
 
-The kernel of two strings compares their subsequences of four letters (a mark before the first letter counts
+The kernel of two words compares their subsequences of four letters (a mark before the first letter counts
 as one), each weighted by LAMBDA to the length that it spans (gaps included, up to SPAN letters): inserted
-or missing characters lower a match instead of ending it. Sentences are bags of words: words of clean
-sentences are negative; of toxic sentences, the words that the labels speak for (in many places of toxic
-texts, hardly ever in clean ones) are positive. A second round adds the clean words that the first took
-for toxic. A text is judged by its strongest words and by how many there are.
+or missing characters lower a match instead of ending it. Landmark words span the kernel's space (Nyström).
 
-Landmark strings span the kernel's space (Nyström); a linear machine with squared hinge loss is trained
-there. Its weights over landmarks are sums over letter subsequences, so they are folded into one weight for
+A training row is a labelled sentence (the text of a document): the mean, in that space, of its few strongest words (WITNESSES), so
+the kernel of two sentences is the mean of the kernels of their strongest words. Which words are the strongest is a matter of
+the machine itself: it starts from the likeness to the landmarks of toxic sentences, and each round trains a linear machine with squared
+hinge loss on all sentences, those of clean ones being what it most wrongly takes for toxic, and chooses again (a
+multiple-instance machine). A text is then judged by its strongest words and by how many there are.
+
+The machine's weights over landmarks are sums over letter subsequences, so they are folded into one weight for
 each, and scoring a word needs no kernel value: the machine is the same, the sum is only reordered.
 """
 
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from tracewarden.llm import common, labelled
 
 LAMBDA, SPAN, WIDTH, STRIDE = 0.6, 6, 16, 8
-#: Bounds of what is learnt from: labelled documents, positive and negative words, landmarks.
-SAMPLE, POSITIVE, NEGATIVE, LANDMARKS = 20_000, 1500, 6000, 240
+#: What is learnt from: at most so many labelled documents and landmark words, half of them from toxic sentences.
+SAMPLE, LANDMARKS = 20_000, 240
+#: Words of a sentence in its training row, rounds of training, and cost of a clean sentence on the wrong side.
+WITNESSES, ROUNDS, COST = 2, 3, 0.3
 _A, _MARK, _TOP = 32, 31, 5
 _SLICE = 3 << 20
 
@@ -106,14 +110,24 @@ def grams_of(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, np.bincount(back, weight[whole], len(index)) * _SCALE[(row > 0).sum()]
 
 
-def kernel(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The kernel of every row with every landmark: one table of weights, filled for one landmark at a time."""
-    table, out = np.zeros(_A**4, np.float32), np.empty((len(rows), len(marks)))
-    for k, mark in enumerate(marks):
-        index, weight = grams_of(mark)
-        table[index] = weight
-        out[:, k] = row_values(rows, table)
-        table[index] = 0
+def kernel(rows: np.ndarray, marks: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    """The kernel of every row with every landmark."""
+    grams = [grams_of(m) for m in marks]
+    known = np.unique(np.concatenate([g for g, _ in grams]))
+    number = np.full(_A**4, -1, np.int32)
+    number[known] = np.arange(len(known))
+    weights = np.zeros((len(known), len(marks)), np.float32)
+    for k, (index, weight) in enumerate(grams):
+        weights[number[index], k] = weight
+    out = np.zeros((len(rows), len(marks)), np.float32)
+    for k in range(0, len(rows), block):
+        some = rows[k : k + block]
+        for factor, index in _grams(some):
+            found = number[index]
+            for j in range(found.shape[1]):
+                hit = np.flatnonzero(found[:, j] >= 0)
+                out[k + hit] += np.float32(factor) * weights[found[hit, j]]
+        out[k : k + block] *= _SCALE[(some > 0).sum(1)][:, None].astype(np.float32)
     return out
 
 
@@ -161,17 +175,66 @@ class Machine:
         return labelled.sigmoid(np.hstack([evidence, np.ones((len(evidence), 1))]) @ self.curve)
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and offset of a linear machine: half the squared norm plus cost times squared hinge loss, by Newton steps."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+def strongest(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, most: int = WITNESSES) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` different words of each row with the largest values (ties by the words' hashes): (row, the WIDTH codes
+    of the word's strongest stretch). Words too short for evidence are left out."""
+    found = [(np.zeros(0, np.int64), np.zeros((0, WIDTH), np.int32))]
+    for first, last in common.slices(offsets, _SLICE):
+        letters, bounds, rows, hashes = words_of(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        if not len(hashes):
+            continue
+        _, index, back = np.unique(hashes, return_index=True, return_inverse=True)
+        cells, begin = windows(letters, bounds[:-1][index], bounds[1:][index])
+        value = row_values(cells, weights)
+        best = np.maximum.reduceat(value, begin)
+        word = np.repeat(np.arange(len(index)), np.diff(np.append(begin, len(cells))))
+        at = np.flatnonzero(value == best[word])
+        at = at[np.unique(word[at], return_index=True)[1]]  # of each word, its first strongest stretch
+        row_of = np.repeat(np.arange(last - first), np.diff(rows))
+        pairs = np.unique(row_of * len(index) + back)
+        row, word = pairs // len(index), pairs % len(index)
+        full = (cells[at[word]] > 0).sum(1) > 3
+        row, word = row[full], word[full]
+        order = np.lexsort((word, -best[word], row))
+        row, word = row[order], word[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < most
+        found.append((row[top] + first, cells[at[word[top]]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def sentence_rows(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, marks: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The training row of each sentence: the mean of its strongest words in the landmarks' space; 0 without words."""
+    row, cells = strongest(data, offsets, weights)
+    out = np.zeros((len(offsets) - 1, root.shape[1]), np.float32)
+    if len(row):
+        np.add.at(out, row, (kernel(cells, marks) @ root.astype(np.float32)))
+        out /= np.maximum(np.bincount(row, minlength=len(out)), 1)[:, None].astype(np.float32)
+    return out
+
+
+def nystrom(marks: np.ndarray) -> np.ndarray:
+    """The landmarks' kernel matrix to the power of -1/2, up to a rotation."""
+    own = kernel(marks, marks).astype(np.float64)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    keep = values > 1e-6 * values.max()
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
+def support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, block: int = 4096) -> tuple[np.ndarray, float]:
+    """Weights and offset of a linear machine: half the squared norm plus cost times squared hinge loss, by Newton steps
+    whose sums are taken over blocks of rows."""
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.ones(len(w))
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        slack = 1 - y * (x1 @ w)
-        on = slack > 0
-        grad = ridge * w - 2 * x1[on].T @ (cost[on] * y[on] * slack[on])
-        curve = np.diag(ridge) + 2 * (x1[on] * cost[on][:, None]).T @ x1[on]
+        grad, curve = ridge * w, np.diag(ridge)
+        for k in range(0, len(x), block):
+            some = np.hstack([x[k : k + block].astype(np.float64), np.ones((len(x[k : k + block]), 1))])
+            slack = 1 - y[k : k + block] * (some @ w)
+            on = np.flatnonzero(slack > 0)
+            c = cost[k : k + block][on]
+            grad = grad - 2 * some[on].T @ (c * y[k : k + block][on] * slack[on])
+            curve += 2 * (some[on] * c[:, None]).T @ some[on]
         step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-9:
@@ -179,23 +242,6 @@ def support_vectors(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int
     return w[:-1], float(w[-1])
 
 
-def train_words(positive: list[np.ndarray], negative: list[np.ndarray], landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
-    """Weights and offset from the rows (WIDTH codes) of positive and negative words, strongest first."""
-    rows = np.stack(positive + negative).astype(np.int32)
-    y = np.append(np.ones(len(positive)), -np.ones(len(negative)))
-    n = min(landmarks // 2, len(positive))
-    near = row_values(np.stack(negative), folded(rows[:n], np.ones(n)))
-    hard = np.argsort(-near, kind="stable")[: landmarks - n]
-    marks = np.concatenate([rows[:n], np.stack(negative)[hard]])
-    against, own = kernel(rows, marks), kernel(marks, marks)
-    values, vectors = np.linalg.eigh((own + own.T) / 2)
-    keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])  # own ** -1/2 up to a rotation
-    cost = np.where(y > 0, 10.0 * len(negative) / max(1, len(positive)), 10.0)
-    w, offset = support_vectors(against @ root, y, cost)
-    return folded(marks, root @ w), offset
-
-
 def _word_counts(sampled: DataFrame) -> DataFrame:
     """(codes binary, toxic long, clean long): after how many different words each word's row stands in toxic and in clean sampled documents.
 
@@ -223,15 +269,15 @@ def _word_counts(sampled: DataFrame) -> DataFrame:
     return places.groupBy("codes").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
 
 
-def _word_margins(counts: DataFrame, machine: Machine) -> DataFrame:
-    """(codes, margin) of word rows."""
+def _word_values(counts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(codes, value) of word rows."""
 
     def run(batches):
         for batch in batches:
             rows = np.stack([np.frombuffer(c.as_buffer(), np.uint8) for c in batch.column(0)]).astype(np.int32) if batch.num_rows else np.zeros((0, WIDTH), np.int32)
-            yield pa.record_batch([batch.column(0), pa.array(row_values(rows, machine.weights) + machine.offset)], names=["codes", "margin"])
+            yield pa.record_batch([batch.column(0), pa.array(row_values(rows, weights))], names=["codes", "value"])
 
-    return counts.select("codes").mapInArrow(run, "codes binary, margin double")
+    return counts.select("codes").mapInArrow(run, "codes binary, value double")
 
 
 def _word_rows(found: list) -> list[np.ndarray]:
@@ -239,32 +285,58 @@ def _word_rows(found: list) -> list[np.ndarray]:
     return [r for r in rows if (r > 0).sum() > 3]
 
 
+def landmark_words(sampled: DataFrame, toxic: int, clean: int, most: int = LANDMARKS) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Landmarks from toxic sentences, strongest first, and from clean ones: at most ``most`` in all.
+
+    The first are the words that stand in many places of toxic sentences and hardly ever in clean ones, by log odds times the
+    root of the count; the others the clean words that are most like them. Ties fall by the words' codes. Labels choose landmarks here;
+    what landmarks mean is learnt from the sentences.
+    """
+    counts = common.written(_word_counts(sampled), "words")
+    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
+    found = counts.filter(F.col("toxic") >= max(3, round(0.002 * toxic))).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.sqrt(F.col("toxic").cast("double"))), "codes")
+    positive = _word_rows(found.filter("odds > 3").limit(most // 2).collect()) or _word_rows(found.filter("odds > 0").limit(most // 2).collect())
+    if not positive:
+        return [], []
+    near = _word_values(counts.filter((F.col("clean") > 0) & (odds < 1)), folded(np.stack(positive), np.ones(len(positive))))
+    negative = _word_rows(near.orderBy(F.desc("value"), "codes").limit(most // 2).collect())
+    common.removed(counts)
+    return positive, negative
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "toxic") -> Machine | float:
-    """A machine from at most ``most`` labelled documents, or the share of label 1 where one class is missing.
+    """A machine from at most ``most`` labelled documents, or the share of label 1 where one class is missing or no word
+    of a toxic sentence can be a landmark.
 
-    The sample and its words are written to the shared folder. Words are counted by Spark; the driver gets at most POSITIVE and 2 * NEGATIVE words and four numbers for
-    each sampled document.
+    The sample is written to the shared folder. Spark counts the words and makes the training rows; the driver gets at
+    most LANDMARKS words, and for each sampled document a row of at most LANDMARKS numbers a round and four numbers at the end.
     """
     sampled = common.written(labelled.sample(docs, labels, label_col, most), "sample")
     totals = {r["label"]: r["count"] for r in sampled.groupBy("label").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return toxic / (toxic + clean) if toxic + clean else 0.0
-    counts = common.written(_word_counts(sampled), "words")
-    # evidence: log odds of places in toxic against clean documents, smoothed, times the root of the count
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    found = counts.withColumn("evidence", odds * F.sqrt(F.col("toxic").cast("double")))
-    least = max(3, round(0.002 * toxic))
-    positive = _word_rows(found.filter((F.col("toxic") >= least) & (odds > 3)).orderBy(F.desc("evidence"), "codes").limit(POSITIVE).collect())
-    clear = counts.filter((F.col("clean") > 0) & (odds < 1))
-    often = clear.orderBy(F.desc("clean"), "codes").limit(NEGATIVE // 3).collect()
-    spread = clear.orderBy(F.xxhash64("codes"), "codes").limit(NEGATIVE - NEGATIVE // 3).collect()
-    negative = _word_rows(often + spread)
-    if not positive or not negative:
+    positive, negative = landmark_words(sampled, toxic, clean)
+    if not positive:
         return toxic / (toxic + clean)
-    machine = Machine(*train_words(positive, negative))
-    hard = _word_margins(clear, machine).orderBy(F.desc("margin"), "codes").limit(NEGATIVE).collect()
-    machine = Machine(*train_words(positive, _word_rows(often + spread + hard)))
+    marks = np.stack(positive + negative).astype(np.int32)
+    root = nystrom(marks)
+    machine = Machine(folded(np.stack(positive), np.ones(len(positive))), 0.0)
+
+    def rows_of(weights: np.ndarray) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                x = sentence_rows(*common.utf8_buffers(batch.column(1)), weights, marks, root)
+                yield pa.record_batch([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "label", "x"])
+
+        return sampled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary")
+
+    for _ in range(ROUNDS):
+        found = rows_of(machine.weights).toArrow().sort_by("doc_id")
+        y = np.where(found.column("label").to_numpy() == 1, 1.0, -1.0)
+        x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(y), -1)
+        w, offset = support_vectors(x, y, COST * np.where(y > 0, clean / toxic, 1.0))
+        machine = Machine(folded(marks, root @ w), offset)
 
     def run(batches):
         for batch in batches:
@@ -273,6 +345,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str
 
     seen = sampled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, a double, b double, c double, d double").orderBy("doc_id", "a", "b", "c", "d").collect()
     machine.curve = labelled.calibrated(np.array([[r[k] for k in "abcd"] for r in seen]), np.array([r["label"] for r in seen]))
+    common.removed(sampled)
     return machine
 
 
