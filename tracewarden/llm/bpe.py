@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import texts
+from tracewarden.llm.common import released, texts
 
 _NONE = np.int64(1) << np.int64(62)
 #: The white space of the vocabulary's normaliser (Unicode White_Space).
@@ -30,6 +30,7 @@ _WHITE = r"\t-\r \x85\xa0  -     　"
 _CELLS = 1 << 21
 #: Words that a task remembers before it starts afresh.
 _REMEMBERED = 300_000
+_SLICE = 2 << 20
 
 
 def _byte_symbols() -> list[str]:
@@ -275,7 +276,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     ``path`` names the vocabulary file, which must be at the same place on all executors (it is part of
     an installed package). A null or empty text has no ids and decodes to the empty text; repeated rows
     give repeated results; a null id stays null; other columns are not read. The work is a map: no
-    exchange, and a batch's texts are the most that a task holds.
+    exchange, and a batch's texts are the most that a task holds. A piece without blanks is encoded whole, whatever its
+    length, in time and memory in proportion to it (some 18 s for 40,000 different letters). An empty table gives an empty table.
     """
     path = os.fspath(path or default_path())
 
@@ -288,14 +290,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             bounds = np.append(0, np.cumsum(lengths))
             first = 0
             while first < len(text):
-                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + (4 << 20), side="right")) - 1)
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + _SLICE, side="right")) - 1)
                 last = min(last, len(text))
                 tokens, at = encoder.encode(text.slice(first, last - first).to_pylist())
                 decoded, ends = encoder.decode(tokens, at)
                 packed = pa.py_buffer(tokens.astype("<u4"))
                 columns = [ids.slice(first, last - first), pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(4 * at), packed]), pa.Array.from_buffers(pa.large_string(), last - first, [None, pa.py_buffer(ends), pa.py_buffer(decoded)])]
                 columns[1:] = [columns[1].cast(pa.binary()), columns[2].cast(pa.string())]
-                yield pa.record_batch(columns, names=["doc_id", "ids", "decoded"])
+                yield released(pa.record_batch(columns, names=["doc_id", "ids", "decoded"]))
                 first = last
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")

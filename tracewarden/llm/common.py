@@ -209,7 +209,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i modulo 2**64 for i < n, kept between calls."""
     if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(1 << 16, n + (n >> 2))
         for k, base in enumerate((_B, _B_INVERSE)):
             steps = np.full(size, np.uint64(base))
             steps[0] = 1
@@ -323,7 +323,7 @@ def _trim():
         return None
 
 
-def released(out: pa.Table) -> pa.Table:
+def released(out):
     """``out``, after the memory that a group's work has left unused went back to the system: workers are reused."""
     pa.default_memory_pool().release_unused()
     if _trim():

@@ -31,7 +31,7 @@ SAMPLE, LANDMARKS = 20_000, 240
 #: Words of a sentence in its training row, rounds of training, and cost of a clean sentence on the wrong side.
 WITNESSES, ROUNDS, COST = 2, 3, 0.3
 _A, _MARK, _TOP = 32, 31, 5
-_SLICE = 3 << 20
+_SLICE = 1 << 20
 
 _CODES = np.zeros(256, np.uint8)
 _CODES[97:123] = np.arange(1, 27)
@@ -327,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str
         def run(batches):
             for batch in batches:
                 x = sentence_rows(*common.utf8_buffers(batch.column(1)), weights, marks, root)
-                yield pa.record_batch([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "label", "x"])
+                yield common.released(pa.record_batch([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "label", "x"]))
 
         return sampled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary")
 
@@ -365,7 +365,7 @@ def score(docs: DataFrame, machine: Machine | float, threshold: float = 0.5, id_
         def run(batches):
             for batch in batches:
                 data, offsets = common.utf8_buffers(batch.column(1))
-                yield pa.record_batch([batch.column(0), pa.array(machine.scores(machine.evidence(data, offsets)))], names=["doc_id", "score"])
+                yield common.released(pa.record_batch([batch.column(0), pa.array(machine.scores(machine.evidence(data, offsets)))], names=["doc_id", "score"]))
 
         scored = texts.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -383,6 +383,6 @@ def kept(docs: DataFrame, machine: Machine | float, threshold: float = 0.5, text
     def run(batches):
         for batch in batches:
             scores = machine.scores(machine.evidence(*common.utf8_buffers(batch.column(at))))
-            yield batch.filter(pa.array(scores < threshold))
+            yield common.released(batch.filter(pa.array(scores < threshold)))
 
     return docs.mapInArrow(run, docs.schema)
