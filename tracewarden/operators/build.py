@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
 from tracewarden.schema import FUNCTION, SANITIZER, SINK, SOURCE
+from tracewarden.sources.shared import width, written
 
 
 def _last(df: DataFrame, keys: list[str], order) -> DataFrame:
@@ -56,6 +57,27 @@ def function_registry(functions: DataFrame) -> DataFrame:
     return withid.groupBy("name").agg(F.max_by(F.struct("func_id", "file_path"), F.struct("file_path", "ord")).alias("f")).select("name", "f.func_id", F.col("f.file_path").alias("func_file"))
 
 
+def registry_at(functions: DataFrame, asked: DataFrame) -> DataFrame:
+    """(file_path, name, func_id): for each asked (file_path, name), the last function of the name in files up to that one.
+
+    Definitions and questions are sorted together by name and file and cut into ranges, so that a name that many files
+    define or ask for is dealt over many tasks. In a range the last definition is carried on; what came
+    before a range is one row for each name and range.
+    """
+    func = F.max_by(S.node_id("file_path", "line", "name"), "ord").alias("func_id")
+    defs = functions.filter("name is not null and file_path is not null").groupBy("name", "file_path").agg(func).select("name", "file_path", "func_id", F.lit(0).alias("asks"))
+    questions = asked.select("name", "file_path", F.lit(None).cast("string").alias("func_id"), F.lit(1).alias("asks")).distinct()
+    both = defs.unionByName(questions).repartitionByRange(width(functions.sparkSession), "name", "file_path")
+    both = written(both.withColumn("part", F.spark_partition_id()), "names")
+    here = Window.partitionBy("name", "part").orderBy("file_path", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("here", F.last("func_id", ignorenulls=True).over(here)).filter("asks = 1")
+    ends = both.groupBy("name", "part").agg(F.max_by("func_id", F.when(F.col("asks") == 0, F.col("file_path"))).alias("tail"))
+    earlier = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.withColumn("before", F.last("tail", ignorenulls=True).over(earlier)).select("name", "part", "before")
+    found = seen.join(before, ["name", "part"]).select("file_path", "name", F.coalesce("here", "before").alias("func_id"))
+    return found.filter("func_id is not null")
+
+
 def call_edges(functions: DataFrame, calls: DataFrame, ordered: bool = True) -> DataFrame:
     """Caller to callee edges by two lookups of names in the registry.
 
@@ -63,10 +85,9 @@ def call_edges(functions: DataFrame, calls: DataFrame, ordered: bool = True) ->
     the registry that a file sees then holds the last function of a name up to that file.
     """
     if ordered:
-        names = calls.select(F.col("file_path").alias("at"), F.explode(F.array("caller_func", "callee")).alias("name")).filter("name <> ''").distinct()
-        funcs = functions.select("name", "ord", F.col("file_path").alias("func_file"), S.node_id("file_path", "line", "name").alias("func_id"))
-        seen = names.join(funcs, "name").filter("func_file <= at").groupBy("at", "name").agg(F.max_by("func_id", F.struct("func_file", "ord")).alias("func_id"))
-        caller, callee = (seen.select(F.col("at").alias("file_path"), F.col("name").alias(n), F.col("func_id").alias(i)) for n, i in (("caller_func", "src"), ("callee", "dst")))
+        asked = calls.select("file_path", F.explode(F.array("caller_func", "callee")).alias("name")).filter("name <> ''")
+        seen = registry_at(functions, asked)
+        caller, callee = (seen.select("file_path", F.col("name").alias(n), F.col("func_id").alias(i)) for n, i in (("caller_func", "src"), ("callee", "dst")))
         found = calls.join(caller, ["file_path", "caller_func"]).join(callee, ["file_path", "callee"])
     else:
         registry = function_registry(functions)
@@ -76,18 +97,19 @@ def call_edges(functions: DataFrame, calls: DataFrame, ordered: bool = True) ->
     return _last(edges, ["id"], F.struct("file_path", "ord")).select("id", "src", "dst", "type", "args", "metadata")
 
 
-def build_nodes(parsed: DataFrame, functions: DataFrame) -> DataFrame:
-    """All nodes, one for each id: of equal ids the last one built stays, functions after parsed nodes."""
+def build_nodes(parsed: DataFrame, functions: DataFrame, tainted: bool = False) -> DataFrame:
+    """All nodes, one for each id: of equal ids the last one built stays, functions after parsed nodes. Nodes know their
+    tainted variables only with ``tainted``."""
     none = F.array().cast("array<string>")
-    facts = parsed_with_ids(parsed).select("id", F.col("kind").alias("type"), "file_path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), "symbol", F.coalesce("framework", F.lit("")).alias("framework"), F.coalesce("vuln_class", F.lit("")).alias("vuln_class"), F.lit(0.85).alias("confidence"), none.alias("params"), none.alias("tainted_vars"), F.lit(0).alias("stage"), "ord")
-    funcs = functions.select(S.node_id("file_path", "line", "name").alias("id"), F.lit(FUNCTION).alias("type"), "file_path", F.col("line").alias("line_start"), F.lit(0).alias("line_end"), F.col("name").alias("symbol"), F.coalesce("framework", F.lit("")).alias("framework"), F.lit("").alias("vuln_class"), F.lit(0.0).alias("confidence"), F.coalesce("params", none).alias("params"), none.alias("tainted_vars"), F.lit(1).alias("stage"), "ord")
+    facts = parsed_with_ids(parsed).select("id", F.col("kind").alias("type"), "file_path", F.col("line").alias("line_start"), F.col("line").alias("line_end"), "symbol", F.coalesce("framework", F.lit("")).alias("framework"), F.coalesce("vuln_class", F.lit("")).alias("vuln_class"), F.lit(0.85).alias("confidence"), none.alias("params"), (F.coalesce("tainted_vars", none) if tainted else none).alias("tainted_vars"), F.lit(0).alias("stage"), F.col("ord").cast("long").alias("ord"))
+    funcs = functions.select(S.node_id("file_path", "line", "name").alias("id"), F.lit(FUNCTION).alias("type"), "file_path", F.col("line").alias("line_start"), F.lit(0).alias("line_end"), F.col("name").alias("symbol"), F.coalesce("framework", F.lit("")).alias("framework"), F.lit("").alias("vuln_class"), F.lit(0.0).alias("confidence"), F.coalesce("params", none).alias("params"), none.alias("tainted_vars"), F.lit(1).alias("stage"), F.col("ord").cast("long").alias("ord"))
     return _last(facts.unionByName(funcs), ["id"], F.struct("stage", "ord")).drop("stage", "ord")
 
 
-def build_graph(parsed: DataFrame, functions: DataFrame, calls: DataFrame, ordered: bool = True, word_boundary: bool = False) -> tuple[DataFrame, DataFrame]:
+def build_graph(parsed: DataFrame, functions: DataFrame, calls: DataFrame, ordered: bool = True, word_boundary: bool = False, tainted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of extracted facts."""
     edges = dataflow_edges(parsed, word_boundary).unionByName(call_edges(functions, calls, ordered))
-    return build_nodes(parsed, functions), edges
+    return build_nodes(parsed, functions, tainted), edges
 
 
 def graph_version(nodes: DataFrame, edges: DataFrame) -> DataFrame:

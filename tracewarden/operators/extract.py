@@ -11,7 +11,7 @@ import ast
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions import rules as R
@@ -21,12 +21,50 @@ EVENTS = "file_path string, language string, seq int, event string, recv string,
 _FIELDS = ("event", "recv", "name", "line", "text", "names", "flag")
 
 
+def _units(text: str):
+    """Parsed units of a Python file: (tree, its source as UTF-8 lines, lines before it).
+
+    A file that parses is one unit. Of another, each top-level block is one if it parses; of a block that doesn't, each line
+    that parses by itself (a header with an empty body), so that one broken statement costs no other facts.
+    """
+    lines = re.split(r"(?<=\n)", text.replace("\r\n", "\n").replace("\r", "\n").replace("\f", " "))
+    waiting = [(0, len(lines), 0)]
+    while waiting:
+        first, last, level = waiting.pop()
+        source = "".join(lines[first:last])
+        if level == 2:
+            source = source.strip()
+            source += "\ndef _(): pass" if source.startswith("@") else " pass" if source.endswith(":") else ""
+        try:
+            tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            if level == 0:
+                cuts = [k for k in range(first, last) if lines[k][:1] not in " \t\r\n)]}#" and (k == first or lines[k - 1][:1] != "@")] or [first]
+                cuts[0] = first
+                waiting += [(x, y, 1) for x, y in zip(cuts, [*cuts[1:], last])][::-1]
+            elif level == 1:
+                waiting += [(k, k + 1, 2) for k in range(first, last)][::-1]
+            continue
+        if level == 2 and source.endswith("\ndef _(): pass"):
+            tree.body[0].name = ""  # a decorator by itself has no function
+        yield tree, [x.encode() for x in re.split(r"(?<=\n)", source)], first
+
+
+def _between(lines: list[bytes], a: tuple[int, int], b: tuple[int, int]) -> str:
+    """The source from (line, byte column) a to b; lines count from 1."""
+    if a[0] == b[0]:
+        return lines[a[0] - 1][a[1] : b[1]].decode(errors="replace")
+    return b"".join([lines[a[0] - 1][a[1] :], *lines[a[0] : b[0] - 1], lines[b[0] - 1][: b[1]]]).decode(errors="replace")
+
+
 def python_events(text: str):
-    """Syntax events of a Python file in source order; none for a file that doesn't parse."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return
+    """Syntax events of a Python file in source order; a file that doesn't parse whole gives those of its parts that do."""
+    for tree, lines, before in _units(text):
+        for kind, recv, name, line, *rest in _python_events(tree, lines):
+            yield kind, recv, name, line + before, *rest
+
+
+def _python_events(tree: ast.AST, lines: list[bytes]):
     nodes = [n for n in ast.walk(tree) if hasattr(n, "lineno")]
     nodes.sort(key=lambda n: (n.lineno, n.col_offset, -(n.end_lineno or 0), -(n.end_col_offset or 0)))
     for n in nodes:
@@ -35,7 +73,7 @@ def python_events(text: str):
                 yield "import", "", a.name, n.lineno, "", [], False
         elif isinstance(n, ast.ImportFrom) and not n.level and n.module:
             yield "import", "", n.module, n.lineno, "", [], False
-        elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+        elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name:
             # a typed parameter without a default has no name of its own in the grammar and stays out
             args = [*n.args.posonlyargs, *n.args.args]
             plain = len(args) - len(n.args.defaults)
@@ -44,8 +82,11 @@ def python_events(text: str):
             last = n.decorator_list[-1] if n.decorator_list else None
             call = last.func if isinstance(last, ast.Call) else None
             handler = isinstance(call, ast.Attribute) and call.attr in R.ROUTES or isinstance(call, ast.Name) and call.id in R.ROUTES
-            line = n.lineno
-            yield "def", "", n.name, line, "", names, handler
+            yield "def", "", n.name, n.lineno, "", names, handler
+        elif isinstance(n, (ast.Assign, ast.AnnAssign)) and n.value is not None:
+            for target in n.targets if isinstance(n, ast.Assign) else [n.target]:
+                if isinstance(target, ast.Name):
+                    yield "assign", "", target.id, n.lineno, "", [], False
         elif isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name):
             yield "attr", n.value.id, n.attr, n.lineno, "", [], False
         elif isinstance(n, ast.Call):
@@ -53,67 +94,101 @@ def python_events(text: str):
             if isinstance(n.func, ast.Name):
                 yield "call", "", n.func.id, n.func.lineno, "", names, True
             elif isinstance(n.func, ast.Attribute):
-                simple = isinstance(n.func.value, ast.Name)
-                source = ast.get_source_segment(text, n) or ""
-                head = ast.get_source_segment(text, n.func) or ""
-                recv = n.func.value.id if simple else ""
-                shown = f"{recv}.{n.func.attr}{source[len(head):].lstrip()}" if simple else ""
+                recv = n.func.value.id if isinstance(n.func.value, ast.Name) else ""
+                shown = f"{recv}.{n.func.attr}{_between(lines, (n.func.end_lineno, n.func.end_col_offset), (n.end_lineno, n.end_col_offset)).lstrip()}" if recv else ""
                 yield "call", recv, n.func.attr, n.func.end_lineno, shown, names, False
 
 
-_TOKEN = re.compile(r"""(?P<skip>//[^\n]*|/\*.*?\*/|[ \t\r\f]+)|(?P<nl>\n)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<id>[A-Za-z_$][\w$]*)|(?P<num>\d[\w.]*)|(?P<arrow>=>)|(?P<op>.)""", re.S)
+_TOKEN = re.compile(r"""(?P<skip>//[^\n]*|/\*.*?\*/|[ \t\r\f]+)|(?P<nl>\n)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<id>[A-Za-z_$][\w$]*)|(?P<num>\d[\w.]*)|(?P<arrow>=>)|(?P<op>.)""", re.S)
+_REGEX = re.compile(r"/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n*])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])*/[a-z]*")
+_TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*", re.S)
+_RAW = re.compile(r"`[^`]*`")
 # Words before a parenthesis that are no callee.
-_NO_CALL = {"go": frozenset("if for switch func return go defer select case else interface struct map chan type import range".split()), "script": frozenset("if for while switch catch function return typeof await new case else do in of import".split())}
-
-
-def tokens(text: str) -> list[tuple[str, str, int, int, int]]:
-    """(kind, text, line, start, end) of C-like source; comments and blanks are left out."""
-    out, line = [], 1
-    for m in _TOKEN.finditer(text):
+_NO_CALL = {"go": frozenset("if for switch func return go defer select case else interface struct map chan type import range".split()), "script": frozenset("async if for while switch catch function return typeof await new case else do in of import".split())}
+
+
+def tokens(text: str, go: bool = False) -> list[tuple[str, str, int, int, int]]:
+    """(kind, text, line, start, end) of C-like source; comments and blanks are left out.
+
+    A template string is the texts between its expressions, with the expressions' own tokens in parentheses between them.
+    """
+    out, line, at = [], 1, 0
+    braces: list[int] = []  # open braces within each expression of a template string that is under way
+    value = False  # whether the last token ends a value, so that a slash divides
+    while at < len(text):
+        ch = text[at]
+        if ch == "`" and go:
+            m = _RAW.match(text, at)
+            end = m.end() if m else len(text)
+            out.append(("str", text[at:end], line, at, end))
+            line, at, value = line + text.count("\n", at, end), end, True
+            continue
+        if not go and (ch == "`" or ch == "}" and braces and not braces[-1]):
+            if ch == "}":
+                braces.pop()
+                out.append(("op", ")", line, at, at + 1))
+            end = _TEMPLATE.match(text, at + 1).end()
+            out.append(("str", "`" + text[at + 1 : end] + "`", line, at, end))
+            line += text.count("\n", at, end)
+            if text.startswith("${", end):
+                out.append(("op", "(", line, end, end + 2))
+                braces.append(0)
+                at, value = end + 2, False
+            else:
+                at, value = end + 1, True
+            continue
+        m = _REGEX.match(text, at) if ch == "/" and not go and not value and text[at + 1 : at + 2] not in ("/", "*") else None
+        if m:
+            out.append(("num", m.group(), line, at, m.end()))
+            at, value = m.end(), True
+            continue
+        m = _TOKEN.match(text, at)
         kind = m.lastgroup
         if kind not in ("skip", "nl"):
-            out.append((kind, m.group(), line, m.start(), m.end()))
-        line += m.group().count("\n")
+            if braces:
+                braces[-1] += (ch == "{") - (ch == "}")
+            out.append((kind, m.group(), line, at, m.end()))
+            value = kind in ("str", "num") or kind == "id" and m.group() not in ("return", "typeof", "case", "in", "of", "await", "new", "else", "do", "void", "delete", "yield") or m.group() in (")", "]")
+        line += text.count("\n", at, m.end())
+        at = m.end()
     return out
 
 
-def _closing(toks: list, at: int) -> int:
-    """The position of the bracket that closes the one at ``at``."""
-    depth = 0
-    for k in range(at, len(toks)):
-        if toks[k][1] in ("(", "[", "{"):
-            depth += 1
-        elif toks[k][1] in (")", "]", "}"):
-            depth -= 1
-            if not depth:
-                return k
-    return len(toks) - 1
-
-
-def _parts(toks: list, first: int, last: int) -> list[list]:
-    """Token lists between the commas of a bracket's inside."""
-    out, depth = [[]], 0
-    for t in toks[first + 1 : last]:
-        depth += (t[1] in ("(", "[", "{")) - (t[1] in (")", "]", "}"))
-        if t[1] == "," and not depth:
+def matching(toks: list) -> list[int]:
+    """For each opening bracket the position of the one that closes it (the last token where none does), for each closing
+    one that which opens it (-1 where none does); -1 for other tokens. One pass."""
+    out, opened = [-1] * len(toks), []
+    for k, t in enumerate(toks):
+        if t[1] in ("(", "[", "{"):
+            opened.append(k)
+        elif t[1] in (")", "]", "}") and opened:
+            out[k] = opened.pop()
+            out[out[k]] = k
+    for k in opened:
+        out[k] = len(toks) - 1
+    return out
+
+
+def _parts(toks: list, pair: list[int], first: int, last: int) -> list[list]:
+    """Token lists between the commas of a bracket's inside; of inner brackets only the opening ones."""
+    out, k = [[]], first + 1
+    while k < last:
+        if toks[k][1] == ",":
             out.append([])
         else:
-            out[-1].append(t)
+            out[-1].append(toks[k])
+        k = pair[k] + 1 if toks[k][1] in ("(", "[", "{") else k + 1
     return [p for p in out if p]
 
 
-def _chain_start(toks: list, dot: int) -> int:
+def _chain_start(toks: list, pair: list[int], dot: int) -> int:
     """Where the operand before a dot begins: names, dots and balanced brackets to the left."""
     k = dot - 1
     while k >= 0:
         if toks[k][1] in (")", "]"):
-            depth = 0
-            while k >= 0:
-                depth += (toks[k][1] in (")", "]")) - (toks[k][1] in ("(", "["))
-                if not depth:
-                    break
-                k -= 1
-            k -= 1
+            if pair[k] < 0:
+                return 0
+            k = pair[k] - 1
             if k >= 0 and toks[k][0] in ("id", "str"):
                 continue
             return k + 1
@@ -126,85 +201,100 @@ def _chain_start(toks: list, dot: int) -> int:
     return 0
 
 
+_STATEMENTS = frozenset("const let var function class return if for while switch throw try import export".split())
+
+
+def _after_type(toks: list, pair: list[int], at: int, wanted: tuple[str, ...]) -> int:
+    """The first of ``wanted`` behind a type that begins at ``at``, outside its brackets and angle brackets; -1 where the
+    statement ends before. A brace opens an object type where a type is due, and else a body."""
+    angle, due = 0, True
+    while at < len(toks):
+        word = toks[at][1]
+        if not angle and word in wanted and not (word == "{" and due):
+            return at
+        if word in ("(", "[", "{"):
+            if word == "{" and not due and not angle:
+                return -1
+            at, due = pair[at] + 1, False
+            continue
+        if word in (";", ")", "]", "}") or toks[at][0] == "id" and word in _STATEMENTS or not angle and word in ("=", ","):
+            return -1
+        angle += (word == "<") - (word == ">" and angle > 0)
+        due = word in (":", "|", "&", "<", ",", "=>", "extends", "keyof", "readonly", "is", "?")
+        at += 1
+    return -1
+
+
 def c_like_events(text: str, language: str):
     """Syntax events of a TypeScript, JavaScript or Go file in source order."""
-    toks, go = tokens(text), language == "go"
+    go = language == "go"
+    toks = tokens(text, go)
+    pair = matching(toks)
     words = _NO_CALL["go" if go else "script"]
-    unquoted = lambda t: t[1][1:-1]
+    word_at = lambda j: toks[j][1] if 0 <= j < len(toks) else ""
     block = 0
-    for k, (kind, word, line, start, _) in enumerate(toks):
-        before = toks[k - 1][1] if k else ""
+    for k, (kind, word, line, _, _) in enumerate(toks):
+        before = word_at(k - 1)
         after = toks[k + 1] if k + 1 < len(toks) else ("", "", 0, 0, 0)
         if kind == "str":
-            imported = before in ("import", "from") or k <= block or (before == "(" and k > 1 and toks[k - 2][1] == "require" and not go)
-            if go and before != "import" and toks[k - 2][1] == "import" and toks[k - 1][0] == "id":
+            imported = before in ("import", "from") or k <= block or (before == "(" and word_at(k - 2) == "require" and not go)
+            if go and before != "import" and word_at(k - 2) == "import" and toks[k - 1][0] == "id":
                 imported = True
             if imported:
-                yield "import", "", unquoted(toks[k]), line, "", [], False
+                yield "import", "", word[1:-1], line, "", [], False
             continue
         if kind != "id":
             continue
         if go and word == "import" and after[1] == "(":
-            block = _closing(toks, k + 1)
+            block = pair[k + 1]
         if word in words:
             continue
         if not go and after[1] == "." and before != "." and k + 2 < len(toks) and toks[k + 2][0] == "id":
             yield "attr", word, toks[k + 2][1], line, "", [], False
-        if not go and before in ("const", "let") and after[1] in ("=", ":"):
-            at = next((j for j in range(k + 1, min(k + 40, len(toks))) if toks[j][1] == "="), None)
-            if at is not None and at + 1 < len(toks):
+        if go and before not in (".", ",") and _declares(toks, k):
+            yield "assign", "", word, line, "", [], False
+        if not go and before in ("const", "let", "var") and after[1] in ("=", ":"):
+            at = k + 1 if after[1] == "=" else _after_type(toks, pair, k + 2, ("=",))
+            if at > 0 and at + 1 < len(toks):
+                yield "assign", "", word, line, "", [], False
                 at += 1 + (toks[at + 1][1] == "async")
-                if toks[at][1] == "(":
-                    close = _closing(toks, at)
-                    rest = [t[1] for t in toks[close + 1 : close + 12]]
-                    if rest[:1] == ["=>"] or rest[:1] == [":"] and "=>" in rest:
-                        yield "def", "", word, line, "", _names(toks, at, close, go), False
+                if word_at(at) == "(" and before != "var":
+                    close = pair[at]
+                    if word_at(close + 1) == "=>" or word_at(close + 1) == ":" and _after_type(toks, pair, close + 2, ("=>",)) > 0:
+                        yield "def", "", word, line, "", _names(toks, pair, at, close, go), False
             continue
         if after[1] != "(":
             continue
-        close = _closing(toks, k + 1)
-        follow = toks[close + 1][1] if close + 1 < len(toks) else ""
-        method = go and before == ")" and _method_header(toks, k)
-        if before == ("func" if go else "function") or (before == "*" and k > 1 and toks[k - 2][1] == "function") or method:
+        close = pair[k + 1]
+        method = go and before == ")" and pair[k - 1] > 0 and toks[pair[k - 1] - 1][1] == "func"
+        if before == ("func" if go else "function") or (before == "*" and word_at(k - 2) == "function") or method:
             span = text[toks[k + 1][3] : toks[close][4]]
-            yield "def", "", word, line, "", _names(toks, k + 1, close, go), go and "http.ResponseWriter" in span and "http.Request" in span
+            yield "def", "", word, line, "", _names(toks, pair, k + 1, close, go), go and "http.ResponseWriter" in span and "http.Request" in span
             continue
-        if not go and follow in ("{", ":") and before in ("{", "}", ";", "async", "static", "get", "set", "public", "private", "protected", "") and _opens_body(toks, close + 1):
-            yield "def", "", word, line, "", _names(toks, k + 1, close, go), False
+        follow = word_at(close + 1)
+        if not go and before in ("{", "}", ";", "async", "static", "get", "set", "public", "private", "protected", "") and (follow == "{" or follow == ":" and _after_type(toks, pair, close + 2, ("{",)) > 0):
+            yield "def", "", word, line, "", _names(toks, pair, k + 1, close, go), False
             continue
-        names = [p[0][1] for p in _parts(toks, k + 1, close) if len(p) == 1 and p[0][0] == "id"]
+        names = [p[0][1] for p in _parts(toks, pair, k + 1, close) if len(p) == 1 and p[0][0] == "id"]
         if before == ".":
-            first = _chain_start(toks, k - 1)
+            first = _chain_start(toks, pair, k - 1)
             recv = text[toks[first][3] : toks[k - 2][4]] if k >= 2 else ""
             yield "call", recv, word, line, "", names, False
         else:
             yield "call", "", word, line, "", names, True
 
 
-def _method_header(toks: list, k: int) -> bool:
-    """Whether the Go name at k follows ``func (receiver)``."""
-    depth = 0
-    for j in range(k - 1, -1, -1):
-        depth += (toks[j][1] == ")") - (toks[j][1] == "(")
-        if not depth:
-            return j > 0 and toks[j - 1][1] == "func"
-    return False
-
-
-def _opens_body(toks: list, at: int) -> bool:
-    """Whether a brace follows, after a type annotation at most."""
-    for j in range(at, min(at + 16, len(toks))):
-        if toks[j][1] == "{":
-            return True
-        if toks[j][1] in (";", ")", "=", "=>", "}"):
-            return False
-    return False
+def _declares(toks: list, k: int) -> bool:
+    """Whether the Go name at k is the first of a list of names before ``:=``."""
+    while k + 2 < len(toks) and toks[k + 1][1] == "," and toks[k + 2][0] == "id":
+        k += 2
+    return k + 2 < len(toks) and toks[k + 1][1] == ":" and toks[k + 2][1] == "=" and toks[k + 1][4] == toks[k + 2][3]
 
 
-def _names(toks: list, first: int, last: int, go: bool) -> list[str]:
+def _names(toks: list, pair: list[int], first: int, last: int, go: bool) -> list[str]:
     """Parameter names: the first name of each part; in Go, only of parts with a type (a, b T counts a's declaration by b's type)."""
     out, waiting = [], []
-    for part in _parts(toks, first, last):
+    for part in _parts(toks, pair, first, last):
         names = [t for t in part if t[0] == "id" and t[1] not in ("public", "private", "protected", "readonly")]
         if not names:
             continue
@@ -237,8 +327,12 @@ def syntax_events(files: DataFrame) -> DataFrame:
     return known.select("path", "language", F.coalesce("content", F.lit("")).alias("content")).mapInArrow(run, EVENTS)
 
 
-def facts(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(parsed nodes, functions, call sites) of syntax events. The events are read three times: persist or write them."""
+def facts(events: DataFrame, enclosing: bool = False, assigned: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parsed nodes, functions, call sites) of syntax events. The events are read three times: persist or write them.
+
+    ``enclosing`` attributes calls to the nearest function above them instead of to the file's first; ``assigned`` also
+    taints the variables to which a source's line assigns.
+    """
     family = F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
     events = events.withColumn("family", family)
     packages = events.filter("event = 'import'")
@@ -251,11 +345,11 @@ def facts(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     empty = F.array().cast("array<string>")
 
     def node(step: int, rows, kind, symbol, vuln_class, text, tainted):
-        return rows.select("file_path", (F.lit(step * 10_000_000) + F.col("seq") * 4).cast("int").alias("ord"), F.lit(kind).alias("kind"), symbol.alias("symbol"), vuln_class.alias("vuln_class"), "framework", "line", text.alias("text"), tainted.cast("array<string>").alias("tainted_vars"))
+        return rows.select("file_path", _order(step, F.col("seq"), F.col("p") if "p" in rows.columns else F.lit(0)).alias("ord"), F.lit(kind).alias("kind"), symbol.alias("symbol"), vuln_class.alias("vuln_class"), "framework", "line", text.alias("text"), tainted.cast("array<string>").alias("tainted_vars"))
 
     defs = events.filter("event = 'def'")
     params = defs.filter(python & F.col("flag")).withColumn("shown", F.concat("name", F.lit("("), F.concat_ws(", ", "names"), F.lit(")"))).select("file_path", "seq", "framework", "line", "shown", F.posexplode("names").alias("p", "param"))
-    params = params.filter(~F.col("param").isin("", "self", "request", "req")).withColumn("seq", F.col("seq") * 64 + F.col("p"))
+    params = params.filter(~F.col("param").isin("", "self", "request", "req"))
     attrs = events.filter("event = 'attr'")
     is_source = python & F.col("recv").isin(*R.PYTHON_SOURCES[0]) & F.col("name").isin(*R.PYTHON_SOURCES[1])
     for receivers, names in R.TS_SOURCES:
@@ -275,7 +369,7 @@ def facts(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         node(1, params, "SourceNode", F.col("param"), F.lit(""), F.col("shown"), F.array("param")),
         node(2, attrs.filter(is_source), "SourceNode", dotted, F.lit(""), dotted, F.array(dotted)),
         ruled(3, methods, sink, R.PYTHON_SINKS, dotted, F.col("text")),
-        ruled(3, methods.withColumn("seq", F.col("seq")), clean, R.PYTHON_SANITIZERS, dotted, F.col("text")).withColumn("ord", F.col("ord") + 1),
+        ruled(3, methods, clean, R.PYTHON_SANITIZERS, dotted, F.col("text")).withColumn("ord", F.col("ord") + 1),
         ruled(4, bare, sink, R.PYTHON_BARE_SINKS, F.col("name"), dots),
         ruled(4, bare, clean, R.PYTHON_SANITIZERS, F.col("name"), dots).withColumn("ord", F.col("ord") + 1),
         ruled(3, scripts, sink, R.TS_SINKS, F.col("name"), F.lit("")),
@@ -287,11 +381,20 @@ def facts(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = parts[0]
     for p in parts[1:]:
         nodes = nodes.unionByName(p)
-    functions = defs.select("file_path", F.col("seq").alias("ord"), "name", "line", F.col("names").alias("params"), F.col("flag").alias("is_handler"), "framework")
+    if assigned:
+        targets = events.filter("event = 'assign'").groupBy("file_path", "line").agg(F.array_sort(F.collect_set("name")).alias("targets"))
+        known = F.when((F.col("kind") == "SourceNode") & F.col("targets").isNotNull(), F.array_union("tainted_vars", "targets")).otherwise(F.col("tainted_vars"))
+        nodes = nodes.join(targets, ["file_path", "line"], "left").withColumn("tainted_vars", known).select(nodes.columns)
+    functions = defs.select("file_path", F.col("seq").cast("long").alias("ord"), "name", "line", F.col("names").alias("params"), F.col("flag").alias("is_handler"), "framework")
     first = defs.filter(python).groupBy("file_path").agg(F.min_by("name", "seq").alias("caller"))
     sites = calls.filter((F.col("name") != "") & ~F.col("name").isin(*R.BUILTINS)).join(first, "file_path", "left")
-    sites = sites.select("file_path", F.col("seq").alias("ord"), F.when(python, F.coalesce("caller", F.lit(""))).otherwise("").alias("caller_func"), F.col("name").alias("callee"), F.col("names").alias("arg_names"), "line")
-    return nodes, functions, sites
+    sites = sites.select("file_path", F.col("seq").cast("long").alias("ord"), F.when(python, F.coalesce("caller", F.lit(""))).otherwise("").alias("caller_func"), F.col("name").alias("callee"), F.col("names").alias("arg_names"), "line")
+    return nodes, functions, enclosing_caller(functions, sites) if enclosing else sites
+
+
+def _order(step: int, seq: Column, p: Column) -> Column:
+    """An order key of (pass, event, parameter): any number of events and 65,536 parameters stay in their pass."""
+    return F.lit(step << 50).cast("long") + F.shiftleft(seq.cast("long"), 18) + F.shiftleft(p.cast("long"), 2)
 
 
 def enclosing_caller(functions: DataFrame, sites: DataFrame) -> DataFrame:

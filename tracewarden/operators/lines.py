@@ -39,4 +39,4 @@ def classify_lines(lines: DataFrame, language: str) -> DataFrame:
         fact = F.struct(F.lit(n).alias("n"), F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"), symbol_of(rule, text).alias("symbol"), F.lit(rule.vuln_class).alias("vuln_class"), _tainted(rule, text).alias("tainted_vars"))
         found.append(F.when(text.rlike(rule.pattern), fact))
     facts = lines.select("file_path", "line", "text", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
-    return facts.select("file_path", (F.col("line") * 100 + F.col("f.n")).cast("int").alias("ord"), "f.kind", "f.symbol", "f.vuln_class", F.lit("").alias("framework"), F.col("line").cast("int").alias("line"), "text", "f.tainted_vars", "f.rule")
+    return facts.select("file_path", (F.col("line").cast("long") * 100 + F.col("f.n")).alias("ord"), "f.kind", "f.symbol", "f.vuln_class", F.lit("").alias("framework"), F.col("line").cast("int").alias("line"), "text", "f.tainted_vars", "f.rule")

@@ -4,8 +4,8 @@ A frontier row is one state of the search: start, node, the path so far and what
 is one join with the edges and one grouped minimum: of all states that reach the same node, the first in
 queue order survives. Queue order is the order of the parents, then of edge ids, which is the
 lexicographic order of the edge ids along the path; the minimum is thus combined before the shuffle, and
-no window has to rank a whole level. Each level is written to the shared folder: plans stay one level deep,
-and a lost executor costs at most the level at hand.
+no window has to rank a whole level. Every few levels (LEVELS) are one job, written to the shared folder: levels of a job share their
+exchanges, plans stay a few levels deep, and a lost executor costs at most the levels at hand.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
 from tracewarden.schema import SANITIZER, SINK, SOURCE
-from tracewarden.sources.shared import written
+from tracewarden.sources.shared import removed, written
 
-#: Longest path in nodes.
-MAX_NODES = 20
+#: Longest path in nodes, and levels of a search in one job.
+MAX_NODES, LEVELS = 20, 4
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,20 +59,25 @@ def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | None = N
     frontier = starts.select(F.col("id").alias("source_id"), F.col("id").alias("node"), F.array("id").alias("path"), none.alias("cleared"), F.lit(False).alias("sanitized"), tainted.alias("vars"), none.alias("rank"), F.lit(SOURCE).alias("node_type"), F.lit("").alias("node_class"))
     keys = ["source_id", "node"] + (["sanitized"] if sound else []) + (["cleared"] if class_aware else [])
     clean = ~F.array_contains("cleared", F.col("node_class")) if class_aware else ~F.col("sanitized")
-    hits = []
-    for depth in range(2, max_nodes + 1):
-        step = frontier.join(around, F.col("node") == F.col("src"))
-        step = step.filter((F.col("edge_type") != "call") | S.any_tainted("vars", "args"))
-        is_sanitizer = F.col("dst_type") == SANITIZER
-        crossed = F.when((F.col("edge_type") == "call") & (F.size("params") > 0), F.col("params")).otherwise(F.col("vars"))
-        cleared = F.when(is_sanitizer, F.array_sort(F.array_union("cleared", F.array("dst_class")))).otherwise(F.col("cleared")) if class_aware else F.col("cleared")
-        step = step.select("source_id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), cleared.alias("cleared"), (F.col("sanitized") | is_sanitizer).alias("sanitized"), crossed.alias("vars"), F.concat("rank", F.array("edge_id")).alias("rank"), F.col("dst_type").alias("node_type"), F.coalesce("dst_class", F.lit("")).alias("node_class"))
-        level = written(_first(step, keys), "frontier")
-        if level.isEmpty():
+    hits, depth = [], 2
+    while depth <= max_nodes:
+        levels = []
+        for d in range(depth, min(depth + LEVELS, max_nodes + 1)):
+            step = frontier.join(around, F.col("node") == F.col("src"))
+            step = step.filter((F.col("edge_type") != "call") | S.any_tainted("vars", "args"))
+            is_sanitizer = F.col("dst_type") == SANITIZER
+            crossed = F.when((F.col("edge_type") == "call") & (F.size("params") > 0), F.col("params")).otherwise(F.col("vars"))
+            cleared = F.when(is_sanitizer, F.array_sort(F.array_union("cleared", F.array("dst_class")))).otherwise(F.col("cleared")) if class_aware else F.col("cleared")
+            step = step.select("source_id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), cleared.alias("cleared"), (F.col("sanitized") | is_sanitizer).alias("sanitized"), crossed.alias("vars"), F.concat("rank", F.array("edge_id")).alias("rank"), F.col("dst_type").alias("node_type"), F.coalesce("dst_class", F.lit("")).alias("node_class"))
+            level = _first(step, keys).withColumn("depth", F.lit(d)).withColumn("hit", (F.col("node_type") == SINK) & clean)
+            levels.append(level)
+            frontier = level.filter(~F.col("hit"))
+        found = written(_union(levels), "levels")
+        hits.append(found.filter("hit").select("source_id", F.col("node").alias("sink_id"), "depth", "rank", "path"))
+        frontier = found.filter((F.col("depth") == d) & ~F.col("hit")).drop("depth", "hit")
+        if frontier.isEmpty():
             break
-        hit = (F.col("node_type") == SINK) & clean
-        hits.append(level.filter(hit).select("source_id", F.col("node").alias("sink_id"), F.lit(depth).alias("depth"), "rank", "path"))
-        frontier = level.filter(~hit)
+        depth = d + 1
     if not hits:
         hits = [frontier.select("source_id", F.col("node").alias("sink_id"), F.lit(1).alias("depth"), "rank", "path").limit(0)]
     return _union(hits)
@@ -117,19 +122,27 @@ def _reach(around: DataFrame, starts: DataFrame, forward: bool, max_nodes: int |
     here, there = ("src", "dst") if forward else ("dst", "src")
     none = F.array().cast("array<string>")
     frontier = written(starts.select("source_id", F.col("source_id").alias("node"), F.lit(1).alias("depth"), none.alias("rank"), F.lit(False).alias("sanitized"), F.array("source_id").alias("path")), "frontier")
-    levels, depth = [frontier], 2
+    visited, depth = [frontier], 2
     while max_nodes is None or depth <= max_nodes:
-        step = frontier.join(around, F.col("node") == F.col(here))
-        step = step.select("source_id", F.col(there).alias("node"), F.lit(depth).alias("depth"), (F.concat("rank", F.array("edge_id")) if ranked else F.col("rank")).alias("rank"), (F.col("sanitized") | (F.col("dst_type") == SANITIZER)).alias("sanitized"), (F.concat("path", F.array(there)) if paths else F.col("path")).alias("path"))
-        new = _first(step, ["source_id", "node"]).join(_union([x.select("source_id", "node") for x in levels]), ["source_id", "node"], "left_anti")
-        frontier = written(new.select(*levels[0].columns), "frontier")
+        levels = []
+        for d in range(depth, depth + LEVELS if max_nodes is None else min(depth + LEVELS, max_nodes + 1)):
+            step = frontier.join(around, F.col("node") == F.col(here))
+            step = step.select("source_id", F.col(there).alias("node"), F.lit(d).alias("depth"), (F.concat("rank", F.array("edge_id")) if ranked else F.col("rank")).alias("rank"), (F.col("sanitized") | (F.col("dst_type") == SANITIZER)).alias("sanitized"), (F.concat("path", F.array(there)) if paths else F.col("path")).alias("path"))
+            new = _first(step, ["source_id", "node"]).join(_union([x.select("source_id", "node") for x in [*visited, *levels]]), ["source_id", "node"], "left_anti")
+            frontier = new.select(*visited[0].columns)
+            levels.append(frontier)
+        found = written(_union(levels), "levels")
+        visited.append(found)
+        frontier = found.filter(F.col("depth") == d)
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        depth += 1
-        if len(levels) > 8:  # one table of what was visited keeps the plan short
-            levels = [written(_union(levels), "visited")]
-    return _union(levels)
+        depth = d + 1
+        if len(visited) > 8:  # one table of what was visited keeps the plan short
+            whole = written(_union(visited), "visited")
+            for table in visited:
+                removed(table)
+            visited, frontier = [whole], whole.filter(F.col("depth") == d)
+    return _union(visited)
 
 
 def paths_to_sink(nodes: DataFrame, edges: DataFrame, pattern: str, max_nodes: int = MAX_NODES) -> DataFrame:

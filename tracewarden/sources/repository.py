@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,14 @@ def scan(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) ->
     Folders on the deny list are left out, whatever their depth, and extensions match in any case. Files are
     read in parallel by Spark, so ``root`` may be in any store.
     """
-    root = root.rstrip("/")
+    whole = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    whole = whole.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(whole).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    depth = F.instr("path", root)
-    relative = F.expr("substring(path, at, length(path))")
     known = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(*LANGUAGE)
-    named = files.filter(known).withColumn("at", depth + F.lit(len(root) + 1)).withColumn("path", relative).filter(inside_tree(F.col("path"), ignored))
+    # both as paths without a scheme, of which one store has several spellings (file:/ and file:///)
+    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/+(?=/)|^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    start = len(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+(?=/)|^[A-Za-z][A-Za-z0-9+.-]*:", "", whole)) + 2
+    named = files.filter(known).withColumn("path", F.substring(plain, start, 1 << 20)).filter(inside_tree(F.col("path"), ignored))
     return source_files(named.select("path", F.decode("content", "UTF-8").alias("content")))
 
 
@@ -41,7 +44,10 @@ def changed_files(spark: SparkSession, repo: str, ref: str = "HEAD~1") -> DataFr
 
 
 def files_at(changed: DataFrame, repo: str, ref: str) -> DataFrame:
-    """(path, content) of changed files at a git ref, fetched by the tasks; files that the ref lacks are left out."""
+    """(path, content) of changed files at a git ref, fetched by the tasks; files that the ref lacks are left out.
+
+    ``repo`` must be at the same place on all executors.
+    """
 
     def run(frames):
         for frame in frames:

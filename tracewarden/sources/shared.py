@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, or of a local default where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tracewarden-shared"  # unset in local tests only
+    """A new folder name below the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the setting is unset, a session in one process gets a folder of its own; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tracewarden-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def width(spark: SparkSession) -> int:
+    """The number of tasks of an exchange."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a table and read it again."""
     path = shared_folder(df.sparkSession, name)
@@ -22,3 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the folder of a table that ``written`` returned and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
