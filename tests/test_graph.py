@@ -14,7 +14,7 @@ from tracewarden.functions import scalar as S
 from tracewarden.graph import SecurityGraph
 from tracewarden.operators import build, extract, posture, traverse
 from tracewarden.sources.repository import scan
-from tracewarden.sources.store import GraphStore
+from tracewarden.sources.store import FactStore, GraphStore
 from tracewarden.streaming import changes
 
 
@@ -214,7 +214,7 @@ def test_scan_and_store(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    source, store = tmp_path / "changes", GraphStore(spark, str(tmp_path / "store"))
+    source, store = tmp_path / "changes", FactStore(spark, str(tmp_path / "store"))
     source.mkdir()
 
     def put(name, *rows):

@@ -39,6 +39,7 @@ GO_SINKS = (
     (("template",), ("HTML",), "xss"),
 )
 GO_SANITIZERS = (((), ("EscapeString", "HTMLEscapeString"), "xss"),)
+# Names that are no call sites, names of route decorators, imports that tell a framework, folders that a scan leaves out.
 #: Names that are no call sites.
 BUILTINS = ("print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "type", "isinstance", "hasattr", "getattr", "setattr", "append", "extend", "format", "super", "property", "staticmethod", "classmethod", "console", "setTimeout", "setInterval", "clearTimeout", "parseInt", "parseFloat", "JSON", "Object", "Array", "Promise", "Math", "Date", "make", "new", "copy", "delete", "close", "panic", "recover", "cap")
 ROUTES = ("get", "post", "put", "patch", "delete", "websocket", "route")
@@ -120,3 +121,8 @@ LINE_RULES = (
     LineRule("go_html_clean", "go", _SAN, "xss", r"html\.EscapeString\s*\(|template\.HTMLEscapeString\s*\(", "html.EscapeString"),
     LineRule("go_pgx", "go", _SAN, "sqli", r"""pgx\.|pgxpool\.|\.QueryRow\s*\(ctx[^,)]*,\s*"[^"]*\"""", "pgx.parameterized"),
 )
+# Line patterns of imports, function headers, route decorators and handlers.
+LINE_IMPORTS = {"python": r"(?:^|\s)(?:import|from)\s+([\w.]+)", "typescript": r"""(?:import|require)\s*(?:\{[^}]*\}|[\w*]+|\(['"])\s*(?:from\s*)?['"]([^'"]+)['"]""", "go": r'"([^"]+)"'}
+HEADERS = {"python": r"^(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)", "go": r"^func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\s*\(([^)]*)\)"}
+PYTHON_ROUTE = r"@(?:app|router)\.(get|post|put|patch|delete|websocket)\("
+GO_HANDLER = r"\(\s*\w+\s+http\.ResponseWriter\s*,\s*\w+\s+\*http\.Request\s*\)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
 from tracewarden.operators import build, extract, posture, traverse
-from tracewarden.sources.repository import scan
+from tracewarden.sources.repository import changed_files, files_at, scan
 from tracewarden.sources.shared import written
 
 
@@ -21,15 +21,29 @@ class SecurityGraph:
 
     @classmethod
     def from_files(cls, files: DataFrame, **flags) -> SecurityGraph:
-        """The graph of (path, language, content) files."""
+        """The graph of (path, language, content) files. ``enclosing`` and ``assigned`` go to the extraction, other flags to the
+        construction."""
         events = written(extract.syntax_events(files), "events")
-        nodes, edges = build.build_graph(*extract.facts(events), **flags)
+        how = {k: flags.pop(k) for k in ("enclosing", "assigned") if k in flags}
+        nodes, edges = build.build_graph(*extract.facts(events, **how), **flags)
         return cls(written(nodes, "nodes"), written(edges, "edges"))
 
     @classmethod
     def from_tree(cls, spark: SparkSession, root: str, **flags) -> SecurityGraph:
         return cls.from_files(scan(spark, root), **flags)
 
+    @classmethod
+    def diff(cls, spark: SparkSession, repo: str, ref: str = "HEAD~1") -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(new paths, resolved paths, verdict) of the tree at ``repo`` against a git ref.
+
+        The graph at the ref has the facts of unchanged files, edges included, and those of the changed files as they were.
+        """
+        now = written(scan(spark, repo), "files")
+        changed = written(changed_files(spark, repo, ref), "changed")
+        then = now.join(changed, "path", "left_anti").unionByName(extract.source_files(files_at(changed, repo, ref)))
+        before, after = (written(cls.from_files(f).find_all_paths(), "paths") for f in (then, now))
+        return posture.new_paths(before, after), posture.resolved_paths(before, after), posture.diff_verdict(before, after)
+
     def find_all_paths(self, **flags) -> DataFrame:
         return traverse.find_all_paths(self.nodes, self.edges, **flags)
 
@@ -63,7 +77,7 @@ class SecurityGraph:
                 raise ValueError("sink is required")
             paths = written(self.paths_to_sink(args["sink"]), "paths")
             n = paths.count()
-            out = {"query": args["sink"], "path_count": n, "paths": rows(traverse.by_severity(paths)), "proof": "NO_UNSANITIZED_PATH_EXISTS" if not n else f"UNSANITIZED_PATHS_FOUND: {n} path(s) detected"}
+            out = {"query": args["sink"], "path_count": n, "paths": rows(traverse.by_severity(paths)), "proof": paths.agg(S.proof(F.count(F.lit(1))).alias("proof")).first()["proof"]}
         elif name == "get_attack_surface":
             sources, sinks, counts = self.attack_surface(args.get("module", ""))
             out = {"module": args.get("module", ""), **counts.first().asDict(), "sources": rows(sources), "reachable_sinks": rows(sinks)}

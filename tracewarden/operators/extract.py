@@ -32,6 +32,8 @@ def _units(text: str):
     while waiting:
         first, last, level = waiting.pop()
         source = "".join(lines[first:last])
+        if level == 1 and source.startswith("@") and source.rstrip().endswith(":"):
+            source = source.rstrip() + " pass"  # a decorated header whose body is elsewhere
         if level == 2:
             source = source.strip()
             source += "\ndef _(): pass" if source.startswith("@") else " pass" if source.endswith(":") else ""
@@ -171,10 +173,16 @@ def matching(toks: list) -> list[int]:
 
 def _parts(toks: list, pair: list[int], first: int, last: int) -> list[list]:
     """Token lists between the commas of a bracket's inside; of inner brackets only the opening ones."""
-    out, k = [[]], first + 1
+    out, k, typed, angle = [[]], first + 1, False, 0
     while k < last:
-        if toks[k][1] == ",":
+        word = toks[k][1]
+        if word in (":", "="):
+            typed, angle = word == ":", 0
+        elif typed:  # commas of a generic type divide nothing
+            angle += (word == "<") - (word == ">")
+        if word == "," and angle <= 0:
             out.append([])
+            typed, angle = False, 0
         else:
             out[-1].append(toks[k])
         k = pair[k] + 1 if toks[k][1] in ("(", "[", "{") else k + 1

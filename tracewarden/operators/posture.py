@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
@@ -33,13 +33,18 @@ def findings(paths: DataFrame) -> DataFrame:
     return paths.select("id", "vuln_class", "severity", "confidence", "description", "source_file", "source_line", F.col("file_path").alias("sink_file"), "sink_line", "sink_symbol", S.remediation("vuln_class").alias("remediation"))
 
 
-def posture(paths: DataFrame) -> DataFrame:
-    """(critical, high, medium, low, score, grade): 100 less 25, 15, 5 and 2 for each finding, at least 0."""
-    counts = paths.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITY_RANK])
+def scored(counts: DataFrame) -> DataFrame:
+    """Counts by severity with score and grade: 100 less 25, 15, 5 and 2 for each finding, at least 0."""
     score = F.greatest(F.lit(0), 100 - 25 * F.col("critical") - 15 * F.col("high") - 5 * F.col("medium") - 2 * F.col("low"))
     return counts.withColumn("score", score.cast("long")).withColumn("grade", S.grade(F.col("score")))
 
 
+def posture(paths: DataFrame, *by: Column) -> DataFrame:
+    """(critical, high, medium, low, score, grade) of all paths, or of each group of them."""
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITY_RANK]
+    return scored(paths.groupBy(*by).agg(*counts) if by else paths.agg(*counts))
+
+
 def file_context(nodes: DataFrame) -> DataFrame:
     """(file_path, total_nodes, source_count, sink_count, sanitizer_count, risk_score) of each file."""
     count = lambda kind: F.count_if(F.col("type") == kind)
@@ -97,3 +102,10 @@ def calibration_rates(events: DataFrame) -> DataFrame:
     of = lambda a: F.count_if(F.col("action") == a)
     grouped = events.filter(F.col("action").isin("accepted", "rejected", "ignored")).groupBy("vuln_class").agg(F.count(F.lit(1)).alias("events"), of("accepted").alias("accepted"), of("rejected").alias("rejected"), of("ignored").alias("ignored"))
     return grouped.withColumn("accept_rate", F.col("accepted") / F.col("events"))
+
+
+def node_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(added): the nodes by which files have grown; files that shrank don't count."""
+    counts = before.select("file_path", F.lit(-1).alias("n")).unionByName(after.select("file_path", F.lit(1).alias("n"))).groupBy("file_path").agg(F.sum("n").alias("delta"))
+    return counts.agg(F.coalesce(F.sum(F.greatest(F.col("delta"), F.lit(0))), F.lit(0)).cast("long").alias("added"))
+

@@ -56,7 +56,7 @@ def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | None = N
         starts = starts.filter(sources)
     tainted = F.when(F.size(F.coalesce("tainted_vars", F.array())) > 0, F.col("tainted_vars")).otherwise(F.array("symbol"))
     none = F.array().cast("array<string>")
-    frontier = starts.select(F.col("id").alias("source_id"), F.col("id").alias("node"), F.array("id").alias("path"), none.alias("cleared"), F.lit(False).alias("sanitized"), tainted.alias("vars"), none.alias("rank"), F.lit(SOURCE).alias("node_type"), F.lit("").alias("node_class"))
+    frontier = starts.select(F.col("id").alias("source_id"), F.col("id").alias("node"), F.array("id").alias("path"), none.alias("cleared"), F.lit(False).alias("sanitized"), tainted.alias("vars"), none.alias("rank"), F.lit(SOURCE).alias("node_type"), F.lit("").alias("node_class"), F.lit(1).alias("depth"))
     keys = ["source_id", "node"] + (["sanitized"] if sound else []) + (["cleared"] if class_aware else [])
     clean = ~F.array_contains("cleared", F.col("node_class")) if class_aware else ~F.col("sanitized")
     hits, depth = [], 2
@@ -68,14 +68,14 @@ def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | None = N
             is_sanitizer = F.col("dst_type") == SANITIZER
             crossed = F.when((F.col("edge_type") == "call") & (F.size("params") > 0), F.col("params")).otherwise(F.col("vars"))
             cleared = F.when(is_sanitizer, F.array_sort(F.array_union("cleared", F.array("dst_class")))).otherwise(F.col("cleared")) if class_aware else F.col("cleared")
-            step = step.select("source_id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), cleared.alias("cleared"), (F.col("sanitized") | is_sanitizer).alias("sanitized"), crossed.alias("vars"), F.concat("rank", F.array("edge_id")).alias("rank"), F.col("dst_type").alias("node_type"), F.coalesce("dst_class", F.lit("")).alias("node_class"))
-            level = _first(step, keys).withColumn("depth", F.lit(d)).withColumn("hit", (F.col("node_type") == SINK) & clean)
+            step = step.select("source_id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), cleared.alias("cleared"), (F.col("sanitized") | is_sanitizer).alias("sanitized"), crossed.alias("vars"), F.concat("rank", F.array("edge_id")).alias("rank"), F.col("dst_type").alias("node_type"), F.coalesce("dst_class", F.lit("")).alias("node_class"), (F.col("depth") + 1).alias("depth"))
+            level = _first(step, keys).withColumn("hit", (F.col("node_type") == SINK) & clean)
             levels.append(level)
-            frontier = level.filter(~F.col("hit"))
+            frontier = level.filter(~F.col("hit")).drop("hit")
         found = written(_union(levels), "levels")
         hits.append(found.filter("hit").select("source_id", F.col("node").alias("sink_id"), "depth", "rank", "path"))
-        frontier = found.filter((F.col("depth") == d) & ~F.col("hit")).drop("depth", "hit")
-        if frontier.isEmpty():
+        frontier = found.filter((F.col("depth") == d) & ~F.col("hit")).drop("hit")
+        if not frontier.count():
             break
         depth = d + 1
     if not hits:
@@ -127,14 +127,14 @@ def _reach(around: DataFrame, starts: DataFrame, forward: bool, max_nodes: int |
         levels = []
         for d in range(depth, depth + LEVELS if max_nodes is None else min(depth + LEVELS, max_nodes + 1)):
             step = frontier.join(around, F.col("node") == F.col(here))
-            step = step.select("source_id", F.col(there).alias("node"), F.lit(d).alias("depth"), (F.concat("rank", F.array("edge_id")) if ranked else F.col("rank")).alias("rank"), (F.col("sanitized") | (F.col("dst_type") == SANITIZER)).alias("sanitized"), (F.concat("path", F.array(there)) if paths else F.col("path")).alias("path"))
+            step = step.select("source_id", F.col(there).alias("node"), (F.col("depth") + 1).alias("depth"), (F.concat("rank", F.array("edge_id")) if ranked else F.col("rank")).alias("rank"), (F.col("sanitized") | (F.col("dst_type") == SANITIZER)).alias("sanitized"), (F.concat("path", F.array(there)) if paths else F.col("path")).alias("path"))
             new = _first(step, ["source_id", "node"]).join(_union([x.select("source_id", "node") for x in [*visited, *levels]]), ["source_id", "node"], "left_anti")
             frontier = new.select(*visited[0].columns)
             levels.append(frontier)
         found = written(_union(levels), "levels")
         visited.append(found)
         frontier = found.filter(F.col("depth") == d)
-        if frontier.isEmpty():
+        if not frontier.count():
             break
         depth = d + 1
         if len(visited) > 8:  # one table of what was visited keeps the plan short

@@ -24,6 +24,28 @@ CODE = {
     "typescript": "CASE event_id % 12 WHEN 0 THEN 'const a = req.query.q;' WHEN 1 THEN 'el.innerHTML = a;' WHEN 2 THEN 'eval(a);' WHEN 3 THEN 'child_process.exec(cmd);' WHEN 4 THEN 'fs.readFile(p, cb);' WHEN 5 THEN 'await fetch(url);' WHEN 6 THEN 'DOMPurify.sanitize(a)' WHEN 7 THEN 'let u = location.href;' WHEN 8 THEN 'encodeURIComponent(u)' WHEN 9 THEN 'db.prepare(sql)' WHEN 10 THEN 'const b = params.id;' ELSE 'axios.get(url)' END",
     "go": "CASE event_id % 12 WHEN 0 THEN 'id := chi.URLParam(r, k)' WHEN 1 THEN 'name, err := r.FormValue(k)' WHEN 2 THEN 'rows := db.Query(q)' WHEN 3 THEN 'exec.Command(c)' WHEN 4 THEN 'f, err := os.Open(p)' WHEN 5 THEN 'http.Get(u)' WHEN 6 THEN 'template.HTML(s)' WHEN 7 THEN 's = html.EscapeString(s)' WHEN 8 THEN 'pgx.Connect(ctx)' WHEN 9 THEN 'q := c.Query(k)' WHEN 10 THEN 'os.Create(p)' ELSE 'func run(w http.ResponseWriter, r *http.Request) {' END",
 }
+_NAME = "'h' || user_id || '_' || (event_id % 5)"
+_CALLED = "'h' || (user_id + event_id % 4) || '_' || (event_id % 5)"
+#: A line of a program for each event, for extraction: headers, calls of other users' functions, sources, sinks, lines that don't parse.
+SCRIPT = {
+    "python": f"CASE event_id % 8 WHEN 0 THEN 'def ' || {_NAME} || '(q, n=1):' WHEN 1 THEN {_CALLED} || '(q, x' || event_id || ')' WHEN 2 THEN 'cursor.execute(q' || event_id || ')' WHEN 3 THEN 'name' || event_id || ' = request.args.get(q)' WHEN 4 THEN CASE WHEN event_id % 16 = 4 THEN 'print ' || event_id ELSE '@app.get(q)' END WHEN 5 THEN 'escape(q, ' || event_id || ')' WHEN 6 THEN 'import p' || event_id ELSE 'z = subprocess.run(q)' END",
+    "typescript": f"CASE event_id % 8 WHEN 0 THEN 'function ' || {_NAME} || '(q: string, n = 1) {{ }}' WHEN 1 THEN {_CALLED} || '(q, x' || event_id || ');' WHEN 2 THEN 'el' || event_id || '.write(q);' WHEN 3 THEN 'const name' || event_id || ' = req.query.q;' WHEN 4 THEN 'const f' || event_id || ' = async (a: Map<string, () => void>, b = /[(]/): Promise<Map<string, number>> => {{ }};' WHEN 5 THEN 'encodeURIComponent(`${{run' || event_id || '(q)}}`);' WHEN 6 THEN 'import x from \"m' || event_id || '\";' ELSE 'cp.exec(q);' END",
+    "go": f"CASE event_id % 8 WHEN 0 THEN 'func ' || {_NAME} || '(q string, n int) {{ }}' WHEN 1 THEN {_CALLED} || '(q, x' || event_id || ')' WHEN 2 THEN 'db' || event_id || '.Exec(q)' WHEN 3 THEN 'name' || event_id || ' := r.FormValue(q)' WHEN 4 THEN 'func (s *S) m' || event_id || '(w http.ResponseWriter, r *http.Request) {{ }}' WHEN 5 THEN 'html.EscapeString(`q`)' WHEN 6 THEN 'import \"m' || event_id || '\"' ELSE 'os.Open(q)' END",
+}
+ENDING = {"python": "py", "typescript": "ts", "go": "go"}
+
+
+def script_lines(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """(file_path, line, text, user_id, n): the program of each user, a line an event, with the number of its lines."""
+    by_user = Window.partitionBy("user_id")
+    events = load(spark, sf_dir, "events").select("*", F.row_number().over(by_user.orderBy("ts", "event_id")).alias("line"), F.count(F.lit(1)).over(by_user).alias("n"))
+    return events.selectExpr(f"'repo/u' || user_id || '.{ENDING[language]}' AS file_path", "line", f"{SCRIPT[language]} AS text", "user_id", "n")
+
+
+def script_files(lines: DataFrame) -> DataFrame:
+    """(path, content) of program lines; a group is one file."""
+    cells = F.array_sort(F.collect_list(F.struct("line", "text")))
+    return lines.groupBy(F.col("file_path").alias("path")).agg(F.array_join(F.transform(cells, lambda c: c["text"]), "\n").alias("content"))
 
 
 def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +76,7 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = "cast(array() AS array<string>) AS params, cast(array() AS array<string>) AS tainted_vars"
     shape = "cast(0 AS int) AS line_start, cast(0 AS int) AS line_end"
     nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    customers = load(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("'c' || c_custkey AS id", "'SourceNode' AS type", "n_name || '/customer.py' AS file_path", *shape.split(", "), "c_mktsegment AS symbol", "'' AS framework", "'' AS vuln_class", "0.85D AS confidence", *none.split(", "))
+    customers = load(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("'c' || c_custkey AS id", "'SourceNode' AS type", "n_name || '/customer.py' AS file_path", *shape.split(", "), "c_mktsegment AS symbol", "'' AS framework", "'' AS vuln_class", "0.85D AS confidence", *none.split(", "))
     orders = load(spark, sf_dir, "orders").selectExpr("'o' || o_orderkey AS id", "'FunctionNode' AS type", "'orders.py' AS file_path", *shape.split(", "), "o_orderpriority AS symbol", "'' AS framework", "'' AS vuln_class", "0.0D AS confidence", *none.split(", "))
     parts = load(spark, sf_dir, "part").selectExpr("'p' || p_partkey AS id", "'SinkNode' AS type", "'parts.py' AS file_path", *shape.split(", "), "p_brand AS symbol", "'' AS framework", _CLASS.replace("event_id", "p_size") + " AS vuln_class", "0.85D AS confidence", *none.split(", "))
     return customers.unionByName(orders).unionByName(parts)

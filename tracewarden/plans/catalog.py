@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
 from tracewarden.functions.rules import LINE_RULES
-from tracewarden.operators import build, lines, posture, traverse
+from tracewarden.operators import build, extract, lines, posture, traverse
 from tracewarden.plans import adapters as A
 from tracewarden.plans import oracles as O
 from tracewarden.schema import SINK, SOURCE
-from tracewarden.sources.shared import load, written
+from tracewarden.sources.shared import load, shared_folder, written
+from tracewarden.sources.store import FactStore
+from tracewarden.streaming.changes import apply_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FLAT = ("id", "source_id", "sink_id", "path", "path_length", "vuln_class", "severity", "confidence", "file_path")
@@ -253,9 +255,7 @@ def posture_score(spark, sf_dir):
 def posture_by_module(spark, sf_dir):
     """The posture score of every service, over its sinks' paths."""
     module = F.element_at(F.split("file_path", "/"), 1)
-    counted = _paths(spark, sf_dir).groupBy(module.alias("module")).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITY_RANK])
-    score = F.greatest(F.lit(0), 100 - 25 * F.col("critical") - 15 * F.col("high") - 5 * F.col("medium") - 2 * F.col("low")).cast("long")
-    return counted.withColumn("score", score).withColumn("grade", S.grade(F.col("score")))
+    return posture.posture(_paths(spark, sf_dir), module.alias("module"))
 
 
 def file_context(spark, sf_dir):
@@ -354,16 +354,84 @@ def secret_lines(spark, sf_dir):
     return load(spark, sf_dir, "documents").filter(F.col("text").rlike(O.SECRET)).select("doc_id", F.regexp_extract("text", O.SECRET, 1).alias("kind"))
 
 
+def _extracted(language: str) -> Query:
+    """The facts of each user's program: nodes, functions and calls as rows of one shape."""
+
+    def query(spark, sf_dir):
+        files = extract.source_files(A.script_files(A.script_lines(spark, sf_dir, language)))
+        parsed, functions, calls = extract.facts(written(extract.syntax_events(files), "events"))
+        joined = lambda c: F.array_join(c, ",")
+        rows = [
+            parsed.select(F.lit("node").alias("fact"), "file_path", "line", F.col("symbol").alias("name"), F.concat_ws(" ", "kind", "vuln_class", joined("tainted_vars")).alias("detail")),
+            functions.select(F.lit("function").alias("fact"), "file_path", "line", "name", F.concat_ws(" ", joined("params"), F.col("is_handler").cast("string")).alias("detail")),
+            calls.select(F.lit("call").alias("fact"), "file_path", "line", F.col("callee").alias("name"), F.concat_ws(" ", "caller_func", joined("arg_names")).alias("detail")),
+        ]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("line", F.col("line").cast("long"))
+
+    return query
+
+
+def line_imports(spark, sf_dir):
+    """Imports by line patterns, in the programs of all three languages."""
+    found = [lines.line_imports(A.script_lines(spark, sf_dir, k), k) for k in A.ENDING]
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("line", F.col("line").cast("long"))
+
+
+def line_functions(spark, sf_dir):
+    """Function headers by line patterns, in the Python and Go programs."""
+    found = [lines.line_functions(A.script_lines(spark, sf_dir, k), k) for k in ("python", "go")]
+    return found[0].unionByName(found[1]).select("file_path", F.col("line").cast("long").alias("line"), "name", F.array_join("params", ",").alias("params"), "is_handler")
+
+
+def incremental_calls(spark, sf_dir):
+    """Call edges after three batches of changes: first halves of all programs; whole ones of every other user, with some that
+    didn't change; and deletions."""
+    rows = A.script_lines(spark, sf_dir, "python")
+    half = rows.filter("2 * line <= n")
+    store = FactStore(spark, shared_folder(spark, "facts"))
+    mark = lambda files, deleted: files.select("path", F.lit("python").alias("language"), F.lit(deleted).alias("is_delete"), "content", F.lit("2024-01-01").cast("timestamp").alias("event_time"))
+    apply_changes(store, mark(A.script_files(half), False))
+    apply_changes(store, mark(A.script_files(rows.filter("user_id % 2 = 0").unionByName(half.filter("user_id % 6 = 3"))), False))
+    apply_changes(store, mark(A.script_files(half.filter("user_id % 10 = 9")), True))
+    _, functions, calls = store.facts()
+    edges = build.call_edges(functions, calls, ordered=False)
+    return edges.select("id", "src", "dst", F.col("metadata")["call_line"].alias("call_line"))
+
+
+def page_script_calls(spark, sf_dir):
+    """Calls in the scripts of web pages."""
+    scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+    files = load(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("javascript").alias("language"), scripts.alias("content"))
+    found = extract.syntax_events(files).filter("event = 'call'").groupBy("file_path", "name").agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.col("file_path").cast("long").alias("page_id"), F.col("name").alias("callee"), "n")
+
+
+def graph_delta(spark, sf_dir):
+    """The nodes by which files grow from the first half of all events to all of them."""
+    nodes = A.event_nodes(spark, sf_dir)
+    half = load(spark, sf_dir, "events").agg(F.expr("cast((min(event_id) + max(event_id)) div 2 as long)")).first()[0] or 0
+    return posture.node_delta(nodes.filter(F.expr(f"cast(substring(id, 2) as long) <= {half}")), nodes)
+
+
+def order_paths(spark, sf_dir):
+    """Paths over the orders graph, where customers reach a part over several orders: the first in queue order counts."""
+    nodes, edges = A.order_nodes(spark, sf_dir), A.order_edges(spark, sf_dir)
+    found = traverse.first_paths(traverse.trace_forward(nodes, edges, max_nodes=3))
+    return found.select("source_id", "sink_id", F.array_join("path", ">").alias("path"))
+
+
 _QUERIES: tuple[Query, ...] = (
     find_all_paths, missing_sanitizers, paths_to_sink_class, paths_to_sink_file, sound_paths, class_aware_paths, trace_flow, trace_flow_whole, trace_flow_all, reach_counts, reach_counts_whole, attack_surface, attack_surface_module, blast_nodes, blast_nodes_all, blast_paths, blast_paths_all,
     node_stats, edge_stats, live_edges, out_degrees, nodes_by_type, nodes_by_file, stable_ids, severity_map, assign_targets, go_assign_targets, call_names, param_lists, line_index, dataflow_edges,
     func_registry, call_edges, call_edges_ordered, findings_by_severity, posture_score, posture_by_module, file_context, gate_high, path_depth_hist, diff_new, diff_resolved, diff_verdict, path_history, latest_change,
     file_replace, calibration_rates, order_surface, order_findings, request_parameters, secret_lines,
+    line_imports, line_functions, incremental_calls, page_script_calls, graph_delta, order_paths,
 )
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in _QUERIES} | {f"classify_lines_{k}": _classified(v) for k, v in (("py", "python"), ("ts", "typescript"), ("go", "go"))}
+    named = (("py", "python"), ("ts", "typescript"), ("go", "go"))
+    return {f.__name__: f for f in _QUERIES} | {f"classify_lines_{k}": _classified(v) for k, v in named} | {f"extracted_{k}": _extracted(v) for k, v in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracewarden.functions.rules import LINE_RULES
 from tracewarden.functions.scalar import REMEDIATION, REMEDIATION_DEFAULT, SEVERITY
-from tracewarden.plans.adapters import _CLASS, CODE, EVENT
+from tracewarden.plans.adapters import _CALLED, _CLASS, _NAME, CODE, ENDING, EVENT, SCRIPT
 
 SECRET = r'''(token|secret|password|api_key)\s*[=:]\s*["'][^"']+["']'''
 
@@ -78,6 +78,44 @@ _DIFF = f"{_PATHS}, a AS (SELECT id, severity FROM paths WHERE NOT starts_with(f
 _ORDERS = f"""p AS (SELECT DISTINCT c_custkey, n_name, p_partkey, p_size FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"""
 
 
+def _script(language: str) -> str:
+    return f"""c AS (SELECT 'repo/u' || user_id || '.{ENDING[language]}' AS file_path, row_number() OVER u AS line, {SCRIPT[language]} AS text, {_NAME} AS own, {_CALLED} AS called, event_id AS e, event_id % 8 AS k, user_id, count(*) OVER (PARTITION BY user_id) AS n,
+  coalesce(lag(event_id % 16 = 12) OVER u, false) AS decorated FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+
+#: What extraction finds in the programs: (kinds of lines, fact, name, detail).
+_FACTS = {
+    "python": (
+        ("k = 0", "function", "own", "CASE WHEN decorated THEN 'q,n true' ELSE 'q,n false' END"), ("k = 0 AND decorated", "node", "'q'", "'SourceNode  q'"), ("k = 0 AND decorated", "node", "'n'", "'SourceNode  n'"),
+        ("k = 1", "call", "called", "f || ' q,x' || e"), ("k = 2", "call", "'execute'", "f || ' q' || e"), ("k = 2", "node", "'cursor.execute'", "'SinkNode sqli '"),
+        ("k = 3", "call", "'get'", "f || ' q'"), ("k = 3", "node", "'request.args'", "'SourceNode  request.args'"), ("e % 16 = 12", "call", "'get'", "f || ' q'"),
+        ("k = 5", "call", "'escape'", "f || ' q'"), ("k = 5", "node", "'escape'", "'SanitizerNode xss '"), ("k = 7", "call", "'run'", "f || ' q'"), ("k = 7", "node", "'subprocess.run'", "'SinkNode rce '"),
+    ),
+    "typescript": (
+        ("k = 0", "function", "own", "'q,n false'"), ("k = 4", "function", "'f' || e", "'a,b false'"), ("k = 1", "call", "called", "' q,x' || e"), ("k = 2", "call", "'write'", "' q'"), ("k = 2", "node", "'write'", "'SinkNode xss '"),
+        ("k = 3", "node", "'req.query'", "'SourceNode  req.query'"), ("k = 5", "call", "'encodeURIComponent'", "' '"), ("k = 5", "call", "'run' || e", "' q'"), ("k = 5", "node", "'encodeURIComponent'", "'SanitizerNode xss '"), ("k = 7", "call", "'exec'", "' q'"), ("k = 7", "node", "'exec'", "'SinkNode rce '"),
+    ),
+    "go": (
+        ("k = 0", "function", "own", "'q,n false'"), ("k = 4", "function", "'m' || e", "'w,r true'"), ("k = 1", "call", "called", "' q,x' || e"), ("k = 2", "call", "'Exec'", "' q'"), ("k = 2", "node", "'db' || e || '.Exec'", "'SinkNode sqli '"),
+        ("k = 3", "call", "'FormValue'", "' q'"), ("k = 3", "node", "'r.FormValue'", "'SourceNode  r'"), ("k = 5", "call", "'EscapeString'", "' '"), ("k = 5", "node", "'html.EscapeString'", "'SanitizerNode xss '"), ("k = 7", "call", "'Open'", "' q'"), ("k = 7", "node", "'os.Open'", "'SinkNode path_traversal '"),
+    ),
+}
+
+
+def _extracted(language: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{fact}' AS fact, file_path, line, {name} AS name, {detail} AS detail FROM g WHERE {kinds}" for kinds, fact, name, detail in _FACTS[language])
+    return f"WITH {_script(language)}, d AS (SELECT file_path, arg_min(own, line) AS f FROM c WHERE k = 0 GROUP BY file_path), g AS (SELECT c.*, coalesce(f, '') AS f FROM c LEFT JOIN d USING (file_path)) {rows}"
+
+
+_IMPORTED = {"python": "'p' || e", "typescript": "'m' || e", "go": "'m' || e"}
+_INCREMENTAL = f"""WITH {_script('python')}, l AS (SELECT * FROM c WHERE user_id % 10 <> 9 AND (user_id % 2 = 0 OR 2 * line <= n)), d AS (SELECT file_path, arg_min(own, line) AS caller FROM l WHERE k = 0 GROUP BY file_path),
+  f AS (SELECT file_path, line, own AS name, substr(sha256(file_path || ':' || line || ':' || own), 1, 16) AS func_id FROM l WHERE k = 0), s AS (SELECT l.file_path, line, caller, called AS callee FROM l JOIN d USING (file_path) WHERE k = 1), {_LAST},
+  g AS (SELECT a.func_id AS src, b.func_id AS dst, s.line, s.file_path FROM s JOIN last a ON a.name = caller JOIN last b ON b.name = callee) {_CALLS}"""
+_EDGE = "substr(sha256('{a}' || {x} || '→' || '{b}' || {y} || '[dataflow]'), 1, 16)"
+_ORDER_PATHS = f"""WITH o AS (SELECT o_custkey, o_orderkey, {_EDGE.format(a='c', x='o_custkey', b='o', y='o_orderkey')} AS e FROM orders JOIN customer ON c_custkey = o_custkey), h AS (SELECT DISTINCT l_orderkey, l_partkey, {_EDGE.format(a='o', x='l_orderkey', b='p', y='l_partkey')} AS e FROM lineitem JOIN part ON p_partkey = l_partkey),
+  w AS (SELECT 'c' || o_custkey AS source_id, 'p' || l_partkey AS sink_id, arg_min(o_orderkey, [o.e, h.e]) AS via FROM o JOIN h ON l_orderkey = o_orderkey GROUP BY ALL) SELECT source_id, sink_id, source_id || '>o' || via || '>' || sink_id AS path FROM w"""
+
+
 def texts() -> dict[str, str]:
     order_class = _CLASS.replace("event_id", "p_size")
     advice = _case("vuln_class", REMEDIATION, REMEDIATION_DEFAULT)
@@ -134,6 +172,13 @@ def texts() -> dict[str, str]:
         "request_parameters": r"WITH q AS (SELECT regexp_extract(url, '^https?://([^/?]+)', 1) AS host, regexp_extract(url, '\?(.*)$', 1) AS query FROM pages), u AS (SELECT host, split_part(unnest(string_split(query, '&')), '=', 1) AS parameter FROM q WHERE query <> '') SELECT host, parameter, count(*) AS n FROM u GROUP BY ALL",
         "secret_lines": f"SELECT doc_id, regexp_extract(text, {_quoted(SECRET)}, 1) AS kind FROM documents WHERE regexp_matches(text, {_quoted(SECRET)})",
     }
+    found["line_imports"] = " UNION ALL ".join(f"(WITH {_script(k)} SELECT file_path, line, {v} AS package FROM c WHERE k = 6)" for k, v in _IMPORTED.items())
+    found["line_functions"] = f"(WITH {_script('python')} SELECT file_path, line, own AS name, 'q,n' AS params, decorated AS is_handler FROM c WHERE k = 0) UNION ALL (WITH {_script('go')} SELECT file_path, line, CASE k WHEN 0 THEN own ELSE 'm' || e END, CASE k WHEN 0 THEN 'q,n' ELSE 'w,r' END, k = 4 FROM c WHERE k IN (0, 4))"
+    found["incremental_calls"] = _INCREMENTAL
+    found["page_script_calls"] = r"WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages), c AS (SELECT page_id, unnest(regexp_extract_all(body, '([A-Za-z_$][A-Za-z0-9_$]*)\(', 1)) AS callee FROM s) SELECT page_id, callee, count(*) AS n FROM c GROUP BY ALL"
+    found["graph_delta"] = f"WITH {_NODES}, h AS (SELECT (min(event_id) + max(event_id)) // 2 AS m FROM events), d AS (SELECT file_path, count(*) FILTER (event_id > m) AS n FROM n, h GROUP BY file_path) SELECT coalesce(sum(n), 0)::BIGINT AS added FROM d"
+    found["order_paths"] = _ORDER_PATHS
     for key, language in (("py", "python"), ("ts", "typescript"), ("go", "go")):
+        found[f"extracted_{key}"] = _extracted(language)
         found[f"classify_lines_{key}"] = f"WITH {_code(language)}, {_rules(language)} SELECT file_path, line, rule, kind, symbol, vuln_class, tainted_vars FROM r"
     return found

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.operators.posture import replace_files
-from tracewarden.schema import EDGES, NODES
+from tracewarden.operators import build
+from tracewarden.schema import CALL_SITES, EDGES, FUNCTIONS, NODES, PARSED_NODES
 
 VERSIONS = "number long, folder string"
 
@@ -56,3 +57,70 @@ class GraphStore:
     def replace(self, files: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> int:
         """A new version with the facts of ``files`` (column file_path) replaced; files without new facts are deleted."""
         return self.write(*replace_files(*self.read(), files, new_nodes, new_edges))
+
+
+FACTS = {"files": "file_path string, hash string", "parsed": PARSED_NODES, "functions": FUNCTIONS, "calls": CALL_SITES}
+
+
+class FactStore:
+    """The facts of files below ``path``, dealt into ``buckets`` by a hash of the file; the graph is built from them when it is read.
+
+    A new version holds only the buckets whose files changed; a small table says which version holds each bucket. So a
+    batch of changes rewrites its own buckets, and calls in files that didn't change find functions that did: the graph after any
+    batches is that of one build over the files as they are. One writer at a time is assumed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, namespace: str = "default", buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, f"{path.rstrip('/')}/{namespace}", buckets
+
+    def _versions(self) -> list[tuple[int, int, str]]:
+        """(number, bucket, folder), newest first: a row for each bucket of each version."""
+        try:
+            rows = self.spark.read.schema("number long, bucket int, folder string").parquet(f"{self.path}/versions").collect()
+        except Exception as e:  # no version yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = []
+        return sorted((tuple(r) for r in rows), reverse=True)
+
+    def latest(self) -> tuple[int, str] | None:
+        found = self._versions()
+        return (found[0][0], found[0][2]) if found else None
+
+    def _bucket(self) -> Column:
+        return F.expr(f"cast(pmod(xxhash64(file_path), {self.buckets}) as int)")
+
+    def table(self, name: str, number: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """A table of facts in a version, by default the latest; only some of its buckets, if given."""
+        folders: dict[str, list[int]] = {}
+        seen = set()
+        for n, bucket, folder in self._versions():
+            if (number is None or n <= number) and bucket not in seen and (only is None or bucket in only):
+                seen.add(bucket)
+                folders.setdefault(folder, []).append(bucket)
+        out = self.spark.createDataFrame([], FACTS[name])
+        for folder, buckets in sorted(folders.items()):
+            found = self.spark.read.schema(f"{FACTS[name]}, bucket int").parquet(f"{self.path}/{folder}/{name}")
+            out = out.unionByName(found.filter(F.col("bucket").isin(buckets)).drop("bucket"))
+        return out
+
+    def facts(self, number: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self.table("parsed", number), self.table("functions", number), self.table("calls", number)
+
+    def read(self, number: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of a version, with call edges whatever the order of files."""
+        return build.build_graph(*self.facts(number), ordered=False)
+
+    def replace(self, files: DataFrame, new: dict[str, DataFrame]) -> int:
+        """A new version in which the facts of ``files`` (column file_path) are those in ``new`` (by table), and no others."""
+        last = self.latest()
+        number, folder = (last[0] + 1 if last else 1), f"v-{uuid.uuid4().hex}"
+        gone = files.select("file_path").distinct()
+        touched = sorted(r[0] for r in gone.select(self._bucket()).distinct().collect())  # at most ``buckets``
+        for name in FACTS:
+            columns = [f.name for f in self.spark.createDataFrame([], FACTS[name]).schema]
+            kept = self.table(name, only=touched).join(gone, "file_path", "left_anti")
+            rows = kept.select(columns).unionByName(new[name].select(columns))
+            rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{name}")
+        self.spark.createDataFrame([(number, b, folder) for b in touched], "number long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        return number

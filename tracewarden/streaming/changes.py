@@ -10,7 +10,7 @@ from tracewarden.operators import build, extract
 from tracewarden.schema import CHANGES
 from tracewarden.sources.repository import inside_tree
 from tracewarden.sources.shared import written
-from tracewarden.sources.store import GraphStore
+from tracewarden.sources.store import FactStore
 
 
 def read_changes(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -34,19 +34,22 @@ def debounced(changes: DataFrame, quiet: str = "150 milliseconds", late: str = "
     return last.select("path", "c.language", "c.is_delete", "c.content", "event_time")
 
 
-def apply_changes(store: GraphStore, changes: DataFrame) -> int | None:
-    """Apply a batch of changes to the store: the last one of each path counts; deleted files go, changed files are
-    extracted again. Applying a batch twice gives the same graph. None for an empty batch."""
+def apply_changes(store: FactStore, changes: DataFrame) -> int | None:
+    """Apply a batch of changes to the store: the last one of each path counts; deleted files go, files whose content
+    has changed are extracted again, others are skipped. Applying a batch twice gives the same graph. None for a batch without changes."""
     last = written(build.latest(supported(changes)), "changes")
-    if last.isEmpty():
+    files = extract.source_files(last.filter(~F.coalesce("is_delete", F.lit(False))).select("path", "content"))
+    known = store.table("files").select(F.col("file_path").alias("path"), "hash")
+    fresh = written(files.join(known, ["path", "hash"], "left_anti"), "files")
+    gone = last.filter(F.coalesce("is_delete", F.lit(False))).select("path").unionByName(fresh.select("path"))
+    if gone.isEmpty():
         return None
-    files = last.filter(~F.col("is_delete")).select("path", "content")
-    events = written(extract.syntax_events(extract.source_files(files)), "events")
-    nodes, edges = build.build_graph(*extract.facts(events), ordered=False)
-    return store.replace(last.select(F.col("path").alias("file_path")), nodes, edges)
+    events = written(extract.syntax_events(fresh), "events")
+    parsed, functions, calls = extract.facts(events)
+    return store.replace(gone.select(F.col("path").alias("file_path")), {"files": fresh.select(F.col("path").alias("file_path"), "hash"), "parsed": parsed, "functions": functions, "calls": calls})
 
 
-def start(changes: DataFrame, store: GraphStore, checkpoint: str, available_now: bool = False):
+def start(changes: DataFrame, store: FactStore, checkpoint: str, available_now: bool = False):
     """Run the stream into the store; a restart from the checkpoint repeats at most the last batch."""
     writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: apply_changes(store, batch) and None)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
