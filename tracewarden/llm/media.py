@@ -224,24 +224,29 @@ def media_features(media: DataFrame) -> DataFrame:
     """Read a ``to_media`` column back, test it and describe it.
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature): all
-    from the stored bytes; ``feature`` is the cosine hash, 16 hexadecimal digits. A null image gives nulls;
-    a damaged one raises MediaError.
+    from the stored bytes; ``feature`` is the cosine hash, 16 hexadecimal digits. A null image gives nulls; of a
+    damaged one, what is read from its samples is null and ``damage`` says why, so that one image doesn't end the job.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "damage"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc, size, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if not cell.is_valid:
-                    rows.append((doc, size, None, None, None, None, None, None))
+                    rows.append((doc, size, None, None, None, None, None, None, None))
                     continue
                 stored = cell.as_py()
-                image = decode_png(stored)
+                whole = (len(stored), hashlib.sha256(stored).hexdigest())
+                try:
+                    image = decode_png(stored)
+                except MediaError as e:
+                    rows.append((doc, size, None, None, None, *whole, None, str(e)))
+                    continue
                 payload = image.tobytes()
-                rows.append((doc, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(image)))
+                rows.append((doc, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *whole, cosine_hash(image), None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, damage string")
