@@ -179,10 +179,9 @@ def test_jaccard_near_copies_under_null_ids(spark):
 
 
 def test_jaccard_halves_by_bytes(spark):
-    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (8, 7), (7, 7)], "node long, component long")
-    sets = spark.createDataFrame([(d, 0, 1000 if d < 4 else 10) for d in (1, 2, 3, 7, 8, 8)], "d1 long, d2 long, n long")
-    got = {tuple(r) for r in sigtree._halves(groups, sets, 16384, 8000).collect()}
-    assert got == {(1, 1, 3), (2, 1, 3), (3, 1, 3), (7, 7, 1), (8, 7, 1)}
+    members = spark.createDataFrame([(1, 1000), (1, 1000), (1, 1000), (7, 10), (7, 10)], "comp long, n long")
+    assert {tuple(r) for r in sigtree._blocks(members, "blocks", 16384, 8000).collect()} == {(1, 3), (7, 1)}
+    assert {tuple(r) for r in sigtree._blocks(members, "blocks", 2, 1 << 30).collect()} == {(1, 2), (7, 1)}
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = [(d, " ".join("zz" if rng.random() < 0.03 else w for w in base)) for d in range(60)]
@@ -190,6 +189,21 @@ def test_jaccard_halves_by_bytes(spark):
     assert got == jaccard_brute(rows)
 
 
+def test_jaccard_clusters_of_one_candidate_group(spark):
+    # texts drift word by word, so that neighbours link and the group falls into clusters where the drift jumps
+    words = [f"w{i}" for i in range(400)]
+    rows, at = [], 0
+    rng = random.Random(10)
+    for d in range(150):
+        at += rng.choice([1, 1, 2, 9, 10])
+        rows.append((d, " ".join(words[at % 300 : at % 300 + 70])))
+    rng.shuffle(rows)
+    for half in (5, 25):
+        got = {r[0]: tuple(r[1:]) for r in sigtree.jaccard_groups(spark.createDataFrame(rows, SCHEMA), half=half).collect()}
+        assert got == jaccard_brute(rows)
+    assert 1 < len({c for _, c in got.values()}) < 100
+
+
 def test_decontaminate(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(3000)]

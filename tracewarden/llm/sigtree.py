@@ -11,6 +11,12 @@ leaves are documents, and each inner node holds the OR of its children's shingle
 set sizes, and whether all of them are known to be linked. A traversal of the tree against itself drops
 every node pair whose largest possible overlap is under the least overlap that a link needs, and every
 pair inside one linked component, and compares the sets of the document pairs that are left.
+
+No task holds more than a bounded part of a candidate group. A larger group is dealt into blocks, which are linked
+by themselves; then the blocks' leaders, one for each cluster, are linked with each other, so that the near copies of one
+text become one cluster however many they are. What is left are links between different clusters: the sets outside the
+group's largest cluster visit every block. A group of one cluster is thus compared once, set by set; only a group of many
+large clusters costs more than its size.
 """
 
 from __future__ import annotations
@@ -25,10 +31,8 @@ from tracewarden.llm.components import components
 
 #: Children of a tree node.
 FAN = 8
-#: Classes in one half of a group's task; larger groups become a grid of pairs of halves.
-HALF = 16384
-#: Bytes of sets in one half; a component of more is cut into more halves.
-HALF_BYTES = 96 << 20
+#: Classes, and bytes of sets, in a block of a candidate group.
+HALF, HALF_BYTES = 2048, 24 << 20
 _MARK = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
@@ -152,12 +156,17 @@ class SignatureTree:
             waiting.append((level - 1, cx[inside], cy[inside]))
 
 
-def linked_labels(sets: list[np.ndarray], num: int, den: int, halves: np.ndarray | None = None) -> np.ndarray:
+def linked_labels(sets: list[np.ndarray], num: int, den: int, halves: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
     """For each set the first position that it reaches by links of den * both >= num * either.
 
-    With ``halves`` (0 or 1), only pairs across the halves need to be found; others may be.
+    With ``halves`` (0 or 1), only pairs across the halves need to be found; others may be. Sets that have
+    the same ``known`` label are known to be linked.
     """
     n, linked = len(sets), Linked(len(sets))
+    if known is not None:
+        _, first, back = np.unique(known, return_index=True, return_inverse=True)
+        for i, j in enumerate(first[back].tolist()):
+            linked.join(i, j)
     sizes = np.array([len(s) for s in sets], np.int64)
 
     def links(a: int, b: int) -> bool:
@@ -257,9 +266,7 @@ def _rows(chunk: int, table: pa.Table, flags: pa.Table, size: int, num: int, den
 
 def _links(table: pa.Table, num: int, den: int) -> pa.Table:
     """The links within a cell, as edges from each class to the first one that it reaches."""
-    comp = np.asarray(table.column("comp"))
-    half = np.asarray(table.column("half"))
-    node = np.asarray(table.column("node"))
+    comp, half, node, label = (np.asarray(table.column(n)) for n in ("comp", "half", "node", "label"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("blob")]
     order = np.lexsort((node, comp))
     cuts = np.append(np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1])), len(order))
@@ -269,18 +276,51 @@ def _links(table: pa.Table, num: int, den: int) -> pa.Table:
         if len(members) < 2:
             continue
         halves = half[members]
-        labels = linked_labels([sets[i] for i in members], num, den, halves if halves.min() != halves.max() else None)
+        guests = halves.min() != halves.max()
+        labels = linked_labels([sets[i] for i in members], num, den, halves if guests else None, label[members] if guests else None)
         src.append(node[members])
         dst.append(node[members][labels])
     src, dst = np.concatenate(src), np.concatenate(dst)
     return pa.table({"src": pa.array(src[src != dst]), "dst": pa.array(dst[src != dst])})
 
 
-def _halves(groups: DataFrame, sets: DataFrame, half: int, half_bytes: int) -> DataFrame:
-    """(d1, comp, halves): in how many halves the sets of each class's component are compared, by their number and bytes."""
-    held = groups.join(sets.select("d1", "d2", "n").distinct(), groups["node"] == F.col("d1"))
-    sizes = held.groupBy("component").agg(F.expr(f"cast(greatest(ceil(count(1) / {half}), ceil(sum(n * 8) / {half_bytes})) as int)").alias("halves"))
-    return groups.join(sizes.filter("halves > 1"), "component", "left").selectExpr("node as d1", "component as comp", "coalesce(halves, 1) as halves")
+def _blocks(members: DataFrame, name: str, half: int, half_bytes: int) -> DataFrame:
+    """(comp, name): into how many blocks the sets of each component go, by their number and bytes; ``members`` has comp and n."""
+    return members.groupBy("comp").agg(F.expr(f"cast(greatest(ceil(count(1) / {half}), ceil(sum(n * 8) / {half_bytes})) as int)").alias(name))
+
+
+def _links_of(placed: DataFrame, num: int, den: int) -> DataFrame:
+    return placed.select("cell", "comp", "half", "node", "label", "blob").groupBy("cell").applyInArrow(lambda t: common.released(_links(t, num, den)), "src long, dst long")
+
+
+def _all_links(sets: DataFrame, groups: DataFrame, num: int, den: int, parts: int, half: int, half_bytes: int) -> DataFrame:
+    """(src, dst): edges that connect what is linked, of ``sets`` (node, n, blob) in candidate ``groups`` (node, component)."""
+    members = sets.join(groups.withColumnRenamed("component", "comp"), "node")
+    members = members.join(_blocks(members, "blocks", half, half_bytes).filter("blocks > 1"), "comp", "left").fillna(1, ["blocks"])
+    members = common.written(members.withColumn("mine", F.expr("cast(pmod(xxhash64(node), blocks) as int)")), "members")
+    alone = members.select("*", F.lit(0).alias("half"), F.col("node").alias("label"))
+    links = common.written(_links_of(alone.withColumn("cell", F.expr(f"if(blocks = 1, pmod(xxhash64(comp), {2 * parts}), xxhash64(comp, mine))")), num, den), "links")
+    large = members.filter("blocks > 1")
+    if large.select("comp").isEmpty():
+        return links
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        found = components(edges).withColumnRenamed("component", "label")
+        return large.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    leaders = labelled(links).filter("label = node").drop("label")
+    leaders = leaders.join(_blocks(leaders, "rooms", half, half_bytes), "comp").withColumn("cell", F.expr("xxhash64(comp, pmod(xxhash64(node, 1), rooms))"))
+    links = common.written(links.unionByName(_links_of(leaders.select("*", F.lit(0).alias("half"), F.col("node").alias("label")), num, den)), "links")
+    named = common.written(labelled(links), "named")
+    sizes = named.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("comp").agg(F.max_by("label", F.struct("k", F.negative("label"))).alias("main"))
+    minor = named.join(largest, "comp").filter("label <> main").drop("main")
+    rooms = _blocks(minor, "rooms", half, half_bytes)
+    hosts = named.join(rooms, "comp").select("*", F.explode(F.expr("sequence(0, rooms - 1)")).alias("room"), F.lit(0).alias("half"))
+    guests = minor.join(rooms, "comp").withColumn("room", F.expr("cast(pmod(xxhash64(node, 2), rooms) as int)"))
+    guests = guests.drop("mine").select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("mine"), F.lit(1).alias("half"))
+    both = hosts.unionByName(guests).withColumn("cell", F.expr("xxhash64(comp, mine, room, 3)"))
+    return links.unionByName(_links_of(both, num, den))
 
 
 def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", half: int = HALF, half_bytes: int = HALF_BYTES) -> DataFrame:
@@ -291,8 +331,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100
     an empty set, links with nothing and is its own component. Null texts count as empty; a null id takes
     part, but is nobody's smallest id (a component of null ids alone has a null component_id); repeated
     rows link with each other. Other columns are not read; an empty table gives an empty table. Copies are
-    one class and are never paired; large groups are compared in cells of about 2 * ``half`` classes
-    or 2 * ``half_bytes`` bytes of sets, whichever is less.
+    one class and are never paired; large groups are compared in blocks of about ``half`` classes
+    or ``half_bytes`` bytes of sets, whichever is less (a single longer set is a block). A word may have any length.
     Writes intermediate tables to the shared folder.
     """
     many, parts = common.groups_of(docs, text_col)
@@ -311,12 +351,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100
     edges = told.filter("kind = 2").select("part", "blob").groupBy("part").applyInArrow(lambda t: _candidate_edges(t, num, den), "src long, dst long")
     groups = components(edges)
     groups = groups.union(groups.select("component", "component").distinct().toDF("node", "component"))
-    cells = _halves(groups, told.filter("kind = 1"), half, half_bytes)
-    sets = told.filter("kind = 1").groupBy("d1", "d2", "n").agg(F.any_value("blob").alias("blob"))
-    placed = sets.join(cells, "d1").withColumn("mine", F.expr("cast(pmod(xxhash64(d1), halves) as int)"))
-    placed = placed.select(F.col("d1").alias("node"), "comp", "halves", "mine", "blob", F.explode(F.expr("sequence(0, halves - 1)")).alias("other"))
-    placed = placed.select("node", "comp", "blob", F.expr(f"if(halves = 1, pmod(xxhash64(comp), {2 * parts}), xxhash64(comp, least(mine, other), greatest(mine, other)))").alias("cell"), F.expr("cast(mine > other as int)").alias("half"))
-    links = placed.groupBy("cell").applyInArrow(lambda t: _links(t, num, den), "src long, dst long")
+    sets = told.filter("kind = 1").groupBy("d1").agg(F.first("n").alias("n"), F.first("blob").alias("blob")).withColumnRenamed("d1", "node")
+    links = _all_links(sets, groups, num, den, parts, half, half_bytes)
     # links run between classes, so that those of null ids take part; each component is then named by its smallest id
     found = components(links)
     found = found.union(found.select("component", "component").distinct().toDF("node", "component"))
