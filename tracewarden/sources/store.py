@@ -90,19 +90,19 @@ class FactStore:
     def _bucket(self) -> Column:
         return F.expr(f"cast(pmod(xxhash64(file_path), {self.buckets}) as int)")
 
-    def table(self, name: str, number: int | None = None, only: list[int] | None = None) -> DataFrame:
-        """A table of facts in a version, by default the latest; only some of its buckets, if given."""
+    def table(self, name: str, number: int | None = None, only: list[int] | None = None, versions: list[tuple[int, int, str]] | None = None) -> DataFrame:
+        """A table of facts in a version, by default the latest; only some of its buckets, if given. ``versions`` saves reading them again."""
         folders: dict[str, list[int]] = {}
         seen = set()
-        for n, bucket, folder in self._versions():
+        for n, bucket, folder in self._versions() if versions is None else versions:
             if (number is None or n <= number) and bucket not in seen and (only is None or bucket in only):
                 seen.add(bucket)
                 folders.setdefault(folder, []).append(bucket)
-        out = self.spark.createDataFrame([], FACTS[name])
+        out = None
         for folder, buckets in sorted(folders.items()):
-            found = self.spark.read.schema(f"{FACTS[name]}, bucket int").parquet(f"{self.path}/{folder}/{name}")
-            out = out.unionByName(found.filter(F.col("bucket").isin(buckets)).drop("bucket"))
-        return out
+            found = self.spark.read.schema(f"{FACTS[name]}, bucket int").parquet(f"{self.path}/{folder}/{name}").filter(F.col("bucket").isin(buckets)).drop("bucket")
+            out = found if out is None else out.unionByName(found)
+        return self.spark.createDataFrame([], FACTS[name]) if out is None else out
 
     def facts(self, number: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self.table("parsed", number), self.table("functions", number), self.table("calls", number)
@@ -113,13 +113,13 @@ class FactStore:
 
     def replace(self, files: DataFrame, new: dict[str, DataFrame]) -> int:
         """A new version in which the facts of ``files`` (column file_path) are those in ``new`` (by table), and no others."""
-        last = self.latest()
-        number, folder = (last[0] + 1 if last else 1), f"v-{uuid.uuid4().hex}"
+        versions = self._versions()
+        number, folder = (versions[0][0] + 1 if versions else 1), f"v-{uuid.uuid4().hex}"
         gone = files.select("file_path").distinct()
         touched = sorted(r[0] for r in gone.select(self._bucket()).distinct().collect())  # at most ``buckets``
         for name in FACTS:
-            columns = [f.name for f in self.spark.createDataFrame([], FACTS[name]).schema]
-            kept = self.table(name, only=touched).join(gone, "file_path", "left_anti")
+            columns = [c.split()[0] for c in FACTS[name].split(", ")]
+            kept = self.table(name, only=touched, versions=versions).join(gone, "file_path", "left_anti")
             rows = kept.select(columns).unionByName(new[name].select(columns))
             rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{name}")
         self.spark.createDataFrame([(number, b, folder) for b in touched], "number long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
