@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tracewarden.llm import decontaminate, fmindex, lpf, sigtree
+from tracewarden.llm import common, decontaminate, fmindex, lpf, sigtree
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string"
@@ -164,6 +164,14 @@ def test_jaccard_edges(spark):
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in got) == [(False, 4), (False, 4), (True, 4), (True, 4)]
 
 
+def test_jaccard_copies_over_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(common, "CHUNK_BYTES", 2000)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(d, " ".join(words)) for d in range(3, 200)] + [(d, " ".join(words[:38])) for d in (1, 300)] + [(d, f"alone {d} a b c d e") for d in range(400, 420)]
+    got = {r[0]: tuple(r[1:]) for r in sigtree.jaccard_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == jaccard_brute(rows) and got[150] == (36, 1)
+
+
 def test_jaccard_near_copies_under_null_ids(spark):
     words = [f"w{i}" for i in range(100)]
     text = lambda a, b, base=words: " ".join(["x"] * a + base[a : len(base) - b] + ["y"] * b)

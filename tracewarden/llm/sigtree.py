@@ -218,7 +218,8 @@ ROWS_SCHEMA = "kind int, doc_id long, n long, d1 long, d2 long, part int, blob b
 
 
 def _rows(chunk: int, table: pa.Table, flags: pa.Table, size: int, num: int, den: int, parts: int) -> pa.Table:
-    """What a chunk says: a row for each document (kind 0), each distinct candidate set (kind 1), postings by part (kind 2)."""
+    """What a chunk says: a row for each document (kind 0, with the chunk as part), each distinct candidate set (kind 1), postings by
+    part (kind 2)."""
     ids, null, _, data, offsets = common.ordered_rows(table)
     sets, bounds = shingle_sets(data, offsets, size)
     n = np.diff(bounds)
@@ -242,7 +243,7 @@ def _rows(chunk: int, table: pa.Table, flags: pa.Table, size: int, num: int, den
         tokens.append(sets[a:b][order])
         which.append(np.full(len(order), row))
     total = len(ids)
-    out = {"kind": [np.zeros(total, np.int32)], "doc_id": [ids], "n": [n], "d1": [d1], "d2": [d2], "part": [np.zeros(total, np.int32)]}
+    out = {"kind": [np.zeros(total, np.int32)], "doc_id": [ids], "n": [n], "d1": [d1], "d2": [d2], "part": [np.full(total, chunk, np.int32)]}
     blobs: list[bytes | None] = [None] * total
     masks = [null]
     if owners:
@@ -346,8 +347,11 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100
     totals = common.counted(chunks, send)
     told = common.written(chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(lambda key, t, f: _rows(key[0].as_py(), t, f, size, num, den, parts), ROWS_SCHEMA), "shingles")
 
-    rows = told.filter("kind = 0 and n > 0").select("doc_id", "n", "d1", "d2")
-    classes = rows.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    # a class asks and hears once a chunk: a text that a third of all rows hold is one row a chunk, never one key with all rows
+    name = ["d1", "d2", "n"]
+    rows = told.filter("kind = 0 and n > 0").select("doc_id", *name, F.col("part").alias("chunk"))
+    cells = rows.groupBy(*name, "chunk").agg(F.min("doc_id").alias("rep"))
+    classes = cells.groupBy(*name).agg(F.min("rep").alias("rep"))
     edges = told.filter("kind = 2").select("part", "blob").groupBy("part").applyInArrow(lambda t: _candidate_edges(t, num, den), "src long, dst long")
     groups = components(edges)
     groups = groups.union(groups.select("component", "component").distinct().toDF("node", "component"))
@@ -358,7 +362,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100
     found = found.union(found.select("component", "component").distinct().toDF("node", "component"))
     least = found.join(classes, found["node"] == classes["d1"]).groupBy("component").agg(F.min("rep").alias("least"))
     found = found.join(least, "component").select(F.col("node").alias("d1"), "least")
-    named = classes.join(found, "d1", "left").select("d1", "d2", "n", F.coalesce("least", "rep").alias("component_id"))
-    linked = rows.join(named, ["d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = classes.join(found, "d1", "left").select(*name, F.coalesce("least", "rep").alias("component_id"))
+    told_to = cells.drop("rep").join(named, name)
+    linked = rows.join(told_to, [*name, "chunk"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = told.filter("kind = 0 and n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
