@@ -61,9 +61,12 @@ def test_decontaminate_against_all_alignments(spark):
             at = rng.randint(0, len(w))
             w[at:at] = piece
         docs.append((d, " ".join(w)))
-    got = decontaminate.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    docs += [(1000 + d, "so " + items[0][1] + " it ends") for d in range(80)]  # a passage that a third of all rows hold
     want = contaminated_brute(docs, items)
-    assert {(r["doc_id"], r["item_id"]): r["n_matched"] for r in got} == want and len(want) > 10
+    assert len(want) > 90
+    for small in (decontaminate.SMALL, 0):
+        got = decontaminate.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), small=small).collect()
+        assert {(r["doc_id"], r["item_id"]): r["n_matched"] for r in got} == want
 
 
 def kernel_brute(a, b):

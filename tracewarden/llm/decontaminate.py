@@ -25,6 +25,8 @@ from tracewarden.llm import common
 MASKS = ("11111", "110111", "1110111", "11011011")
 #: Bits of the filter for each seed of the benchmark, and the most it may have (32 MB).
 FILTER_BITS, FILTER_MOST = 256, 1 << 28
+#: The most bytes of a benchmark table that a join broadcasts, and the salts of its keys beyond.
+SMALL, SALTS = 16 << 20, 16
 _GAP = 32
 _MARGIN = 48
 _PARTITIONS = 16
@@ -119,9 +121,8 @@ def _passing(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return at[table[two[at]]]
 
 
-def _filter(seeds: DataFrame) -> tuple[bytes, int]:
-    """The filter's bits, packed and compressed: one bitmap of bounded size from each of at most _PARTITIONS tasks."""
-    count = seeds.count()
+def _filter(seeds: DataFrame, count: int) -> tuple[bytes, int]:
+    """The filter's bits for ``count`` seeds, packed and compressed: one bitmap of bounded size from each of at most _PARTITIONS tasks."""
     bits = 1 << int(min(FILTER_MOST, max(1 << 16, FILTER_BITS * count)) - 1).bit_length()
 
     def run(batches):
@@ -173,7 +174,19 @@ def _regions(docs: DataFrame, packed: bytes, bits: int) -> DataFrame:
     return common.texts(docs).filter("doc_id is not null").mapInArrow(run, REGIONS_SCHEMA)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, matches: int = 10, least: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _joined(spots: DataFrame, table: DataFrame, key: str, small: bool) -> DataFrame:
+    """``spots`` (doc_id, start, ...) joined with a benchmark table on ``key``.
+
+    A small table goes to every task, so no spot moves. A larger one stands under each of SALTS salts, so that
+    the spots of a key that a third of all rows hold are dealt over as many tasks.
+    """
+    if small:
+        return spots.join(F.broadcast(table), key)
+    dealt = spots.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id, start), {SALTS}) as int)"))
+    return dealt.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"]).drop("salt")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, matches: int = 10, least: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", small: int = SMALL) -> DataFrame:
     """(doc_id, item_id, n_matched, first_word, end_word): documents that hold benchmark passages.
 
     A document holds an item when a stretch of its words, laid word by word on the item, has at least
@@ -182,16 +195,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, matches: int = 10, least
     words count once, under the smallest id; items with fewer than ``least`` words are too short to be
     evidence and match nothing. Null texts are empty and match nothing; rows with a null id can't be
     reported and are left out; rows with equal ids count as one document. Other columns are not read; an
-    empty table on either side gives an empty table. Writes intermediate tables to the shared folder.
+    empty table on either side gives an empty table. A benchmark table of at most ``small`` bytes is broadcast, a
+    larger one joined under salted keys; the rows are the same. Writes intermediate tables to the shared folder.
     """
     renamed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = common.written(_items(benchmark, item_col, item_text_col), "items")
     seeds = common.written(_item_seeds(items, least), "seeds")
-    regions = common.written(_regions(renamed, *_filter(seeds)), "regions")
+    n_seeds, item_bytes = seeds.count(), items.agg(F.sum(F.octet_length("words") + 32)).first()[0] or 0
+    regions = common.written(_regions(renamed, *_filter(seeds, n_seeds)), "regions")
     spots = regions.select("doc_id", "start", F.explode(F.arrays_zip("seeds", "places")).alias("s")).selectExpr("doc_id", "start", "s.seeds as seed", "s.places as place")
-    aligned = spots.join(seeds, "seed").select("doc_id", "start", "item_id", F.expr("place - start - at").alias("shift")).distinct()
+    # a seed of a joined table takes some 64 bytes
+    aligned = _joined(spots, seeds, "seed", 64 * n_seeds <= small).select("doc_id", "start", "item_id", F.expr("place - start - at").alias("shift")).distinct()
     # rows with equal ids may have regions with equal starts: every one of them is tried
-    both = aligned.join(regions.select("doc_id", "start", F.col("words").alias("mine")), ["doc_id", "start"]).join(items.withColumnRenamed("words", "theirs"), "item_id")
+    mine = aligned.join(regions.select("doc_id", "start", F.col("words").alias("mine")), ["doc_id", "start"])
+    both = _joined(mine, items.withColumnRenamed("words", "theirs"), "item_id", item_bytes <= small)
 
     def verify(batches):
         for batch in batches:
