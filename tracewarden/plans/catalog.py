@@ -218,16 +218,18 @@ def dataflow_edges(spark, sf_dir):
 
 
 def _functions(spark, sf_dir) -> DataFrame:
-    """A function for each 'def' line, named by the line."""
-    defs = A.code_lines(spark, sf_dir, "python").filter("event_id % 12 = 5")
-    return defs.select("file_path", F.col("line").cast("int").alias("ord"), F.concat(F.lit("handler"), (F.col("event_id") % 7).cast("string")).alias("name"), F.col("line").cast("int").alias("line"), F.array().cast("array<string>").alias("params"), F.lit(False).alias("is_handler"), F.lit("").alias("framework"))
+    """A function for each header among the rendered lines, named as the header says."""
+    header = r"^def\s+(\w+)\s*\("
+    defs = A.code_lines(spark, sf_dir, "python").filter(F.col("text").rlike(header))
+    return defs.select("file_path", F.col("line").cast("int").alias("ord"), F.regexp_extract("text", header, 1).alias("name"), F.col("line").cast("int").alias("line"), F.array().cast("array<string>").alias("params"), F.lit(False).alias("is_handler"), F.lit("").alias("framework"))
 
 
 def _calls(spark, sf_dir) -> DataFrame:
-    """A call of one handler by another for each sink line."""
-    rows = A.code_lines(spark, sf_dir, "python").filter("event_id % 12 IN (1, 2)")
+    """A call of one handler by another for each rendered line that runs a query or a command on a variable."""
+    run = r"^(?:cursor\.execute|os\.system)\((\w+)\)$"
+    rows = A.code_lines(spark, sf_dir, "python").filter(F.col("text").rlike(run))
     name = lambda e: F.concat(F.lit("handler"), F.expr(f"cast({e} AS string)"))
-    return rows.select("file_path", F.col("line").cast("int").alias("ord"), name("event_id % 7").alias("caller_func"), name("(event_id + 3) % 7").alias("callee"), F.array(F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string"))).alias("arg_names"), F.col("line").cast("int").alias("line"))
+    return rows.select("file_path", F.col("line").cast("int").alias("ord"), name("event_id % 7").alias("caller_func"), name("(event_id + 3) % 7").alias("callee"), F.array(F.regexp_extract("text", run, 1)).alias("arg_names"), F.col("line").cast("int").alias("line"))
 
 
 def func_registry(spark, sf_dir):
