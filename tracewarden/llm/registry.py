@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import bpe, decontaminate, fmindex, lattice, lpf, media, oracle, quality, sigtree, toxicity, warc
+from tracewarden.llm import bpe, crosstok, decontaminate, fmindex, lattice, lpf, media, oracle, quality, sigtree, toxicity, warc
 from tracewarden.llm.common import load
 
 
@@ -52,6 +52,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(load(spark, sf_dir, "documents")))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.digest(crosstok.align_documents(load(spark, sf_dir, "documents"), groups=False))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lpf_dedup": op8_lpf_dedup,
         "op9_bradley_terry": op9_bradley_terry,
         "op10_bpe": op10_bpe,
+        "op11_cross_tokenizer": op11_cross_tokenizer,
     }
 
 
