@@ -40,6 +40,22 @@ WARC = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payl
   SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((16 * {_DIGIT.format(at=_AT.format(k=1))} + {_DIGIT.format(at=_AT.format(k=2))}) >> (3 - (5 * i) % 4)) & 31) + 1)::INT, 1)), '') AS payload_digest,
   CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM m"""
 
+_ESCAPED = "replace(text, chr(92), chr(92) || 's')"
+for _mark in ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[ROLE]", "[/ROLE]", "[END]"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_mark}', chr(92) || '{'a' if _mark[0] == '<' else 'b'}{_mark[1:]}')"
+_TURN_TOKENS = r"len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x09-\x0D ]')) + 2"
+#: Windows of at most 512 tokens, with at most 128 tokens of the eight turns before, for conversations below 256 turns.
+CHAT = f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+  m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, {_TURN_TOKENS} AS n, length({_ESCAPED}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 18 + length(role) END AS chars FROM c),
+  l AS (SELECT conv_id, count(*) AS n_turns, list(n ORDER BY i) AS ns, list(chars ORDER BY i) AS cs, coalesce(min(i) FILTER (role = 'system'), 0) AS sys, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM m GROUP BY conv_id),
+  w AS (SELECT conv_id, 0::BIGINT AS i, 0::HUGEINT AS used, 0::HUGEINT AS chars FROM l UNION ALL
+    SELECT conv_id, i, CASE WHEN fits THEN used + n ELSE kept + n + list_sum(back) END, chars + CASE WHEN fits THEN here ELSE here + lead + list_sum(back_chars) END FROM (
+      SELECT *, list_slice(ns, i - k, i - 1) || [0] AS back, list_slice(cs, i - k, i - 1) || [0] AS back_chars FROM (
+        SELECT *, len(list_filter(range(1, 9), lambda k: i - k > sys AND list_sum(list_slice(ns, i - k, i - 1) || [0]) <= least(128, greatest(0, 512 - kept - n)))) AS k FROM (
+          SELECT w.conv_id, w.i + 1 AS i, used, chars, ns, cs, sys, ns[w.i + 1] AS n, cs[w.i + 1] AS here, CASE WHEN sys BETWEEN 1 AND w.i THEN ns[sys] ELSE 0 END AS kept, CASE WHEN sys BETWEEN 1 AND w.i THEN cs[sys] ELSE 0 END AS lead, w.i > 0 AND used + ns[w.i + 1] <= 512 AS fits FROM w JOIN l ON l.conv_id = w.conv_id AND w.i < l.n_turns))))
+  SELECT l.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, w.chars::BIGINT AS formatted_chars FROM l JOIN w ON w.conv_id = l.conv_id AND w.i = l.n_turns"""
+
 
 def texts() -> dict[str, str]:
-    return {"op4_signature_tree": JACCARD, "op5_fm_index": SUBSTRINGS, "op6_warc": WARC, "op8_lpf_dedup": FACTORS}
+    return {"op4_signature_tree": JACCARD, "op5_fm_index": SUBSTRINGS, "op6_warc": WARC, "op8_lpf_dedup": FACTORS, "op13_chat_format": CHAT}

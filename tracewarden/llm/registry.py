@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import bpe, crosstok, decontaminate, fmindex, lattice, lpf, media, oracle, quality, sigtree, toxicity, warc
+from tracewarden.llm import bpe, chat, crosstok, decontaminate, fmindex, lattice, lpf, media, oracle, quality, repair, sigtree, toxicity, warc
 from tracewarden.llm.common import load
 
 
@@ -56,6 +56,14 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.digest(crosstok.align_documents(load(spark, sf_dir, "documents"), groups=False))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damage(load(spark, sf_dir, "conversations"))))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.ranges_of_windows(chat.with_probe(load(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -69,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bradley_terry": op9_bradley_terry,
         "op10_bpe": op10_bpe,
         "op11_cross_tokenizer": op11_cross_tokenizer,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_chat_format": op13_chat_format,
     }
 
 
