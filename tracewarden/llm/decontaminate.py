@@ -27,8 +27,6 @@ MASKS = ("11111", "110111", "1110111", "11011011")
 FILTER_BITS, FILTER_MOST = 256, 1 << 28
 #: The most bytes of a benchmark table that a join broadcasts, and the salts of its keys beyond.
 SMALL, SALTS = 16 << 20, 16
-_GAP = 32
-_MARGIN = 48
 _PARTITIONS = 16
 _WORDS = np.zeros(256, bool)
 _WORDS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -104,9 +102,9 @@ def _item_seeds(items: DataFrame, least: int) -> DataFrame:
             rows = np.append(0, np.cumsum([len(c) if len(c) >= least else 0 for c in cells])).astype(np.int64)
             words = np.concatenate([c for c in cells if len(c) >= least] or [np.zeros(0, np.uint64)])
             for row, at, found in _seeds(words, rows):
-                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(at.astype(np.int32))], names=["seed", "item_id", "at"])
+                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(at.astype(np.int32)), pa.array(np.diff(rows)[row].astype(np.int32))], names=["seed", "item_id", "at", "size"])
 
-    return items.select("item_id", "words").mapInArrow(run, "seed long, item_id long, at int")
+    return items.select("item_id", "words").mapInArrow(run, "seed long, item_id long, at int, size int")
 
 
 def _probes(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +139,12 @@ def _filter(seeds: DataFrame, count: int) -> tuple[bytes, int]:
 REGIONS_SCHEMA = "doc_id long, start long, words binary, seeds array<bigint>, places array<bigint>"
 
 
-def _regions(docs: DataFrame, packed: bytes, bits: int) -> DataFrame:
-    """Stretches of documents around positions whose seeds pass the filter, with their words and those seeds."""
+def _regions(docs: DataFrame, packed: bytes, bits: int, longest: int) -> DataFrame:
+    """Stretches of documents around positions whose seeds pass the filter, with their words and those seeds.
+
+    A stretch reaches ``longest`` words (those of the longest item) beyond its outermost seeds, so that it holds all of any item laid on
+    one of them; stretches that would overlap are one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(packed)  # at most FILTER_MOST / 8 bytes
 
     def run(batches):
@@ -158,10 +160,10 @@ def _regions(docs: DataFrame, packed: bytes, bits: int) -> DataFrame:
                     continue
                 order = np.lexsort((at, row))
                 row, at, seed = row[order], at[order], seed[order]
-                cuts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > _GAP)))
+                cuts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > 2 * longest)))
                 ends = np.append(cuts[1:], len(row))
-                starts = np.maximum(0, at[cuts] - _MARGIN)
-                stops = np.minimum(np.diff(rows)[row[cuts]], at[ends - 1] + _MARGIN)
+                starts = np.maximum(0, at[cuts] - longest)
+                stops = np.minimum(np.diff(rows)[row[cuts]], at[ends - 1] + longest)
                 base = rows[row[cuts]]
                 yield pa.record_batch([
                     ids.slice(first, last - first).take(pa.array(row[cuts])),
@@ -191,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, matches: int = 10, least
 
     A document holds an item when a stretch of its words, laid word by word on the item, has at least
     ``matches`` equal words (all words of an item with fewer), with at most one substitution for three
-    matches in the stretch as a whole. Each pair is reported once, with its best stretch in words of the document. Items with equal
+    matches in the stretch as a whole; the whole of what lies on the item is judged, however long. Each pair is reported once, with its best stretch in words of the document. Items with equal
     words count once, under the smallest id; items with fewer than ``least`` words are too short to be
     evidence and match nothing. Null texts are empty and match nothing; rows with a null id can't be
     reported and are left out; rows with equal ids count as one document. Other columns are not read; an
@@ -202,12 +204,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, matches: int = 10, least
     items = common.written(_items(benchmark, item_col, item_text_col), "items")
     seeds = common.written(_item_seeds(items, least), "seeds")
     n_seeds, item_bytes = seeds.count(), items.agg(F.sum(F.octet_length("words") + 32)).first()[0] or 0
-    regions = common.written(_regions(renamed, *_filter(seeds, n_seeds)), "regions")
+    longest = items.agg(F.max(F.octet_length("words") / 8).cast("int")).first()[0] or 0
+    regions = common.written(_regions(renamed, *_filter(seeds, n_seeds), longest), "regions")
     spots = regions.select("doc_id", "start", F.explode(F.arrays_zip("seeds", "places")).alias("s")).selectExpr("doc_id", "start", "s.seeds as seed", "s.places as place")
     # a seed of a joined table takes some 64 bytes
-    aligned = _joined(spots, seeds, "seed", 64 * n_seeds <= small).select("doc_id", "start", "item_id", F.expr("place - start - at").alias("shift")).distinct()
-    # rows with equal ids may have regions with equal starts: every one of them is tried
-    mine = aligned.join(regions.select("doc_id", "start", F.col("words").alias("mine")), ["doc_id", "start"])
+    aligned = _joined(spots, seeds, "seed", 64 * n_seeds <= small).select("doc_id", "start", "item_id", F.expr("place - start - at").alias("shift"), "size").distinct()
+    # rows with equal ids may have regions with equal starts: every one of them is tried. Only words that lie on the item go on
+    laid = "substring(words, cast(8 * greatest(shift, 0) as int) + 1, cast(8 * greatest(least(shift + size, length(words) div 8) - greatest(shift, 0), 0) as int))"
+    mine = aligned.join(regions.select("doc_id", "start", "words"), ["doc_id", "start"]).selectExpr("doc_id", "start", "item_id", "shift", f"{laid} AS mine")
     both = _joined(mine, items.withColumnRenamed("words", "theirs"), "item_id", item_bytes <= small)
 
     def verify(batches):
@@ -215,10 +219,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, matches: int = 10, least
             out = []
             for doc, start, item, shift, mine, theirs in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 a, b = np.frombuffer(mine, np.uint64), np.frombuffer(theirs, np.uint64)
-                low, high = max(0, -shift), min(len(b), len(a) - shift)
-                if high <= low:
-                    continue
-                first, end, same = best_stretch(b[low:high], a[low + shift : high + shift])
+                low = max(0, -shift)
+                first, end, same = best_stretch(b[low : low + len(a)], a)
                 if same >= min(matches, len(b)):
                     out.append((doc, item, same, start + low + shift + first, start + low + shift + end))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
