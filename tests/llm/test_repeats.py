@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracewarden.llm import common, decontaminate, fmindex, lpf, sigtree
+from tracewarden.llm import common, decontaminate, fmindex, lpf, repeats, sigtree
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string"
@@ -253,3 +254,37 @@ def test_decontaminate_at_the_rate(spark):
     got = sorted(tuple(r) for r in decontaminate.contaminated(spark.createDataFrame(docs, SCHEMA), bench).collect())
     # six words of 22 (8 equal on each side) and every third word are more than one substitution for three matches
     assert got == [(0, 0, 45, 9, 68), (1, 1, 30, 9, 48), (2, 2, 18, 9, 31)]
+
+
+def test_equal_texts_fill_no_chunk(spark):
+    """A third of all rows null, a third one short text, and copies of one long text in every partition: chunks stay even."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(0, 24_000, 1, 40).selectExpr("id AS doc_id", f"CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'n/a' WHEN id % 600 = 2 THEN '{long}' ELSE concat(id, ' ', repeat(cast(id AS string) || ' ', 30)) END AS text")
+    for units, window, equal_ids in ((repeats.byte_units, 50, False), (repeats.word_units, 20, True)):
+        found = repeats.dealt(rows, lambda t: len(t), equal_ids, units, window, 64, "doc_id", "text")
+        sizes = sorted(r["count"] for r in found.groupBy("chunk").count().collect())
+        assert len(sizes) == 64 and sizes[-1] < 2 * sizes[32] and sum(sizes) == 24_000
+        copies = [r["count"] for r in found.filter(F.col("text") == long).groupBy("chunk").count().collect()]
+        assert len(copies) >= 4  # not in one chunk
+
+
+def test_copies_in_many_partitions(spark):
+    """Copies, short texts and nulls over many partitions, against brute force."""
+    base = [(i, ["alpha beta gamma " * 12, None, "n/a", " ".join(f"v{i % 7}{j}" for j in range(30))][i % 4]) for i in range(160)]
+    df = spark.createDataFrame(base, SCHEMA).repartition(12)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in lpf.digest(lpf.dedup_factors(df)).collect()}
+    assert got == {d: tuple(v) for d, v in lpf_brute(base, 50).items()}
+
+
+def test_decontaminate_long_items(spark):
+    """The whole stretch that lies on an item is judged: 120 equal words, then every second one replaced."""
+    item = [f"w{i}" for i in range(200)]
+    doc = [w if i < 120 or i % 2 == 0 else f"x{i}" for i, w in enumerate(item)]
+    lead = [f"z{i}" for i in range(500)]
+    docs = [(1, " ".join(doc)), (2, " ".join(lead + doc + lead)), (3, " ".join(lead + doc[100:]))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(f"q{i}" for i in range(12)))], "item_id long, text string")
+    for small in (decontaminate.SMALL, 0):
+        got = sorted(tuple(r) for r in decontaminate.contaminated(spark.createDataFrame(docs, SCHEMA), bench, small=small).collect())
+        # the last word is a replaced one: the stretch ends before it
+        assert got[:2] == [(1, 7, 160, 0, 199), (2, 7, 160, 500, 699)]
+        assert got[2][:2] == (3, 7) and got[2][3] == 500

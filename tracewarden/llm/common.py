@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,18 +96,22 @@ def groups_of(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // PART_BYTES))
 
 
-def first_of_batch(docs: DataFrame, covers, equal_ids: bool) -> DataFrame:
-    """Adds ``copied`` (long) to (doc_id, text, ...) rows and empties the text of rows that are settled within their batch.
+def first_of_batch(docs: DataFrame, covers, equal_ids: bool, sizes, least: int) -> DataFrame:
+    """Adds ``copied`` (long) and ``dealt`` (long) to (doc_id, text, ...) rows and empties the text of rows that are settled within their batch.
 
     A row is settled where its batch also holds the whole text under a smaller id (``equal_ids``: or under the
     same id, earlier in the batch) and the text is long enough for the operator to remove it whole:
     ``covers(text)`` is then the number of its units, else -1. ``copied`` is that number, or null. So of a text
     that a third of all rows hold, each batch sends one copy through the exchange and otherwise small rows.
+
+    ``dealt`` is a number of the row's own where it need not meet others: where it is settled or has fewer than ``least`` units
+    (``sizes(data, offsets)``), as null, empty and short texts have. Else it is null.
     """
     schema = docs.schema
     names = schema.names
 
     def run(batches):
+        count = np.uint64(TaskContext.get().partitionId()) << np.uint64(40)
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(NULL_ID))
             text = batch.column(1)
@@ -129,10 +134,13 @@ def first_of_batch(docs: DataFrame, covers, equal_ids: bool) -> DataFrame:
                     settled[row] = verdict[code]
                 if settled.max() >= 0:
                     text = pa.compute.if_else(pa.array(settled >= 0), "", text)
-            columns = [batch.column(0), text, *batch.columns[2:], pa.array(settled, mask=settled < 0)]
-            yield pa.record_batch(columns, names=[*names, "copied"])
+            alone = (settled >= 0) | (sizes(data, offsets) < least)
+            dealt = mix(np.arange(len(ids), dtype=np.uint64) + count).view(np.int64)
+            count += np.uint64(len(ids))
+            columns = [batch.column(0), text, *batch.columns[2:], pa.array(settled, mask=settled < 0), pa.array(dealt, mask=~alone)]
+            yield pa.record_batch(columns, names=[*names, "copied", "dealt"])
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("copied", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("copied", T.LongType()), T.StructField("dealt", T.LongType())]))
 
 
 def in_chunks(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

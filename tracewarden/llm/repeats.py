@@ -12,15 +12,21 @@ only has to search where several different segments share an anchor, and works t
 its memory doesn't follow what it is sent. The last visit of a chunk finds its segments again and
 applies the answers to all their places.
 
-Whole copies are settled on the way: a chunk is chosen by the text, so that equal texts meet, and only the
-first row of a text in each chunk sends anything. Copies within one batch of the input are settled even
-before the exchange (``common.first_of_batch``), so no chunk fills up with the copies of one text.
+Whole copies are settled on the way (``dealt``). Copies within one batch of the input are settled before the exchange
+(``common.first_of_batch``); of what is left, equal texts meet in as many chunks as the root of the number of chunks, chosen by
+their document, and only the first row of a text in each of them sends anything. So the copies of one text in a chunk, and the chunks that
+send its segments, both grow with the root of the input. Settled rows, and texts that are too short for a window, meet nobody and are
+dealt evenly. (Rows of one long text that all lack an id are dealt alike, to one chunk.)
+
+Equal segments are decided by comparing them (in a chunk, after a digest; in a shard, through a dictionary of their bytes), different ones
+that share an anchor by the shard's index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +85,15 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     return Units(rows, values, spaced, lambda first, end: (bounds[first], bounds[end] - 1))
 
 
+def _word_sizes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    found = [np.diff(common.word_bounds(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[2]) for a, b in common.slices(offsets)]
+    return np.concatenate([np.zeros(0, np.int64), *found])
+
+
+#: How many units each row has.
+SIZES = {byte_units: lambda data, offsets: np.diff(offsets), word_units: _word_sizes}
+
+
 def pieces(offsets: np.ndarray, window: int):
     """Ranges of units to work on at once, with the rows in them: (start, end, row bounds from start, rows).
 
@@ -318,6 +333,13 @@ def by_row(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return a // width, a % width, (b - a) + a % width
 
 
+def dealt(docs: DataFrame, covers: Callable[[str], int], equal_ids: bool, units: Callable[[np.ndarray, np.ndarray], Units], window: int, chunks: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with ``copied`` and the chunk of each (see above); no text, id or emptiness makes a chunk large."""
+    told = common.first_of_batch(common.texts(docs, id_col, text_col, carry), covers, equal_ids, SIZES[units], window)
+    meeting = f"xxhash64(xxhash64(text), pmod(xxhash64(doc_id), {max(1, isqrt(chunks))}))"
+    return told.withColumn("chunk", F.expr(f"cast(pmod(coalesce(dealt, {meeting}), {chunks}) as int)")).drop("dealt")
+
+
 def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarray, np.ndarray], Units], covers: Callable[[str], int], equal_ids: bool, search: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, ...]], finish: Callable[[pa.Table, np.ndarray, tuple], pa.Table], schema: str, id_col: str, text_col: str, hot: int = HOT, carry: tuple[str, ...] = (), most: int = SLICE_BYTES) -> DataFrame:
     """The three visits of the chunks: count anchors, send segments, apply what ``search`` found in each shard.
 
@@ -326,8 +348,7 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
     copies within the chunk, and the intervals by row; rows that were settled before the exchange have ``copied``.
     """
     shards, parts = common.groups_of(docs, text_col)
-    told = common.first_of_batch(common.texts(docs, id_col, text_col, carry), covers, equal_ids)
-    chunks = told.withColumn("chunk", F.expr(f"cast(pmod(if(copied is null, xxhash64(text), xxhash64(doc_id, copied)), {shards}) as int)"))
+    chunks = dealt(docs, covers, equal_ids, units, window, shards, id_col, text_col, carry)
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
