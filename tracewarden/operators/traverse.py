@@ -1,91 +1,61 @@
-"""Graph traversals as level-synchronous joins.
-
-A frontier row is one state of the search: start, node, the path so far and what is tainted there. A level
-is one join with the edges and one grouped minimum: of all states that reach the same node, the first in
-queue order survives. Queue order is the order of the parents, then of edge ids, which is the
-lexicographic order of the edge ids along the path; the minimum is thus combined before the shuffle, and
-no window has to rank a whole level. Every few levels (LEVELS) are one job, written to the shared folder: levels of a job share their
-exchanges, plans stay a few levels deep, and a lost executor costs at most the levels at hand.
+"""Graph traversals: taint paths, plain paths to sinks, reachability, blast radius.
+
+Paths are found by ``search`` (level-synchronous joins with ranks and predecessor tables), sets of reachable nodes by ``reach``
+(chains of nodes put together by path doubling).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
-from tracewarden.schema import SANITIZER, SINK, SOURCE
-from tracewarden.sources.shared import removed, written
-
-#: Longest path in nodes, and levels of a search in one job.
-MAX_NODES, LEVELS = 20, 4
-
+from tracewarden.operators import reach
+from tracewarden.operators.search import MANY, Around, Found, Rule, adjacency, search
+from tracewarden.schema import SINK, SOURCE
 
-def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row for each edge whose target exists, with what a traversal needs of the target."""
-    target = nodes.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"), F.col("vuln_class").alias("dst_class"), F.coalesce("params", F.array()).alias("params"))
-    unique = edges.dropDuplicates(["id"]).select("src", "dst", F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), F.coalesce("args", F.array()).alias("args"))
-    return unique.join(target, "dst")
+#: Longest path in nodes.
+MAX_NODES = 20
 
 
-def _first(states: DataFrame, keys: list[str]) -> DataFrame:
-    """The state that comes first in queue order for each key."""
-    rest = [c for c in states.columns if c not in keys]
-    return states.groupBy(*keys).agg(F.min_by(F.struct(*rest), "rank").alias("s")).select(*keys, *[F.col(f"s.{c}").alias(c) for c in rest])
+def _pruned(around: Around, nodes: DataFrame, sinks: DataFrame, starts: DataFrame, max_nodes: int, prune: bool | None) -> Around:
+    """Edges on the way to a sink only. By default where there are many starts, so that labels cost less than they save."""
+    if prune is None:
+        prune = starts.limit(MANY + 1).count() > MANY
+    return around.towards(sinks, max_nodes) if prune else around
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def taint_search(nodes: DataFrame, edges: DataFrame, sources: Column | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False, prune: bool | None = None, **levels) -> Found:
+    """The states of ``trace_forward``."""
+    starts = nodes.filter(F.col("type") == SOURCE)
+    if sources is not None:
+        starts = starts.filter(sources)
+    tainted = F.when(F.size(F.coalesce("tainted_vars", F.array())) > 0, F.col("tainted_vars")).otherwise(F.array("symbol"))
+    sinks = nodes.filter(F.col("type") == SINK).select(F.col("id").alias("node"))
+    around = _pruned(adjacency(nodes, edges), nodes, sinks, starts, max_nodes, prune)
+    rule = Rule(gated=True, ends=True, sound=sound, class_aware=class_aware, most=max_nodes)
+    return search(around, starts.select(F.col("id").alias("source_id"), tainted.alias("vars")), rule, **levels)
 
 
-def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False) -> DataFrame:
+def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False, paths: bool = True, **options) -> DataFrame:
     """Unsanitized source-to-sink paths: (source_id, sink_id, depth, rank, path), one for each sink and depth.
 
     A call edge is crossed only with a tainted argument, whose callee's parameters (or, without any, the same
     variables) are then tainted. A path ends at its first unsanitized sink; a sanitizer anywhere on it, whatever its
     class, clears it, and a sanitized path goes on through sinks. Of the states that reach a node at one
     depth, the first counts (``sound`` keeps a clean one beside a sanitized one; ``class_aware`` lets a sanitizer
-    clear sinks of its own class only). Null columns count as absent; edges to missing nodes lead nowhere.
+    clear sinks of its own class only). Null columns count as absent; edges to missing nodes lead nowhere. Without ``paths``, only which
+    sinks are reached: no path is put together. ``prune``: see ``search``.
     """
-    around = written(adjacency(nodes, edges), "adjacency")
-    starts = nodes.filter(F.col("type") == SOURCE)
-    if sources is not None:
-        starts = starts.filter(sources)
-    tainted = F.when(F.size(F.coalesce("tainted_vars", F.array())) > 0, F.col("tainted_vars")).otherwise(F.array("symbol"))
-    none = F.array().cast("array<string>")
-    frontier = starts.select(F.col("id").alias("source_id"), F.col("id").alias("node"), F.array("id").alias("path"), none.alias("cleared"), F.lit(False).alias("sanitized"), tainted.alias("vars"), none.alias("rank"), F.lit(SOURCE).alias("node_type"), F.lit("").alias("node_class"), F.lit(1).alias("depth"))
-    keys = ["source_id", "node"] + (["sanitized"] if sound else []) + (["cleared"] if class_aware else [])
-    clean = ~F.array_contains("cleared", F.col("node_class")) if class_aware else ~F.col("sanitized")
-    hits, depth = [], 2
-    while depth <= max_nodes:
-        levels = []
-        for d in range(depth, min(depth + LEVELS, max_nodes + 1)):
-            step = frontier.join(around, F.col("node") == F.col("src"))
-            step = step.filter((F.col("edge_type") != "call") | S.any_tainted("vars", "args"))
-            is_sanitizer = F.col("dst_type") == SANITIZER
-            crossed = F.when((F.col("edge_type") == "call") & (F.size("params") > 0), F.col("params")).otherwise(F.col("vars"))
-            cleared = F.when(is_sanitizer, F.array_sort(F.array_union("cleared", F.array("dst_class")))).otherwise(F.col("cleared")) if class_aware else F.col("cleared")
-            step = step.select("source_id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), cleared.alias("cleared"), (F.col("sanitized") | is_sanitizer).alias("sanitized"), crossed.alias("vars"), F.concat("rank", F.array("edge_id")).alias("rank"), F.col("dst_type").alias("node_type"), F.coalesce("dst_class", F.lit("")).alias("node_class"), (F.col("depth") + 1).alias("depth"))
-            level = _first(step, keys).withColumn("hit", (F.col("node_type") == SINK) & clean)
-            levels.append(level)
-            frontier = level.filter(~F.col("hit")).drop("hit")
-        found = written(_union(levels), "levels")
-        hits.append(found.filter("hit").select("source_id", F.col("node").alias("sink_id"), "depth", "rank", "path"))
-        frontier = found.filter((F.col("depth") == d) & ~F.col("hit")).drop("hit")
-        if not frontier.count():
-            break
-        depth = d + 1
-    if not hits:
-        hits = [frontier.select("source_id", F.col("node").alias("sink_id"), F.lit(1).alias("depth"), "rank", "path").limit(0)]
-    return _union(hits)
+    found = taint_search(nodes, edges, sources, max_nodes, sound, class_aware, **options)
+    rows = found.with_paths() if paths else found.rows
+    return rows.select("source_id", F.col("node").alias("sink_id"), "depth", "rank", *["path"] * paths)
 
 
 def first_paths(traced: DataFrame) -> DataFrame:
     """The first (shortest) path of each source and sink."""
-    return traced.groupBy("source_id", "sink_id").agg(F.min_by(F.struct("path", "depth"), F.struct("depth", "rank")).alias("p")).select("source_id", "sink_id", "p.path", "p.depth")
+    by_pair = Window.partitionBy("source_id", "sink_id").orderBy("depth", "rank")
+    return traced.withColumn("n", F.row_number().over(by_pair)).filter("n = 1").drop("n", "rank")
 
 
 def described(nodes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -114,66 +84,41 @@ def matches(pattern: str) -> Column:
     return F.col("symbol").contains(pattern) | F.col("vuln_class").contains(pattern) | F.col("file_path").contains(pattern)
 
 
-def _reach(around: DataFrame, starts: DataFrame, forward: bool, max_nodes: int | None, paths: bool, ranked: bool = True) -> DataFrame:
-    """First arrivals by node: (source_id, node, depth, rank, sanitized, path) including the starts.
-
-    Without ``ranked``, ranks stay empty and any of the arrivals at a node's depth counts: they grow with the depth.
-    """
-    here, there = ("src", "dst") if forward else ("dst", "src")
-    none = F.array().cast("array<string>")
-    frontier = written(starts.select("source_id", F.col("source_id").alias("node"), F.lit(1).alias("depth"), none.alias("rank"), F.lit(False).alias("sanitized"), F.array("source_id").alias("path")), "frontier")
-    visited, depth = [frontier], 2
-    while max_nodes is None or depth <= max_nodes:
-        levels = []
-        for d in range(depth, depth + LEVELS if max_nodes is None else min(depth + LEVELS, max_nodes + 1)):
-            step = frontier.join(around, F.col("node") == F.col(here))
-            step = step.select("source_id", F.col(there).alias("node"), (F.col("depth") + 1).alias("depth"), (F.concat("rank", F.array("edge_id")) if ranked else F.col("rank")).alias("rank"), (F.col("sanitized") | (F.col("dst_type") == SANITIZER)).alias("sanitized"), (F.concat("path", F.array(there)) if paths else F.col("path")).alias("path"))
-            new = _first(step, ["source_id", "node"]).join(_union([x.select("source_id", "node") for x in [*visited, *levels]]), ["source_id", "node"], "left_anti")
-            frontier = new.select(*visited[0].columns)
-            levels.append(frontier)
-        found = written(_union(levels), "levels")
-        visited.append(found)
-        frontier = found.filter(F.col("depth") == d)
-        if not frontier.count():
-            break
-        depth = d + 1
-        if len(visited) > 8:  # one table of what was visited keeps the plan short
-            whole = written(_union(visited), "visited")
-            for table in visited:
-                removed(table)
-            visited, frontier = [whole], whole.filter(F.col("depth") == d)
-    return _union(visited)
-
-
-def paths_to_sink(nodes: DataFrame, edges: DataFrame, pattern: str, max_nodes: int = MAX_NODES) -> DataFrame:
+def paths_to_sink(nodes: DataFrame, edges: DataFrame, pattern: str, max_nodes: int = MAX_NODES, prune: bool | None = None) -> DataFrame:
     """Paths to the sinks that match a pattern, by plain search: any edge, through sinks, each node once.
 
     Only the first arrival at a sink counts; where it is sanitized, the pair has no path.
     """
-    around = written(adjacency(nodes, edges), "adjacency")
-    starts = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"))
+    starts = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), F.array().cast("array<string>").alias("vars"))
     sinks = nodes.filter((F.col("type") == SINK) & matches(pattern)).select(F.col("id").alias("node"))
-    found = _reach(around, starts, True, max_nodes, True).filter(~F.col("sanitized")).join(sinks, "node", "left_semi")
-    return described(nodes, found.select("source_id", F.col("node").alias("sink_id"), "path", "depth"))
+    around = _pruned(adjacency(nodes, edges), nodes, sinks, starts, max_nodes, prune)
+    found = search(around, starts, Rule(once=True, most=max_nodes))
+    found.rows = found.rows.filter(~F.col("sanitized")).join(sinks, "node", "left_semi")
+    return described(nodes, found.with_paths().select("source_id", F.col("node").alias("sink_id"), "path", "depth"))
 
 
 def trace_data_flow(nodes: DataFrame, edges: DataFrame, node_id: str, max_nodes: int | None = None) -> DataFrame:
     """Nodes that a node reaches over any edges, without itself, with their depth; none for an unknown node.
 
-    Without ``max_nodes``, to the end, with one job a level.
+    ``rank`` orders the nodes of one depth as a queue would meet them.
     """
-    around = written(adjacency(nodes, edges), "adjacency")
-    starts = nodes.filter(F.col("id") == node_id).select(F.col("id").alias("source_id"))
-    found = _reach(around, starts, True, max_nodes, False).filter("depth > 1").select(F.col("node").alias("id"), (F.col("depth") - 1).alias("depth"), "rank")
-    return nodes.join(found, "id")
+    starts = nodes.filter(F.col("id") == node_id).select(F.col("id").alias("source_id"), F.array().cast("array<string>").alias("vars"))
+    found = search(adjacency(nodes, edges), starts, Rule(once=True, most=max_nodes)).rows
+    return nodes.join(found.filter("depth > 1").select(F.col("node").alias("id"), (F.col("depth") - 1).alias("depth"), "rank"), "id")
 
 
-def reachable_counts(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_nodes: int | None = None) -> DataFrame:
+def reachable_counts(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(source_id, reaches, sinks): how many other nodes, and sinks among them, each start (column ``source_id``) reaches."""
-    around = written(adjacency(nodes, edges), "adjacency")
-    found = _reach(around, starts, True, max_nodes, False, ranked=False).select("source_id", F.col("node").alias("id"), "depth")
-    kinds = found.join(nodes.select("id", "type"), "id")
-    return kinds.groupBy("source_id").agg(F.count_if(F.col("depth") > 1).alias("reaches"), F.count_if((F.col("depth") > 1) & (F.col("type") == SINK)).alias("sinks"))
+    return reach.Chains.of(nodes, edges).counts(_known(nodes, starts))
+
+
+def reachable_estimates(nodes: DataFrame, edges: DataFrame, precision: int = reach.PRECISION) -> DataFrame:
+    """(id, reaches): about how many other nodes every node reaches, by sketches (no pairs are made); see ``reach``."""
+    return reach.Chains.of(nodes, edges).estimates(precision)
+
+
+def _known(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    return starts.select("source_id").distinct().join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi")
 
 
 def attack_surface(nodes: DataFrame, edges: DataFrame, module: str = "", **flags) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,7 +128,7 @@ def attack_surface(nodes: DataFrame, edges: DataFrame, module: str = "", **flags
     """
     inside = F.col("file_path").contains(module)
     sources = nodes.filter((F.col("type") == SOURCE) & inside)
-    traced = trace_forward(nodes, edges, sources=inside, **flags)
+    traced = trace_forward(nodes, edges, sources=inside, paths=False, **flags)
     sinks = nodes.join(traced.select(F.col("sink_id").alias("id")).distinct(), "id", "left_semi")
     counts = traced.agg(F.count(F.lit(1)).alias("taint_path_count"), F.count_distinct("sink_id").alias("reachable_sink_count"))
     return sources, sinks, sources.agg(F.count(F.lit(1)).alias("source_count")).join(counts, F.lit(True))
@@ -191,9 +136,7 @@ def attack_surface(nodes: DataFrame, edges: DataFrame, module: str = "", **flags
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, node_id: str, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes that lead to a node, itself included; paths that contain it). ``paths`` saves searching them again."""
-    around = written(adjacency(nodes, edges), "adjacency")
-    starts = nodes.filter(F.col("id") == node_id).select(F.col("id").alias("source_id"))
-    back = _reach(around, starts, False, None, False).select(F.col("node").alias("id"))
+    back = reached(nodes, edges, nodes.filter(F.col("id") == node_id).select(F.col("id").alias("source_id")), forward=False).select("id")
     paths = find_all_paths(nodes, edges) if paths is None else paths
     return nodes.join(back, "id", "left_semi"), paths.filter(F.array_contains("path", node_id))
 
@@ -201,9 +144,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, node_id: str, paths: DataFr
 def reached(nodes: DataFrame, edges: DataFrame, starts: DataFrame, forward: bool = True) -> DataFrame:
     """(source_id, id, type, file_path, depth): the nodes that each start (column ``source_id``) reaches to the end,
     or that lead to it; itself at depth 0. Unknown starts reach nothing."""
-    around = written(adjacency(nodes, edges), "adjacency")
-    known = starts.select("source_id").distinct().join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    found = _reach(around, known, forward, None, False, ranked=False).select("source_id", F.col("node").alias("id"), (F.col("depth") - 1).alias("depth"))
+    found = reach.Chains.of(nodes, edges, forward).reached(_known(nodes, starts))
     return found.join(nodes.select("id", "type", "file_path"), "id").select("source_id", "id", "type", "file_path", "depth")
 
 

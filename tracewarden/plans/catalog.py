@@ -58,20 +58,19 @@ def class_aware_paths(spark, sf_dir):
     return _flat(traverse.find_all_paths(*_graph(spark, sf_dir), class_aware=True))
 
 
-def _flow(spark, sf_dir, max_nodes: int | None) -> DataFrame:
+def trace_flow_whole(spark, sf_dir):
+    """From the first signup to the end, in queue order."""
     nodes, edges = _graph(spark, sf_dir)
     start = load(spark, sf_dir, "events").filter("event_type = 'signup'").agg(F.min_by("event_id", F.struct("ts", "event_id"))).first()[0]
-    return traverse.trace_data_flow(nodes, edges, f"e{start}", max_nodes=max_nodes).select("id", "type", F.col("depth").cast("long").alias("depth"))
+    return traverse.trace_data_flow(nodes, edges, f"e{start}").select("id", "type", F.col("depth").cast("long").alias("depth"))
 
 
 def trace_flow(spark, sf_dir):
-    """Within twelve hops of the first signup."""
-    return _flow(spark, sf_dir, 13)
-
-
-def trace_flow_whole(spark, sf_dir):
-    """From the first signup to the end."""
-    return _flow(spark, sf_dir, None)
+    """From the first signup to the end, over chains."""
+    nodes, edges = _graph(spark, sf_dir)
+    start = load(spark, sf_dir, "events").filter("event_type = 'signup'").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("e"))
+    found = traverse.reached(nodes, edges, start.select(F.concat(F.lit("e"), "e").alias("source_id"))).filter("depth > 0")
+    return found.select("id", "type", F.col("depth").cast("long").alias("depth"))
 
 
 def _of_type(nodes: DataFrame, kind: str) -> DataFrame:
@@ -85,20 +84,23 @@ def trace_flow_all(spark, sf_dir):
     return found.select("source_id", "id", "type", F.col("depth").cast("long").alias("depth"))
 
 
-def _reaches(spark, sf_dir, max_nodes: int | None) -> DataFrame:
+def reach_counts_whole(spark, sf_dir):
+    """From each user's first event to the end."""
     nodes, edges = _graph(spark, sf_dir)
     starts = nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select(F.col("id").alias("source_id"))
-    return traverse.reachable_counts(nodes, edges, starts, max_nodes=max_nodes)
+    return traverse.reachable_counts(nodes, edges, starts)
 
 
 def reach_counts(spark, sf_dir):
-    """From each user's first event, within ten hops."""
-    return _reaches(spark, sf_dir, 11)
+    """From every event to the end."""
+    nodes, edges = _graph(spark, sf_dir)
+    return traverse.reachable_counts(nodes, edges, nodes.select(F.col("id").alias("source_id")))
 
 
-def reach_counts_whole(spark, sf_dir):
-    """From each user's first event to the end."""
-    return _reaches(spark, sf_dir, None)
+def order_reaches(spark, sf_dir):
+    """From every customer, order and part of the orders graph, where orders lead to several parts and parts are shared."""
+    nodes, edges = A.order_nodes(spark, sf_dir), A.order_edges(spark, sf_dir)
+    return traverse.reachable_counts(nodes, edges, nodes.select(F.col("id").alias("source_id")))
 
 
 def attack_surface(spark, sf_dir):
@@ -110,24 +112,24 @@ def attack_surface_module(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     module = F.element_at(F.split("file_path", "/"), 1)
     sources = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), module.alias("module"))
-    traced = traverse.trace_forward(nodes, edges).select("source_id", "sink_id")
+    traced = traverse.trace_forward(nodes, edges, paths=False).select("source_id", "sink_id")
     return sources.join(traced, "source_id", "left").groupBy("module").agg(F.count_distinct("source_id").alias("source_count"), F.count_distinct("sink_id").alias("reachable_sink_count"), F.count("sink_id").alias("taint_path_count"))
 
 
-def _early_sink(spark, sf_dir) -> str:
-    """The first purchase of all."""
-    return f"e{load(spark, sf_dir, 'events').filter(F.col('event_type') == 'purchase').agg(F.min_by('event_id', F.struct('ts', 'event_id'))).first()[0]}"
+def _last_sink(spark, sf_dir) -> str:
+    """The last purchase of all."""
+    return f"e{load(spark, sf_dir, 'events').filter(F.col('event_type') == 'purchase').agg(F.max_by('event_id', F.struct('ts', 'event_id'))).first()[0]}"
 
 
 def blast_nodes(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    node = _early_sink(spark, sf_dir)
+    node = _last_sink(spark, sf_dir)
     return traverse.blast_radius(nodes, edges, node, paths=nodes.limit(0).withColumn("path", F.array("id")))[0].select("id", "type", "file_path")
 
 
 def blast_paths(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return _flat(traverse.blast_radius(nodes, edges, _early_sink(spark, sf_dir))[1])
+    return _flat(traverse.blast_radius(nodes, edges, _last_sink(spark, sf_dir))[1])
 
 
 def blast_nodes_all(spark, sf_dir):
@@ -333,7 +335,7 @@ def order_surface(spark, sf_dir):
     nodes, edges = A.order_nodes(spark, sf_dir), A.order_edges(spark, sf_dir)
     module = F.element_at(F.split("file_path", "/"), 1)
     sources = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), module.alias("module"))
-    found = traverse.first_paths(traverse.trace_forward(nodes, edges, max_nodes=3)).select("source_id", "sink_id")
+    found = traverse.trace_forward(nodes, edges, max_nodes=3, paths=False).select("source_id", "sink_id").distinct()
     return sources.join(found, "source_id").groupBy("module").agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("sink_id").alias("sinks"))
 
 
@@ -423,7 +425,7 @@ def order_paths(spark, sf_dir):
 
 
 _QUERIES: tuple[Query, ...] = (
-    find_all_paths, missing_sanitizers, paths_to_sink_class, paths_to_sink_file, sound_paths, class_aware_paths, trace_flow, trace_flow_whole, trace_flow_all, reach_counts, reach_counts_whole, attack_surface, attack_surface_module, blast_nodes, blast_nodes_all, blast_paths, blast_paths_all,
+    find_all_paths, missing_sanitizers, paths_to_sink_class, paths_to_sink_file, sound_paths, class_aware_paths, trace_flow, trace_flow_whole, trace_flow_all, reach_counts, reach_counts_whole, order_reaches, attack_surface, attack_surface_module, blast_nodes, blast_nodes_all, blast_paths, blast_paths_all,
     node_stats, edge_stats, live_edges, out_degrees, nodes_by_type, nodes_by_file, stable_ids, severity_map, assign_targets, go_assign_targets, call_names, param_lists, line_index, dataflow_edges,
     func_registry, call_edges, call_edges_ordered, findings_by_severity, posture_score, posture_by_module, file_context, gate_high, path_depth_hist, diff_new, diff_resolved, diff_verdict, path_history, latest_change,
     file_replace, calibration_rates, order_surface, order_findings, request_parameters, secret_lines,

@@ -126,8 +126,11 @@ def texts() -> dict[str, str]:
         "missing_sanitizers": f"{_PATHS} SELECT id, vuln_class, severity, description, source_file, file_path AS sink_file, sink_symbol, {advice} AS remediation FROM paths",
         "paths_to_sink_class": f"{_PLAIN} SELECT {_FLAT} FROM paths WHERE contains(vuln_class, 'sqli')",
         "paths_to_sink_file": f"{_PLAIN} SELECT {_FLAT} FROM paths WHERE contains(file_path, 'svc7/')",
-        "trace_flow": f"WITH RECURSIVE {_NODES}, w AS (SELECT nx AS node, 1::BIGINT AS depth FROM n WHERE event_id = (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE event_type = 'signup') AND nx IS NOT NULL UNION ALL SELECT n.nx, depth + 1 FROM w JOIN n ON n.event_id = w.node WHERE n.nx IS NOT NULL AND depth < 12) SELECT n.id, n.type, depth FROM w JOIN n ON n.event_id = w.node",
-        "reach_counts": f"WITH {_NODES}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM n) SELECT arg_min(id, k) AS source_id, count(*) - 1 AS reaches, count(*) FILTER (type = 'SinkNode' AND k > 1) AS sinks FROM o WHERE k <= 11 GROUP BY user_id",
+        "trace_flow": f"WITH RECURSIVE {_NODES}, w AS (SELECT nx AS node, 1::BIGINT AS depth FROM n WHERE event_id = (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE event_type = 'signup') AND nx IS NOT NULL UNION ALL SELECT n.nx, depth + 1 FROM w JOIN n ON n.event_id = w.node WHERE n.nx IS NOT NULL) SELECT n.id, n.type, depth FROM w JOIN n ON n.event_id = w.node",
+        "reach_counts": f"WITH {_ORDER} SELECT id AS source_id, count(*) OVER w - 1 AS reaches, count(*) FILTER (type = 'SinkNode') OVER w - (type = 'SinkNode')::BIGINT AS sinks FROM o WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+        "order_reaches": """WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS o, 'p' || l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey), c AS (SELECT 'c' || o_custkey AS c, 'o' || o_orderkey AS o FROM orders JOIN customer ON c_custkey = o_custkey),
+  n AS (SELECT 'c' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'o' || o_orderkey FROM orders UNION ALL SELECT 'p' || p_partkey FROM part),
+  t AS (SELECT c AS id, o AS x FROM c UNION SELECT c, p FROM c JOIN e USING (o) UNION SELECT o, p FROM e) SELECT id AS source_id, count(x) AS reaches, count(*) FILTER (x LIKE 'p%') AS sinks FROM n LEFT JOIN t USING (id) GROUP BY id""",
         "trace_flow_whole": f"WITH {_ORDER} SELECT b.id, b.type, b.k - a.k AS depth FROM o a JOIN o b ON b.user_id = a.user_id AND b.k > a.k WHERE a.event_id = (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE event_type = 'signup')",
         "reach_counts_whole": f"WITH {_ORDER} SELECT arg_min(id, k) AS source_id, count(*) - 1 AS reaches, count(*) FILTER (type = 'SinkNode' AND k > 1) AS sinks FROM o GROUP BY user_id",
         "trace_flow_all": f"WITH {_ORDER} SELECT a.id AS source_id, b.id, b.type, b.k - a.k AS depth FROM o a JOIN o b ON b.user_id = a.user_id AND b.k > a.k WHERE a.type = 'SourceNode'",
@@ -135,8 +138,8 @@ def texts() -> dict[str, str]:
         "blast_paths_all": f"{_PATHS}, u AS (SELECT *, unnest(string_split(path, '>')) AS node_id FROM paths) SELECT node_id, {', '.join('u.' + c for c in _FLAT.split(', '))} FROM u JOIN n ON n.id = node_id WHERE n.type = 'SinkNode'",
         "attack_surface": f"{_PATHS} SELECT (SELECT count(*) FROM n WHERE type = 'SourceNode') AS source_count, count(*) AS taint_path_count, count(DISTINCT sink_id) AS reachable_sink_count FROM paths",
         "attack_surface_module": f"{_PATHS} SELECT {_MODULE.replace('file_path', 'n.file_path')} AS module, count(DISTINCT n.id) AS source_count, count(DISTINCT sink_id) AS reachable_sink_count, count(sink_id) AS taint_path_count FROM n LEFT JOIN paths ON paths.source_id = n.id WHERE n.type = 'SourceNode' GROUP BY 1",
-        "blast_nodes": f"WITH RECURSIVE {_NODES}, w AS (SELECT arg_min(event_id, (ts, event_id)) AS node FROM events WHERE event_type = 'purchase' UNION ALL SELECT n.pv FROM w JOIN n ON n.event_id = w.node WHERE n.pv IS NOT NULL) SELECT id, type, file_path FROM w JOIN n ON n.event_id = w.node",
-        "blast_paths": f"{_PATHS} SELECT {_FLAT} FROM paths WHERE list_contains(string_split(path, '>'), 'e' || (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE event_type = 'purchase'))",
+        "blast_nodes": f"WITH RECURSIVE {_NODES}, w AS (SELECT arg_max(event_id, (ts, event_id)) AS node FROM events WHERE event_type = 'purchase' UNION ALL SELECT n.pv FROM w JOIN n ON n.event_id = w.node WHERE n.pv IS NOT NULL) SELECT id, type, file_path FROM w JOIN n ON n.event_id = w.node",
+        "blast_paths": f"{_PATHS} SELECT {_FLAT} FROM paths WHERE list_contains(string_split(path, '>'), 'e' || (SELECT arg_max(event_id, (ts, event_id)) FROM events WHERE event_type = 'purchase'))",
         "node_stats": f"WITH {_NODES} SELECT coalesce(type, 'total_nodes') AS type, count(*) AS n FROM n GROUP BY ROLLUP (type)",
         "edge_stats": f"WITH {_EDGES} SELECT type, count(DISTINCT src || dst) AS n FROM e GROUP BY type",
         "live_edges": f"WITH {_EDGES} SELECT count(*) AS n FROM e",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -44,3 +44,11 @@ def removed(df: DataFrame) -> None:
     if files:
         folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``written``, with aggregates that the write itself collects (null or missing ones over no rows are None)."""
+    seen = Observation()
+    table = written(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+    found = seen.get
+    return table, {k: found.get(k) for k in metrics}
