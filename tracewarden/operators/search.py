@@ -23,7 +23,6 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions import scalar as S
 from tracewarden.schema import SANITIZER, SINK, SOURCE
 from tracewarden.sources.shared import measured, removed, width, written
 
@@ -45,8 +44,8 @@ class Around:
     most: int
 
     def towards(self, sinks: DataFrame, hops: int) -> Around:
-        """Only edges whose target is within ``hops`` edges of a sink (column ``node``), with that number as ``left``."""
-        labels = sink_distance(self.table, sinks, hops).select(F.col("node").alias("dst"), F.col("hops").alias("left"))
+        """Only edges whose target is within ``hops`` edges of a sink (column ``node``), with that number as ``hops_left``."""
+        labels = sink_distance(self.table, sinks, hops).select(F.col("node").alias("dst"), F.col("hops").alias("hops_left"))
         return Around(written(self.table.join(labels, "dst"), "towards"), self.most)
 
 
@@ -127,39 +126,33 @@ class Found:
 
 
 def _level(state: DataFrame, around: Around, depth: int, seed: int, rule: Rule) -> DataFrame:
-    """All states after one more level; ``seed``: the depth at which the job began."""
-    live = (F.col("depth") == depth - 1) & ~F.col("hit")
-    key = F.when(live, F.col("node")).otherwise(F.concat(F.lit("\0"), "source_id"))  # done rows meet no edge
-    met = state.join(around.table, key == F.col("src"), "left")
-    call = F.col("edge_type") == "call"
-    goes = F.col("src").isNotNull()
+    """All states after one more level; ``seed``: the depth at which the job began. One SQL text, so that a job of many levels is analysed once a level."""
+    live = f"(depth = {depth - 1} AND NOT hit)"
+    goes = "src IS NOT NULL"
     if rule.gated:
-        goes &= ~call | S.any_tainted("vars", "args")
-    if "left" in around.table.columns:
-        goes &= F.col("left") + depth <= rule.most
-    sanitizer = F.col("dst_type") == SANITIZER
-    own = "(room div coalesce(edges, 1))"
-    first = F.col("depth") == seed
+        goes += f" AND (edge_type <> 'call' OR coalesce(arrays_overlap(vars, args), false))"
+    if "hops_left" in around.table.columns:
+        goes += f" AND hops_left + {depth} <= {rule.most}"
+    room = "(room div coalesce(edges, 1))"
     new = {
-        "node": F.col("dst"), "depth": F.lit(depth), "room": F.expr(own), "rank": F.expr(f"rank + coalesce(place, 0) * {own}"),
-        "base": F.when(first, F.col("rank")).otherwise(F.col("base")), "via": F.concat(F.when(first, F.array().cast("array<string>")).otherwise(F.col("via")), F.array("dst")),
-        "vars": F.when(call & (F.size("params") > 0), F.col("params")).otherwise(F.col("vars")) if rule.gated else F.col("vars"),
-        "cleared": F.when(sanitizer, F.array_sort(F.array_union("cleared", F.array("dst_class")))).otherwise(F.col("cleared")) if rule.class_aware else F.col("cleared"),
-        "sanitized": F.col("sanitized") | sanitizer, "node_type": F.col("dst_type"), "node_class": F.col("dst_class"),
+        "node": "dst", "depth": str(depth), "room": room, "rank": f"rank + coalesce(place, 0) * {room}",
+        "base": f"if(depth = {seed}, rank, base)", "via": f"concat(if(depth = {seed}, cast(array() AS array<string>), via), array(dst))",
+        "vars": "if(edge_type = 'call' AND size(params) > 0, params, vars)" if rule.gated else "vars",
+        "cleared": f"if(dst_type = '{SANITIZER}', array_sort(array_union(cleared, array(dst_class))), cleared)" if rule.class_aware else "cleared",
+        "sanitized": f"sanitized OR dst_type = '{SANITIZER}'", "node_type": "dst_type", "node_class": "dst_class",
     }
+    met = f"{{state}} s LEFT JOIN {{around}} a ON if({live}, node, concat(char(0), source_id)) = src"  # done rows meet no edge
     if rule.once:  # a state stays beside those it leads to
-        stays = F.struct("source_id", "hit", *new)
-        leads = F.when(live & goes, F.struct("source_id", "hit", *[c.alias(k) for k, c in new.items()]))
-        moved = met.select(F.explode(F.array(stays, leads)).alias("s")).filter("s IS NOT NULL").select("s.*")
+        stays = ", ".join(f"'{c}', {c}" for c in ("source_id", "hit", *new))
+        leads = ", ".join(f"'{k}', {c}" for k, c in {"source_id": "source_id", "hit": "hit", **new}.items())
+        moved = f"SELECT m.* FROM (SELECT explode(array(named_struct({stays}), if({live} AND {goes}, named_struct({leads}), NULL))) AS m FROM {met}) WHERE m IS NOT NULL"
     else:
-        moved = met.filter(~live | goes).select("source_id", "hit", *[F.when(live, c).otherwise(F.col(k)).alias(k) for k, c in new.items()])
+        moved = f"SELECT source_id, hit, {', '.join(f'if({live}, {c}, {k}) AS {k}' for k, c in new.items())} FROM {met} WHERE NOT {live} OR ({goes})"
     keys = ["source_id", "node"] if rule.once else ["source_id", "node", "depth"] + ["sanitized"] * rule.sound + ["cleared"] * rule.class_aware
-    order = ["depth", "rank"] if rule.once else ["rank"]
-    kept = moved.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("n = 1").drop("n")
-    if rule.ends:
-        clean = ~F.array_contains("cleared", F.col("node_class")) if rule.class_aware else ~F.col("sanitized")
-        kept = kept.withColumn("hit", F.col("hit") | ((F.col("depth") == depth) & (F.col("node_type") == SINK) & clean))
-    return kept.select(*_STATE)
+    first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {'depth, ' * rule.once}rank) AS n FROM ({moved})) WHERE n = 1"
+    clean = "NOT array_contains(cleared, node_class)" if rule.class_aware else "NOT sanitized"
+    hit = f"hit OR (depth = {depth} AND node_type = '{SINK}' AND {clean})" if rule.ends else "hit"
+    return state.sparkSession.sql(f"SELECT {', '.join(f'{hit} AS hit' if c == 'hit' else c for c in _STATE)} FROM ({first})", state=state, around=around.table)
 
 
 def _renumbered(states: DataFrame, live: int, space: int) -> tuple[DataFrame, int]:
