@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
 from tracewarden.schema import FUNCTION, SANITIZER, SINK, SOURCE
 from tracewarden.sources.shared import width, written
 
+#: Pairs of different variables and texts of a file from which an index finds those that match.
+LARGE = 1 << 22
+
 
 def _last(df: DataFrame, keys: list[str], order) -> DataFrame:
     """The row with the greatest order for each key (last writer wins)."""
@@ -26,24 +29,52 @@ def line_index(parsed: DataFrame) -> DataFrame:
     return parsed_with_ids(parsed).groupBy("file_path", "line").agg(F.max_by("id", "ord").alias("line_id"))
 
 
-def dataflow_edges(parsed: DataFrame, word_boundary: bool = False) -> DataFrame:
+def _grams(text: str) -> Column:
+    """The different strings of one to three characters in a text."""
+    cut = lambda k: F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(F.col(text), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(cut(1), cut(2), cut(3)))
+
+
+def contained(variables: DataFrame, texts: DataFrame) -> DataFrame:
+    """(file_path, tainted_var, text): which variables the texts of their file contain, by an index of three-character strings.
+
+    A variable asks for the texts that hold the rarest string among its own of three characters (a shorter one: for
+    those that hold itself), and only these are looked through. No variable meets all texts of a large file.
+    """
+    size = F.least(F.lit(3), F.length("tainted_var"))
+    asked = variables.select("file_path", "tainted_var", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("tainted_var") - size + 1), lambda i: F.substring(F.col("tainted_var"), i, size)))).alias("gram"))
+    asked = written(asked, "asked")
+    held = texts.select("file_path", "text", F.explode(_grams("text")).alias("gram"))
+    held = written(held.join(asked.select("file_path", "gram").distinct(), ["file_path", "gram"], "left_semi"), "held")
+    counts = held.groupBy("file_path", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, ["file_path", "gram"], "left").groupBy("file_path", "tainted_var").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(held, ["file_path", "gram"]).filter("contains(text, tainted_var)").select("file_path", "tainted_var", "text")
+
+
+def dataflow_edges(parsed: DataFrame, word_boundary: bool = False, large: int = LARGE) -> DataFrame:
     """Source to sink edges within a file, where the sink's text contains a tainted variable.
 
-    Equal on the file, with the substring test as a residual of the same join. Both ends are looked up by
-    line, so several nodes on one line share the last one's id. An empty variable taints nothing.
+    Both ends are looked up by line, so several nodes on one line share the last one's id. An empty variable taints
+    nothing. Different variables meet different texts: in files of up to ``large`` such pairs by a join on the file, in larger
+    ones by an index (``contained``); only what matches is joined with the sources and sinks again.
     """
-    kept = parsed_with_ids(parsed)
-    index = line_index(parsed)
-    sources = kept.filter(F.col("kind") == SOURCE).select("file_path", "line", F.explode("tainted_vars").alias("tainted_var")).filter("tainted_var <> ''")
-    sources = sources.join(index, ["file_path", "line"]).select("file_path", "tainted_var", F.col("line_id").alias("src"))
-    sinks = kept.filter(F.col("kind") == SINK).select("file_path", "line", "text")
-    sinks = sinks.join(index, ["file_path", "line"]).select("file_path", "text", F.col("line_id").alias("dst"))
-    found = F.expr("contains(text, tainted_var)")
+    placed = parsed_with_ids(parsed).withColumn("line_id", F.max_by("id", "ord").over(Window.partitionBy("file_path", "line")))
+    placed = written(placed.filter(F.col("kind").isin(SOURCE, SINK)).select("kind", "file_path", "text", "tainted_vars", "line_id"), "placed")
+    sources = placed.filter(F.col("kind") == SOURCE).select("file_path", F.explode("tainted_vars").alias("tainted_var"), F.col("line_id").alias("src")).filter("tainted_var <> ''").distinct()
+    sinks = placed.filter((F.col("kind") == SINK) & F.col("text").isNotNull()).select("file_path", "text", F.col("line_id").alias("dst")).distinct()
+    variables, texts = sources.select("file_path", "tainted_var").distinct(), sinks.select("file_path", "text").distinct()
+    sizes = variables.groupBy("file_path").agg(F.count(F.lit(1)).alias("v")).join(texts.groupBy("file_path").agg(F.count(F.lit(1)).alias("t")), "file_path")
+    crowded = written(sizes.filter(F.col("v") * F.col("t") > large).select("file_path"), "crowded")
+    pairs = variables.join(texts, "file_path").filter("contains(text, tainted_var)").select("file_path", "tainted_var", "text")
+    if not crowded.isEmpty():
+        few, many = (variables.join(crowded, "file_path", how) for how in ("left_anti", "left_semi"))
+        pairs = few.join(texts, "file_path").filter("contains(text, tainted_var)").select("file_path", "tainted_var", "text")
+        pairs = pairs.unionByName(contained(many, texts.join(crowded, "file_path", "left_semi")))
     if word_boundary:
-        found = found & F.expr(r"regexp_like(text, concat('(?<![A-Za-z0-9_])', '\\Q', tainted_var, '\\E', '(?![A-Za-z0-9_])'))")
-    joined = sources.join(sinks, "file_path").filter(found)
-    edges = joined.select(S.edge_id("src", "dst", F.lit("dataflow")).alias("id"), "src", "dst", F.lit("dataflow").alias("type"), F.array().cast("array<string>").alias("args"), F.create_map(F.lit("tainted_var"), "tainted_var", F.lit("file"), "file_path").alias("metadata"))
-    return edges.groupBy("id").agg(F.min_by(F.struct("src", "dst", "type", "args", "metadata"), F.col("metadata")["tainted_var"]).alias("e")).select("id", "e.*")
+        pairs = pairs.filter(r"regexp_like(text, concat('(?<![A-Za-z0-9_])', '\\Q', tainted_var, '\\E', '(?![A-Za-z0-9_])'))")
+    joined = pairs.join(sources, ["file_path", "tainted_var"]).join(sinks, ["file_path", "text"])
+    found = joined.groupBy("src", "dst").agg(F.min(F.struct("tainted_var", "file_path")).alias("m"))
+    return found.select(S.edge_id("src", "dst", F.lit("dataflow")).alias("id"), "src", "dst", F.lit("dataflow").alias("type"), F.array().cast("array<string>").alias("args"), F.create_map(F.lit("tainted_var"), "m.tainted_var", F.lit("file"), "m.file_path").alias("metadata"))
 
 
 def file_order(functions: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
 from tracewarden.operators import reach
-from tracewarden.operators.search import MANY, Around, Found, Rule, adjacency, search
+from tracewarden.operators.search import MANY, Around, Found, Rule, adjacency, search, sink_distance
 from tracewarden.schema import SINK, SOURCE
+from tracewarden.sources.shared import written
 
 #: Longest path in nodes.
 MAX_NODES = 20
@@ -25,10 +26,12 @@ def _pruned(around: Around, nodes: DataFrame, sinks: DataFrame, starts: DataFram
     return around.towards(sinks, max_nodes) if prune else around
 
 
-def taint_search(nodes: DataFrame, edges: DataFrame, sources: Column | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False, prune: bool | None = None, **levels) -> Found:
+def taint_search(nodes: DataFrame, edges: DataFrame, sources: Column | DataFrame | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False, prune: bool | None = None, **levels) -> Found:
     """The states of ``trace_forward``."""
     starts = nodes.filter(F.col("type") == SOURCE)
-    if sources is not None:
+    if isinstance(sources, DataFrame):
+        starts = starts.join(sources.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi")
+    elif sources is not None:
         starts = starts.filter(sources)
     tainted = F.when(F.size(F.coalesce("tainted_vars", F.array())) > 0, F.col("tainted_vars")).otherwise(F.array("symbol"))
     sinks = nodes.filter(F.col("type") == SINK).select(F.col("id").alias("node"))
@@ -37,7 +40,7 @@ def taint_search(nodes: DataFrame, edges: DataFrame, sources: Column | None = No
     return search(around, starts.select(F.col("id").alias("source_id"), tainted.alias("vars")), rule, **levels)
 
 
-def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False, paths: bool = True, **options) -> DataFrame:
+def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | DataFrame | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False, paths: bool = True, **options) -> DataFrame:
     """Unsanitized source-to-sink paths: (source_id, sink_id, depth, rank, path), one for each sink and depth.
 
     A call edge is crossed only with a tainted argument, whose callee's parameters (or, without any, the same
@@ -45,7 +48,8 @@ def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | None = N
     class, clears it, and a sanitized path goes on through sinks. Of the states that reach a node at one
     depth, the first counts (``sound`` keeps a clean one beside a sanitized one; ``class_aware`` lets a sanitizer
     clear sinks of its own class only). Null columns count as absent; edges to missing nodes lead nowhere. Without ``paths``, only which
-    sinks are reached: no path is put together. ``prune``: see ``search``.
+    sinks are reached: no path is put together. ``sources``: a condition on source nodes, or a table of their ids
+    (``source_id``). ``prune``: see ``search``.
     """
     found = taint_search(nodes, edges, sources, max_nodes, sound, class_aware, **options)
     rows = found.with_paths() if paths else found.rows
@@ -74,6 +78,34 @@ def find_all_paths(nodes: DataFrame, edges: DataFrame, **flags) -> DataFrame:
 find_missing_sanitizers = find_all_paths
 
 
+def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of either table that the other one lacks."""
+    hashed = lambda df: df.select("*", F.xxhash64(*[F.to_json(c) if t.startswith(("map", "array")) else F.col(c) for c, t in df.dtypes]).alias("h"))
+    old, new = hashed(before), hashed(after)
+    keys = ["id", "h"]
+    return old.join(new.select(keys), keys, "left_anti").unionByName(new.join(old.select(keys), keys, "left_anti"), allowMissingColumns=True)
+
+
+def affected_sources(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], max_nodes: int = MAX_NODES) -> DataFrame:
+    """(source_id): nodes from which, before or after a change of (nodes, edges), a changed node or end of a changed edge lies within a
+    path's length. One backward search over all changed nodes at once in each graph."""
+    nodes, edges = _changed(before[0], after[0]), _changed(before[1], after[1])
+    touched = nodes.select(F.col("id").alias("node")).unionByName(edges.select(F.col("src").alias("node"))).distinct()
+    touched = written(touched, "touched")
+    found = [sink_distance(adjacency(*graph).table, touched, max_nodes) for graph in (before, after)]
+    return found[0].select(F.col("node").alias("source_id")).unionByName(found[1].select(F.col("node").alias("source_id"))).distinct()
+
+
+def updated_paths(paths: DataFrame, before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], max_nodes: int = MAX_NODES, **flags) -> DataFrame:
+    """The path records of a changed graph from those of the graph before: only sources near a change are searched again.
+
+    The rows are those of ``find_all_paths`` over the graph after; graphs are (nodes, edges).
+    """
+    again = written(affected_sources(before, after, max_nodes), "affected")
+    kept = paths.join(again, "source_id", "left_anti").select(paths.columns)
+    return kept.unionByName(find_all_paths(*after, sources=again, max_nodes=max_nodes, **flags).select(paths.columns))
+
+
 def by_severity(paths: DataFrame) -> DataFrame:
     """Critical first; ties by id."""
     return paths.orderBy(S.severity_rank("severity"), "id")
