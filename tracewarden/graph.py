@@ -60,8 +60,7 @@ class SecurityGraph:
         return traverse.blast_radius(self.nodes, self.edges, node_id)
 
     def report(self) -> dict[str, DataFrame]:
-        paths = written(self.find_all_paths(), "paths")
-        return {"stats": posture.node_stats(self.nodes), "findings": posture.findings(paths), "by_severity": posture.findings_by_severity(paths), "score": posture.posture(paths), "files": posture.file_context(self.nodes)}
+        return posture.report(self.nodes, written(self.find_all_paths(), "paths"))
 
     def tool(self, name: str, most: int = 1000, **args) -> str:
         """One of the agent tools as JSON with two blanks of indent, at most ``most`` rows of each list.

@@ -33,6 +33,11 @@ def findings(paths: DataFrame) -> DataFrame:
     return paths.select("id", "vuln_class", "severity", "confidence", "description", "source_file", "source_line", F.col("file_path").alias("sink_file"), "sink_line", "sink_symbol", S.remediation("vuln_class").alias("remediation"))
 
 
+def report(nodes: DataFrame, paths: DataFrame) -> dict[str, DataFrame]:
+    """The parts of a report: statistics, findings, their numbers by severity, the score and the files. ``paths`` is read several times."""
+    return {"stats": node_stats(nodes), "findings": findings(paths), "by_severity": findings_by_severity(paths), "score": posture(paths), "files": file_context(nodes)}
+
+
 def scored(counts: DataFrame) -> DataFrame:
     """Counts by severity with score and grade: 100 less 25, 15, 5 and 2 for each finding, at least 0."""
     score = F.greatest(F.lit(0), 100 - 25 * F.col("critical") - 15 * F.col("high") - 5 * F.col("medium") - 2 * F.col("low"))

@@ -12,10 +12,11 @@ from tracewarden.functions.rules import LINE_RULES
 from tracewarden.operators import build, extract, lines, posture, traverse
 from tracewarden.plans import adapters as A
 from tracewarden.plans import oracles as O
+from tracewarden.plans import reports
 from tracewarden.schema import SINK, SOURCE
 from tracewarden.sources.shared import load, shared_folder, written
 from tracewarden.sources.store import FactStore
-from tracewarden.streaming.changes import apply_changes
+from tracewarden.streaming.changes import apply_changes, bursts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FLAT = ("id", "source_id", "sink_id", "path", "path_length", "vuln_class", "severity", "confidence", "file_path")
@@ -301,18 +302,8 @@ def path_history(spark, sf_dir):
 
 def latest_change(spark, sf_dir):
     """Events as changes of a user's file: the last of each burst of ten minutes counts."""
-    events = load(spark, sf_dir, "events").selectExpr("concat('u', user_id) AS path", "ts AS event_time", "event_id", "event_type = 'error' AS is_delete")
-    gap = F.col("event_time").cast("timestamp").cast("double") - F.lag(F.col("event_time").cast("timestamp").cast("double")).over(_by_path())
-    bursts = events.withColumn("fresh", F.coalesce(gap > 600, F.lit(True)).cast("int"))
-    bursts = bursts.withColumn("burst", F.sum("fresh").over(_by_path()))
-    last = bursts.groupBy("path", "burst").agg(F.max_by(F.struct("event_id", "is_delete"), F.struct("event_time", "event_id")).alias("c"), F.count(F.lit(1)).alias("n"))
-    return last.select("path", F.col("burst").cast("long").alias("burst"), F.col("c.event_id").alias("event_id"), F.col("c.is_delete").alias("is_delete"), "n")
-
-
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("path").orderBy("event_time", "event_id")
+    events = load(spark, sf_dir, "events").selectExpr("concat('u', user_id) AS path", "cast(ts AS timestamp) AS event_time", "event_id", "event_type = 'error' AS is_delete")
+    return bursts(events, 600, "event_id").select("path", "burst", "event_id", "is_delete", "n")
 
 
 def file_replace(spark, sf_dir):
@@ -435,8 +426,8 @@ _QUERIES: tuple[Query, ...] = (
 
 def queries() -> dict[str, Query]:
     named = (("py", "python"), ("ts", "typescript"), ("go", "go"))
-    return {f.__name__: f for f in _QUERIES} | {f"classify_lines_{k}": _classified(v) for k, v in named} | {f"extracted_{k}": _extracted(v) for k, v in named}
+    return {f.__name__: f for f in _QUERIES} | reports.QUERIES | {f"classify_lines_{k}": _classified(v) for k, v in named} | {f"extracted_{k}": _extracted(v) for k, v in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return O.texts()
+    return O.texts() | reports.texts()

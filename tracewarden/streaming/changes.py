@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.rules import IGNORED
@@ -34,6 +34,18 @@ def debounced(changes: DataFrame, quiet: str = "150 milliseconds", late: str = "
     return last.select("path", "c.language", "c.is_delete", "c.content", "event_time")
 
 
+def bursts(changes: DataFrame, quiet: float, order: str = "is_delete") -> DataFrame:
+    """The same over a table: (path, burst, the last row's columns, n), bursts numbered from 1 within a path, a new one after more than
+    ``quiet`` seconds. ``order`` decides between rows of one time."""
+    by_path = Window.partitionBy("path").orderBy("event_time", order)
+    at = F.col("event_time").cast("double")
+    numbered = changes.withColumn("fresh", F.coalesce(at - F.lag(at).over(by_path) > quiet, F.lit(True)).cast("long"))
+    numbered = numbered.withColumn("burst", F.sum("fresh").over(by_path)).drop("fresh")
+    rest = [c for c in changes.columns if c != "path"]
+    last = numbered.groupBy("path", "burst").agg(F.max_by(F.struct(*rest), F.struct("event_time", order)).alias("c"), F.count(F.lit(1)).alias("n"))
+    return last.select("path", "burst", "c.*", "n")
+
+
 def apply_changes(store: FactStore, changes: DataFrame) -> int | None:
     """Apply a batch of changes to the store: the last one of each path counts; deleted files go, files whose content
     has changed are extracted again, others are skipped. Applying a batch twice gives the same graph. None for a batch without changes."""
