@@ -32,21 +32,27 @@ FIRST, CHAIN, MANY = 5, 10, 2_000_000
 SPACE = 1 << 62
 #: Bytes of edges from which the edges of one node are numbered in parts.
 HUB_BYTES = 1 << 30
+#: Bytes of edges that go to every task instead of being dealt anew for each level.
+SMALL = 32 << 20
 _STATE = ("source_id", "node", "depth", "rank", "room", "base", "via", "vars", "cleared", "sanitized", "node_type", "node_class", "hit")
 
 
 @dataclass(frozen=True)
 class Around:
     """Edges whose target exists, with what a search needs of it: src, dst, edge_type, args, dst_type, dst_class, params,
-    the place of the edge among those of its source, and their number."""
+    the place of the edge among those of its source, and their number; ``most`` of them at one node, ``count`` in all,
+    some ``size`` bytes; at most ``into`` edges lead to one node."""
 
     table: DataFrame
     most: int
+    count: int = 0
+    size: int = 0
+    into: int = 2
 
     def towards(self, sinks: DataFrame, hops: int) -> Around:
         """Only edges whose target is within ``hops`` edges of a sink (column ``node``), with that number as ``hops_left``."""
         labels = sink_distance(self.table, sinks, hops).select(F.col("node").alias("dst"), F.col("hops").alias("hops_left"))
-        return Around(written(self.table.join(labels, "dst"), "towards"), self.most)
+        return Around(written(self.table.join(labels, "dst"), "towards"), self.most, self.count, self.size, self.into)
 
 
 def _in_parts(linked: DataFrame) -> DataFrame:
@@ -66,14 +72,20 @@ def _at_once(linked: DataFrame) -> DataFrame:
     return marked.filter(~F.col("again")).drop("again").withColumn("edges", F.count(F.lit(1)).over(Window.partitionBy("src")))
 
 
+def edges_size(edges: DataFrame) -> int:
+    """Bytes of edges, by Spark's own estimate."""
+    return int(str(edges._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def adjacency(nodes: DataFrame, edges: DataFrame, hub_bytes: int = HUB_BYTES) -> Around:
     """Edges with equal ids count once; edges to missing nodes lead nowhere."""
     target = nodes.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"), F.coalesce("vuln_class", F.lit("")).alias("dst_class"), F.coalesce("params", F.array()).alias("params"))
     linked = edges.select("src", "dst", F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), F.coalesce("args", F.array()).alias("args")).join(target, "dst")
-    size = edges._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    placed = _in_parts(linked) if size > hub_bytes else _at_once(linked)
-    table, told = measured(placed.drop("edge_id"), "adjacency", most=F.max("edges"))
-    return Around(table, told["most"] or 1)
+    linked = linked.withColumn("into", F.count(F.lit(1)).over(Window.partitionBy("dst")) if edges_size(edges) <= hub_bytes else F.lit(2).cast("long"))
+    placed = _in_parts(linked) if edges_size(edges) > hub_bytes else _at_once(linked)
+    held = F.octet_length("src") + F.octet_length("dst") + F.octet_length(F.array_join("args", ",")) + F.octet_length(F.array_join("params", ",")) + 100
+    table, told = measured(placed.drop("edge_id"), "adjacency", most=F.max("edges"), count=F.count(F.lit(1)), size=F.sum(held.cast("long")), into=F.max("into"))
+    return Around(table.drop("into"), told["most"] or 1, told["count"] or 0, told["size"] or 0, told["into"] or 1)
 
 
 def sink_distance(around: DataFrame, sinks: DataFrame, hops: int) -> DataFrame:
@@ -125,13 +137,14 @@ class Found:
         return rows.withColumn("path", F.concat(F.array("source_id"), "via")).drop("at", "via", "base")
 
 
-def _level(state: DataFrame, around: Around, depth: int, seed: int, rule: Rule) -> DataFrame:
-    """All states after one more level; ``seed``: the depth at which the job began. One SQL text, so that a job of many levels is analysed once a level."""
+def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: str, alone: bool) -> str:
+    """SQL of all states after one more level than the table ``before`` has; ``seed``: the depth at which the job began.
+    ``alone``: no two states can meet in a node."""
     live = f"(depth = {depth - 1} AND NOT hit)"
     goes = "src IS NOT NULL"
     if rule.gated:
         goes += f" AND (edge_type <> 'call' OR coalesce(arrays_overlap(vars, args), false))"
-    if "hops_left" in around.table.columns:
+    if pruned:
         goes += f" AND hops_left + {depth} <= {rule.most}"
     room = "(room div coalesce(edges, 1))"
     new = {
@@ -141,18 +154,28 @@ def _level(state: DataFrame, around: Around, depth: int, seed: int, rule: Rule)
         "cleared": f"if(dst_type = '{SANITIZER}', array_sort(array_union(cleared, array(dst_class))), cleared)" if rule.class_aware else "cleared",
         "sanitized": f"sanitized OR dst_type = '{SANITIZER}'", "node_type": "dst_type", "node_class": "dst_class",
     }
-    met = f"{{state}} s LEFT JOIN {{around}} a ON if({live}, node, concat(char(0), source_id)) = src"  # done rows meet no edge
+    met = f"{before} LEFT JOIN around ON if({live}, node, concat(char(0), source_id)) = src"  # done rows meet no edge
     if rule.once:  # a state stays beside those it leads to
         stays = ", ".join(f"'{c}', {c}" for c in ("source_id", "hit", *new))
         leads = ", ".join(f"'{k}', {c}" for k, c in {"source_id": "source_id", "hit": "hit", **new}.items())
-        moved = f"SELECT m.* FROM (SELECT explode(array(named_struct({stays}), if({live} AND {goes}, named_struct({leads}), NULL))) AS m FROM {met}) WHERE m IS NOT NULL"
+        moved = f"SELECT m.* FROM (SELECT {hint} explode(array(named_struct({stays}), if({live} AND {goes}, named_struct({leads}), NULL))) AS m FROM {met}) WHERE m IS NOT NULL"
     else:
-        moved = f"SELECT source_id, hit, {', '.join(f'if({live}, {c}, {k}) AS {k}' for k, c in new.items())} FROM {met} WHERE NOT {live} OR ({goes})"
+        moved = f"SELECT {hint} source_id, hit, {', '.join(f'if({live}, {c}, {k}) AS {k}' for k, c in new.items())} FROM {met} WHERE NOT {live} OR ({goes})"
     keys = ["source_id", "node"] if rule.once else ["source_id", "node", "depth"] + ["sanitized"] * rule.sound + ["cleared"] * rule.class_aware
-    first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {'depth, ' * rule.once}rank) AS n FROM ({moved})) WHERE n = 1"
+    first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {'depth, ' * rule.once}rank) AS n FROM ({moved})) WHERE n = 1" if not alone else moved
     clean = "NOT array_contains(cleared, node_class)" if rule.class_aware else "NOT sanitized"
     hit = f"hit OR (depth = {depth} AND node_type = '{SINK}' AND {clean})" if rule.ends else "hit"
-    return state.sparkSession.sql(f"SELECT {', '.join(f'{hit} AS hit' if c == 'hit' else c for c in _STATE)} FROM ({first})", state=state, around=around.table)
+    return f"SELECT {', '.join(f'{hit} AS hit' if c == 'hit' else c for c in _STATE)} FROM ({first})"
+
+
+def levels(state: DataFrame, around: Around, seed: int, last: int, rule: Rule) -> DataFrame:
+    """All states after the levels from ``seed`` to ``last``: one SQL text, a table of it a level, each read once by the next."""
+    pruned = "hops_left" in around.table.columns
+    hint = "/*+ BROADCAST(around) */" if around.size <= SMALL else ""
+    alone = around.into <= 1 and not rule.once  # by induction: a node's only in-edge brings one state of a source and depth
+    tables = [f"level{d} AS ({_level(f'level{d - 1}', d, seed, rule, pruned, hint, alone)})" for d in range(seed + 1, last + 1)]
+    text = f"WITH around AS (SELECT * FROM {{around}}), level{seed} AS (SELECT * FROM {{state}}), {', '.join(tables)} SELECT * FROM level{last}"
+    return state.sparkSession.sql(text, state=state, around=around.table)
 
 
 def _renumbered(states: DataFrame, live: int, space: int) -> tuple[DataFrame, int]:
@@ -174,9 +197,9 @@ def search(around: Around, starts: DataFrame, rule: Rule, first: int = FIRST, ch
     state = starts.select("source_id", F.col("source_id").alias("node"), F.lit(1).alias("depth"), F.lit(0).cast("long").alias("rank"), F.lit(space).cast("long").alias("room"), F.lit(0).cast("long").alias("base"), none.alias("via"), "vars", none.alias("cleared"), F.lit(False).alias("sanitized"), F.lit(SOURCE).alias("node_type"), F.lit("").alias("node_class"), F.lit(False).alias("hit"))
     depth, room, count, found, done = 1, space, None, Found(state), []
     while rule.most is None or depth < rule.most:
-        levels = first if count is None else chain if count <= many else 1
+        n = first if count is None else chain if count <= many else 1
         if rule.most is not None:
-            levels = min(levels, rule.most - depth)
+            n = min(n, rule.most - depth)
         if around.most > 1:
             fit = int(log(max(1, room)) / log(around.most) - 1e-9)
             if fit < 1 and count is not None:
@@ -186,12 +209,10 @@ def search(around: Around, starts: DataFrame, rule: Rule, first: int = FIRST, ch
                 fit = int(log(max(1, room)) / log(around.most) - 1e-9)
             if fit < 1:
                 raise ValueError(f"{count} states and {around.most} edges of a node are too many for 64-bit ranks")
-            levels = min(levels, fit)
+            n = min(n, fit)
         if count is not None:
             found.bases.append((depth, frontier.select("source_id", F.col("rank").alias("key"), F.col("base").alias("base_base"), F.col("via").alias("base_via"))))
-        seed = depth
-        for depth in range(seed + 1, seed + levels + 1):
-            state = _level(state, around, depth, seed, rule)
+        state, depth = levels(state, around, depth, depth + n, rule), depth + n
         live = (F.col("depth") == depth) & ~F.col("hit")
         state, told = measured(state, "states", live=F.count_if(live), room=F.min(F.when(live, F.col("room"))))
         if not rule.once:

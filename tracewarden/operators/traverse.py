@@ -19,11 +19,9 @@ from tracewarden.sources.shared import written
 MAX_NODES = 20
 
 
-def _pruned(around: Around, nodes: DataFrame, sinks: DataFrame, starts: DataFrame, max_nodes: int, prune: bool | None) -> Around:
-    """Edges on the way to a sink only. By default where there are many starts, so that labels cost less than they save."""
-    if prune is None:
-        prune = starts.limit(MANY + 1).count() > MANY
-    return around.towards(sinks, max_nodes) if prune else around
+def _pruned(around: Around, sinks: DataFrame, max_nodes: int, prune: bool | None) -> Around:
+    """Edges on the way to a sink only. By default in large graphs, where labels cost less than they save."""
+    return around.towards(sinks, max_nodes) if prune or prune is None and around.count > MANY else around
 
 
 def taint_search(nodes: DataFrame, edges: DataFrame, sources: Column | DataFrame | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False, prune: bool | None = None, **levels) -> Found:
@@ -35,7 +33,7 @@ def taint_search(nodes: DataFrame, edges: DataFrame, sources: Column | DataFrame
         starts = starts.filter(sources)
     tainted = F.when(F.size(F.coalesce("tainted_vars", F.array())) > 0, F.col("tainted_vars")).otherwise(F.array("symbol"))
     sinks = nodes.filter(F.col("type") == SINK).select(F.col("id").alias("node"))
-    around = _pruned(adjacency(nodes, edges), nodes, sinks, starts, max_nodes, prune)
+    around = _pruned(adjacency(nodes, edges), sinks, max_nodes, prune)
     rule = Rule(gated=True, ends=True, sound=sound, class_aware=class_aware, most=max_nodes)
     return search(around, starts.select(F.col("id").alias("source_id"), tainted.alias("vars")), rule, **levels)
 
@@ -123,7 +121,7 @@ def paths_to_sink(nodes: DataFrame, edges: DataFrame, pattern: str, max_nodes: i
     """
     starts = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), F.array().cast("array<string>").alias("vars"))
     sinks = nodes.filter((F.col("type") == SINK) & matches(pattern)).select(F.col("id").alias("node"))
-    around = _pruned(adjacency(nodes, edges), nodes, sinks, starts, max_nodes, prune)
+    around = _pruned(adjacency(nodes, edges), sinks, max_nodes, prune)
     found = search(around, starts, Rule(once=True, most=max_nodes))
     found.rows = found.rows.filter(~F.col("sanitized")).join(sinks, "node", "left_semi")
     return described(nodes, found.with_paths().select("source_id", F.col("node").alias("sink_id"), "path", "depth"))
