@@ -10,8 +10,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, lattice, media, quality, toxicity, warc
+from tracewarden.llm import bpe, labelled, lattice, media, quality, toxicity, warc
 
 SCHEMA = "doc_id long, text string"
 
@@ -168,3 +169,16 @@ def test_quality(spark):
     assert len(rows) == 603 and all(0 <= r["score"] <= 1 for r in rows) and _accuracy(rows) > 0.95
     assert quality.score(docs.limit(0), ranking).count() == 0
     assert {r["score"] for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect()} == {0.0}
+
+
+def test_choice_of_settings(spark):
+    """Settings are compared on an inner fold: labels of held-out rows change nothing, and a setting that can't learn comes last."""
+    names = "array('anna', 'bert', 'carl', 'dora', 'emil', 'fritz', 'gerda', 'hugo', 'ida', 'jan', 'karla')"
+    docs = spark.range(400).selectExpr("id AS doc_id", f"if(id % 4 = 0, concat('well ', {names}[id % 11], ' scumbag said ', {names}[id % 7]), concat('a fine day ', {names}[id % 11], ' by the lake ', {names}[id % 5])) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 4 = 0 AS int) AS toxic")
+    held = labelled.held_out()
+    wrong = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    settings = [{"cost": 1e-9}, {"cost": 1.0}]
+    found = toxicity.choose(docs, labels, settings, folds=2)
+    assert found == toxicity.choose(docs, wrong, settings, folds=2)
+    assert found[0][2] == {"cost": 1.0} and found[0][1] == 0

@@ -28,8 +28,10 @@ from tracewarden.llm import common, labelled
 LAMBDA, SPAN, WIDTH, STRIDE = 0.6, 6, 16, 8
 #: What is learnt from: at most so many labelled documents and landmark words, half of them from toxic sentences.
 SAMPLE, LANDMARKS = 20_000, 240
-#: Words of a sentence in its training row, rounds of training, and cost of a clean sentence on the wrong side.
-WITNESSES, ROUNDS, COST = 2, 3, 0.3
+#: Words of a sentence in its training row, rounds of training, and cost of a clean sentence on the wrong side: the best of SETTINGS by ``choose``.
+WITNESSES, ROUNDS, COST = 2, 3, 0.1
+#: What ``choose`` compares.
+SETTINGS = [{"witnesses": w, "rounds": 3, "cost": c} for w, c in ((2, 0.1), (2, 0.3), (2, 1.0), (1, 0.3))]
 _A, _MARK, _TOP = 32, 31, 5
 _SLICE = 1 << 20
 
@@ -202,9 +204,9 @@ def strongest(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, most:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def sentence_rows(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, marks: np.ndarray, root: np.ndarray) -> np.ndarray:
+def sentence_rows(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, marks: np.ndarray, root: np.ndarray, most: int = WITNESSES) -> np.ndarray:
     """The training row of each sentence: the mean of its strongest words in the landmarks' space; 0 without words."""
-    row, cells = strongest(data, offsets, weights)
+    row, cells = strongest(data, offsets, weights, most)
     out = np.zeros((len(offsets) - 1, root.shape[1]), np.float32)
     if len(row):
         np.add.at(out, row, (kernel(cells, marks) @ root.astype(np.float32)))
@@ -304,7 +306,7 @@ def landmark_words(sampled: DataFrame, toxic: int, clean: int, most: int = LANDM
     return positive, negative
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "toxic") -> Machine | float:
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "toxic", cost: float = COST, rounds: int = ROUNDS, witnesses: int = WITNESSES) -> Machine | float:
     """A machine from at most ``most`` labelled documents, or the share of label 1 where one class is missing or no word
     of a toxic sentence can be a landmark.
 
@@ -326,16 +328,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str
     def rows_of(weights: np.ndarray) -> DataFrame:
         def run(batches):
             for batch in batches:
-                x = sentence_rows(*common.utf8_buffers(batch.column(1)), weights, marks, root)
+                x = sentence_rows(*common.utf8_buffers(batch.column(1)), weights, marks, root, witnesses)
                 yield common.released(pa.record_batch([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "label", "x"]))
 
         return sampled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary")
 
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         found = rows_of(machine.weights).toArrow().sort_by("doc_id")
         y = np.where(found.column("label").to_numpy() == 1, 1.0, -1.0)
         x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(y), -1)
-        w, offset = support_vectors(x, y, COST * np.where(y > 0, clean / toxic, 1.0))
+        w, offset = support_vectors(x, y, cost * np.where(y > 0, clean / toxic, 1.0))
         machine = Machine(folded(marks, root @ w), offset)
 
     def run(batches):
@@ -349,6 +351,27 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str
     return machine
 
 
+def choose(docs: DataFrame, labels: DataFrame, settings: list[dict] = SETTINGS, most: int = SAMPLE, label_col: str = "toxic", folds: int = 4) -> list[tuple[float, int, dict]]:
+    """(log loss, errors, setting) of each setting of ``train``, best first, by cross-validation within the rows that may be learnt from.
+
+    Held-out rows take no part: the others fall into ``folds`` by crc32 div 5, and each is judged by a machine trained on the rest.
+    """
+    open_rows = labels.filter(~labelled.held_out()).withColumn("fold", F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 5) % folds)
+    judged = open_rows.select("doc_id", F.col(label_col).cast("int").alias("label"), "fold").dropna()
+    out = []
+    for setting in settings:
+        told = []
+        for k in range(folds):
+            mine = judged.filter(F.col("fold") == k)
+            texts = docs.select("doc_id", "text").join(mine.select("doc_id").distinct(), "doc_id", "left_semi")
+            found = score(texts, train(docs, open_rows.filter(F.col("fold") != k).drop("fold"), most, label_col, **setting)).join(mine, "doc_id")
+            p = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
+            loss = F.sum(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))
+            told.append(found.agg(loss.alias("loss"), F.count_if(F.col("predicted") != F.col("label")).alias("errors"), F.count(F.lit(1)).alias("n")).first())
+        out.append((sum(t["loss"] or 0.0 for t in told) / max(1, sum(t["n"] for t in told)), sum(t["errors"] for t in told), setting))
+    return sorted(out, key=lambda x: x[:2])
+
+
 def score(docs: DataFrame, machine: Machine | float, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted): the toxicity of every whole text, 0 to 1.
 
