@@ -28,9 +28,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: later copies of 50-byte strings are cut out of the texts, whole characters at a time."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = lpf.dedup_factors(docs, window=50, characters=True, carry=rest).withColumn("text", F.col("kept").cast("string"))
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    safe = {c: f"carried_column_{k}" for k, c in enumerate(rest)}  # names that no operator uses
+    kept = lpf.dedup_factors(docs.withColumnsRenamed(safe), window=50, characters=True, carry=tuple(safe.values()))
+    kept = kept.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return kept.select("doc_id", "text", "n_chars", *[F.col(new).alias(c) for c, new in safe.items()]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
