@@ -7,7 +7,7 @@ import __spark_entry__
 from tracewarden.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("node_stats", "out_degrees", "stable_ids", "severity_map", "param_lists", "dataflow_edges", "call_edges_ordered", "classify_lines_py", "classify_lines_ts", "classify_lines_go", "file_context", "latest_change", "trace_flow", "blast_nodes", "find_all_paths", "posture_by_module", "extracted_py", "extracted_ts", "extracted_go", "line_imports", "line_functions", "incremental_calls", "page_script_calls", "graph_delta", "order_paths")
+QUICK = ("node_stats", "out_degrees", "stable_ids", "severity_map", "param_lists", "dataflow_edges", "call_edges_ordered", "classify_lines_py", "classify_lines_ts", "classify_lines_go", "file_context", "latest_change", "trace_flow", "blast_nodes", "find_all_paths", "posture_by_module", "extracted_py", "extracted_ts", "extracted_go", "line_imports", "line_functions", "incremental_calls", "page_script_calls", "graph_delta", "order_paths", "nested_callers", "rules_go", "checked_paths_sound", "graph_versions", "page_lines", "order_reaches")
 
 
 def test_every_query_has_sql():
