@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
 from tracewarden.schema import FUNCTION, SANITIZER, SINK, SOURCE
-from tracewarden.sources.shared import width, written
+from tracewarden.sources.shared import measured, width, written
 
 #: Pairs of different variables and texts of a file from which an index finds those that match.
 LARGE = 1 << 22
@@ -64,9 +64,9 @@ def dataflow_edges(parsed: DataFrame, word_boundary: bool = False, large: int =
     sinks = placed.filter((F.col("kind") == SINK) & F.col("text").isNotNull()).select("file_path", "text", F.col("line_id").alias("dst")).distinct()
     variables, texts = sources.select("file_path", "tainted_var").distinct(), sinks.select("file_path", "text").distinct()
     sizes = variables.groupBy("file_path").agg(F.count(F.lit(1)).alias("v")).join(texts.groupBy("file_path").agg(F.count(F.lit(1)).alias("t")), "file_path")
-    crowded = written(sizes.filter(F.col("v") * F.col("t") > large).select("file_path"), "crowded")
+    crowded, told = measured(sizes.filter(F.col("v") * F.col("t") > large).select("file_path"), "crowded", n=F.count(F.lit(1)))
     pairs = variables.join(texts, "file_path").filter("contains(text, tainted_var)").select("file_path", "tainted_var", "text")
-    if not crowded.isEmpty():
+    if told["n"]:
         few, many = (variables.join(crowded, "file_path", how) for how in ("left_anti", "left_semi"))
         pairs = few.join(texts, "file_path").filter("contains(text, tainted_var)").select("file_path", "tainted_var", "text")
         pairs = pairs.unionByName(contained(many, texts.join(crowded, "file_path", "left_semi")))
