@@ -14,7 +14,7 @@ from tracewarden.functions import scalar as S
 from tracewarden.graph import SecurityGraph
 from tracewarden.operators import build, extract, posture, traverse
 from tracewarden.sources.repository import scan
-from tracewarden.sources.store import FactStore, GraphStore
+from tracewarden.sources.store import FactStore
 from tracewarden.streaming import changes
 
 
@@ -195,7 +195,7 @@ def test_posture(spark):
     assert rows["2"] == (datetime.date(2024, 2, 1), False) and rows["9"] == (None, True) and len(rows) == 5
 
 
-def test_scan_and_store(spark, tmp_path):
+def test_scan(spark, tmp_path):
     for name, text in (("app.py", PYTHON), ("lib/B.PY", "x = 1"), ("node_modules/m.js", "eval(1)"), ("src/testdata/t.py", ""), ("readme.md", "x")):
         p = tmp_path / "repo" / name
         p.parent.mkdir(parents=True, exist_ok=True)
@@ -204,13 +204,7 @@ def test_scan_and_store(spark, tmp_path):
     assert sorted(r["path"] for r in files.collect()) == ["app.py", "lib/B.PY"]
     assert files.filter("path = 'lib/B.PY'").first()["hash"] == hashlib.sha256(b"x = 1").hexdigest()
     g = SecurityGraph.from_files(files)
-    store = GraphStore(spark, str(tmp_path / "store"))
-    assert store.latest() is None and store.read()[0].count() == 0
-    first = store.write(g.nodes, g.edges)
-    n = store.read()[0].count()
-    assert n > 3
-    store.replace(spark.createDataFrame([("app.py",)], "file_path string"), *(d.limit(0) for d in store.read()))
-    assert store.read()[0].count() == 0 and store.read(first)[0].count() == n
+    assert g.nodes.count() > 3
 
 
 def test_stream(spark, tmp_path):
@@ -229,6 +223,6 @@ def test_stream(spark, tmp_path):
     assert store.read()[0].filter("symbol = 'eval'").count() == 0
     put("2.json", ("b.py", "python", True, None, "2024-01-01T00:00:02Z"))
     assert run() == {"a.py"}
-    assert store.latest()[0] == 2
+    assert store.latest() == 2
     bursts = changes.debounced(spark.createDataFrame([("a", "python", False, "1", datetime.datetime(2024, 1, 1, 0, 0, 0)), ("a", "python", True, None, datetime.datetime(2024, 1, 1, 0, 0, 0, 100000)), ("a", "python", False, "2", datetime.datetime(2024, 1, 1, 0, 0, 1))], schema.CHANGES.replace("event_time timestamp", "event_time timestamp")))
     assert sorted(r["is_delete"] for r in bursts.collect()) == [False, True]

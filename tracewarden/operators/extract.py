@@ -21,11 +21,28 @@ EVENTS = "file_path string, language string, seq int, event string, recv string,
 _FIELDS = ("event", "recv", "name", "line", "text", "names", "flag")
 
 
+_BREAKS = re.compile(r"""\"{3}(?:\\.|[^\\])*?\"{3}|'{3}(?:\\.|[^\\])*?'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|#[^\n]*|\\\n|[()\[\]{}\n]""", re.S)
+
+
+def _logical_lines(lines: list[str], first: int, last: int) -> list[tuple[int, int]]:
+    """Ranges of physical lines that are one logical line each: a line ends where no bracket or long string is open."""
+    cuts, line, depth = [first], first, 0
+    for m in _BREAKS.finditer("".join(lines[first:last])):
+        word = m.group()
+        depth += (word in "([{") - (word in ")]}")
+        line += word.count("\n")
+        if word == "\n" and depth <= 0:
+            cuts.append(line)
+            depth = 0
+    return [(a, b) for a, b in zip(cuts, [*cuts[1:], last]) if a < b]
+
+
 def _units(text: str):
     """Parsed units of a Python file: (tree, its source as UTF-8 lines, lines before it).
 
-    A file that parses is one unit. Of another, each top-level block is one if it parses; of a block that doesn't, each line
-    that parses by itself (a header with an empty body), so that one broken statement costs no other facts.
+    A file that parses is one unit. Of another, each top-level block is one if it parses; of a block that doesn't, each logical line
+    that parses by itself (a header with an empty body), and of a logical line that doesn't, each physical one, so that
+    one broken statement costs no other facts.
     """
     lines = re.split(r"(?<=\n)", text.replace("\r\n", "\n").replace("\r", "\n").replace("\f", " "))
     waiting = [(0, len(lines), 0)]
@@ -34,7 +51,7 @@ def _units(text: str):
         source = "".join(lines[first:last])
         if level == 1 and source.startswith("@") and source.rstrip().endswith(":"):
             source = source.rstrip() + " pass"  # a decorated header whose body is elsewhere
-        if level == 2:
+        if level >= 2:
             source = source.strip()
             source += "\ndef _(): pass" if source.startswith("@") else " pass" if source.endswith(":") else ""
         try:
@@ -45,9 +62,11 @@ def _units(text: str):
                 cuts[0] = first
                 waiting += [(x, y, 1) for x, y in zip(cuts, [*cuts[1:], last])][::-1]
             elif level == 1:
-                waiting += [(k, k + 1, 2) for k in range(first, last)][::-1]
+                waiting += [(a, b, 2) for a, b in _logical_lines(lines, first, last)][::-1]
+            elif level == 2 and last - first > 1:
+                waiting += [(k, k + 1, 3) for k in range(first, last)][::-1]
             continue
-        if level == 2 and source.endswith("\ndef _(): pass"):
+        if level >= 2 and source.endswith("\ndef _(): pass"):
             tree.body[0].name = ""  # a decorator by itself has no function
         yield tree, [x.encode() for x in re.split(r"(?<=\n)", source)], first
 
@@ -106,7 +125,10 @@ _REGEX = re.compile(r"/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n*])(?:\\[^
 _TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*", re.S)
 _RAW = re.compile(r"`[^`]*`")
 # Words before a parenthesis that are no callee.
-_NO_CALL = {"go": frozenset("if for switch func return go defer select case else interface struct map chan type import range".split()), "script": frozenset("async if for while switch catch function return typeof await new case else do in of import".split())}
+_NO_CALL = {"go": frozenset("if for switch func return go defer select case else interface struct map chan type import range".split()), "script": frozenset("async if for while switch catch function return typeof await new case else do in of import super".split())}
+# Names of Go calls whose receiver a rule reads or shows.
+_GO_NAMES = frozenset(R.GO_SOURCES).union(*(names for _, names, _ in (*R.GO_SINKS, *R.GO_SANITIZERS)))
+_METHOD_AFTER = frozenset(("{", "}", ";", ",", "async", "static", "get", "set", "public", "private", "protected", "override", ""))
 
 
 def tokens(text: str, go: bool = False) -> list[tuple[str, str, int, int, int]]:
@@ -189,8 +211,9 @@ def _parts(toks: list, pair: list[int], first: int, last: int) -> list[list]:
     return [p for p in out if p]
 
 
-def _chain_start(toks: list, pair: list[int], dot: int) -> int:
-    """Where the operand before a dot begins: names, dots and balanced brackets to the left."""
+def _chain_start(toks: list, pair: list[int], dot: int, starts: dict[int, int]) -> int:
+    """Where the operand before a dot begins: names, dots and balanced brackets to the left. ``starts`` remembers it for each
+    dot before a call, so that a chain of calls is walked once."""
     k = dot - 1
     while k >= 0:
         if toks[k][1] in (")", "]"):
@@ -203,12 +226,24 @@ def _chain_start(toks: list, pair: list[int], dot: int) -> int:
         if toks[k][0] not in ("id", "str"):
             return k + 1
         if k >= 1 and toks[k - 1][1] == ".":
+            if k - 1 in starts:
+                return starts[k - 1]
             k -= 2
             continue
         return k
     return 0
 
 
+def _decorated(toks: list, pair: list[int], k: int) -> bool:
+    """Whether a decorator ends right before the token at k."""
+    j = k - 1
+    if j > 0 and toks[j][1] == ")":
+        j = pair[j] - 1
+    while j > 1 and toks[j][0] == "id" and toks[j - 1][1] == ".":
+        j -= 2
+    return j > 0 and toks[j][0] == "id" and toks[j - 1][1] == "@"
+
+
 _STATEMENTS = frozenset("const let var function class return if for while switch throw try import export".split())
 
 
@@ -241,6 +276,7 @@ def c_like_events(text: str, language: str):
     words = _NO_CALL["go" if go else "script"]
     word_at = lambda j: toks[j][1] if 0 <= j < len(toks) else ""
     block = 0
+    starts: dict[int, int] = {}
     for k, (kind, word, line, _, _) in enumerate(toks):
         before = word_at(k - 1)
         after = toks[k + 1] if k + 1 < len(toks) else ("", "", 0, 0, 0)
@@ -280,13 +316,14 @@ def c_like_events(text: str, language: str):
             yield "def", "", word, line, "", _names(toks, pair, k + 1, close, go), go and "http.ResponseWriter" in span and "http.Request" in span
             continue
         follow = word_at(close + 1)
-        if not go and before in ("{", "}", ";", "async", "static", "get", "set", "public", "private", "protected", "") and (follow == "{" or follow == ":" and _after_type(toks, pair, close + 2, ("{",)) > 0):
+        if not go and (follow == "{" or follow == ":" and _after_type(toks, pair, close + 2, ("{",)) > 0) and (before in _METHOD_AFTER or _decorated(toks, pair, k)):
             yield "def", "", word, line, "", _names(toks, pair, k + 1, close, go), False
             continue
         names = [p[0][1] for p in _parts(toks, pair, k + 1, close) if len(p) == 1 and p[0][0] == "id"]
         if before == ".":
-            first = _chain_start(toks, pair, k - 1)
-            recv = text[toks[first][3] : toks[k - 2][4]] if k >= 2 else ""
+            first = starts[k - 1] = _chain_start(toks, pair, k - 1, starts)
+            # a receiver of several tokens is cut out for rules only: a chain of n calls holds n receivers of its length
+            recv = text[toks[first][3] : toks[k - 2][4]] if k >= 2 and (first == k - 2 or go and word in _GO_NAMES) else ""
             yield "call", recv, word, line, "", names, False
         else:
             yield "call", "", word, line, "", names, True

@@ -1,4 +1,4 @@
-"""A versioned graph store in Parquet: each version is a folder of its own, and readers pin one."""
+"""A versioned store of facts in Parquet: each version is a folder of its own, and readers pin one."""
 
 from __future__ import annotations
 
@@ -7,57 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.operators.posture import replace_files
 from tracewarden.operators import build
-from tracewarden.schema import CALL_SITES, EDGES, FUNCTIONS, NODES, PARSED_NODES
-
-VERSIONS = "number long, folder string"
-
-
-class GraphStore:
-    """Nodes and edges below ``path``; ``namespace`` keeps repositories apart.
-
-    A version becomes visible by one small append to the version list, after its tables are written; so a
-    reader never sees half a version, and a writer that dies leaves only an unlisted folder. One writer at a
-    time is assumed.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, namespace: str = "default"):
-        self.spark, self.path = spark, f"{path.rstrip('/')}/{namespace}"
-
-    def versions(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions")
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], VERSIONS)
-
-    def latest(self) -> tuple[int, str] | None:
-        row = self.versions().orderBy(F.desc("number"), F.desc("folder")).first()
-        return (row["number"], row["folder"]) if row else None
-
-    def read(self, number: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(nodes, edges) of a version, by default the latest; empty tables before the first."""
-        found = self.latest() if number is None else tuple(self.versions().filter(F.col("number") == number).first() or ()) or None
-        if not found:
-            return self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES)
-        folder = f"{self.path}/{found[1]}"
-        return self.spark.read.schema(NODES).parquet(f"{folder}/nodes"), self.spark.read.schema(EDGES).parquet(f"{folder}/edges")
-
-    def write(self, nodes: DataFrame, edges: DataFrame) -> int:
-        """Write a new version and return its number."""
-        last = self.latest()
-        number, folder = (last[0] + 1 if last else 1), f"v-{uuid.uuid4().hex}"
-        nodes.select(*[f.name for f in self.spark.createDataFrame([], NODES).schema]).write.parquet(f"{self.path}/{folder}/nodes")
-        edges.select(*[f.name for f in self.spark.createDataFrame([], EDGES).schema]).dropDuplicates(["id"]).write.parquet(f"{self.path}/{folder}/edges")
-        self.spark.createDataFrame([(number, folder)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
-        return number
-
-    def replace(self, files: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> int:
-        """A new version with the facts of ``files`` (column file_path) replaced; files without new facts are deleted."""
-        return self.write(*replace_files(*self.read(), files, new_nodes, new_edges))
-
+from tracewarden.schema import CALL_SITES, FUNCTIONS, PARSED_NODES
 
 FACTS = {"files": "file_path string, hash string", "parsed": PARSED_NODES, "functions": FUNCTIONS, "calls": CALL_SITES}
 
@@ -65,38 +16,41 @@ FACTS = {"files": "file_path string, hash string", "parsed": PARSED_NODES, "func
 class FactStore:
     """The facts of files below ``path``, dealt into ``buckets`` by a hash of the file; the graph is built from them when it is read.
 
-    A new version holds only the buckets whose files changed; a small table says which version holds each bucket. So a
-    batch of changes rewrites its own buckets, and calls in files that didn't change find functions that did: the graph after any
-    batches is that of one build over the files as they are. One writer at a time is assumed.
+    A new version holds only the buckets whose files changed; its manifest says for every bucket which folder holds it. So a
+    batch of changes rewrites its own buckets, a reader reads one manifest (a row a bucket) however many versions there
+    were, and calls in files that didn't change find functions that did: the graph after any batches is that of one build over
+    the files as they are. A version becomes visible with its manifest, after its tables are written. One writer at a time is assumed.
     """
 
     def __init__(self, spark: SparkSession, path: str, namespace: str = "default", buckets: int = 64):
         self.spark, self.path, self.buckets = spark, f"{path.rstrip('/')}/{namespace}", buckets
 
-    def _versions(self) -> list[tuple[int, int, str]]:
-        """(number, bucket, folder), newest first: a row for each bucket of each version."""
+    def _versions(self) -> DataFrame:
+        """(number, bucket, folder): a row for each bucket of each version."""
         try:
-            rows = self.spark.read.schema("number long, bucket int, folder string").parquet(f"{self.path}/versions").collect()
+            return self.spark.read.schema("number long, bucket int, folder string").parquet(f"{self.path}/versions")
         except Exception as e:  # no version yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            rows = []
-        return sorted((tuple(r) for r in rows), reverse=True)
+            return self.spark.createDataFrame([], "number long, bucket int, folder string")
 
-    def latest(self) -> tuple[int, str] | None:
-        found = self._versions()
-        return (found[0][0], found[0][2]) if found else None
+    def latest(self) -> int | None:
+        """The number of the latest version; None before the first."""
+        return self._versions().agg(F.max("number")).first()[0]
+
+    def manifest(self, number: int | None = None) -> dict[int, str]:
+        """The folder of each bucket in a version, by default the latest: at most ``buckets`` entries."""
+        number = self.latest() if number is None else number
+        return {} if number is None else {r["bucket"]: r["folder"] for r in self._versions().filter(F.col("number") == number).collect()}
 
     def _bucket(self) -> Column:
         return F.expr(f"cast(pmod(xxhash64(file_path), {self.buckets}) as int)")
 
-    def table(self, name: str, number: int | None = None, only: list[int] | None = None, versions: list[tuple[int, int, str]] | None = None) -> DataFrame:
-        """A table of facts in a version, by default the latest; only some of its buckets, if given. ``versions`` saves reading them again."""
+    def table(self, name: str, number: int | None = None, only: list[int] | None = None, manifest: dict[int, str] | None = None) -> DataFrame:
+        """A table of facts in a version, by default the latest; only some of its buckets, if given. ``manifest`` saves reading it again."""
         folders: dict[str, list[int]] = {}
-        seen = set()
-        for n, bucket, folder in self._versions() if versions is None else versions:
-            if (number is None or n <= number) and bucket not in seen and (only is None or bucket in only):
-                seen.add(bucket)
+        for bucket, folder in (self.manifest(number) if manifest is None else manifest).items():
+            if only is None or bucket in only:
                 folders.setdefault(folder, []).append(bucket)
         out = None
         for folder, buckets in sorted(folders.items()):
@@ -105,7 +59,8 @@ class FactStore:
         return self.spark.createDataFrame([], FACTS[name]) if out is None else out
 
     def facts(self, number: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return self.table("parsed", number), self.table("functions", number), self.table("calls", number)
+        found = self.manifest(number)
+        return tuple(self.table(name, manifest=found) for name in ("parsed", "functions", "calls"))
 
     def read(self, number: int | None = None) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of a version, with call edges whatever the order of files."""
@@ -113,14 +68,16 @@ class FactStore:
 
     def replace(self, files: DataFrame, new: dict[str, DataFrame]) -> int:
         """A new version in which the facts of ``files`` (column file_path) are those in ``new`` (by table), and no others."""
-        versions = self._versions()
-        number, folder = (versions[0][0] + 1 if versions else 1), f"v-{uuid.uuid4().hex}"
+        last = self.latest()
+        held = self.manifest(last)
+        number, folder = (last or 0) + 1, f"v-{uuid.uuid4().hex}"
         gone = files.select("file_path").distinct()
         touched = sorted(r[0] for r in gone.select(self._bucket()).distinct().collect())  # at most ``buckets``
         for name in FACTS:
             columns = [c.split()[0] for c in FACTS[name].split(", ")]
-            kept = self.table(name, only=touched, versions=versions).join(gone, "file_path", "left_anti")
+            kept = self.table(name, only=touched, manifest=held).join(gone, "file_path", "left_anti")
             rows = kept.select(columns).unionByName(new[name].select(columns))
             rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/{name}")
-        self.spark.createDataFrame([(number, b, folder) for b in touched], "number long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        shown = held | dict.fromkeys(touched, folder)
+        self.spark.createDataFrame([(number, b, f) for b, f in sorted(shown.items())], "number long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
         return number
