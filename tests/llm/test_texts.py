@@ -59,6 +59,38 @@ def test_warc(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_hot_payloads(spark):
+    html = lambda i: ("hot", None, "", f"<p>{i // 2}</p>", f"<b>{i}</b>")[i % 5 if i % 3 else 0]
+    pages = [(i, "u", html(i)) for i in range(3000)] + [(None, "u", "hot"), (2997, "u", "hot")]
+    for least in (0, 1):
+        largest = {}
+        for page, _, text in pages:
+            if page is not None and len(text or "") >= least:
+                largest[text or ""] = max(page, largest.get(text or "", page))
+        want = sorted((p if p is not None else -1, len(t or ""), o if p is not None and (o := largest.get(t or "", p)) > p else None) for p, _, t in pages)
+        df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(20)
+        got = warc.archived(df, at_least=least).collect()
+        assert sorted(((r["page_id"] if r["page_id"] is not None else -1, r["payload_bytes"], r["refers_to"]) for r in got), key=str) == sorted(want, key=str)
+        assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) for r in got)
+
+
+def test_cosine_hash_against_sums():
+    """The hash from its definition: shares of pixels in boxes, then the transform's double sums."""
+    rng, side, low = np.random.default_rng(5), 32, 8
+    for height, width in ((1, 64), (3, 64), (32, 32), (45, 70), (100, 64)):
+        image = rng.integers(0, 256, (height, width)).astype(np.uint8)
+
+        def shares(n):
+            return [[max(0.0, min(k + 1, (i + 1) * n / side) - max(k, i * n / side)) for k in range(n)] for i in range(side)]
+
+        down, right = shares(height), shares(width)
+        small = [[sum(down[i][y] * right[j][x] * float(image[y, x]) for y in range(height) if down[i][y] for x in range(width) if right[j][x]) * side * side / (height * width) for j in range(side)] for i in range(side)]
+        cosine = [[math.cos(math.pi * (2 * x + 1) * u / (2 * side)) for x in range(side)] for u in range(low)]
+        corner = [round(sum(small[y][x] * cosine[u][y] * cosine[v][x] for y in range(side) for x in range(side)), 6) for u in range(low) for v in range(low)]
+        middle = sorted(corner[1:])[len(corner[1:]) // 2]
+        assert media.cosine_hash(image) == f"{int(''.join('1' if c > middle + 1e-5 else '0' for c in corner), 2):016x}"
+
+
 def test_warc_damage():
     chunks = list(warc.record_chunks(1, memoryview(b"payload " * 1000), None, "http://a", 64))
     reader = warc.RecordReader()

@@ -128,14 +128,18 @@ class RecordReader:
 def with_revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to): for each page with a payload of at least ``at_least`` bytes that a page with a larger id also has, that largest id.
 
-    Payloads meet as digests, grouped before the shuffle, so that a payload that a third of all pages
-    share is one row a task; the pages themselves move once, by id and digest.
+    Payloads meet as digests, grouped before the shuffle. What is known of a digest goes back to its pages by digest and salt (a hash
+    of the page's id, as many as there are shuffle partitions), so that the pages of a payload that a third of all pages share are
+    no single join key, whether or not the session splits skewed joins; the pages themselves move once, by id and digest.
     """
     cells = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digest = F.sha1(F.col("html").cast("binary")).alias("digest")
-    marks = cells.select("page_id", digest, F.octet_length("html").alias("size")).filter(f"size >= {int(at_least)} and page_id is not null")
-    last = marks.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    revisits = marks.join(last, ["digest", "size"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    salt = F.expr(f"cast(pmod(xxhash64(page_id), {common.shuffle_width(pages.sparkSession)}) as int)").alias("salt")
+    marks = cells.select("page_id", digest, F.octet_length("html").alias("size"), salt).filter(f"size >= {int(at_least)} and page_id is not null")
+    salted = marks.groupBy("digest", "size", "salt").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("k"))
+    last = salted.groupBy("digest", "size").agg(F.max("top").alias("refers_to"), F.sum("k").alias("n")).filter("n > 1").drop("n")
+    told = salted.select("digest", "size", "salt").join(last, ["digest", "size"])
+    revisits = marks.join(told, ["digest", "size", "salt"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
     return cells.select("*", digest).join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
