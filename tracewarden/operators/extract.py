@@ -389,43 +389,47 @@ def facts(events: DataFrame, enclosing: bool = False, assigned: bool = False) ->
     dotted = F.concat_ws(".", "recv", "name")
     empty = F.array().cast("array<string>")
 
-    def node(step: int, rows, kind, symbol, vuln_class, text, tainted):
-        return rows.select("file_path", _order(step, F.col("seq"), F.col("p") if "p" in rows.columns else F.lit(0)).alias("ord"), F.lit(kind).alias("kind"), symbol.alias("symbol"), vuln_class.alias("vuln_class"), "framework", "line", text.alias("text"), tainted.cast("array<string>").alias("tainted_vars"))
+    def node(step: int, cond, kind, symbol, vuln_class, text, tainted, after: int = 0):
+        fields = (_order(step, F.col("seq"), F.lit(0)) + after, F.lit(kind), symbol, vuln_class, text, tainted.cast("array<string>"))
+        return F.when(cond, F.struct(*[f.alias(n) for f, n in zip(fields, shown, strict=True)]))
 
-    defs = events.filter("event = 'def'")
-    params = defs.filter(python & F.col("flag")).withColumn("shown", F.concat("name", F.lit("("), F.concat_ws(", ", "names"), F.lit(")"))).select("file_path", "seq", "framework", "line", "shown", F.posexplode("names").alias("p", "param"))
-    params = params.filter(~F.col("param").isin("", "self", "request", "req"))
-    attrs = events.filter("event = 'attr'")
+    def ruled(step, cond, kind, table, symbol, text, after: int = 0):
+        c = R.classified(table, F.col("recv"), F.col("name"))
+        return node(step, cond & (c != ""), kind, symbol, c, text, empty, after)
+
+    def parameter(x, p):
+        fields = (_order(1, F.col("seq"), p), F.lit("SourceNode"), x, F.lit(""), header, F.array(x))
+        return F.struct(*[f.alias(n) for f, n in zip(fields, shown, strict=True)])
+
+    shown = ("ord", "kind", "symbol", "vuln_class", "text", "tainted_vars")
     is_source = python & F.col("recv").isin(*R.PYTHON_SOURCES[0]) & F.col("name").isin(*R.PYTHON_SOURCES[1])
     for receivers, names in R.TS_SOURCES:
         is_source = is_source | (script & F.col("recv").isin(*receivers) & F.col("name").isin(*names))
-    calls = events.filter("event = 'call'")
-    methods, bare = calls.filter(python & ~F.col("flag") & (F.col("recv") != "")), calls.filter(python & F.col("flag"))
-    scripts, selectors = calls.filter(script), calls.filter(go & ~F.col("flag"))
+    call = F.col("event") == "call"
+    methods, bare = call & python & ~F.col("flag") & (F.col("recv") != ""), call & python & F.col("flag")
+    scripts, selectors = call & script, call & go & ~F.col("flag")
     go_source = F.col("name").isin(*R.GO_SOURCES) | ((F.col("name") == "Get") & F.col("recv").contains("URL.Query"))
     sink, clean = "SinkNode", "SanitizerNode"
-
-    def ruled(step, rows, kind, table, symbol, text):
-        found = rows.withColumn("c", R.classified(table, F.col("recv"), F.col("name"))).filter("c <> ''")
-        return node(step, found, kind, symbol, F.col("c"), text, empty)
-
-    dots = F.concat("name", F.lit("(...)"))
-    parts = [
-        node(1, params, "SourceNode", F.col("param"), F.lit(""), F.col("shown"), F.array("param")),
-        node(2, attrs.filter(is_source), "SourceNode", dotted, F.lit(""), dotted, F.array(dotted)),
+    dots, header = F.concat("name", F.lit("(...)")), F.concat("name", F.lit("("), F.concat_ws(", ", "names"), F.lit(")"))
+    # what an event gives, as an array of nodes: the events are read once
+    single = F.array(
+        node(2, (F.col("event") == "attr") & is_source, "SourceNode", dotted, F.lit(""), dotted, F.array(dotted)),
         ruled(3, methods, sink, R.PYTHON_SINKS, dotted, F.col("text")),
-        ruled(3, methods, clean, R.PYTHON_SANITIZERS, dotted, F.col("text")).withColumn("ord", F.col("ord") + 1),
+        ruled(3, methods, clean, R.PYTHON_SANITIZERS, dotted, F.col("text"), 1),
         ruled(4, bare, sink, R.PYTHON_BARE_SINKS, F.col("name"), dots),
-        ruled(4, bare, clean, R.PYTHON_SANITIZERS, F.col("name"), dots).withColumn("ord", F.col("ord") + 1),
+        ruled(4, bare, clean, R.PYTHON_SANITIZERS, F.col("name"), dots, 1),
         ruled(3, scripts, sink, R.TS_SINKS, F.col("name"), F.lit("")),
-        ruled(3, scripts, clean, R.TS_SANITIZERS, F.col("name"), F.lit("")).withColumn("ord", F.col("ord") + 1),
-        node(3, selectors.filter(go_source), "SourceNode", dotted, F.lit(""), dotted, F.array("recv")),
-        ruled(3, selectors.filter(~go_source), sink, R.GO_SINKS, dotted, F.lit("")),
-        ruled(3, selectors.filter(~go_source), clean, R.GO_SANITIZERS, dotted, F.lit("")).withColumn("ord", F.col("ord") + 1),
-    ]
-    nodes = parts[0]
-    for p in parts[1:]:
-        nodes = nodes.unionByName(p)
+        ruled(3, scripts, clean, R.TS_SANITIZERS, F.col("name"), F.lit(""), 1),
+        node(3, selectors & go_source, "SourceNode", dotted, F.lit(""), dotted, F.array("recv")),
+        ruled(3, selectors & ~go_source, sink, R.GO_SINKS, dotted, F.lit("")),
+        ruled(3, selectors & ~go_source, clean, R.GO_SANITIZERS, dotted, F.lit(""), 1),
+    )
+    handler = (F.col("event") == "def") & python & F.col("flag")
+    params = F.filter(F.transform(F.when(handler, F.col("names")).otherwise(empty), parameter), lambda x: ~x["symbol"].isin("", "self", "request", "req"))
+    found = F.concat(params, F.filter(single, lambda x: x.isNotNull()))
+    nodes = events.filter(handler | call | (F.col("event") == "attr")).select("file_path", "framework", "line", F.explode(found).alias("f"))
+    nodes = nodes.select("file_path", "f.ord", "f.kind", "f.symbol", "f.vuln_class", "framework", "line", "f.text", "f.tainted_vars")
+    defs, calls = events.filter("event = 'def'"), events.filter("event = 'call'")
     if assigned:
         targets = events.filter("event = 'assign'").groupBy("file_path", "line").agg(F.array_sort(F.collect_set("name")).alias("targets"))
         known = F.when((F.col("kind") == "SourceNode") & F.col("targets").isNotNull(), F.array_union("tainted_vars", "targets")).otherwise(F.col("tainted_vars"))
