@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_graph import graph, model, pairs
 from tracewarden.operators import reach, search, traverse
+from tracewarden.sources.shared import written
 
 
 def random_graph(rng, size, edges, kinds="SSKKZFF"):
@@ -116,3 +117,40 @@ def test_estimates_of_large_sets(spark):
     for i, n in exact.items():
         assert abs(found[i] - n) <= 5 * 1.04 / 2 ** (reach.PRECISION / 2) * n + 1
     assert found["x0"] - found["x5"] == 5
+
+
+def test_large_edges(spark):
+    """Edges that don't fit into every task: states sent to them or dealt with them, over graphs whose states meet and over trees with
+    rings, where they don't; the rows are those of a search over small edges."""
+    rng = random.Random(8)
+    met = random_graph(rng, 14, 40)
+    nodes = {f"t{i:02d}": (rng.choice("SSKKZFF"), {"params": rng.choice([[], ["x"]]), "vars": rng.choice([["x"], ["x", "y"]])}) for i in range(40)}
+    tree = [(f"t{rng.randrange(max(0, i - 6), i):02d}", f"t{i:02d}", rng.choice(["call", "dataflow", "dataflow"]), rng.choice([["x"], ["y"]])) for i in range(1, 40) if i % 13]
+    tree += [("t12", "t00", "dataflow", ["x"]), ("t38", "t26", "dataflow", ["x"])]
+    for each, tried in ((met, ({"few": 6, "first": 2},)), ((nodes, tree), ({"few": 1000, "first": 2}, {"few": 0, "first": 2}))):
+        n, e = (written(t, "graph") for t in graph(spark, *each))
+        assert search.adjacency(n, e).apart == (each is not met)
+        plain = pairs(traverse.paths_to_sink(n, e.unionByName(graph(spark, {}, [])[1]), "", max_nodes=7))
+        aware = pairs(traverse.find_all_paths(n, e.unionByName(graph(spark, {}, [])[1]), max_nodes=7, class_aware=True))
+        assert plain and aware
+        for options in tried:
+            options |= {"small": -1}
+            assert pairs(traverse.find_all_paths(n, e, max_nodes=7, **options)) == model(*each, 7), options
+            assert pairs(traverse.find_all_paths(n, e, max_nodes=7, class_aware=True, **options)) == aware, options
+            assert pairs(traverse.paths_to_sink(n, e, "", max_nodes=7, **options)) == plain, options
+
+
+def test_no_labels_where_states_cannot_outgrow_edges(spark, monkeypatch):
+    """A large chain is searched without labels and without sanitized states; a graph whose states outgrow its edges gets labels on the way."""
+    monkeypatch.setattr(traverse, "MANY", 0)
+    asked = []
+    monkeypatch.setattr(search, "sink_distance", lambda *a, f=search.sink_distance: asked.append(a[2]) or f(*a))
+    chain = {f"c{i}": ("SFFZFFFK"[i % 8], {}) for i in range(16)}
+    n, e = (written(t, "graph") for t in graph(spark, chain, [(f"c{i}", f"c{i + 1}") for i in range(15)]))
+    assert traverse.taint_search(n, e, first=2).live == [2, 0] and not asked
+    wide = {**{f"s{i}": ("S", {}) for i in range(6)}, "m": ("F", {}), **{f"l{i}": ("F", {}) for i in range(3)}, "k": ("K", {})}
+    edges = [*[(f"s{i}", "m") for i in range(6)], *[("m", f"l{i}") for i in range(3)], ("l0", "k"), ("l1", "l2")]
+    n, e = graph(spark, wide, edges)
+    found = traverse.taint_search(n, e, max_nodes=5, first=2, many=0)
+    assert asked == [2] and found.live == [18, 0]
+    assert pairs(traverse.find_all_paths(n, e, max_nodes=5, first=2, many=0)) == model(wide, [(*x, "dataflow", []) for x in edges], 5)

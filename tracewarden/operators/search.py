@@ -12,15 +12,21 @@ predecessor at the start of its job by that one's rank and lists only the nodes
 where many are, a job is one level and rows have a fixed width. Paths are put together from the hits alone, by one join a job.
 
 A search can be pruned by the distance to a sink: a backward search over all sinks at once labels each node with the least number
-of edges to any of them; edges to nodes without a label, and states that are too deep for their label, are never built.
+of edges to any of them; edges to nodes without a label, and states that are too deep for their label, are never built. Labels take
+a pass over all edges a level, so a search asks for them only when its states have outgrown the edges.
+
+Where at most one edge leads to a node, states of a source never meet: nothing has to be compared, a sanitized state stands in no clean one's
+way and is dropped, and a search that counts each node once needs no memory but of its source (the first node that a walk could meet again).
+Few states are sent to large edges, not the other way round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tracewarden.schema import SANITIZER, SINK, SOURCE
@@ -30,29 +36,41 @@ from tracewarden.sources.shared import measured, removed, width, written
 FIRST, CHAIN, MANY = 5, 10, 2_000_000
 #: Ranks are below this number.
 SPACE = 1 << 62
-#: Bytes of edges from which the edges of one node are numbered in parts.
-HUB_BYTES = 1 << 30
+#: Bytes of edges from which the largest node is looked for, and its edges from which a node's are numbered in parts.
+HUB_BYTES, HUB = 1 << 30, 1_000_000
+#: An estimate of bytes beyond this says that the size isn't known.
+UNKNOWN = 1 << 60
 #: Bytes of edges that go to every task instead of being dealt anew for each level.
 SMALL = 32 << 20
+#: States that go to every task instead, where edges don't.
+FEW = 100_000
 _STATE = ("source_id", "node", "depth", "rank", "room", "base", "via", "vars", "cleared", "sanitized", "node_type", "node_class", "hit")
+#: States that a ``clean`` search asks for.
+_WANTED = f"node_type = '{SINK}' AND NOT sanitized"
 
 
 @dataclass(frozen=True)
 class Around:
     """Edges whose target exists, with what a search needs of it: src, dst, edge_type, args, dst_type, dst_class, params,
     the place of the edge among those of its source, and their number; ``most`` of them at one node, ``count`` in all,
-    some ``size`` bytes; at most ``into`` edges lead to one node."""
+    some ``size`` bytes; at most ``into`` edges lead to one node; ``starts`` nodes have edges."""
 
     table: DataFrame
     most: int
     count: int = 0
     size: int = 0
     into: int = 2
+    starts: int = 1
+
+    @property
+    def apart(self) -> bool:
+        """Whether no two states of a source can meet in a node at one depth (by induction: its only in-edge brings one)."""
+        return self.into <= 1
 
     def towards(self, sinks: DataFrame, hops: int) -> Around:
         """Only edges whose target is within ``hops`` edges of a sink (column ``node``), with that number as ``hops_left``."""
         labels = sink_distance(self.table, sinks, hops).select(F.col("node").alias("dst"), F.col("hops").alias("hops_left"))
-        return Around(written(self.table.join(labels, "dst"), "towards"), self.most, self.count, self.size, self.into)
+        return Around(written(self.table.join(labels, "dst"), "towards"), self.most, self.count, self.size, self.into, self.starts)
 
 
 def _in_parts(linked: DataFrame) -> DataFrame:
@@ -81,19 +99,30 @@ def adjacency(nodes: DataFrame, edges: DataFrame, hub_bytes: int = HUB_BYTES) ->
     """Edges with equal ids count once; edges to missing nodes lead nowhere."""
     target = nodes.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"), F.coalesce("vuln_class", F.lit("")).alias("dst_class"), F.coalesce("params", F.array()).alias("params"))
     linked = edges.select("src", "dst", F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), F.coalesce("args", F.array()).alias("args")).join(target, "dst")
-    linked = linked.withColumn("into", F.count(F.lit(1)).over(Window.partitionBy("dst")) if edges_size(edges) <= hub_bytes else F.lit(2).cast("long"))
-    placed = _in_parts(linked) if edges_size(edges) > hub_bytes else _at_once(linked)
+    size = edges_size(edges)
+    into = Observation()
+    # a running number needs no group in memory; its largest is the largest number of edges into a node
+    number = F.row_number().over(Window.partitionBy("dst").orderBy("dst")) if size < UNKNOWN else F.lit(2)
+    linked = linked.withColumn("into", number).observe(into, F.max("into").alias("into")).drop("into")
+    hubs = hub_bytes < 0 or size > hub_bytes and (edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > HUB
+    placed = _in_parts(linked) if hubs else _at_once(linked)
     held = F.octet_length("src") + F.octet_length("dst") + F.octet_length(F.array_join("args", ",")) + F.octet_length(F.array_join("params", ",")) + 100
-    table, told = measured(placed.drop("edge_id"), "adjacency", most=F.max("edges"), count=F.count(F.lit(1)), size=F.sum(held.cast("long")), into=F.max("into"))
-    return Around(table.drop("into"), told["most"] or 1, told["count"] or 0, told["size"] or 0, told["into"] or 1)
+    table, told = measured(placed.drop("edge_id"), "adjacency", most=F.max("edges"), count=F.count(F.lit(1)), size=F.sum(held.cast("long")), starts=F.count_if(F.col("place") == 0))
+    return Around(table, told["most"] or 1, told["count"] or 0, told["size"] or 0, into.get.get("into") or 1, told["starts"] or 1)
+
+
+def live_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst) of the edges whose target exists."""
+    return edges.select("src", "dst").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 def sink_distance(around: DataFrame, sinks: DataFrame, hops: int) -> DataFrame:
-    """(node, hops): the least number of edges from each node to one of the sinks, up to ``hops``."""
+    """(node, hops): the least number of edges from each node to one of the sinks, up to ``hops``. Jobs have 1, 2, 4 and more levels, so
+    that a search that soon has nothing left to label ends soon."""
     back = around.select(F.col("dst").alias("to"), F.col("src").alias("from"))
     state, at, live = written(sinks.select("node", F.lit(0).alias("hops")).distinct(), "labels"), 0, 1
     while at < hops and live:
-        old, last = state, min(at + CHAIN, hops)
+        old, last = state, min(at + min(at + 1, CHAIN), hops)
         for k in range(at + 1, last + 1):
             fresh = F.col("hops") == k - 1
             met = state.join(back, F.when(fresh, F.col("node")).otherwise(F.concat(F.lit("\0"), "node")) == F.col("to"), "left")
@@ -108,16 +137,21 @@ def sink_distance(around: DataFrame, sinks: DataFrame, hops: int) -> DataFrame:
 @dataclass(frozen=True)
 class Rule:
     """How a search goes on. ``gated``: call edges need a tainted argument and taint the callee's parameters; ``ends``: a path
-    ends at its first unsanitized sink; ``once``: each node counts once for a source, at its first depth; ``sound`` and ``class_aware`` keep
-    states apart by what has been cleared; ``most``: the longest path in nodes."""
+    ends at its first unsanitized sink; ``once``: each node counts once for a source, at its first depth, and with ``clean`` only unsanitized
+    states at sinks are asked for; ``sound`` and ``class_aware`` keep states apart by what has been cleared; ``most``: the longest path in nodes."""
 
     gated: bool = False
     ends: bool = False
     once: bool = False
+    clean: bool = False
     sound: bool = False
     class_aware: bool = False
     most: int | None = None
 
+    def only_clean(self, apart: bool) -> bool:
+        """Whether a sanitized state neither is asked for nor keeps a clean one from being the first."""
+        return self.clean and apart or self.ends and not self.class_aware and (apart or self.sound)
+
 
 @dataclass
 class Found:
@@ -137,15 +171,21 @@ class Found:
         return rows.withColumn("path", F.concat(F.array("source_id"), "via")).drop("at", "via", "base")
 
 
-def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: str, alone: bool) -> str:
-    """SQL of all states after one more level than the table ``before`` has; ``seed``: the depth at which the job began.
-    ``alone``: no two states can meet in a node."""
+def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: str, apart: bool, few: bool, most: int) -> str:
+    """SQL of all states after one more level than the table ``before`` has; ``seed``: the depth from which states list their nodes.
+    ``apart``: no two states can meet in a node; ``few``: all states of ``before`` are live, and only those they lead to are wanted; ``most``: edges of a node."""
     live = f"(depth = {depth - 1} AND NOT hit)"
     goes = "src IS NOT NULL"
     if rule.gated:
         goes += f" AND (edge_type <> 'call' OR coalesce(arrays_overlap(vars, args), false))"
     if pruned:
         goes += f" AND hops_left + {depth} <= {rule.most}"
+    if (rule.ends or rule.clean) and depth == rule.most and not hint.startswith("/*+ BROADCAST(around"):  # a state that can go no further
+        goes += f" AND dst_type = '{SINK}'"
+    if rule.only_clean(apart):
+        goes += f" AND dst_type <> '{SANITIZER}'"
+    if rule.once and apart:
+        goes += " AND dst <> source_id"
     room = "(room div coalesce(edges, 1))"
     new = {
         "node": "dst", "depth": str(depth), "room": room, "rank": f"rank + coalesce(place, 0) * {room}",
@@ -155,12 +195,17 @@ def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: s
         "sanitized": f"sanitized OR dst_type = '{SANITIZER}'", "node_type": "dst_type", "node_class": "dst_class",
     }
     met = f"{before} LEFT JOIN around ON if({live}, node, concat(char(0), source_id)) = src"  # done rows meet no edge
-    if rule.once:  # a state stays beside those it leads to
+    if few:
+        moved = f"SELECT {hint} source_id, hit, {', '.join(f'{c} AS {k}' for k, c in new.items())} FROM {before} JOIN around ON node = src WHERE {goes}"
+    elif rule.once:  # a state stays beside those it leads to
         stays = ", ".join(f"'{c}', {c}" for c in ("source_id", "hit", *new))
         leads = ", ".join(f"'{k}', {c}" for k, c in {"source_id": "source_id", "hit": "hit", **new}.items())
-        moved = f"SELECT m.* FROM (SELECT {hint} explode(array(named_struct({stays}), if({live} AND {goes}, named_struct({leads}), NULL))) AS m FROM {met}) WHERE m IS NOT NULL"
+        # where states can meet, the earlier ones are needed to tell which node is new
+        stays = f"if(NOT {live} OR ({_WANTED}), named_struct({stays}), NULL)" if rule.clean and apart else f"named_struct({stays})"
+        moved = f"SELECT m.* FROM (SELECT {hint} explode(array({stays}, if({live} AND {goes}, named_struct({leads}), NULL))) AS m FROM {met}) WHERE m IS NOT NULL"
     else:
         moved = f"SELECT {hint} source_id, hit, {', '.join(f'if({live}, {c}, {k}) AS {k}' for k, c in new.items())} FROM {met} WHERE NOT {live} OR ({goes})"
+    alone = apart and not (rule.once and not few and most > 1)  # a state stays once an edge
     keys = ["source_id", "node"] if rule.once else ["source_id", "node", "depth"] + ["sanitized"] * rule.sound + ["cleared"] * rule.class_aware
     first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {'depth, ' * rule.once}rank) AS n FROM ({moved})) WHERE n = 1" if not alone else moved
     clean = "NOT array_contains(cleared, node_class)" if rule.class_aware else "NOT sanitized"
@@ -168,12 +213,12 @@ def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: s
     return f"SELECT {', '.join(f'{hit} AS hit' if c == 'hit' else c for c in _STATE)} FROM ({first})"
 
 
-def levels(state: DataFrame, around: Around, seed: int, last: int, rule: Rule) -> DataFrame:
-    """All states after the levels from ``seed`` to ``last``: one SQL text, a table of it a level, each read once by the next."""
+def levels(state: DataFrame, around: Around, seed: int, last: int, rule: Rule, begun: int | None = None, few: bool = False) -> DataFrame:
+    """All states after the levels from ``seed`` to ``last``: one SQL text, a table of it a level, each read once by the next.
+    ``begun``: the depth from which they list their nodes, if not ``seed``."""
     pruned = "hops_left" in around.table.columns
-    hint = "/*+ BROADCAST(around) */" if around.size <= SMALL else ""
-    alone = around.into <= 1 and not rule.once  # by induction: a node's only in-edge brings one state of a source and depth
-    tables = [f"level{d} AS ({_level(f'level{d - 1}', d, seed, rule, pruned, hint, alone)})" for d in range(seed + 1, last + 1)]
+    hint = f"/*+ BROADCAST(level{seed}) */" if few else "/*+ BROADCAST(around) */" if around.size <= SMALL else ""
+    tables = [f"level{d} AS ({_level(f'level{d - 1}', d, begun or seed, rule, pruned, hint, around.apart, few, around.most)})" for d in range(seed + 1, last + 1)]
     text = f"WITH around AS (SELECT * FROM {{around}}), level{seed} AS (SELECT * FROM {{state}}), {', '.join(tables)} SELECT * FROM level{last}"
     return state.sparkSession.sql(text, state=state, around=around.table)
 
@@ -191,43 +236,65 @@ def _renumbered(states: DataFrame, live: int, space: int) -> tuple[DataFrame, in
     return written(numbered.select(*states.columns), "renumbered"), room
 
 
-def search(around: Around, starts: DataFrame, rule: Rule, first: int = FIRST, chain: int = CHAIN, many: int = MANY, space: int = SPACE) -> Found:
-    """The states that ``starts`` (source_id, vars) lead to."""
+def _together(around: Around, count: int, many: int, most: int) -> int:
+    """Levels of one job over large edges: so many, up to ``most``, that its states stay within the number of edges."""
+    mean, room = around.count / around.starts, max(around.count, many)
+    return max(1, min(most, int(log(max(1, room / max(1, count))) / log(mean)))) if mean > 1.01 else most
+
+
+def search(around: Around, starts: DataFrame, rule: Rule, first: int = FIRST, chain: int = CHAIN, many: int = MANY, space: int = SPACE, few: int = FEW, small: int = SMALL, narrowed: Callable[[int], Around] | None = None) -> Found:
+    """The states that ``starts`` (source_id, vars) lead to. ``narrowed`` gives the edges within so many hops of a sink, should states outgrow edges."""
     none = F.array().cast("array<string>")
     state = starts.select("source_id", F.col("source_id").alias("node"), F.lit(1).alias("depth"), F.lit(0).cast("long").alias("rank"), F.lit(space).cast("long").alias("room"), F.lit(0).cast("long").alias("base"), none.alias("via"), "vars", none.alias("cleared"), F.lit(False).alias("sanitized"), F.lit(SOURCE).alias("node_type"), F.lit("").alias("node_class"), F.lit(False).alias("hit"))
-    depth, room, count, found, done = 1, space, None, Found(state), []
+    depth, seed, room, count, found, done = 1, 1, space, None, Found(state), []
+    kept = rule.once and not around.apart  # earlier states tell which nodes are new
+    large = around.size > small
     while rule.most is None or depth < rule.most:
+        sent = large and not kept and count is not None and count <= few
+        if narrowed and count is not None and count > around.count:
+            around, narrowed = narrowed(rule.most - depth), None
         n = first if count is None else chain if count <= many else 1
+        if sent:
+            n = 1
+        elif large and count is None and around.most > 1:
+            n = min(n, _together(around, starts.count(), many, n))
+        elif large and count is not None:
+            n = min(n, _together(around, count, many, first))
         if rule.most is not None:
             n = min(n, rule.most - depth)
         if around.most > 1:
             fit = int(log(max(1, room)) / log(around.most) - 1e-9)
             if fit < 1 and count is not None:
                 fresh, room = _renumbered(frontier, count, space)
-                state = state.filter(~live).unionByName(fresh) if rule.once else fresh
+                state = state.filter(~live).unionByName(fresh) if kept else fresh
                 frontier = fresh
                 fit = int(log(max(1, room)) / log(around.most) - 1e-9)
+                seed = 0  # states name their predecessors by the new ranks
             if fit < 1:
                 raise ValueError(f"{count} states and {around.most} edges of a node are too many for 64-bit ranks")
             n = min(n, fit)
-        if count is not None:
+        if count is not None and not (sent and seed and depth - seed < 2 * chain):  # few states go on listing their nodes
+            seed = depth
             found.bases.append((depth, frontier.select("source_id", F.col("rank").alias("key"), F.col("base").alias("base_base"), F.col("via").alias("base_via"))))
-        state, depth = levels(state, around, depth, depth + n, rule), depth + n
+        before = depth if done or kept else 0
+        state, depth = levels(state, around, depth, depth + n, rule, seed, sent), depth + n
         live = (F.col("depth") == depth) & ~F.col("hit")
         state, told = measured(state, "states", live=F.count_if(live), room=F.min(F.when(live, F.col("room"))))
-        if not rule.once:
+        if rule.once and not kept:
+            done.append(state.filter(F.col("depth") > before).filter(_WANTED if rule.clean else "true"))
+        elif not rule.once:
             done.append(state.filter("hit"))
         count, room = told["live"] or 0, told["room"] or 0
         found.live.append(count)
         frontier = state.filter(live)
         if not count:
             break
-        if not rule.once:
+        if not kept:
             state = frontier
-    if rule.once:
+    if kept:
         found.rows = state
     else:
-        found.rows = done[0] if done else state.filter("hit")
+        found.rows = done[0] if done else state.filter("hit" if not rule.once else "true")
         for table in done[1:]:
             found.rows = found.rows.unionByName(table)
     return found

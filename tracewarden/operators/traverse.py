@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import scalar as S
 from tracewarden.operators import reach
-from tracewarden.operators.search import MANY, Around, Found, Rule, adjacency, search, sink_distance
+from tracewarden.operators.search import MANY, Around, Found, Rule, adjacency, live_links, search, sink_distance
 from tracewarden.schema import SINK, SOURCE
 from tracewarden.sources.shared import written
 
@@ -19,9 +19,12 @@ from tracewarden.sources.shared import written
 MAX_NODES = 20
 
 
-def _pruned(around: Around, sinks: DataFrame, max_nodes: int, prune: bool | None) -> Around:
-    """Edges on the way to a sink only. By default in large graphs, where labels cost less than they save."""
-    return around.towards(sinks, max_nodes) if prune or prune is None and around.count > MANY else around
+def _searched(around: Around, starts: DataFrame, rule: Rule, sinks: DataFrame, prune: bool | None, **levels) -> Found:
+    """A search over edges on the way to a sink only, if ``prune`` says so; by default it turns to them in large graphs when its states outgrow the edges."""
+    if prune:
+        around = around.towards(sinks, rule.most)
+    later = (lambda hops: around.towards(sinks, hops)) if prune is None and around.count > MANY else None
+    return search(around, starts, rule, narrowed=later, **levels)
 
 
 def taint_search(nodes: DataFrame, edges: DataFrame, sources: Column | DataFrame | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False, prune: bool | None = None, **levels) -> Found:
@@ -33,9 +36,8 @@ def taint_search(nodes: DataFrame, edges: DataFrame, sources: Column | DataFrame
         starts = starts.filter(sources)
     tainted = F.when(F.size(F.coalesce("tainted_vars", F.array())) > 0, F.col("tainted_vars")).otherwise(F.array("symbol"))
     sinks = nodes.filter(F.col("type") == SINK).select(F.col("id").alias("node"))
-    around = _pruned(adjacency(nodes, edges), sinks, max_nodes, prune)
     rule = Rule(gated=True, ends=True, sound=sound, class_aware=class_aware, most=max_nodes)
-    return search(around, starts.select(F.col("id").alias("source_id"), tainted.alias("vars")), rule, **levels)
+    return _searched(adjacency(nodes, edges), starts.select(F.col("id").alias("source_id"), tainted.alias("vars")), rule, sinks, prune, **levels)
 
 
 def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | DataFrame | None = None, max_nodes: int = MAX_NODES, sound: bool = False, class_aware: bool = False, paths: bool = True, **options) -> DataFrame:
@@ -90,7 +92,7 @@ def affected_sources(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame
     nodes, edges = _changed(before[0], after[0]), _changed(before[1], after[1])
     touched = nodes.select(F.col("id").alias("node")).unionByName(edges.select(F.col("src").alias("node"))).distinct()
     touched = written(touched, "touched")
-    found = [sink_distance(adjacency(*graph).table, touched, max_nodes) for graph in (before, after)]
+    found = [sink_distance(live_links(*graph), touched, max_nodes) for graph in (before, after)]
     return found[0].select(F.col("node").alias("source_id")).unionByName(found[1].select(F.col("node").alias("source_id"))).distinct()
 
 
@@ -114,15 +116,14 @@ def matches(pattern: str) -> Column:
     return F.col("symbol").contains(pattern) | F.col("vuln_class").contains(pattern) | F.col("file_path").contains(pattern)
 
 
-def paths_to_sink(nodes: DataFrame, edges: DataFrame, pattern: str, max_nodes: int = MAX_NODES, prune: bool | None = None) -> DataFrame:
+def paths_to_sink(nodes: DataFrame, edges: DataFrame, pattern: str, max_nodes: int = MAX_NODES, prune: bool | None = None, **levels) -> DataFrame:
     """Paths to the sinks that match a pattern, by plain search: any edge, through sinks, each node once.
 
     Only the first arrival at a sink counts; where it is sanitized, the pair has no path.
     """
     starts = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), F.array().cast("array<string>").alias("vars"))
     sinks = nodes.filter((F.col("type") == SINK) & matches(pattern)).select(F.col("id").alias("node"))
-    around = _pruned(adjacency(nodes, edges), sinks, max_nodes, prune)
-    found = search(around, starts, Rule(once=True, most=max_nodes))
+    found = _searched(adjacency(nodes, edges), starts, Rule(once=True, clean=True, most=max_nodes), sinks, prune, **levels)
     found.rows = found.rows.filter(~F.col("sanitized")).join(sinks, "node", "left_semi")
     return described(nodes, found.with_paths().select("source_id", F.col("node").alias("sink_id"), "path", "depth"))
 
@@ -168,7 +169,12 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, node_id: str, paths: DataFr
     """(nodes that lead to a node, itself included; paths that contain it). ``paths`` saves searching them again."""
     back = reached(nodes, edges, nodes.filter(F.col("id") == node_id).select(F.col("id").alias("source_id")), forward=False).select("id")
     paths = find_all_paths(nodes, edges) if paths is None else paths
-    return nodes.join(back, "id", "left_semi"), paths.filter(F.array_contains("path", node_id))
+    return nodes.join(back, "id", "left_semi"), paths_with(paths, node_id)
+
+
+def paths_with(paths: DataFrame, node_id: str) -> DataFrame:
+    """The paths that contain a node."""
+    return paths.filter(F.array_contains("path", node_id))
 
 
 def reached(nodes: DataFrame, edges: DataFrame, starts: DataFrame, forward: bool = True) -> DataFrame:

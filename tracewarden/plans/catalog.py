@@ -129,8 +129,8 @@ def blast_nodes(spark, sf_dir):
 
 
 def blast_paths(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return _flat(traverse.blast_radius(nodes, edges, _last_sink(spark, sf_dir))[1])
+    """The paths through the last purchase; what leads to it isn't asked for."""
+    return _flat(traverse.paths_with(_paths(spark, sf_dir), _last_sink(spark, sf_dir)))
 
 
 def blast_nodes_all(spark, sf_dir):
