@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_graph import graph, model, pairs
 from tracewarden.operators import reach, search, traverse
+from tracewarden.plans import adapters
 from tracewarden.sources.shared import written
 
 
@@ -154,3 +155,11 @@ def test_no_labels_where_states_cannot_outgrow_edges(spark, monkeypatch):
     found = traverse.taint_search(n, e, max_nodes=5, first=2, many=0)
     assert asked == [2] and found.live == [18, 0]
     assert pairs(traverse.find_all_paths(n, e, max_nodes=5, first=2, many=0)) == model(wide, [(*x, "dataflow", []) for x in edges], 5)
+
+
+def test_order_graph_moves_less(spark):
+    """The orders graph's edges need no exchange, and states list no nodes where no path is asked for."""
+    plan = adapters.order_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    n, e = graph(spark, {"s": ("S", {}), "m": ("F", {}), "k": ("K", {})}, [("s", "m"), ("m", "k"), ("m", "k")])
+    assert [(r.node, r.via) for r in traverse.taint_search(n, e, listed=False).rows.collect()] == [("k", [])]

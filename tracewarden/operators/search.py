@@ -171,17 +171,15 @@ class Found:
         return rows.withColumn("path", F.concat(F.array("source_id"), "via")).drop("at", "via", "base")
 
 
-def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: str, apart: bool, few: bool, most: int) -> str:
+def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: str, apart: bool, few: bool, most: int, listed: bool) -> str:
     """SQL of all states after one more level than the table ``before`` has; ``seed``: the depth from which states list their nodes.
-    ``apart``: no two states can meet in a node; ``few``: all states of ``before`` are live, and only those they lead to are wanted; ``most``: edges of a node."""
+    ``apart``: no two states can meet in a node; ``few``: all states of ``before`` are live, and only those they lead to are wanted; ``most``: edges of a node; ``listed``: states list their nodes."""
     live = f"(depth = {depth - 1} AND NOT hit)"
     goes = "src IS NOT NULL"
     if rule.gated:
         goes += f" AND (edge_type <> 'call' OR coalesce(arrays_overlap(vars, args), false))"
     if pruned:
         goes += f" AND hops_left + {depth} <= {rule.most}"
-    if (rule.ends or rule.clean) and depth == rule.most and not hint.startswith("/*+ BROADCAST(around"):  # a state that can go no further
-        goes += f" AND dst_type = '{SINK}'"
     if rule.only_clean(apart):
         goes += f" AND dst_type <> '{SANITIZER}'"
     if rule.once and apart:
@@ -189,7 +187,7 @@ def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: s
     room = "(room div coalesce(edges, 1))"
     new = {
         "node": "dst", "depth": str(depth), "room": room, "rank": f"rank + coalesce(place, 0) * {room}",
-        "base": f"if(depth = {seed}, rank, base)", "via": f"concat(if(depth = {seed}, cast(array() AS array<string>), via), array(dst))",
+        "base": f"if(depth = {seed}, rank, base)", "via": f"concat(if(depth = {seed}, cast(array() AS array<string>), via), array(dst))" if listed else "via",
         "vars": "if(edge_type = 'call' AND size(params) > 0, params, vars)" if rule.gated else "vars",
         "cleared": f"if(dst_type = '{SANITIZER}', array_sort(array_union(cleared, array(dst_class))), cleared)" if rule.class_aware else "cleared",
         "sanitized": f"sanitized OR dst_type = '{SANITIZER}'", "node_type": "dst_type", "node_class": "dst_class",
@@ -213,12 +211,12 @@ def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: s
     return f"SELECT {', '.join(f'{hit} AS hit' if c == 'hit' else c for c in _STATE)} FROM ({first})"
 
 
-def levels(state: DataFrame, around: Around, seed: int, last: int, rule: Rule, begun: int | None = None, few: bool = False) -> DataFrame:
+def levels(state: DataFrame, around: Around, seed: int, last: int, rule: Rule, begun: int | None = None, few: bool = False, listed: bool = True) -> DataFrame:
     """All states after the levels from ``seed`` to ``last``: one SQL text, a table of it a level, each read once by the next.
     ``begun``: the depth from which they list their nodes, if not ``seed``."""
     pruned = "hops_left" in around.table.columns
     hint = f"/*+ BROADCAST(level{seed}) */" if few else "/*+ BROADCAST(around) */" if around.size <= SMALL else ""
-    tables = [f"level{d} AS ({_level(f'level{d - 1}', d, begun or seed, rule, pruned, hint, around.apart, few, around.most)})" for d in range(seed + 1, last + 1)]
+    tables = [f"level{d} AS ({_level(f'level{d - 1}', d, begun or seed, rule, pruned, hint, around.apart, few, around.most, listed)})" for d in range(seed + 1, last + 1)]
     text = f"WITH around AS (SELECT * FROM {{around}}), level{seed} AS (SELECT * FROM {{state}}), {', '.join(tables)} SELECT * FROM level{last}"
     return state.sparkSession.sql(text, state=state, around=around.table)
 
@@ -242,8 +240,8 @@ def _together(around: Around, count: int, many: int, most: int) -> int:
     return max(1, min(most, int(log(max(1, room / max(1, count))) / log(mean)))) if mean > 1.01 else most
 
 
-def search(around: Around, starts: DataFrame, rule: Rule, first: int = FIRST, chain: int = CHAIN, many: int = MANY, space: int = SPACE, few: int = FEW, small: int = SMALL, narrowed: Callable[[int], Around] | None = None) -> Found:
-    """The states that ``starts`` (source_id, vars) lead to. ``narrowed`` gives the edges within so many hops of a sink, should states outgrow edges."""
+def search(around: Around, starts: DataFrame, rule: Rule, first: int = FIRST, chain: int = CHAIN, many: int = MANY, space: int = SPACE, few: int = FEW, small: int = SMALL, listed: bool = True, narrowed: Callable[[int], Around] | None = None) -> Found:
+    """The states that ``starts`` (source_id, vars) lead to; their paths can be put together if they are ``listed``. ``narrowed`` gives the edges within so many hops of a sink, should states outgrow edges."""
     none = F.array().cast("array<string>")
     state = starts.select("source_id", F.col("source_id").alias("node"), F.lit(1).alias("depth"), F.lit(0).cast("long").alias("rank"), F.lit(space).cast("long").alias("room"), F.lit(0).cast("long").alias("base"), none.alias("via"), "vars", none.alias("cleared"), F.lit(False).alias("sanitized"), F.lit(SOURCE).alias("node_type"), F.lit("").alias("node_class"), F.lit(False).alias("hit"))
     depth, seed, room, count, found, done = 1, 1, space, None, Found(state), []
@@ -277,7 +275,7 @@ def search(around: Around, starts: DataFrame, rule: Rule, first: int = FIRST, ch
             seed = depth
             found.bases.append((depth, frontier.select("source_id", F.col("rank").alias("key"), F.col("base").alias("base_base"), F.col("via").alias("base_via"))))
         before = depth if done or kept else 0
-        state, depth = levels(state, around, depth, depth + n, rule, seed, sent), depth + n
+        state, depth = levels(state, around, depth, depth + n, rule, seed, sent, listed), depth + n
         live = (F.col("depth") == depth) & ~F.col("hit")
         state, told = measured(state, "states", live=F.count_if(live), room=F.min(F.when(live, F.col("room"))))
         if rule.once and not kept:

@@ -51,7 +51,7 @@ def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | DataFram
     sinks are reached: no path is put together. ``sources``: a condition on source nodes, or a table of their ids
     (``source_id``). ``prune``: see ``search``.
     """
-    found = taint_search(nodes, edges, sources, max_nodes, sound, class_aware, **options)
+    found = taint_search(nodes, edges, sources, max_nodes, sound, class_aware, listed=paths, **options)
     rows = found.with_paths() if paths else found.rows
     return rows.select("source_id", F.col("node").alias("sink_id"), "depth", "rank", *["path"] * paths)
 
@@ -64,8 +64,8 @@ def first_paths(traced: DataFrame) -> DataFrame:
 
 def described(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """Path records: (id, source_id, sink_id, path, path_length, vuln_class, severity, confidence, file_path, description)."""
-    source = nodes.select(F.col("id").alias("source_id"), F.col("symbol").alias("source_symbol"), F.col("file_path").alias("source_file"), F.col("line_start").alias("source_line"))
-    sink = nodes.select(F.col("id").alias("sink_id"), F.col("symbol").alias("sink_symbol"), F.col("file_path").alias("file_path"), F.col("line_start").alias("sink_line"), F.when(F.coalesce("vuln_class", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("vuln_class")).alias("vuln_class"))
+    source = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), F.col("symbol").alias("source_symbol"), F.col("file_path").alias("source_file"), F.col("line_start").alias("source_line"))
+    sink = nodes.filter(F.col("type") == SINK).select(F.col("id").alias("sink_id"), F.col("symbol").alias("sink_symbol"), F.col("file_path").alias("file_path"), F.col("line_start").alias("sink_line"), F.when(F.coalesce("vuln_class", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("vuln_class")).alias("vuln_class"))
     joined = paths.join(source, "source_id").join(sink, "sink_id")
     return joined.select(S.path_id("source_id", "sink_id").alias("id"), "source_id", "sink_id", "path", F.size("path").alias("path_length"), "vuln_class", S.severity("vuln_class").alias("severity"), S.confidence(F.size("path")).alias("confidence"), "file_path", S.description("source_symbol", "source_file", "sink_symbol", "file_path").alias("description"), "source_symbol", "source_file", "source_line", "sink_symbol", "sink_line")
 
