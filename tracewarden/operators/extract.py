@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -354,22 +355,34 @@ def _names(toks: list, pair: list[int], first: int, last: int, go: bool) -> list
     return out
 
 
+#: Events of one output batch.
+EVENTS_AT_ONCE = 20_000
+
+
+def event_batches(batches: Iterable[pa.RecordBatch], most: int = EVENTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Event rows of Arrow batches of files, in batches of ``most`` events: a worker holds one file's text and so many events."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_())
+    names = ("file_path", "language", "seq", *_FIELDS)
+    out: dict[str, list] = {n: [] for n in names}
+    for batch in batches:
+        for k in range(batch.num_rows):
+            path, language, content = (batch.column(c)[k].as_py() for c in range(3))
+            found = python_events(content) if language == "python" else c_like_events(content, language)
+            for seq, event in enumerate(found):
+                for name, value in zip(names, (path, language, seq, *event), strict=True):
+                    out[name].append(value)
+                if len(out["seq"]) >= most:
+                    yield pa.record_batch([pa.array(out[n], t) for n, t in zip(names, kinds, strict=True)], names=list(names))
+                    out = {n: [] for n in names}
+    if out["seq"]:
+        yield pa.record_batch([pa.array(out[n], t) for n, t in zip(names, kinds, strict=True)], names=list(names))
+
+
 def syntax_events(files: DataFrame) -> DataFrame:
     """Event rows of (path, language, content) files, file by file in Arrow batches."""
 
-    def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("file_path", "language", "seq", *_FIELDS)}
-            for path, language, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = python_events(content) if language == "python" else c_like_events(content, language)
-                for seq, event in enumerate(found):
-                    for name, value in zip(out, (path, language, seq, *event), strict=True):
-                        out[name].append(value)
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_())
-            yield pa.record_batch([pa.array(out[n], k) for n, k in zip(out, kinds, strict=True)], names=list(out))
-
     known = files.filter(F.col("language").isin("python", "typescript", "javascript", "go"))
-    return known.select("path", "language", F.coalesce("content", F.lit("")).alias("content")).mapInArrow(run, EVENTS)
+    return known.select("path", "language", F.coalesce("content", F.lit("")).alias("content")).mapInArrow(event_batches, EVENTS)
 
 
 def facts(events: DataFrame, enclosing: bool = False, assigned: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
