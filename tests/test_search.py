@@ -163,3 +163,32 @@ def test_order_graph_moves_less(spark):
     assert "Exchange" not in plan
     n, e = graph(spark, {"s": ("S", {}), "m": ("F", {}), "k": ("K", {})}, [("s", "m"), ("m", "k"), ("m", "k")])
     assert [(r.node, r.via) for r in traverse.taint_search(n, e, listed=False).rows.collect()] == [("k", [])]
+
+
+def test_hits_of_one_depth_are_not_compared(spark):
+    """A sink that is reached at one depth only needs no comparison; one at two depths does, and the shorter path counts."""
+    n, e = graph(spark, {"s": ("S", {}), "m": ("F", {}), "o": ("F", {}), "k": ("K", {})}, [("s", "m"), ("s", "o"), ("m", "k"), ("o", "k")])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    first = traverse.trace_first(n, e)
+    assert "Window" not in plan(first) and [(r.source_id, r.sink_id, len(r.path)) for r in first.collect()] == [("s", "k", 3)]
+    more = e.unionByName(graph(spark, {}, [("s", "k")])[1])
+    assert [r.path for r in traverse.trace_first(n, more).collect()] == [["s", "k"]]
+    assert "Window" in plan(traverse.trace_first(n, more)) and "Window" in plan(traverse.trace_first(n, e, class_aware=True))
+
+
+def test_large_edges_are_dealt_once(spark, monkeypatch):
+    """Large edges lie in buckets by their source: a level moves states only, and finds the same."""
+    monkeypatch.setattr(search, "SMALL", -1)
+    nodes, edges = random_graph(random.Random(8), 14, 40)
+    n, e = (written(t, "graph") for t in graph(spark, nodes, edges))
+    around = search.adjacency(n, e)
+    state = spark.createDataFrame([], "source_id string, node string, depth int, rank long, room long, base long, via array<string>, vars array<string>, cleared array<string>, sanitized boolean, node_type string, node_class string, hit boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = search.levels(state, around, 1, 2, search.Rule(gated=True, ends=True, most=20))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning(src" not in plan
+        for flags in ({}, {"few": 0, "first": 1}):
+            assert pairs(traverse.find_all_paths(n, e, max_nodes=7, small=-1, **flags)) == model(nodes, edges, 7)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not any(t.name.startswith("adjacency") for t in spark.catalog.listTables())

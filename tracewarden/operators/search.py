@@ -45,6 +45,7 @@ SMALL = 32 << 20
 #: States that go to every task instead, where edges don't.
 FEW = 100_000
 _STATE = ("source_id", "node", "depth", "rank", "room", "base", "via", "vars", "cleared", "sanitized", "node_type", "node_class", "hit")
+_NONE = "cast(array() AS array<string>)"
 #: States that a ``clean`` search asks for.
 _WANTED = f"node_type = '{SINK}' AND NOT sanitized"
 
@@ -107,7 +108,8 @@ def adjacency(nodes: DataFrame, edges: DataFrame, hub_bytes: int = HUB_BYTES) ->
     hubs = hub_bytes < 0 or size > hub_bytes and (edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > HUB
     placed = _in_parts(linked) if hubs else _at_once(linked)
     held = F.octet_length("src") + F.octet_length("dst") + F.octet_length(F.array_join("args", ",")) + F.octet_length(F.array_join("params", ",")) + 100
-    table, told = measured(placed.drop("edge_id"), "adjacency", most=F.max("edges"), count=F.count(F.lit(1)), size=F.sum(held.cast("long")), starts=F.count_if(F.col("place") == 0))
+    dealt = None if hubs or not SMALL < size < UNKNOWN else "src"  # each level joins them by their source
+    table, told = measured(placed.drop("edge_id"), "adjacency", dealt, most=F.max("edges"), count=F.count(F.lit(1)), size=F.sum(held.cast("long")), starts=F.count_if(F.col("place") == 0))
     return Around(table, told["most"] or 1, told["count"] or 0, told["size"] or 0, into.get.get("into") or 1, told["starts"] or 1)
 
 
@@ -155,11 +157,18 @@ class Rule:
 
 @dataclass
 class Found:
-    """States of a search (hits, or with ``once`` all), the states at the start of each job but the first, and the live states after each job."""
+    """States of a search (hits, or with ``once`` all), the states at the start of each job but the first, the live states after each job, and
+    the least and the largest depth of each job's hits."""
 
     rows: DataFrame
     bases: list[tuple[int, DataFrame]] = field(default_factory=list)
     live: list[int] = field(default_factory=list)
+    depths: set[int] = field(default_factory=set)
+
+    @property
+    def one_depth(self) -> bool:
+        """Whether all hits have the same depth."""
+        return len(self.depths) <= 1
 
     def with_paths(self) -> DataFrame:
         """The rows with ``path``: the nodes from the source on."""
@@ -176,6 +185,7 @@ def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: s
     ``apart``: no two states can meet in a node; ``few``: all states of ``before`` are live, and only those they lead to are wanted; ``most``: edges of a node; ``listed``: states list their nodes."""
     live = f"(depth = {depth - 1} AND NOT hit)"
     goes = "src IS NOT NULL"
+    final = rule.ends and depth == rule.most  # no level follows: of a row only what tells the first, a hit and its path
     if rule.gated:
         goes += f" AND (edge_type <> 'call' OR coalesce(arrays_overlap(vars, args), false))"
     if pruned:
@@ -187,11 +197,13 @@ def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: s
     room = "(room div coalesce(edges, 1))"
     new = {
         "node": "dst", "depth": str(depth), "room": room, "rank": f"rank + coalesce(place, 0) * {room}",
-        "base": f"if(depth = {seed}, rank, base)", "via": f"concat(if(depth = {seed}, cast(array() AS array<string>), via), array(dst))" if listed else "via",
+        "base": f"if(depth = {seed}, rank, base)", "via": f"if(depth = {seed}, {_NONE}, via)" if listed else "via",  # its node is added behind the exchange
         "vars": "if(edge_type = 'call' AND size(params) > 0, params, vars)" if rule.gated else "vars",
         "cleared": f"if(dst_type = '{SANITIZER}', array_sort(array_union(cleared, array(dst_class))), cleared)" if rule.class_aware else "cleared",
         "sanitized": f"sanitized OR dst_type = '{SANITIZER}'", "node_type": "dst_type", "node_class": "dst_class",
     }
+    rest = {"room": "0L", "vars": _NONE} | ({} if rule.class_aware else {"cleared": _NONE, "node_class": "''"}) if final else {}
+    new = {k: c for k, c in new.items() if k not in rest}
     met = f"{before} LEFT JOIN around ON if({live}, node, concat(char(0), source_id)) = src"  # done rows meet no edge
     if few:
         moved = f"SELECT {hint} source_id, hit, {', '.join(f'{c} AS {k}' for k, c in new.items())} FROM {before} JOIN around ON node = src WHERE {goes}"
@@ -208,7 +220,10 @@ def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: s
     first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {'depth, ' * rule.once}rank) AS n FROM ({moved})) WHERE n = 1" if not alone else moved
     clean = "NOT array_contains(cleared, node_class)" if rule.class_aware else "NOT sanitized"
     hit = f"hit OR (depth = {depth} AND node_type = '{SINK}' AND {clean})" if rule.ends else "hit"
-    return f"SELECT {', '.join(f'{hit} AS hit' if c == 'hit' else c for c in _STATE)} FROM ({first})"
+    given = {c: c for c in _STATE} | rest | {"hit": hit}
+    if listed:
+        given["via"] = f"if(depth = {depth}, concat(via, array(node)), via)"
+    return f"SELECT {', '.join(f'{c} AS {k}' for k, c in given.items())} FROM ({first})"
 
 
 def levels(state: DataFrame, around: Around, seed: int, last: int, rule: Rule, begun: int | None = None, few: bool = False, listed: bool = True) -> DataFrame:
@@ -277,13 +292,14 @@ def search(around: Around, starts: DataFrame, rule: Rule, first: int = FIRST, ch
         before = depth if done or kept else 0
         state, depth = levels(state, around, depth, depth + n, rule, seed, sent, listed), depth + n
         live = (F.col("depth") == depth) & ~F.col("hit")
-        state, told = measured(state, "states", live=F.count_if(live), room=F.min(F.when(live, F.col("room"))))
+        state, told = measured(state, "states", live=F.count_if(live), room=F.min(F.when(live, F.col("room"))), least=F.min(F.when(F.col("hit"), F.col("depth"))), largest=F.max(F.when(F.col("hit"), F.col("depth"))))
         if rule.once and not kept:
             done.append(state.filter(F.col("depth") > before).filter(_WANTED if rule.clean else "true"))
         elif not rule.once:
             done.append(state.filter("hit"))
         count, room = told["live"] or 0, told["room"] or 0
         found.live.append(count)
+        found.depths |= {told["least"], told["largest"]} - {None}
         frontier = state.filter(live)
         if not count:
             break

@@ -51,7 +51,10 @@ def trace_forward(nodes: DataFrame, edges: DataFrame, sources: Column | DataFram
     sinks are reached: no path is put together. ``sources``: a condition on source nodes, or a table of their ids
     (``source_id``). ``prune``: see ``search``.
     """
-    found = taint_search(nodes, edges, sources, max_nodes, sound, class_aware, listed=paths, **options)
+    return _traced(taint_search(nodes, edges, sources, max_nodes, sound, class_aware, listed=paths, **options), paths)
+
+
+def _traced(found: Found, paths: bool = True) -> DataFrame:
     rows = found.with_paths() if paths else found.rows
     return rows.select("source_id", F.col("node").alias("sink_id"), "depth", "rank", *["path"] * paths)
 
@@ -62,6 +65,14 @@ def first_paths(traced: DataFrame) -> DataFrame:
     return traced.withColumn("n", F.row_number().over(by_pair)).filter("n = 1").drop("n", "rank")
 
 
+def trace_first(nodes: DataFrame, edges: DataFrame, class_aware: bool = False, **flags) -> DataFrame:
+    """``first_paths`` of ``trace_forward``. Hits of one depth are one for each source and sink already (but for ``class_aware``, which keeps
+    them apart by what was cleared), so only hits of several depths are compared."""
+    found = taint_search(nodes, edges, class_aware=class_aware, **flags)
+    traced = _traced(found)
+    return traced.drop("rank") if found.one_depth and not class_aware else first_paths(traced)
+
+
 def described(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """Path records: (id, source_id, sink_id, path, path_length, vuln_class, severity, confidence, file_path, description)."""
     source = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), F.col("symbol").alias("source_symbol"), F.col("file_path").alias("source_file"), F.col("line_start").alias("source_line"))
@@ -72,7 +83,7 @@ def described(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
 def find_all_paths(nodes: DataFrame, edges: DataFrame, **flags) -> DataFrame:
     """All unsanitized paths, one for each source and sink. Order them with ``by_severity`` where order matters."""
-    return described(nodes, first_paths(trace_forward(nodes, edges, **flags)))
+    return described(nodes, trace_first(nodes, edges, **flags))
 
 
 find_missing_sanitizers = find_all_paths

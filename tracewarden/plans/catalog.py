@@ -411,7 +411,7 @@ def graph_delta(spark, sf_dir):
 def order_paths(spark, sf_dir):
     """Paths over the orders graph, where customers reach a part over several orders: the first in queue order counts."""
     nodes, edges = A.order_nodes(spark, sf_dir), A.order_edges(spark, sf_dir)
-    found = traverse.first_paths(traverse.trace_forward(nodes, edges, max_nodes=3))
+    found = traverse.trace_first(nodes, edges, max_nodes=3)
     return found.select("source_id", "sink_id", F.array_join("path", ">").alias("path"))
 
 

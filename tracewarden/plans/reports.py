@@ -101,7 +101,7 @@ def _orders_with_checks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def _checked(sound: bool):
     def query(spark, sf_dir):
         """Paths where some ways are sanitized: the first way decides, or with ``sound`` any clean one."""
-        found = traverse.first_paths(traverse.trace_forward(*_orders_with_checks(spark, sf_dir), max_nodes=3, sound=sound))
+        found = traverse.trace_first(*_orders_with_checks(spark, sf_dir), max_nodes=3, sound=sound)
         return found.select("source_id", "sink_id", F.array_join("path", ">").alias("path"))
 
     return query

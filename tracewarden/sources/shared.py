@@ -27,11 +27,19 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write a table and read it again."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+    """Cut lineage: write a table and read it again. With ``key`` it is dealt by that column on disk, in as many buckets as an exchange has
+    tasks, so that joins on it need no exchange of the table; the catalog forgets it at once."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    if key is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    named = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).bucketBy(width(spark), key).saveAsTable(named)
+    table = spark.table(named)
+    spark.sql(f"DROP TABLE {named}")  # an external table: its files stay
+    return table
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,9 +54,9 @@ def removed(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+def measured(df: DataFrame, name: str, key: str | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
     """``written``, with aggregates that the write itself collects (null or missing ones over no rows are None)."""
     seen = Observation()
-    table = written(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+    table = written(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name, key)
     found = seen.get
     return table, {k: found.get(k) for k in metrics}
