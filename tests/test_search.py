@@ -192,3 +192,25 @@ def test_large_edges_are_dealt_once(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not any(t.name.startswith("adjacency") for t in spark.catalog.listTables())
+
+
+def test_reach_looks_at_chains_and_open_ends_only(spark, monkeypatch):
+    """Nodes without inner edges take no part in path doubling, dead ends in no further level; an edge of two types counts once, in a chain too."""
+    told, of = [], reach.measured
+    monkeypatch.setattr(reach, "TABLES", 1)
+    monkeypatch.setattr(reach, "measured", lambda df, name, **m: (told.append((name, (out := of(df, name, **m))[1])), out)[1])
+    nodes = {i: (t, {}) for i, t in (("s", "S"), ("t", "S"), ("a", "F"), ("b", "F"), ("c", "F"), ("k", "K"), ("l", "K"))}
+    edges = [("s", "a"), ("s", "b"), ("t", "b"), ("t", "c"), ("a", "k"), ("a", "l"), ("b", "k"), ("b", "l"), ("c", "k"), ("c", "l"), ("c", "gone"), ("gone", "k")]
+    starts = spark.createDataFrame([(i,) for i in nodes], "source_id string")
+    counts = lambda n, e, s: {r.source_id: (r.reaches, r.sinks) for r in traverse.reachable_counts(n, e, s).collect()}
+    assert counts(*graph(spark, nodes, edges), starts) == {"s": (4, 2), "t": (4, 2), "a": (2, 2), "b": (2, 2), "c": (2, 2), "k": (0, 0), "l": (0, 0)}
+    assert [d["n"] or 0 for k, d in told if k == "first"] == [0] and [d["n"] or 0 for k, d in told if k == "covered"] == [4, 0]
+    nodes = {i: ("F", {}) for i in "abcdefg"} | {"k": ("K", {})}
+    edges = [("a", "b"), ("b", "c"), ("b", "d"), ("c", "e"), ("d", "e"), ("e", "f"), ("e", "k"), ("f", "b"), ("g", "a", "call", []), ("g", "a", "dataflow", [])]
+    told.clear()
+    starts = spark.createDataFrame([(i,) for i in nodes], "source_id string")
+    n, e = graph(spark, nodes, edges)
+    full = [(x[0], x[1]) for x in edges]
+    want = {a: (len(r := reach_brute(nodes, full, a)) - 1, sum(x == "k" and x != a for x in r)) for a in nodes}
+    assert counts(n, e, starts) == want
+    assert next(d["n"] for k, d in told if k == "first") == 2  # g and a: every other edge has a source with two ways out or a target with two ways in

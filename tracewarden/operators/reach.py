@@ -2,7 +2,7 @@
 
 An edge is *inner* where its source has no other out-edge and its target no other in-edge. Inner edges form chains, of which a long
 path mostly consists. Path doubling gives every node its chain and its place in it in as many rounds as the logarithm of the
-longest chain, each a join of a row a node with itself; counts along a chain are doubled with it, so no chain has to fit into a task.
+longest chain, each a join of a row a node of theirs with itself; counts along a chain are doubled with it, so no chain has to fit into a task.
 What is left is a graph of chains: its edges lead from a chain's last node to the first node of another (or, in a ring,
 the same). Searches walk that graph only, with the chains' lengths as weights, and their answers are spread over the chains' nodes.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.schema import SINK
@@ -19,6 +19,8 @@ from tracewarden.sources.shared import measured, removed, written
 
 #: Binary logarithm of a sketch's registers: 12 for a standard error of some 1.6 %.
 PRECISION = 12
+#: Tables of pairs that are put into one.
+TABLES = 10
 
 
 def _doubled(first: DataFrame, most: int, least: bool = False) -> tuple[DataFrame, int]:
@@ -41,7 +43,8 @@ def _doubled(first: DataFrame, most: int, least: bool = False) -> tuple[DataFram
 @dataclass
 class Chains:
     """``members`` (id, chain, pos, upto, flag), a row a node: ``flag`` is 1 for a sink, ``upto`` counts sinks up to the node;
-    ``chains`` (chain, size, sinks); ``links`` (chain, to). A chain is named by its first node."""
+    ``chains`` (chain, size, sinks); ``links`` (chain, to, size, sinks, goes), with those of ``to`` and whether edges may lead on from there. A
+    chain is named by its first node; nodes without inner edges are chains of their own, and no step over chains looks at them."""
 
     members: DataFrame
     chains: DataFrame
@@ -52,35 +55,67 @@ class Chains:
         """The chains of a graph, or of its reverse. Edges to missing nodes and to the node itself don't count."""
         a, b = ("src", "dst") if forward else ("dst", "src")
         ids = nodes.select("id", (F.col("type") == SINK).cast("long").alias("flag"))
-        known = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src <> dst").distinct()
-        known = known.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+        goes = edges.select(F.col(a).alias("id")).distinct().withColumn("goes", F.lit(True))
+        ends = ids.join(goes, "id", "left").select(F.col("id").alias("dst"), "flag", F.coalesce("goes", F.lit(False)).alias("goes"))
+        known = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src <> dst").join(ends, "dst")
+        known = known.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+        # neighbours in a sorted table tell copies of an edge and a node's only edge, whose number is of no interest
+        outward, inward = Window.partitionBy("src").orderBy("dst"), Window.partitionBy("dst").orderBy("src")
+        only = lambda c, w: F.lag(c).over(w).isNull() & F.lead(c).over(w).isNull()
+        known = known.withColumn("again", F.coalesce(F.lag("dst").over(outward) == F.col("dst"), F.lit(False))).filter("NOT again").drop("again")
+        known = known.withColumn("inner", only("dst", outward)).withColumn("inner", F.col("inner") & only("src", inward))
         known = written(known, "links")
-        single = lambda key, other: known.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(other).alias(other)).filter("n = 1").select("src", "dst")
-        inner = single("src", "dst").join(single("dst", "src"), ["src", "dst"])
-        start = ids.join(inner.select(F.col("dst").alias("id"), F.col("src").alias("up")), "id", "left")
-        first, told = measured(start.select("id", "flag", F.coalesce("up", "id").alias("at"), F.col("up").isNotNull().cast("long").alias("hops"), F.when(F.col("up").isNotNull(), F.col("flag")).otherwise(0).cast("long").alias("sinks")), "first", n=F.count(F.lit(1)))
+        inner = known.filter("inner")
+        heads = inner.select(F.col("src").alias("id")).join(inner.select(F.col("dst").alias("id")), "id", "left_anti").join(ids, "id")
+        still, moves = F.lit(0).cast("long"), F.lit(1).cast("long")
+        first = inner.select(F.col("dst").alias("id"), "flag", F.col("src").alias("at"), moves.alias("hops"), F.col("flag").alias("sinks"))
+        first, told = measured(first.unionByName(heads.select("id", "flag", F.col("id").alias("at"), still.alias("hops"), still.alias("sinks"))), "first", n=F.count(F.lit(1)))
         placed, open_ = _doubled(first.drop("flag"), told["n"] or 1)
+        rings = None
         if open_:  # rings: each is cut before its least node
             ring = written(first.join(placed.filter("moved").select("id"), "id", "left_semi"), "rings")
             low, _ = _doubled(ring.drop("flag").withColumn("low", F.col("id")), open_, least=True)
             cut = ring.join(low.select("id", "low"), "id").withColumn("head", F.col("id") == F.col("low"))
             cut = cut.select("id", F.when(F.col("head"), F.col("id")).otherwise(F.col("at")).alias("at"), F.when(F.col("head"), 0).otherwise(F.col("hops")).cast("long").alias("hops"), F.when(F.col("head"), 0).otherwise(F.col("sinks")).cast("long").alias("sinks"))
+            rings = cut.filter("head").select(F.col("id").alias("chain"), F.col("id").alias("to"), F.lit(True).alias("goes"))
             placed = placed.filter("NOT moved").select("id", "at", "hops", "sinks").unionByName(_doubled(cut, open_)[0].select("id", "at", "hops", "sinks"))
-        heads = ids.select(F.col("id").alias("chain"), F.col("flag").alias("head_flag"))
-        members = placed.select("id", F.col("at").alias("chain"), F.col("hops").alias("pos"), "sinks").join(heads, "chain").join(ids, "id")
-        members = written(members.select("id", "chain", "pos", (F.col("sinks") + F.col("head_flag")).alias("upto"), "flag"), "members")
-        chains = written(members.groupBy("chain").agg((F.max("pos") + 1).alias("size"), F.max("upto").alias("sinks")), "chains")
-        tails = members.join(chains, "chain").filter("pos = size - 1").select(F.col("id").alias("src"), "chain")
-        # edges that lead to a chain's first node; within a chain only the cut edge of a ring does
-        links = known.join(tails, "src").join(chains.select(F.col("chain").alias("dst")), "dst", "left_semi")
-        return cls(members, chains, written(links.select("chain", F.col("dst").alias("to")), "links"))
-
-    def spread(self, roots: DataFrame, weighted: bool) -> DataFrame:
+        heads = first.select(F.col("id").alias("chain"), F.col("flag").alias("head_flag"))
+        linked = placed.select("id", F.col("at").alias("chain"), F.col("hops").alias("pos"), "sinks").join(heads, "chain").join(first.select("id", "flag"), "id")
+        linked = written(linked.select("id", "chain", "pos", (F.col("sinks") + F.col("head_flag")).alias("upto"), "flag"), "members")
+        alone = written(ids.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("chain"), still.alias("pos"), F.col("flag").alias("upto"), "flag"), "members")
+        long = written(linked.groupBy("chain").agg((F.max("pos") + 1).alias("size"), F.max("upto").alias("sinks"), F.max_by("id", "pos").alias("tail")), "chains")
+        # other edges lead from a chain's last node to a chain's first one; a ring's cut edge leads to its own
+        links = known.filter("NOT inner").join(long.select(F.col("tail").alias("src"), "chain"), "src", "left")
+        links = links.select(F.coalesce("chain", "src").alias("chain"), F.col("dst").alias("to"), "flag", "goes")
+        links = links if rings is None else links.unionByName(rings.withColumn("flag", still))
+        links = links.join(long.select(F.col("chain").alias("to"), "size", "sinks"), "to", "left")
+        links = links.select("chain", "to", F.coalesce("size", moves).alias("size"), F.coalesce("sinks", "flag").alias("sinks"), "goes")
+        chains = long.drop("tail").unionByName(alone.select("chain", moves.alias("size"), F.col("flag").alias("sinks")))
+        return cls(linked.unionByName(alone), chains, written(links, "links"))
+
+    def covered(self, roots: DataFrame) -> DataFrame:
+        """(root, chain, size, sinks): the chains that each root chain's end leads to. One job a level of the graph of chains; a level adds the pairs
+        that are new, and those from which nothing leads on aren't looked at again."""
+        columns, kept = ("root", "chain", "size", "sinks", "goes"), []
+        begun = roots.select(F.col("chain").alias("root")).distinct().join(self.links, F.col("root") == F.col("chain")).select("root", F.col("to").alias("chain"), *columns[2:])
+        fresh, told = measured(begun, "covered", n=F.count_if("goes"))
+        seen = fresh
+        while told["n"]:
+            step = fresh.filter("goes").select("root", F.col("chain").alias("at")).join(self.links.withColumnRenamed("chain", "at"), "at").select("root", F.col("to").alias("chain"), *columns[2:])
+            new = step.dropDuplicates(["root", "chain"]).join(seen.select("root", "chain"), ["root", "chain"], "left_anti")
+            fresh, told = measured(new.select(*columns), "covered", n=F.count_if("goes"))
+            kept.append(fresh)
+            seen = seen.unionByName(fresh)
+            if len(kept) == TABLES:
+                seen, kept = written(seen, "covered"), []
+        return seen.drop("goes")
+
+    def spread(self, roots: DataFrame) -> DataFrame:
         """(root, chain, hops): the chains that each root chain's end leads to, with the least number of edges from there to
-        their first node (0 where not ``weighted``). One job a level of the graph of chains; only improved rows go on."""
-        sizes = self.chains.select("chain", F.col("size").alias("step") if weighted else F.lit(0).cast("long").alias("step"))
-        out = self.links.join(sizes, "chain")
-        known, told = measured(roots.select(F.col("chain").alias("root")).distinct().join(self.links, F.col("root") == F.col("chain")).select("root", F.col("to").alias("chain"), F.lit(int(weighted)).cast("long").alias("hops"), F.lit(True).alias("fresh")), "spread", n=F.count(F.lit(1)))
+        their first node. One job a level of the graph of chains; only improved rows go on."""
+        sizes = self.chains.select("chain", F.col("size").alias("step"))
+        out = self.links.select("chain", "to").join(sizes, "chain")
+        known, told = measured(roots.select(F.col("chain").alias("root")).distinct().join(self.links, F.col("root") == F.col("chain")).select("root", F.col("to").alias("chain"), F.lit(1).cast("long").alias("hops"), F.lit(True).alias("fresh")), "spread", n=F.count(F.lit(1)))
         count = told["n"]
         while count:
             step = known.filter("fresh").join(out, "chain").groupBy("root", F.col("to").alias("chain")).agg(F.min(F.col("hops") + F.col("step")).alias("new"))
@@ -98,7 +133,7 @@ class Chains:
     def counts(self, starts: DataFrame) -> DataFrame:
         """(source_id, reaches, sinks): how many other nodes, and sinks among them, each start reaches. Rows are starts and chains, not pairs of nodes."""
         begun = written(self._started(starts), "starts")
-        found = self.spread(begun.select(F.col("root").alias("chain")), False).join(self.chains, "chain")
+        found = self.covered(begun.select(F.col("root").alias("chain")))
         other = F.col("chain") != F.col("root")
         sums = found.groupBy("root").agg(F.sum(F.when(other, F.col("size"))).alias("more"), F.sum(F.when(other, F.col("sinks"))).alias("more_sinks"), F.max((~other).cast("long")).alias("again"))
         none = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -113,7 +148,7 @@ class Chains:
         begun = written(self._started(starts), "starts").select("source_id", "root", F.col("pos").alias("start"), "size")
         nodes = self.members.select("id", "chain", "pos")
         own = begun.join(nodes, F.col("root") == F.col("chain")).filter("pos >= start").select("source_id", "id", (F.col("pos") - F.col("start")).alias("depth"))
-        found = self.spread(begun.select(F.col("root").alias("chain")), True)
+        found = self.spread(begun.select(F.col("root").alias("chain")))
         rest = begun.join(found, "root").join(nodes, "chain").filter("chain <> root OR pos < start")
         return own.unionByName(rest.select("source_id", "id", (F.col("size") - 1 - F.col("start") + F.col("hops") + F.col("pos")).alias("depth"))).withColumn("depth", F.col("depth").cast("int"))
 
