@@ -214,3 +214,25 @@ def test_reach_looks_at_chains_and_open_ends_only(spark, monkeypatch):
     want = {a: (len(r := reach_brute(nodes, full, a)) - 1, sum(x == "k" and x != a for x in r)) for a in nodes}
     assert counts(n, e, starts) == want
     assert next(d["n"] for k, d in told if k == "first") == 2  # g and a: every other edge has a source with two ways out or a target with two ways in
+
+
+def test_edges_hold_names_of_calls_only(spark):
+    """Arguments and parameters are texts, and of calls only; names with quotes and commas still meet, nulls and empty lists don't."""
+    nodes = {"s": ("S", {"vars": ['a"b,c']}), "f": ("F", {"params": ["p\\q"]}), "g": ("F", {"params": ["r"]}), "k": ("K", {}), "m": ("K", {})}
+    edges = [("s", "f", "call", ['a"b,c']), ("f", "k", "call", ["p\\q"]), ("s", "g", "dataflow", ["x"]), ("g", "m", "call", ["r"])]
+    n, e = graph(spark, nodes, edges)
+    e = e.withColumn("args", F.when(F.col("dst") != "m", F.col("args")))
+    table = search.adjacency(n, e).table
+    assert {(r.src, r.dst): (r.args, r.params) for r in table.collect()} == {("s", "f"): ('["a\\"b,c"]', '["p\\\\q"]'), ("f", "k"): ('["p\\\\q"]', ""), ("s", "g"): ("", ""), ("g", "m"): ("", "")}
+    assert pairs(traverse.find_all_paths(n, e)) == [("s", "k", ("s", "f", "k"))]
+
+
+def test_records_without_paths(spark, monkeypatch):
+    """Differences and ranks ask for ids and severities: the same records, and no path is put together."""
+    nodes = {"s": ("S", {}), "f": ("F", {}), "z": ("Z", {}), "k": ("K", {"cls": "sqli"}), "m": ("K", {"cls": "xss"})}
+    n, e = graph(spark, nodes, [("s", "f"), ("f", "k"), ("s", "z"), ("z", "m"), ("s", "m")])
+    want = sorted(map(tuple, traverse.find_all_paths(n, e).select("id", "severity", "file_path").collect()))
+    monkeypatch.setattr(search.Found, "with_paths", None)
+    found = traverse.find_all_paths(n, e, paths=False)
+    assert sorted(map(tuple, found.select("id", "severity", "file_path").collect())) == want and len(want) == 2
+    assert not {"path", "path_length", "confidence"} & set(found.columns)

@@ -23,7 +23,7 @@ Few states are sent to large edges, not the other way round.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import log
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -52,8 +52,8 @@ _WANTED = f"node_type = '{SINK}' AND NOT sanitized"
 
 @dataclass(frozen=True)
 class Around:
-    """Edges whose target exists, with what a search needs of it: src, dst, edge_type, args, dst_type, dst_class, params,
-    the place of the edge among those of its source, and their number; ``most`` of them at one node, ``count`` in all,
+    """Edges whose target exists, with what a search needs of it: src, dst, edge_type, dst_type, dst_class, of calls args and params as
+    JSON texts (lists would be most of what reading the edges costs; empty for none and of other edges, where nothing asks for them), the place of the edge among those of its source, and their number; ``most`` of them at one node, ``count`` in all,
     some ``size`` bytes; at most ``into`` edges lead to one node; ``starts`` nodes have edges."""
 
     table: DataFrame
@@ -68,6 +68,10 @@ class Around:
         """Whether no two states of a source can meet in a node at one depth (by induction: its only in-edge brings one)."""
         return self.into <= 1
 
+    def clean(self) -> Around:
+        """Without the edges into sanitizers."""
+        return replace(self, table=self.table.filter(F.col("dst_type") != SANITIZER))
+
     def towards(self, sinks: DataFrame, hops: int) -> Around:
         """Only edges whose target is within ``hops`` edges of a sink (column ``node``), with that number as ``hops_left``."""
         labels = sink_distance(self.table, sinks, hops).select(F.col("node").alias("dst"), F.col("hops").alias("hops_left"))
@@ -96,10 +100,15 @@ def edges_size(edges: DataFrame) -> int:
     return int(str(edges._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _of_call(names: str) -> Column:
+    return F.when(F.coalesce(F.col("edge_type") != "call", F.lit(False)) | (F.size(names) < 1), "").otherwise(F.coalesce(F.to_json(names), F.lit("")))
+
+
 def adjacency(nodes: DataFrame, edges: DataFrame, hub_bytes: int = HUB_BYTES) -> Around:
     """Edges with equal ids count once; edges to missing nodes lead nowhere."""
-    target = nodes.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"), F.coalesce("vuln_class", F.lit("")).alias("dst_class"), F.coalesce("params", F.array()).alias("params"))
-    linked = edges.select("src", "dst", F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), F.coalesce("args", F.array()).alias("args")).join(target, "dst")
+    target = nodes.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"), F.coalesce("vuln_class", F.lit("")).alias("dst_class"), "params")
+    linked = edges.select("src", "dst", F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), "args").join(target, "dst")
+    linked = linked.withColumns({k: _of_call(k) for k in ("args", "params")})
     size = edges_size(edges)
     into = Observation()
     # a running number needs no group in memory; its largest is the largest number of edges into a node
@@ -107,7 +116,7 @@ def adjacency(nodes: DataFrame, edges: DataFrame, hub_bytes: int = HUB_BYTES) ->
     linked = linked.withColumn("into", number).observe(into, F.max("into").alias("into")).drop("into")
     hubs = hub_bytes < 0 or size > hub_bytes and (edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > HUB
     placed = _in_parts(linked) if hubs else _at_once(linked)
-    held = F.octet_length("src") + F.octet_length("dst") + F.octet_length(F.array_join("args", ",")) + F.octet_length(F.array_join("params", ",")) + 100
+    held = F.octet_length("src") + F.octet_length("dst") + F.octet_length("args") + F.octet_length("params") + 100
     dealt = None if hubs or not SMALL < size < UNKNOWN else "src"  # each level joins them by their source
     table, told = measured(placed.drop("edge_id"), "adjacency", dealt, most=F.max("edges"), count=F.count(F.lit(1)), size=F.sum(held.cast("long")), starts=F.count_if(F.col("place") == 0))
     return Around(table, told["most"] or 1, told["count"] or 0, told["size"] or 0, into.get.get("into") or 1, told["starts"] or 1)
@@ -187,7 +196,7 @@ def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: s
     goes = "src IS NOT NULL"
     final = rule.ends and depth == rule.most  # no level follows: of a row only what tells the first, a hit and its path
     if rule.gated:
-        goes += f" AND (edge_type <> 'call' OR coalesce(arrays_overlap(vars, args), false))"
+        goes += f" AND (edge_type <> 'call' OR coalesce(arrays_overlap(vars, from_json(args, 'array<string>')), false))"
     if pruned:
         goes += f" AND hops_left + {depth} <= {rule.most}"
     if rule.only_clean(apart):
@@ -198,7 +207,7 @@ def _level(before: str, depth: int, seed: int, rule: Rule, pruned: bool, hint: s
     new = {
         "node": "dst", "depth": str(depth), "room": room, "rank": f"rank + coalesce(place, 0) * {room}",
         "base": f"if(depth = {seed}, rank, base)", "via": f"if(depth = {seed}, {_NONE}, via)" if listed else "via",  # its node is added behind the exchange
-        "vars": "if(edge_type = 'call' AND size(params) > 0, params, vars)" if rule.gated else "vars",
+        "vars": "if(edge_type = 'call' AND params <> '', from_json(params, 'array<string>'), vars)" if rule.gated else "vars",
         "cleared": f"if(dst_type = '{SANITIZER}', array_sort(array_union(cleared, array(dst_class))), cleared)" if rule.class_aware else "cleared",
         "sanitized": f"sanitized OR dst_type = '{SANITIZER}'", "node_type": "dst_type", "node_class": "dst_class",
     }
@@ -262,6 +271,8 @@ def search(around: Around, starts: DataFrame, rule: Rule, first: int = FIRST, ch
     depth, seed, room, count, found, done = 1, 1, space, None, Found(state), []
     kept = rule.once and not around.apart  # earlier states tell which nodes are new
     large = around.size > small
+    if rule.only_clean(around.apart):
+        around = around.clean()
     while rule.most is None or depth < rule.most:
         sent = large and not kept and count is not None and count <= few
         if narrowed and count is not None and count > around.count:

@@ -65,24 +65,27 @@ def first_paths(traced: DataFrame) -> DataFrame:
     return traced.withColumn("n", F.row_number().over(by_pair)).filter("n = 1").drop("n", "rank")
 
 
-def trace_first(nodes: DataFrame, edges: DataFrame, class_aware: bool = False, **flags) -> DataFrame:
+def trace_first(nodes: DataFrame, edges: DataFrame, class_aware: bool = False, paths: bool = True, **flags) -> DataFrame:
     """``first_paths`` of ``trace_forward``. Hits of one depth are one for each source and sink already (but for ``class_aware``, which keeps
     them apart by what was cleared), so only hits of several depths are compared."""
-    found = taint_search(nodes, edges, class_aware=class_aware, **flags)
-    traced = _traced(found)
+    found = taint_search(nodes, edges, class_aware=class_aware, listed=paths, **flags)
+    traced = _traced(found, paths)
     return traced.drop("rank") if found.one_depth and not class_aware else first_paths(traced)
 
 
 def described(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Path records: (id, source_id, sink_id, path, path_length, vuln_class, severity, confidence, file_path, description)."""
+    """Path records: (id, source_id, sink_id, path, path_length, vuln_class, severity, confidence, file_path, description); without ``path``,
+    its length and the confidence where the table has none."""
+    of_path = [F.col("path"), F.size("path").alias("path_length"), S.confidence(F.size("path")).alias("confidence")] * ("path" in paths.columns)
     source = nodes.filter(F.col("type") == SOURCE).select(F.col("id").alias("source_id"), F.col("symbol").alias("source_symbol"), F.col("file_path").alias("source_file"), F.col("line_start").alias("source_line"))
     sink = nodes.filter(F.col("type") == SINK).select(F.col("id").alias("sink_id"), F.col("symbol").alias("sink_symbol"), F.col("file_path").alias("file_path"), F.col("line_start").alias("sink_line"), F.when(F.coalesce("vuln_class", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("vuln_class")).alias("vuln_class"))
     joined = paths.join(source, "source_id").join(sink, "sink_id")
-    return joined.select(S.path_id("source_id", "sink_id").alias("id"), "source_id", "sink_id", "path", F.size("path").alias("path_length"), "vuln_class", S.severity("vuln_class").alias("severity"), S.confidence(F.size("path")).alias("confidence"), "file_path", S.description("source_symbol", "source_file", "sink_symbol", "file_path").alias("description"), "source_symbol", "source_file", "source_line", "sink_symbol", "sink_line")
+    return joined.select(S.path_id("source_id", "sink_id").alias("id"), "source_id", "sink_id", *of_path[:2], "vuln_class", S.severity("vuln_class").alias("severity"), *of_path[2:], "file_path", S.description("source_symbol", "source_file", "sink_symbol", "file_path").alias("description"), "source_symbol", "source_file", "source_line", "sink_symbol", "sink_line")
 
 
 def find_all_paths(nodes: DataFrame, edges: DataFrame, **flags) -> DataFrame:
-    """All unsanitized paths, one for each source and sink. Order them with ``by_severity`` where order matters."""
+    """All unsanitized paths, one for each source and sink. Order them with ``by_severity`` where order matters. With ``paths=False`` the same
+    records without path, path_length and confidence: no path is put together."""
     return described(nodes, trace_first(nodes, edges, **flags))
 
 

@@ -31,8 +31,8 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return A.event_nodes(spark, sf_dir), A.event_edges(spark, sf_dir)
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.find_all_paths(*_graph(spark, sf_dir))
+def _paths(spark: SparkSession, sf_dir: str, paths: bool = True) -> DataFrame:
+    return traverse.find_all_paths(*_graph(spark, sf_dir), paths=paths)
 
 
 def find_all_paths(spark, sf_dir):
@@ -250,17 +250,17 @@ def call_edges_ordered(spark, sf_dir):
 
 
 def findings_by_severity(spark, sf_dir):
-    return posture.findings_by_severity(_paths(spark, sf_dir))
+    return posture.findings_by_severity(_paths(spark, sf_dir, paths=False))
 
 
 def posture_score(spark, sf_dir):
-    return posture.posture(_paths(spark, sf_dir))
+    return posture.posture(_paths(spark, sf_dir, paths=False))
 
 
 def posture_by_module(spark, sf_dir):
     """The posture score of every service, over its sinks' paths."""
     module = F.element_at(F.split("file_path", "/"), 1)
-    return posture.posture(_paths(spark, sf_dir), module.alias("module"))
+    return posture.posture(_paths(spark, sf_dir, paths=False), module.alias("module"))
 
 
 def file_context(spark, sf_dir):
@@ -268,7 +268,7 @@ def file_context(spark, sf_dir):
 
 
 def gate_high(spark, sf_dir):
-    return posture.gate(_paths(spark, sf_dir), "high")
+    return posture.gate(_paths(spark, sf_dir, paths=False), "high")
 
 
 def path_depth_hist(spark, sf_dir):
@@ -277,7 +277,7 @@ def path_depth_hist(spark, sf_dir):
 
 def _before_after(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Paths as ids: before, those that don't end in svc1 files; after, those that don't end in svc2 files."""
-    paths = written(_paths(spark, sf_dir).select("id", "file_path", "severity"), "paths")
+    paths = written(_paths(spark, sf_dir, paths=False).select("id", "file_path", "severity"), "paths")
     return paths.filter(~F.col("file_path").startswith("svc1/")), paths.filter(~F.col("file_path").startswith("svc2/"))
 
 

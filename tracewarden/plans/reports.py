@@ -118,7 +118,7 @@ def _checked_sql(sound: bool) -> str:
 
 def ranked_findings(spark, sf_dir):
     """Findings with their place: critical first, ties by id."""
-    paths = traverse.find_all_paths(A.event_nodes(spark, sf_dir), A.event_edges(spark, sf_dir))
+    paths = traverse.find_all_paths(A.event_nodes(spark, sf_dir), A.event_edges(spark, sf_dir), paths=False)
     places = Window.partitionBy("severity").orderBy("id")
     ranked = paths.select("id", "severity", S.severity_rank("severity").cast("long").alias("rank"), F.row_number().over(places).cast("long").alias("n"))
     counts = ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("size"))
