@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,6 +277,50 @@ def test_copies_in_many_partitions(spark):
     assert got == {d: tuple(v) for d, v in lpf_brute(base, 50).items()}
 
 
+def shuffled_bytes(spark):
+    """Bytes that all stages of the session have written to exchanges so far."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+@pytest.mark.parametrize("operator", ["lpf", "fm"])
+def test_text_is_exchanged_once(spark, operator):
+    """Texts without repeats: one copy of them and five bytes an anchor go to disk, not a copy for each job."""
+    rng = random.Random(8)
+    rows = [(d, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-+", k=30)) for _ in range(200))) for d in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = shuffled_bytes(spark)
+    found = lpf.digest(lpf.dedup_factors(df)) if operator == "lpf" else fmindex.digest(fmindex.dedup_substrings(df))
+    assert all(r["n_removed"] == 0 for r in found.collect())
+    written = sum(n for stage, n in shuffled_bytes(spark).items() if stage not in known)
+    assert written < 1.6 * sum(len(t) for _, t in rows)
+
+
+def test_segments_travel_packed():
+    rng = np.random.default_rng(9)
+    text = rng.choice(np.frombuffer(b"the of and in to a is ", np.uint8), 40_000).astype(np.uint8)
+    units = repeats.byte_units(text, np.arange(0, 40_001, 1000))
+    ids = np.sort(np.append(rng.integers(-(1 << 62), 1 << 62, 38), [np.iinfo(np.int64).min, common.NULL_ID]))
+    row, first, end, key, digest = repeats.segments(units, 50, 20, digests=True)
+    totals = np.ones(len(np.unique(key)), np.uint8)  # all occur more than once
+    flags = pa.table({"part": [0], "totals": pa.array([totals.tobytes()], pa.binary())})
+    for shards in (1, 7, 5000):
+        places = repeats.repeated_places(units, np.zeros(40, bool), flags, 50, 20, shards)
+        packed = repeats.packed_rows(3, units, ids, places)
+        plain = repeats.unpacked_rows(packed)
+        low, high = places.first[places.lead], places.end[places.lead]
+        cells = {"blob": text[common.spans(low, high)], "sizes": (high - low).astype(np.int32), "keys": places.key.astype(np.uint32), "docs": ids[places.row[places.lead]], "places": low.astype(np.int32)}
+        for name, values in cells.items():
+            assert b"".join(plain.column(name).to_pylist()) == values.tobytes()
+        assert plain.column("shard").to_pylist() == np.unique(places.shard).tolist() and set(plain.column("chunk").to_pylist()) == {3}
+        size = lambda table: sum(len(x) for n in table.column_names[2:] for x in table.column(n).to_pylist())
+        assert size(packed) < (0.65 if shards < 10 else 1.0) * size(plain)
+    values = np.array([0, 127, 128, 16_383, 16_384, (1 << 63) - 1, -1, -(1 << 63)], np.int64)
+    assert repeats.from_varints(repeats.varints(values)[0]).view(np.int64).tolist() == values.tolist()
+    assert len(repeats.from_varints(np.zeros(0, np.uint8))) == 0
+
+
 def test_decontaminate_long_items(spark):
     """The whole stretch that lies on an item is judged: 120 equal words, then every second one replaced."""
     item = [f"w{i}" for i in range(200)]

@@ -4,7 +4,8 @@ A window is W consecutive units (bytes or words) of one row. Its anchor is its l
 of m units, so equal windows have equal anchors. Chunks first ask how often each of their anchors occurs
 (``common.counted``); anchors that occur once can't hold a repeated window and go no further. The rest
 send their run of windows as one *segment* to the anchor's shard: each distinct segment of a chunk once, with
-its smallest place in the chunk. So a passage that a third of all rows hold is one entry a chunk. An anchor with more than
+its smallest place in the chunk, packed (``packed_rows``). All visits are one job: the text and the anchors are written to
+one exchange each, which every visit reads. So a passage that a third of all rows hold is one entry a chunk. An anchor with more than
 ``HOT`` occurrences is dealt by whole windows instead, so that many segments around one anchor don't fill a shard.
 
 A shard answers for each entry whether the segment stands earlier elsewhere, or else which windows in it do; it
@@ -42,7 +43,10 @@ SLICE_BYTES = 4 << 20
 _PIECE = 1 << 19
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
-SEGMENTS_SCHEMA = "shard int, chunk int, blob binary, sizes binary, keys binary, docs binary, places binary"
+#: Bytes of a row's segments from which they are compressed.
+PACK_BYTES = 256
+
+SEGMENTS_SCHEMA = "shard int, chunk int, blob binary, numbers binary, keys binary"
 #: Answers to a chunk: kind 0 what its anchors' totals are (number: the part), kind 1 what a shard (number) found.
 ANSWERS_SCHEMA = "chunk int, kind int, number int, totals binary, later binary, owners binary, firsts binary, lasts binary"
 
@@ -155,7 +159,7 @@ def _differing(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray
 
 @dataclass
 class Places:
-    """A chunk's repeated segments. Entry e, in the order in which entries are sent (by shard), goes to ``shard[e]`` under
+    """A chunk's repeated segments. Entry e, in the order in which entries are sent (by shard and first place), goes to ``shard[e]`` under
     ``key[e]`` and first stands at place ``lead[e]``; place p holds entry ``which[p]``: units first[p] to end[p] of row[p]."""
 
     shard: np.ndarray
@@ -199,7 +203,11 @@ def repeated_places(units: Units, skip: np.ndarray, flags: pa.Table, window: int
         again = again[sizes[again] == sizes[leader[again]]]
         odd = np.append(odd, again[_differing(units.data, low[again], low[leader[again]], sizes[again])])
         if not len(odd):
-            return Places(shard[lead], key[lead], lead, which, row, first, end)
+            sent = np.lexsort((first[lead], shard[lead]))
+            rank = np.empty(len(sent), np.int64)
+            rank[sent] = np.arange(len(sent))
+            lead = lead[sent]
+            return Places(shard[lead], key[lead], lead, rank[which], row, first, end)
         digest[odd] = common.mix(digest[odd] + np.uint64(1))  # equal hashes of different bytes
 
 
@@ -211,17 +219,81 @@ def later_copies(ids: np.ndarray, text: pa.Array, equal_ids: bool) -> np.ndarray
     return (ids > ids[lead]) | (equal_ids & (lead < np.arange(len(ids))))
 
 
-def _segment_rows(chunk: int, units: Units, ids: np.ndarray, places: Places) -> pa.Table:
-    """One row for each shard with entries: their bytes, sizes, anchors, and their smallest places as document and position."""
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values (64 bits, taken as unsigned) in seven bits a byte, the last byte below 128: (bytes, number of bytes of each)."""
+    values = values.astype(np.uint64)
+    lengths, rest = np.ones(len(values), np.int64), values >> np.uint64(7)
+    while rest.any():
+        lengths += rest > 0
+        rest >>= np.uint64(7)
+    at = np.cumsum(lengths) - lengths
+    out = np.empty(int(lengths.sum()), np.uint8)
+    some, k = np.arange(len(values)), 0
+    while len(some):
+        more = lengths[some] > k + 1
+        out[at[some] + k] = (values[some] >> np.uint64(7 * k)).astype(np.uint8) & 0x7F | more.astype(np.uint8) << 7
+        some, k = some[more], k + 1
+    return out, lengths
+
+
+def from_varints(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 128)
+    at = np.append(0, ends[:-1] + 1)[: len(ends)]
+    lengths = ends - at + 1
+    out = np.zeros(len(ends), np.uint64)
+    for k in range(int(lengths.max(initial=0))):
+        some = np.flatnonzero(lengths > k)
+        out[some] |= (data[at[some] + k] & 0x7F).astype(np.uint64) << np.uint64(7 * k)
+    return out
+
+
+def _steps(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """What each value is above the one before; at cuts, the value itself."""
+    out = values.astype(np.uint64)
+    out[1:] -= out[:-1].copy()
+    out[cuts] = values[cuts].astype(np.uint64)
+    return out
+
+
+def packed_rows(chunk: int, units: Units, ids: np.ndarray, places: Places) -> pa.Table:
+    """One row for each shard with entries: their bytes (compressed where that helps), their anchors, and as varints of each entry
+    its size and what its smallest place, as document and position, is above that of the entry before (places ascend, and so do documents)."""
     lead = places.lead
     low, high = units.bounds(places.first[lead], places.end[lead])
-    sizes = high - low
     cuts = np.flatnonzero(np.append(True, places.shard[1:] != places.shard[:-1])) if len(lead) else lead
-    bounds = np.append(cuts, len(lead)).tolist()
-    columns = {"sizes": sizes.astype(np.int32), "keys": places.key.astype(np.uint32), "docs": ids[places.row[lead]], "places": places.first[lead].astype(np.int32)}
-    out = {n: pa.array([c[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()) for n, c in columns.items()}
-    blobs = [units.data[common.spans(low[a:b], high[a:b])].tobytes() for a, b in zip(bounds, bounds[1:])]
-    return pa.table({"shard": pa.array(places.shard[cuts].astype(np.int32)), "chunk": pa.array(np.full(len(cuts), chunk, np.int32)), "blob": pa.array(blobs, pa.binary())} | out)
+    bounds = np.append(cuts, len(lead))
+    numbers, lengths = varints(np.stack([high - low, _steps(ids[places.row[lead]], cuts).view(np.int64), _steps(places.first[lead], cuts).view(np.int64)], 1).ravel())
+    ends = np.append(0, np.cumsum(lengths))[3 * bounds].tolist()
+    keys = places.key.astype(np.uint32)
+    codec, bounds = pa.Codec("zstd", compression_level=1), bounds.tolist()
+    blobs = []
+    for a, b in zip(bounds, bounds[1:]):
+        blob = units.data[common.spans(low[a:b], high[a:b])].tobytes()
+        small = codec.compress(blob, asbytes=True) if len(blob) >= PACK_BYTES else blob
+        blobs.append(small if len(small) < len(blob) else blob)
+    return pa.table({
+        "shard": pa.array(places.shard[cuts].astype(np.int32)), "chunk": pa.array(np.full(len(cuts), chunk, np.int32)), "blob": pa.array(blobs, pa.binary()),
+        "numbers": pa.array([numbers[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), "keys": pa.array([keys[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
+    })
+
+
+def unpacked_rows(table: pa.Table) -> pa.Table:
+    """The rows of ``packed_rows`` with plain cells: bytes, sizes, anchors, documents and places."""
+    keys = table.column("keys")
+    counts = np.array([len(x.as_buffer()) // 4 for x in keys], np.int64)
+    bounds = np.append(0, np.cumsum(counts))
+    numbers = from_varints(np.frombuffer(b"".join(table.column("numbers").to_pylist()), np.uint8)).reshape(-1, 3)
+    sizes = numbers[:, 0].astype(np.int32)
+    sums = [np.cumsum(numbers[:, k], dtype=np.uint64) for k in (1, 2)]
+    heads = bounds[:-1]  # no row is without entries
+    docs, places = (x - np.repeat(x[heads] - numbers[heads, k], counts) for k, x in zip((1, 2), sums))
+    columns = {"sizes": sizes, "docs": docs.view(np.int64), "places": places.astype(np.int32)}
+    codec = pa.Codec("zstd")
+    blobs = [x.as_buffer() for x in table.column("blob")]
+    plain = np.add.reduceat(sizes, heads, dtype=np.int64).tolist()
+    blobs = [x.to_pybytes() if x.size == n else codec.decompress(x, n, asbytes=True) for x, n in zip(blobs, plain)]
+    cells = {n: pa.array([c[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())], pa.binary()) for n, c in columns.items()}
+    return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "blob": pa.array(blobs, pa.binary()), "keys": keys} | cells)
 
 
 def _cell(arrays: list[np.ndarray]) -> pa.Array:
@@ -361,10 +433,10 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
         ids, _, text, data, offsets = common.ordered_rows(table)
         all_units = units(data, offsets)
         places = repeated_places(all_units, later_copies(ids, text, equal_ids), flags, window, gram, shards)
-        return common.released(_segment_rows(key[0].as_py(), all_units, ids, places))
+        return common.released(packed_rows(key[0].as_py(), all_units, ids, places))
 
     def look(table: pa.Table) -> pa.Table:
-        return common.released(shard_answers(table, search, equal_ids, most))
+        return common.released(shard_answers(unpacked_rows(table), search, equal_ids, most))
 
     def end(_key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = common.sorted_rows(table)
@@ -385,7 +457,7 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
         return common.released(finish(table, whole, found))
 
     by_chunk = chunks.groupBy("chunk")
-    totals = common.written(common.counted(chunks, send, (1, hot)), "totals")  # read twice
+    totals = common.counted(chunks, send, (1, hot))  # asked for twice from one exchange of the keys: a table in between would write the text to a second one
     routed = by_chunk.cogroup(totals.groupBy("chunk")).applyInArrow(route, SEGMENTS_SCHEMA)
     found = routed.groupBy("shard").applyInArrow(look, ANSWERS_SCHEMA)
     none = F.lit(None).cast("binary")
