@@ -297,6 +297,14 @@ def test_text_is_exchanged_once(spark, operator):
     assert written < 1.6 * sum(len(t) for _, t in rows)
 
 
+def test_rows_of_segments_grow_with_the_text():
+    """Ten times the text has ten times the chunks; a chunk's segments still share rows at 50 GB of text (8 MB of text have some 130,000)."""
+    total = 50_000_000_000
+    chunks, parts = -(-total // common.CHUNK_BYTES), -(-total // common.PART_BYTES)
+    assert repeats.shards_for(chunks, parts) == parts < chunks / 5
+    assert [repeats.shards_for(n, max(1, n // 5)) for n in (1, 60, 100, 1000)] == [1, 60, 64, 200]
+
+
 def test_segments_travel_packed():
     rng = np.random.default_rng(9)
     text = rng.choice(np.frombuffer(b"the of and in to a is ", np.uint8), 40_000).astype(np.uint8)

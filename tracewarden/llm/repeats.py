@@ -43,6 +43,8 @@ SLICE_BYTES = 4 << 20
 _PIECE = 1 << 19
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
+#: Shards that keep a small cluster busy: no fewer while there are as many chunks.
+SHARDS = 64
 #: Bytes of a row's segments from which they are compressed.
 PACK_BYTES = 256
 
@@ -405,6 +407,11 @@ def by_row(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return a // width, a % width, (b - a) + a % width
 
 
+def shards_for(chunks: int, parts: int) -> int:
+    """As few shards as parts, so that a chunk's row for a shard still holds several segments where there are many chunks; as many as chunks in small tables."""
+    return min(chunks, max(parts, SHARDS))
+
+
 def dealt(docs: DataFrame, covers: Callable[[str], int], equal_ids: bool, units: Callable[[np.ndarray, np.ndarray], Units], window: int, chunks: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """The rows with ``copied`` and the chunk of each (see above); no text, id or emptiness makes a chunk large."""
     told = common.first_of_batch(common.texts(docs, id_col, text_col, carry), covers, equal_ids, SIZES[units], window)
@@ -419,8 +426,9 @@ def repeated(docs: DataFrame, window: int, gram: int, units: Callable[[np.ndarra
     than a later row with the same id. ``finish`` gets the chunk's rows, sorted, which of them are whole later
     copies within the chunk, and the intervals by row; rows that were settled before the exchange have ``copied``.
     """
-    shards, parts = common.groups_of(docs, text_col)
-    chunks = dealt(docs, covers, equal_ids, units, window, shards, id_col, text_col, carry)
+    number, parts = common.groups_of(docs, text_col)
+    shards = shards_for(number, parts)
+    chunks = dealt(docs, covers, equal_ids, units, window, number, id_col, text_col, carry)
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
